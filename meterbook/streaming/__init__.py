@@ -1,0 +1,6 @@
+"""No streaming operators.
+
+The work rebuilt here is batch only: it has no watermark, event-time window or
+state store.  The nearest thing, appending records that lie strictly after a
+cutoff, is a batch rule and lives in ``meterbook.operators.filters``.
+"""
