@@ -4,12 +4,10 @@ from pyspark.sql import functions as F
 
 from meterbook.catalog import tables as t
 from meterbook.catalog.registry import query, sql_round, sql_time
-from meterbook.functions.timeparts import month_key
 from meterbook.operators import ranking, rollups, series
 from meterbook.operators.attribution import rollout_stats
 from meterbook.operators.dedup import duplicate_audit
 from meterbook.operators.filters import active_days
-from meterbook.operators.keyed import summarise
 from meterbook.plans import activity, credits, merge, portable, report
 from meterbook.plans import ledger as ledger_plan
 from meterbook.sources.responses import parse_tools, parse_usage
@@ -842,4 +840,3 @@ def t05_report_heads(spark, folder):
     )
 
 
-_ = (month_key, summarise)
