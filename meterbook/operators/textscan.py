@@ -70,17 +70,18 @@ def placeholder(value: Column) -> Column:
     return worded | compact.rlike(r"^[x*\-]+$")
 
 
+def _matches(text: str, pattern: str, group: int, label: str) -> Column:
+    """Every match of a pattern as (finding, value)."""
+
+    def named(match: Column) -> Column:
+        return F.struct(F.lit(label).alias("finding"), match.alias("value"))
+
+    return F.transform(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(group)), named)
+
+
 def secret_findings(texts: DataFrame, key: Sequence[str], text: str = "text") -> DataFrame:
     """Secrets in a text table: ``finding`` and matched ``value`` per hit, placeholders excused."""
-    formats = F.array(
-        *[
-            F.transform(
-                F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)),
-                lambda m, label=label: F.struct(F.lit(label).alias("finding"), m.alias("value")),
-            )
-            for label, pattern in fixed.SECRET_PATTERNS
-        ]
-    )
+    formats = F.array(*[_matches(text, pattern, 0, label) for label, pattern in fixed.SECRET_PATTERNS])
     hits = texts.select(*key, F.explode(F.flatten(formats)).alias("hit")).select(*key, "hit.*")
     known = hits.where(~placeholder(F.col("value")))
 
@@ -97,16 +98,9 @@ def secret_findings(texts: DataFrame, key: Sequence[str], text: str = "text") ->
 
 def private_findings(texts: DataFrame, key: Sequence[str], text: str = "text") -> DataFrame:
     """Home folders and UUIDs in a text table; public folder names, placeholders and UUIDs in URLs are excused."""
-    homes = F.array(
-        *[
-            F.transform(
-                F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1)),
-                lambda m, label=label: F.struct(F.lit(label).alias("finding"), F.lower(m).alias("value")),
-            )
-            for label, pattern in fixed.PRIVATE_PATH_PATTERNS
-        ]
-    )
+    homes = F.array(*[_matches(text, pattern, 1, label) for label, pattern in fixed.PRIVATE_PATH_PATTERNS])
     found = texts.select(*key, F.explode(F.flatten(homes)).alias("hit")).select(*key, "hit.*")
+    found = found.withColumn("value", F.lower("value"))
     found = found.where(~F.col("value").isin(*fixed.SAFE_HOME_SEGMENTS))
     # a UUID inside a URL is public: URLs are matched whole, and then dropped
     with_url = rf"(?i)https?://\S*|\b{fixed.UUID_TEXT}\b"
