@@ -106,7 +106,8 @@ def p05_session_id(spark, folder):
     uuid = F.concat(F.lit("0199AB00-1111-2222-3333-"), F.lpad(F.hex("o_custkey"), 12, "0"))
     n = F.col("o_orderkey") % 4
     raw = F.when(n == 0, uuid).when(n == 1, F.concat(F.lit(" rollout-2024-"), uuid)).when(n == 2, F.concat(F.lit(" Plain-"), F.col("o_custkey").cast("string")))
-    return t.table(spark, folder, "orders").select("o_orderkey", identity.normalize_session_id(raw).alias("session"))
+    cleaned = t.table(spark, folder, "orders").select("o_orderkey", labels.clean_dimension(raw).alias("session"))
+    return cleaned.withColumn("session", identity.normalize_session_id("session"))
 
 
 REMOTES = """CASE n WHEN 0 THEN 'git@host.example:Team/Repo' || x || '.git' WHEN 1 THEN 'https://user:pw@Host.example/Team/Repo' || x || '.git?ref=a#b' WHEN 2 THEN 'ssh://git@host.example:2222/Team/Repo' || x || '/'
@@ -133,12 +134,8 @@ def p06_repository(spark, folder):
         .when(n == 6, F.concat(F.lit("https://host.example:443/Team/Repo"), x))
         .when(n == 7, F.lit("  "))
     )
-    return t.table(spark, folder, "orders").select(
-        "o_orderkey",
-        remote.alias("remote"),
-        identity.repository_identity(remote).alias("identity"),
-        identity.repository_fingerprint(remote).alias("fingerprint"),
-    )
+    rows = t.table(spark, folder, "orders").select("o_orderkey", remote.alias("remote"))
+    return identity.add_repository_fingerprint(rows, "remote", "fingerprint", identity="identity")
 
 
 PATHS = [
@@ -187,7 +184,7 @@ def p07_canonical_project(spark, folder):
 
 @query("p08_project_alias", f"SELECT o_orderkey, {_list(ALIASES)}[o_custkey % {len(PATHS)} + 1] AS project FROM orders")
 def p08_project_alias(spark, folder):
-    return _paths(spark, folder).select("o_orderkey", labels.project_alias("project").alias("project"))
+    return labels.add_project_alias(_paths(spark, folder), "project", "project")
 
 
 @query(

@@ -25,7 +25,8 @@ UNCLASSIFIED = "历史未归类"
 UNKNOWN_SESSION = "historical-unknown"
 UNKNOWN_PROJECT_FRAGMENT = "项目"
 UNKNOWN_DEVICE_FRAGMENT = "未知设备"
-UNATTRIBUTED_PATTERN = r"^历史未归(?:属|类)(?:\s*·|$)"
+# blank, or one of the unattributed labels alone or before a separator
+UNSPECIFIC_PATTERN = r"^[\s\p{Z}\x{feff}]*(?:$|历史未归(?:属|类)(?:\s*·|[\s\p{Z}\x{feff}]*$))"
 
 ACTIVITY_LABELS = {
     "coding": "Coding",

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterbook import fixed
 from meterbook.functions.labels import clean_dimension
 from meterbook.functions.timeparts import iso_utc
 
-_TRAILING_UUID = r"(?i)([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})$"
+_UUID = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 _URL = r"^([A-Za-z][A-Za-z0-9+.-]*):(?://(?:[^@/?#]*@)?([^/?#]*))?([^?#]*)"
 _SCP = r"^(?:[^@/\s]+@)?([^:/\s]+):(.+)$"
 
@@ -18,38 +18,47 @@ def _col(value: str | Column) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
-def normalize_session_id(value: str | Column) -> Column:
-    """A trailing UUID in lower case, otherwise the trimmed text."""
-    cleaned = clean_dimension(value)
-    return F.coalesce(F.nullif(F.lower(F.regexp_extract(cleaned, _TRAILING_UUID, 1)), F.lit("")), cleaned)
+def normalize_session_id(cleaned: str | Column) -> Column:
+    """A trailing UUID in lower case, otherwise the text; of a text that is already trimmed."""
+    tail = F.substring(_col(cleaned), -36, 36)
+    return F.when(tail.rlike(_UUID), F.lower(tail)).otherwise(_col(cleaned))
 
 
-def repository_identity(remote: str | Column) -> Column:
-    """``host/owner/name`` of an scp, ssh, https or bare remote."""
-    text = F.replace(clean_dimension(remote), F.lit("\\"), F.lit("/"))
+def add_repository_fingerprint(df: DataFrame, remote: str, out: str, identity: str | None = None) -> DataFrame:
+    """Hash of ``host/owner/name`` of an scp, ssh, https or bare remote as a column.
+
+    Each step is a column of its own and is computed once per row.  ``identity``
+    names a column to keep the readable form in; by default it is dropped.
+    """
+    steps = df.withColumn("_text", F.replace(clean_dimension(remote), F.lit("\\"), F.lit("/")))
+    text = F.col("_text")
     scp = ~F.contains(text, F.lit("://")) & ~text.rlike("(?i)^[a-z]:/") & text.rlike(_SCP)
     scp_identity = F.concat(F.regexp_extract(text, _SCP, 1), F.lit("/"), F.regexp_extract(text, _SCP, 2))
-
-    url = F.when(F.startswith(text, F.lit("//")), F.concat(F.lit("ssh:"), text)).otherwise(text)
-    scheme = F.lower(F.regexp_extract(url, _URL, 1))
-    host = F.regexp_extract(url, _URL, 2)
-    default_port = (
-        F.when(scheme == "https", F.lit(":443")).when(scheme == "http", F.lit(":80")).otherwise(F.lit("\x00"))
-    )
-    host = F.when(F.endswith(host, default_port), F.substring_index(host, ":", 1)).otherwise(host)
-    url_identity = F.concat(host, F.lit("/"), F.regexp_replace(F.regexp_extract(url, _URL, 3), "^/+", ""))
-
     bare = F.regexp_replace(text, "(?i)^[a-z][a-z0-9+.-]*://", "")
     bare = F.regexp_replace(F.regexp_replace(bare, r"^[^@/]+@(?=[^/]+/)", ""), r"[?#].*$", "")
-
-    identity = F.when(scp, scp_identity).when(url.rlike(_URL), url_identity).otherwise(bare)
-    identity = F.btrim(identity, F.lit("/"))
-    identity = F.regexp_replace(F.regexp_replace(identity, r"(?i)\.git$", ""), "/+$", "")
-    return F.nullif(F.lower(identity), F.lit(""))
-
-
-def repository_fingerprint(remote: str | Column) -> Column:
-    return F.sha2(repository_identity(remote), 256)
+    steps = steps.withColumns(
+        {
+            "_url": F.when(F.startswith(text, F.lit("//")), F.concat(F.lit("ssh:"), text)).otherwise(text),
+            "_scp": F.when(scp, scp_identity),
+        }
+    )
+    url = F.col("_url")
+    is_url = F.col("_scp").isNull() & url.rlike(_URL)
+    steps = steps.withColumns(
+        {
+            "_scheme": F.when(is_url, F.lower(F.regexp_extract(url, _URL, 1))),
+            "_host": F.when(is_url, F.regexp_extract(url, _URL, 2)),
+            "_path": F.when(is_url, F.regexp_replace(F.regexp_extract(url, _URL, 3), "^/+", "")),
+        }
+    )
+    default = F.when(F.col("_scheme") == "https", ":443").when(F.col("_scheme") == "http", ":80")
+    host = F.when(F.endswith("_host", default), F.substring_index("_host", ":", 1)).otherwise(F.col("_host"))
+    found = F.coalesce("_scp", F.concat(host, F.lit("/"), F.col("_path")), bare)
+    trimmed = F.regexp_replace(F.regexp_replace(F.btrim(found, F.lit("/")), r"(?i)\.git$", ""), "/+$", "")
+    name = identity or "_identity"
+    done = steps.withColumn(name, F.nullif(F.lower(trimmed), F.lit("")))
+    done = done.withColumn(out, F.sha2(name, 256))
+    return done.drop("_text", "_url", "_scp", "_scheme", "_host", "_path", "_identity")
 
 
 def session_pseudonym(session: str | Column) -> Column:

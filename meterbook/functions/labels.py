@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterbook import fixed
@@ -60,26 +60,42 @@ def canonical_project(path: str | Column, parent: str | Column | None = None) ->
     return F.coalesce(*options, worktree_suffix(normalized), normalized)
 
 
-def project_alias(path: str | Column, parent: str | Column | None = None) -> Column:
-    """Readable project name for a raw path; the first rule that fits wins."""
-    canonical = canonical_project(path, parent)
-    relative = F.regexp_replace(canonical, r"^users/[^/]+/", "")
+def _alias_of(relative: Column, canonical: Column) -> Column:
+    """Project name of a canonical path whose home prefix is already gone; the first rule that fits wins."""
     segments = F.filter(F.split(relative, "/"), lambda s: s != "")
-    hidden = F.transform(segments, lambda s: F.regexp_replace(s, "(?i)" + fixed.UUID_TEXT, fixed.UUID_REPLACEMENT))
     numbered = F.regexp_extract(relative, fixed.NUMBERED_PROJECT_PATTERN, 1)
     inline = F.regexp_extract(relative, fixed.INLINE_PROJECT_PATTERN, 1)
     last = F.try_element_at(segments, F.lit(-1))
+
+    def hide(label: Column) -> Column:
+        return F.regexp_replace(label, "(?i)" + fixed.UUID_TEXT, fixed.UUID_REPLACEMENT)
+
     return (
         F.when((relative == "") | canonical.rlike(r"^users/[^/]+$"), F.lit(fixed.HOME_LABEL))
         .when(relative.rlike(fixed.SCRATCH_PATTERN), F.lit(fixed.SCRATCH_LABEL))
         .when(F.contains(relative, F.lit(fixed.SITES_FRAGMENT)), F.lit(fixed.SITES_LABEL))
-        .when(numbered != "", F.concat(F.lit("project-"), numbered))
-        .when(inline != "", inline)
+        .when(relative.rlike(fixed.NUMBERED_PROJECT_PATTERN), F.concat(F.lit("project-"), numbered))
+        .when(relative.rlike(fixed.INLINE_PROJECT_PATTERN), inline)
         .when(
             last.isin(*fixed.GENERIC_SEGMENTS) & (F.size(segments) > 1),
-            F.array_join(F.slice(hidden, -2, 2), fixed.LABEL_SEPARATOR),
+            F.array_join(F.transform(F.slice(segments, -2, 2), hide), fixed.LABEL_SEPARATOR),
         )
-        .otherwise(F.coalesce(F.try_element_at(hidden, F.lit(-1)), F.lit(fixed.OTHER_LABEL)))
+        .otherwise(F.coalesce(hide(last), F.lit(fixed.OTHER_LABEL)))
+    )
+
+
+def add_project_alias(df: DataFrame, path: str, out: str, parent: str | None = None) -> DataFrame:
+    """Readable project name of a raw path as a column.
+
+    The path is normalised in steps of its own, so each regular expression runs
+    once per row.
+    """
+    steps = df.withColumn("_normal", normalize_path(path))
+    options = [F.col(parent)] if parent else []
+    steps = steps.withColumn("_canonical", F.coalesce(*options, worktree_suffix("_normal"), F.col("_normal")))
+    steps = steps.withColumn("_relative", F.regexp_replace("_canonical", r"^users/[^/]+/", ""))
+    return steps.withColumn(out, _alias_of(F.col("_relative"), F.col("_canonical"))).drop(
+        "_normal", "_canonical", "_relative"
     )
 
 
@@ -108,8 +124,7 @@ def client_display_name(client_id: str | Column) -> Column:
 
 def is_specific(label: str | Column) -> Column:
     """False for a missing label and for the unattributed labels, with or without a device."""
-    cleaned = clean_dimension(label)
-    return F.coalesce(~cleaned.rlike(fixed.UNATTRIBUTED_PATTERN), F.lit(False))
+    return F.coalesce(~_col(label).rlike(fixed.UNSPECIFIC_PATTERN), F.lit(False))
 
 
 def device_fallback(label: str | Column, device: str | Column, kind: str = fixed.UNATTRIBUTED) -> Column:

@@ -1,7 +1,8 @@
 """Calendar parts.
 
-An instant is held as ``timestamp_ntz`` in UTC, so nothing depends on the time
-zone of the session.  Local dates, hours and weekdays are taken in one named zone.
+An instant is held as ``timestamp_ntz`` in UTC wall clock.  The session time zone
+has to be UTC (``session.tune`` sets it): the casts between the two timestamp types
+are then free, and local parts in a named zone cost one offset lookup per row.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+from meterbook import fixed
 
 
 def _col(value: str | Column) -> Column:
@@ -18,20 +19,15 @@ def _col(value: str | Column) -> Column:
 
 def epoch_ms(ts: str | Column) -> Column:
     """Milliseconds since the epoch, fractions of a millisecond dropped."""
-    return F.timestamp_diff("MILLISECOND", F.expr(EPOCH), _col(ts))
+    return F.unix_millis(_col(ts).cast("timestamp"))
 
 
 def from_epoch_ms(ms: str | Column) -> Column:
-    return F.timestamp_add("MILLISECOND", _col(ms), F.expr(EPOCH))
+    return F.timestamp_millis(_col(ms)).cast("timestamp_ntz")
 
 
 def from_epoch_seconds(seconds: str | Column) -> Column:
-    return F.timestamp_add("SECOND", _col(seconds), F.expr(EPOCH))
-
-
-def to_utc_ntz(ts: str | Column) -> Column:
-    """An instant (session-zoned timestamp) as UTC wall clock."""
-    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), _col(ts).cast("timestamp_ntz"))
+    return F.timestamp_seconds(_col(seconds)).cast("timestamp_ntz")
 
 
 def parse_instant(text: str | Column) -> Column:
@@ -39,7 +35,7 @@ def parse_instant(text: str | Column) -> Column:
     column = _col(text)
     # +0800 is accepted next to +08:00
     spaced = F.regexp_replace(column, r"([+-]\d{2})(\d{2})$", "$1:$2")
-    return to_utc_ntz(spaced.try_cast("timestamp"))
+    return spaced.try_cast("timestamp").cast("timestamp_ntz")
 
 
 def iso_utc(ts: str | Column) -> Column:
@@ -47,7 +43,8 @@ def iso_utc(ts: str | Column) -> Column:
 
 
 def local_ts(ts: str | Column, tz: str) -> Column:
-    return F.convert_timezone(F.lit("UTC"), F.lit(tz), _col(ts))
+    """Wall clock of an instant in an IANA zone."""
+    return F.from_utc_timestamp(_col(ts).cast("timestamp"), tz)
 
 
 def local_date(ts: str | Column, tz: str) -> Column:
@@ -59,7 +56,9 @@ def local_hour(ts: str | Column, tz: str) -> Column:
 
 
 def weekday(date: str | Column) -> Column:
-    return F.date_format(_col(date), "E")
+    """Short English name of the day."""
+    names = F.array(*[F.lit(d) for d in fixed.WEEKDAYS])
+    return F.element_at(names, F.weekday(_col(date)) + 1)
 
 
 def week_start(date: str | Column) -> Column:

@@ -41,12 +41,17 @@ def session_attribution(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def rollout_mappings(meta: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """First project and first repository fingerprint of each session by file path."""
-    usable = meta.where(F.col("session").isNotNull())
-    return usable.groupBy(*by, "session").agg(
+    """First project and first repository fingerprint of each session by file path.
+
+    Files without a session are dropped by an aggregated flag: a filter on the
+    session itself would be pushed down and parse every first line twice.
+    """
+    mapped = meta.groupBy(*by, "session").agg(
         F.min_by("project", F.when(F.col("project").isNotNull(), F.col("file_path"))).alias("rollout_project"),
         F.min_by("fingerprint", F.when(F.col("fingerprint").isNotNull(), F.col("file_path"))).alias("fingerprint"),
+        F.max(F.col("session").isNotNull()).alias("_known"),
     )
+    return mapped.where("_known").drop("_known")
 
 
 def rollout_stats(meta: DataFrame, by: Sequence[str] = ()) -> DataFrame:

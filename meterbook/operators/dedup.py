@@ -19,6 +19,7 @@ from meterbook.functions.tokens import COMPONENTS
 from meterbook.operators.keyed import summarise
 from meterbook.operators.ranking import occurrence_number
 
+PICKED = ("device", "device_order", "input_order", "raw_project", "fingerprint", "project_rank")
 CORE = ("ts", "source", "session", "model", *COMPONENTS, "cost")
 
 
@@ -34,28 +35,37 @@ def preference() -> Column:
     )
 
 
-def attribution_picks() -> list[Column]:
-    """Aggregates that pick the labels of the preferred copy and fill its gaps from the next ones."""
+def attribution_picks(carried: Sequence[str] = ()) -> list[Column]:
+    """Aggregates that pick the labels of the preferred copy and fill its gaps from the next ones.
+
+    ``carried`` columns are taken from the preferred copy as well.
+    """
     order = preference()
-    packed = F.struct("device", "device_order", "input_order", "project", "raw_project", "fingerprint", "project_rank", "activity")
     return [
-        F.min_by(packed, order).alias("_pick"),
+        F.min_by(F.struct(*PICKED, "project", "activity", *carried), order).alias("_pick"),
         F.min_by("project", F.when(is_specific("project"), order)).alias("_project"),
         F.min_by("activity", F.when(is_specific("activity"), order)).alias("_activity"),
     ]
 
 
-def picked_attribution() -> dict[str, Column]:
+def picked_attribution(carried: Sequence[str] = ()) -> dict[str, Column]:
     return {
-        **{c: F.col(f"_pick.{c}") for c in ("device", "device_order", "input_order", "raw_project", "fingerprint", "project_rank")},
+        **{c: F.col(f"_pick.{c}") for c in [*PICKED, *carried]},
         "project": F.coalesce("_project", "_pick.project"),
         "activity": F.col("_activity"),
     }
 
 
-def _union_of(arrays: str) -> Column:
-    """Distinct union of array columns; equal arrays are combined before they travel."""
-    return F.array_sort(F.array_distinct(F.flatten(F.collect_set(arrays))))
+def provenance_set() -> Column:
+    """Distinct provenance of the copies; equal provenance is combined before it travels."""
+    return F.collect_set(F.struct("devices", "sources", "source_event_ids")).alias("_provenance")
+
+
+def united_provenance() -> dict[str, Column]:
+    def united(field: str) -> Column:
+        return F.array_sort(F.array_distinct(F.flatten(F.transform("_provenance", lambda p: p[field]))))
+
+    return {field: united(field) for field in ("devices", "sources", "source_event_ids")}
 
 
 def exact_dedup(events: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -64,24 +74,25 @@ def exact_dedup(events: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     Needs ``device device_order input_order project_rank raw_project fingerprint``
     next to the event columns.
     """
-    core = F.struct(*CORE)
+    # copies agree in their core if two independent 64-bit digests do; digests are
+    # plain longs, so a copy does not carry its core twice through the shuffle
+    digests = [F.xxhash64(F.lit(seed), *CORE) for seed in ("first", "second")]
     grouped = events.groupBy(*by, "event_id").agg(
-        F.min(core).alias("_core"),
-        F.max(core).alias("_core_max"),
         F.count(F.lit(1)).alias("copies"),
-        *attribution_picks(),
-        _union_of("devices").alias("devices"),
-        _union_of("sources").alias("sources"),
-        _union_of("source_event_ids").alias("source_event_ids"),
+        *[f(d).alias(f"_{n}_{i}") for i, d in enumerate(digests) for n, f in (("low", F.min), ("high", F.max))],
+        *attribution_picks(CORE),
+        provenance_set(),
     )
-    return grouped.withColumns(
+    differs = (F.col("_low_0") != F.col("_high_0")) | (F.col("_low_1") != F.col("_high_1"))
+    merged = grouped.withColumns(
         {
-            **{c: F.col(f"_core.{c}") for c in CORE},
-            **picked_attribution(),
+            **picked_attribution(CORE),
+            **united_provenance(),
             "calls": F.lit(1).cast("bigint"),
-            "conflicting": ~F.col("_core").eqNullSafe(F.col("_core_max")),
+            "conflicting": differs,
         }
-    ).drop("_core", "_core_max", "_pick", "_project", "_activity")
+    )
+    return merged.drop("_pick", "_project", "_activity", "_provenance", "_low_0", "_high_0", "_low_1", "_high_1")
 
 
 def duplicate_audit(events: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -113,60 +124,47 @@ def near_time_matches(
     ambiguous, with ``status baseline_id increment_id ts_ms source events``.
 
     No pair is ever listed.  Rows are first counted per millisecond, which bounds
-    a block of time at ``window_ms`` points per source whatever the data holds;
-    then the two nearest opposite points on either side settle every question,
-    and running windows inside a block find them in linear time.
+    a block of time at ``window_ms`` points per source whatever the data holds.
+    Inside a block, running sums up to either end of the window count the
+    neighbours, and the last opposite point before its end is the only candidate
+    if there is just one: one sort, and frames that only grow.
     """
     events = events.withColumn("_ms", epoch_ms("ts"))
     # ids are unique: a point with one event carries that event's id and numbers
     points = events.groupBy(*by, "session", "model", "source", "_ms").agg(
         F.count(F.lit(1)).alias("_n"), F.min(F.struct("event_id", *COMPONENTS)).alias("_one")
     )
-    home = F.floor(F.col("_ms") / F.lit(window_ms))
-    reach = points.withColumn("_home", home).withColumn(
-        "_block", F.explode(F.array(F.col("_home") - 1, F.col("_home"), F.col("_home") + 1))
-    )
-    group = [*by, "session", "model", "_block"]
-    same_source = W.partitionBy(*group, "source").orderBy("_ms")
+    # a point is seen from its own block of time and from both neighbours
+    reach = points.withColumn("_home", F.floor(F.col("_ms") / F.lit(window_ms)))
+    reach = reach.withColumn("_block", F.explode(F.array(F.col("_home") - 1, F.col("_home"), F.col("_home") + 1)))
+    order = W.partitionBy(*by, "session", "model", "_block").orderBy("_ms")
+    upto_end = order.rangeBetween(W.unboundedPreceding, window_ms)
+    before_start = order.rangeBetween(W.unboundedPreceding, -window_ms - 1)
+    baseline = F.col("source") == fixed.SOURCE_BASELINE
+    point = F.struct("_ms", "_one")
+
+    def neighbours(condition: Column) -> Column:
+        size = F.when(condition, F.col("_n")).otherwise(0)
+        return F.sum(size).over(upto_end) - F.coalesce(F.sum(size).over(before_start), F.lit(0))
+
     reach = reach.withColumns(
-        {"_own_before": F.lag("_ms").over(same_source), "_own_after": F.lead("_ms").over(same_source)}
+        {
+            "_baselines": neighbours(baseline),
+            "_increments": neighbours(~baseline),
+            "_last_baseline": F.last(F.when(baseline, point), ignorenulls=True).over(upto_end),
+            "_last_increment": F.last(F.when(~baseline, point), ignorenulls=True).over(upto_end),
+        }
     )
-    point = F.struct("_ms", "_n", "_one", "_own_before", "_own_after")
-    upto = W.partitionBy(*group).orderBy("_ms").rangeBetween(W.unboundedPreceding, W.currentRow)
-    # later points, read in descending order so that the frame still only grows
-    after = W.partitionBy(*group).orderBy(F.col("_down")).rangeBetween(W.unboundedPreceding, -1)
-    reach = reach.withColumn("_down", -F.col("_ms"))
-    for name, source in (("b", fixed.SOURCE_BASELINE), ("i", fixed.SOURCE_INCREMENT)):
-        there = F.when(F.col("source") == source, point)
-        reach = reach.withColumns(
-            {
-                f"_before_{name}": F.last(there, ignorenulls=True).over(upto),
-                f"_after_{name}": F.last(there, ignorenulls=True).over(after),
-            }
-        )
-    from_baseline = F.col("source") == fixed.SOURCE_BASELINE
     seen = reach.where(F.col("_block") == F.col("_home")).withColumns(
         {
-            "_before": F.when(from_baseline, F.col("_before_i")).otherwise(F.col("_before_b")),
-            "_after": F.when(from_baseline, F.col("_after_i")).otherwise(F.col("_after_b")),
+            "_neighbours": F.when(baseline, F.col("_increments")).otherwise(F.col("_baselines")),
+            "_other": F.when(baseline, F.col("_last_increment")).otherwise(F.col("_last_baseline")),
         }
-    )
-    ms = F.col("_ms")
-    near_before = F.coalesce(ms - F.col("_before._ms") <= window_ms, F.lit(False))
-    near_after = F.coalesce(F.col("_after._ms") - ms <= window_ms, F.lit(False))
-    more_before = F.coalesce((ms - F.col("_before._own_before") <= window_ms).cast("int"), F.lit(0))
-    more_after = F.coalesce((F.col("_after._own_after") - ms <= window_ms).cast("int"), F.lit(0))
-    neighbours = F.when(near_before, F.col("_before._n") + more_before).otherwise(0) + F.when(
-        near_after, F.col("_after._n") + more_after
-    ).otherwise(0)
-    # the count is exact up to 2, which is all that matters
-    seen = seen.withColumns(
-        {"_neighbours": neighbours, "_other": F.when(near_before, F.col("_before")).otherwise(F.col("_after"))}
     ).where(F.col("_neighbours") >= 1)
     strict = (
         (F.col("_n") == 1)
         & (F.col("_neighbours") == 1)
-        & (F.abs(ms - F.col("_other._ms")) <= pair_ms)
+        & (F.abs(F.col("_ms") - F.col("_other._ms")) <= pair_ms)
     )
     for c in COMPONENTS:
         strict = strict & (F.col(f"_one.{c}") == F.col(f"_other._one.{c}"))
@@ -178,8 +176,8 @@ def near_time_matches(
         "source",
         F.col("_ms").alias("ts_ms"),
         F.col("_n").alias("events"),
-        F.when(from_baseline, mine).otherwise(F.when(strict, other)).alias("baseline_id"),
-        F.when(from_baseline, F.when(strict, other)).otherwise(mine).alias("increment_id"),
+        F.when(baseline, mine).otherwise(F.when(strict, other)).alias("baseline_id"),
+        F.when(baseline, F.when(strict, other)).otherwise(mine).alias("increment_id"),
         strict.alias("_strict"),
     )
     # a pair is named by both of its events, anything else by the event itself
@@ -236,15 +234,14 @@ def merge_pairs(events: DataFrame, pairs: DataFrame, by: Sequence[str] = ()) ->
         .agg(
             F.min_by(numeric, baseline_first).alias("_numeric"),
             *attribution_picks(),
-            _union_of("devices").alias("devices"),
-            _union_of("sources").alias("sources"),
-            _union_of("source_event_ids").alias("source_event_ids"),
+            provenance_set(),
         )
     )
     merged = folded.withColumns(
         {
             **{c: F.col(f"_numeric.{c}") for c in ("event_id", *CORE, "calls", "copies", "conflicting")},
             **picked_attribution(),
+            **united_provenance(),
         }
     )
     return alone.unionByName(merged.select(*alone.columns))

@@ -9,16 +9,17 @@ from pyspark.sql import functions as F
 
 from meterbook import fixed
 from meterbook.functions.labels import (
+    add_project_alias,
     clean_dimension,
     display_fragment,
     is_specific,
     normalize_path,
-    project_alias,
     project_basename,
     short_fingerprint,
     worktree_suffix,
 )
 from meterbook.operators.keyed import keyed_join
+from meterbook.session import measured, stage
 
 
 def worktree_parents(bases: DataFrame, by: Sequence[str] = (), project: str = "project", order: str = "ord") -> DataFrame:
@@ -47,12 +48,12 @@ def project_dictionary(
     """Alias of every distinct raw project; paths are parsed once per project, not per row."""
     distinct = usage.select(*by, F.col(project).alias("raw_project")).distinct()
     if bases is None:
-        return distinct.withColumn("alias", project_alias("raw_project"))
+        return add_project_alias(distinct, "raw_project", "alias")
     # paths outside of a worktree have no suffix to look up: the row itself stands in for a null key
     normalized = normalize_path("raw_project")
     keyed = distinct.withColumn("_suffix", F.coalesce(worktree_suffix(normalized), F.concat(F.lit("\x00"), normalized)))
     joined = keyed_join(keyed, worktree_parents(bases, by), [*by, "_suffix"])
-    return joined.withColumn("alias", project_alias("raw_project", "parent")).drop("_suffix", "parent")
+    return add_project_alias(joined, "raw_project", "alias", "parent").drop("_suffix", "parent")
 
 
 def with_project_alias(
@@ -60,8 +61,8 @@ def with_project_alias(
 ) -> DataFrame:
     """Replace raw project paths by their readable names."""
     if bases is None:
-        return usage.withColumn(project, project_alias(project))
-    dictionary = project_dictionary(usage, bases, by, project).withColumnRenamed("raw_project", project)
+        return add_project_alias(usage, project, project)
+    dictionary = measured(project_dictionary(usage, bases, by, project).withColumnRenamed("raw_project", project))
     return keyed_join(usage, dictionary, [*by, project]).withColumn(project, F.col("alias")).drop("alias")
 
 
@@ -72,10 +73,15 @@ def device_project_labels(items: DataFrame, aliases: DataFrame | None = None, by
     fingerprint; 2: fingerprint, named after its smallest folder name and told
     apart by six digits where names or fingerprints are shared; 1: folder name
     and device; 0: unattributed.
+
+    The events are read once, for the distinct combinations; these are staged and
+    everything else works on them.
     """
-    raw = items.select(
-        *by, "device", clean_dimension("project").alias("raw_project"), clean_dimension("fingerprint").alias("fingerprint")
-    ).distinct()
+    raw = stage(
+        items.select(
+            *by, "device", clean_dimension("project").alias("raw_project"), clean_dimension("fingerprint").alias("fingerprint")
+        ).distinct()
+    )
     if aliases is None:
         raw = raw.withColumn("explicit", F.lit(None).cast("string"))
     else:
@@ -132,7 +138,7 @@ def resolve_projects(items: DataFrame, aliases: DataFrame | None = None, by: Seq
     cleaned = items.withColumns(
         {"raw_project": clean_dimension("project"), "fingerprint": clean_dimension("fingerprint")}
     )
-    labels = device_project_labels(items, aliases, by)
+    labels = measured(device_project_labels(items, aliases, by))
     joined = keyed_join(cleaned, labels, [*by, "device", "raw_project", "fingerprint"])
     return joined.withColumns({"project": F.col("label"), "project_rank": F.col("rank")}).drop("label", "rank")
 

@@ -77,32 +77,36 @@ def require_clean(violations: DataFrame, shown: int = 8) -> None:
 
 
 # --- portable input ----------------------------------------------------------
+#
+# ``…_rules`` give the rules of a row as tuples; several of them can go into one
+# ``row_checks`` and then cost one pass over the data.
 
 
-def field_name_checks(raw: DataFrame, key: str, json_text: str) -> DataFrame:
+def field_name_rules(json_text: str) -> list[tuple]:
     """Unknown and forbidden field names of JSON records."""
     names = F.coalesce(F.json_object_keys(json_text), F.array().cast("array<string>"))
-    listed = raw.select(F.col(key).cast("string").alias("_key"), F.explode(names).alias("name"))
-    unknown = ~F.col("name").isin(*fixed.PORTABLE_RECORD_FIELDS)
-    forbidden = F.col("name").rlike(fixed.FORBIDDEN_FIELD_PATTERN)
-    return row_checks(
-        listed,
-        F.col("_key"),
-        [
-            ("forbidden-field", forbidden, "absent", F.col("name")),
-            ("unknown-field", unknown & ~forbidden, "absent", F.col("name")),
-        ],
+    forbidden = F.filter(names, lambda n: n.rlike(fixed.FORBIDDEN_FIELD_PATTERN))
+    unknown = F.filter(
+        names, lambda n: ~n.isin(*fixed.PORTABLE_RECORD_FIELDS) & ~n.rlike(fixed.FORBIDDEN_FIELD_PATTERN)
     )
+    return [
+        ("forbidden-field", F.size(forbidden) > 0, "absent", F.array_join(forbidden, ",")),
+        ("unknown-field", F.size(unknown) > 0, "absent", F.array_join(unknown, ",")),
+    ]
 
 
-def label_checks(df: DataFrame, key: str, columns: Sequence[str] = ("project", "session", "model", "activity")) -> DataFrame:
-    """Length, control characters, UUIDs, e-mail addresses, paths and opaque identifiers in labels."""
-    checks = []
+def field_name_checks(raw: DataFrame, key: str, json_text: str) -> DataFrame:
+    return row_checks(raw, F.col(key), field_name_rules(json_text))
+
+
+def label_rules(columns: Sequence[str] = ("project", "session", "model", "activity")) -> list[tuple]:
+    """Length, control characters, UUIDs, e-mail addresses, paths and opaque identifiers in trimmed labels."""
+    rules = []
     for name in columns:
-        value, limit = trim(name), fixed.LABEL_LIMITS[name]
+        value, limit = F.col(name), fixed.LABEL_LIMITS[name]
         required = F.lit(False) if name == "row_id" else value.isNull() | (value == "")
         path = fixed.PROJECT_PATH_PATTERN if name == "project" else fixed.PATH_OR_URL_PATTERN
-        checks += [
+        rules += [
             (f"{name}-required", required, "text", F.lit("blank")),
             (f"{name}-length", F.length(value) > limit, f"<= {limit}", F.length(value)),
             (f"{name}-control", value.rlike(fixed.CONTROL_PATTERN), "printable", value),
@@ -111,87 +115,114 @@ def label_checks(df: DataFrame, key: str, columns: Sequence[str] = ("project", "
             (f"{name}-path", value.rlike(path), "no path", value),
         ]
         if name == "session":
-            checks.append(("session-opaque", value.rlike(fixed.OPAQUE_ID_PATTERN), "short alias", value))
-    return row_checks(df, F.col(key), checks)
+            rules.append(("session-opaque", value.rlike(fixed.OPAQUE_ID_PATTERN), "short alias", value))
+    return rules
+
+
+def label_checks(df: DataFrame, key: str, columns: Sequence[str] = ("project", "session", "model", "activity")) -> DataFrame:
+    trimmed = df.withColumns({c: trim(c) for c in columns})
+    return row_checks(trimmed, F.col(key), label_rules(columns))
+
+
+def timestamp_rules(text_column: str, parsed: str) -> list[tuple]:
+    """The time parses and carries an explicit offset; of a trimmed text."""
+    value = F.col(text_column)
+    return [
+        ("timestamp-invalid", F.col(parsed).isNull(), "ISO instant", value),
+        ("timestamp-offset", ~value.rlike(fixed.OFFSET_PATTERN), "Z or an offset", value),
+    ]
 
 
 def timestamp_checks(df: DataFrame, key: str, text_column: str, parsed: str) -> DataFrame:
-    """The time parses and carries an explicit offset."""
-    value = trim(text_column)
-    return row_checks(
-        df,
-        F.col(key),
-        [
-            ("timestamp-invalid", F.col(parsed).isNull(), "ISO instant", value),
-            ("timestamp-offset", ~value.rlike(fixed.OFFSET_PATTERN), "Z or an offset", value),
-        ],
-    )
+    trimmed = df.withColumn(text_column, trim(text_column))
+    return row_checks(trimmed, F.col(key), timestamp_rules(text_column, parsed))
 
 
-def record_minimums(df: DataFrame, key: str) -> DataFrame:
+def minimum_rules() -> list[tuple]:
     """At least one call and one token per record."""
-    return row_checks(
-        df,
-        F.col(key),
-        [
-            ("calls-minimum", F.col("calls") < 1, ">= 1", F.col("calls")),
-            ("tokens-minimum", tokens() < 1, ">= 1", tokens()),
-        ],
-    )
+    return [
+        ("calls-minimum", F.col("calls") < 1, ">= 1", F.col("calls")),
+        ("tokens-minimum", tokens() < 1, ">= 1", tokens()),
+    ]
 
 
-def positive_cost(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    summed = summarise(df, by, cost=F.coalesce(F.sum("cost"), F.lit(0)))
-    key = key_text(*by) if by else F.lit("total")
-    return row_checks(summed, key, [("cost-positive", F.col("cost") <= 0, "> 0", F.col("cost"))])
+def record_minimums(df: DataFrame, key: str) -> DataFrame:
+    return row_checks(df, F.col(key), minimum_rules())
+
 
+def period_checks(df: DataFrame, by: Sequence[str] = (), ts: str = "ts", limit: int = fixed.MAX_DATE_SPAN_DAYS) -> DataFrame:
+    """Cost is positive and the span of days is bounded; one summary pass for both.
 
-def date_span(df: DataFrame, by: Sequence[str] = (), ts: str = "ts", limit: int = fixed.MAX_DATE_SPAN_DAYS) -> DataFrame:
-    """Days covered, counted in whole days between the first and last instant."""
-    bounds = summarise(df, by, low=F.min(epoch_ms(ts)), high=F.max(epoch_ms(ts)))
+    Days are counted in whole days between the first and last instant.
+    """
+    bounds = summarise(
+        df, by, cost=F.coalesce(F.sum("cost"), F.lit(0)), low=F.min(epoch_ms(ts)), high=F.max(epoch_ms(ts))
+    )
     days = F.floor((F.col("high") - F.col("low")) / 86_400_000) + 1
-    key = key_text(*by) if by else F.lit("total")
-    return row_checks(bounds, key, [("date-span", days > limit, f"<= {limit}", days)])
+    return row_checks(
+        bounds,
+        key_text(*by) if by else F.lit("total"),
+        [
+            ("cost-positive", F.col("cost") <= 0, "> 0", F.col("cost")),
+            ("date-span", days > limit, f"<= {limit}", days),
+        ],
+    )
 
 
-def number_checks(df: DataFrame, key: str, integers: Sequence[str], amounts: Sequence[str] = ()) -> DataFrame:
-    """Non-negative whole numbers in the safe range, and non-negative amounts, given as text."""
-    checks = []
+def number_rules(integers: Sequence[str], amounts: Sequence[str] = ()) -> list[tuple]:
+    """Whole numbers in the safe range and non-negative amounts, given as trimmed text."""
+    rules = []
     for name in integers:
-        parsed = trim(F.col(name).cast("string")).try_cast("decimal(38,9)")
-        filled = F.coalesce(trim(F.col(name).cast("string")), F.lit("")) != ""
+        parsed = F.col(name).try_cast("decimal(38,9)")
         good = parsed.between(0, fixed.MAX_SAFE_INTEGER) & (parsed == F.floor(parsed))
-        checks.append((f"{name}-integer", filled & ~F.coalesce(good, F.lit(False)), "0 … 2^53-1", F.col(name)))
+        filled = F.coalesce(F.col(name) != "", F.lit(False))
+        rules.append((f"{name}-integer", filled & ~F.coalesce(good, F.lit(False)), "0 … 2^53-1", F.col(name)))
     for name in amounts:
-        parsed = trim(F.col(name).cast("string")).try_cast("double")
-        filled = F.coalesce(trim(F.col(name).cast("string")), F.lit("")) != ""
+        parsed = F.col(name).try_cast("double")
         good = (parsed >= 0) & ~F.isnan(parsed) & (parsed < float("inf"))
-        checks.append((f"{name}-amount", filled & ~F.coalesce(good, F.lit(False)), ">= 0", F.col(name)))
-    return row_checks(df, F.col(key), checks)
+        filled = F.coalesce(F.col(name) != "", F.lit(False))
+        rules.append((f"{name}-amount", filled & ~F.coalesce(good, F.lit(False)), ">= 0", F.col(name)))
+    return rules
+
+
+def number_checks(df: DataFrame, key: str, integers: Sequence[str], amounts: Sequence[str] = ()) -> DataFrame:
+    trimmed = df.withColumns({c: trim(F.col(c).cast("string")) for c in [*integers, *amounts]})
+    return row_checks(trimmed, F.col(key), number_rules(integers, amounts))
+
+
+def inclusive_rules(input_: str, cache_read: str) -> list[tuple]:
+    return [("cache-within-input", F.col(cache_read) > F.col(input_), F.col(input_), F.col(cache_read))]
 
 
 def inclusive_input(df: DataFrame, key: str, input_: str, cache_read: str) -> DataFrame:
-    return row_checks(
-        df, F.col(key), [("cache-within-input", F.col(cache_read) > F.col(input_), F.col(input_), F.col(cache_read))]
-    )
+    return row_checks(df, F.col(key), inclusive_rules(input_, cache_read))
 
 
 # --- series and responses ----------------------------------------------------
 
 
-def token_identity(df: DataFrame, key: str, parts: Sequence[str], whole: str) -> DataFrame:
+def identity_rules(parts: Sequence[str], whole: str) -> list[tuple]:
     summed = sum((F.col(p) for p in parts[1:]), F.col(parts[0]))
-    return row_checks(df, F.col(key), [("token-identity", summed != F.col(whole), F.col(whole), summed)])
+    return [("token-identity", summed != F.col(whole), F.col(whole), summed)]
+
+
+def token_identity(df: DataFrame, key: str, parts: Sequence[str], whole: str) -> DataFrame:
+    return row_checks(df, F.col(key), identity_rules(parts, whole))
+
+
+def date_rules(text_column: str, parsed: str) -> list[tuple]:
+    return [("date-invalid", F.col(parsed).isNull(), "YYYY-MM-DD", F.col(text_column))]
+
+
+def repeated_dates(df: DataFrame, text_column: str, by: Sequence[str] = ()) -> DataFrame:
+    counted = df.groupBy(*by, text_column).agg(F.count(F.lit(1)).alias("n"))
+    return row_checks(counted, key_text(*by, text_column), [("date-repeated", F.col("n") > 1, "1", F.col("n"))])
 
 
 def date_checks(df: DataFrame, text_column: str, parsed: str, by: Sequence[str] = ()) -> DataFrame:
     """Dates are valid and occur once per key."""
-    invalid = row_checks(
-        df, F.col(text_column), [("date-invalid", F.col(parsed).isNull(), "YYYY-MM-DD", F.col(text_column))]
-    )
-    counted = df.groupBy(*by, text_column).agg(F.count(F.lit(1)).alias("n"))
-    repeated = row_checks(counted, key_text(*by, text_column), [("date-repeated", F.col("n") > 1, "1", F.col("n"))])
-    return stack(invalid, repeated)
+    invalid = row_checks(df, F.col(text_column), date_rules(text_column, parsed))
+    return stack(invalid, repeated_dates(df, text_column, by))
 
 
 def strictly_ordered(df: DataFrame, date: str, by: Sequence[str] = (), position: str = "pos") -> DataFrame:
@@ -250,14 +281,12 @@ def same_grouping(usage: DataFrame, other: DataFrame, name: str) -> DataFrame:
     )
 
 
-def grouping_supported(df: DataFrame, name: str, allowed: Sequence[str] = ("day", "week")) -> DataFrame:
+def grouping_rules(allowed: Sequence[str] = ("day", "week")) -> list[tuple]:
     value = F.coalesce("group_by", F.lit("day"))
-    return row_checks(
-        df.select("group_by").distinct(), F.lit(name), [("group-by-supported", ~value.isin(*allowed), " or ".join(allowed), value)]
-    )
+    return [("group-by-supported", ~value.isin(*allowed), " or ".join(allowed), value)]
 
 
-def detail_matches_totals(rows: DataFrame, key: str, detail: str, fields: Sequence[str]) -> DataFrame:
+def detail_rules(detail: str, fields: Sequence[str]) -> list[tuple]:
     """Nested detail adds up to the totals of its day; a day without detail is skipped."""
     checks = []
     for field in fields:
@@ -268,7 +297,11 @@ def detail_matches_totals(rows: DataFrame, key: str, detail: str, fields: Sequen
         )
         has_detail = F.coalesce(F.size(detail) > 0, F.lit(False))
         checks.append((f"{detail}-{field}", has_detail & (listed != F.col(field)), F.col(field), listed))
-    return row_checks(rows, F.col(key), checks)
+    return checks
+
+
+def detail_matches_totals(rows: DataFrame, key: str, detail: str, fields: Sequence[str]) -> DataFrame:
+    return row_checks(rows, F.col(key), detail_rules(detail, fields))
 
 
 # --- ledgers -----------------------------------------------------------------

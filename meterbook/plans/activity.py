@@ -11,11 +11,13 @@ from meterbook.functions.labels import tool_item_key
 from meterbook.functions.tokens import ratio_or_zero
 from meterbook.operators.keyed import keyed_join, summarise, with_totals
 from meterbook.operators.quality import (
-    date_checks,
-    detail_matches_totals,
-    grouping_supported,
+    date_rules,
+    detail_rules,
+    grouping_rules,
     key_text,
     recomputed,
+    repeated_dates,
+    row_checks,
     same_buckets,
     same_grouping,
     stack,
@@ -97,18 +99,19 @@ def response_checks(
     days: DataFrame, skills: DataFrame | None = None, plugins: DataFrame | None = None, by: Sequence[str] = ()
 ) -> DataFrame:
     """Grouping, dates, equal buckets and detail against totals."""
-    found = [
-        grouping_supported(days, "usage"),
-        date_checks(days, "date_text", "date", by),
-        detail_matches_totals(days, "date_text", "models", ["threads", "turns"]),
-        detail_matches_totals(days, "date_text", "clients", ["threads", "turns"]),
+    rules = [
+        *grouping_rules(),
+        *date_rules("date_text", "date"),
+        *detail_rules("models", ["threads", "turns"]),
+        *detail_rules("clients", ["threads", "turns"]),
     ]
+    found = [row_checks(days, F.col("date_text"), rules), repeated_dates(days, "date_text", by)]
     for tools, name in ((skills, "skills"), (plugins, "plugins")):
         if tools is not None:
             found += [
-                grouping_supported(tools, name),
+                row_checks(tools, F.col("date_text"), [*grouping_rules(), *date_rules("date_text", "date")]),
+                repeated_dates(tools, "date_text", by),
                 same_grouping(days, tools, name),
-                date_checks(tools, "date_text", "date", by),
                 same_buckets(days, tools, name, by),
             ]
     return stack(*found)

@@ -10,7 +10,17 @@ from pyspark.sql import functions as F
 from meterbook import fixed
 from meterbook.functions.tokens import ratio_or_zero
 from meterbook.operators.keyed import summarise
-from meterbook.operators.quality import date_checks, detail_matches_totals, grouping_supported, recomputed, row_checks, stack, token_identity, key_text
+from meterbook.operators.quality import (
+    date_rules,
+    detail_rules,
+    grouping_rules,
+    identity_rules,
+    key_text,
+    recomputed,
+    repeated_dates,
+    row_checks,
+    stack,
+)
 
 
 def rate_card() -> Column:
@@ -133,19 +143,20 @@ def detail_alignment(days: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def credit_checks(days: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Every rule of a day in one pass, and repeated dates."""
     figures = ("cached", "uncached", "output", "tokens", "threads", "turns")
-    return stack(
-        grouping_supported(days, "usage", ("day",)),
-        date_checks(days, "date_text", "date", by),
-        token_identity(days, "date_text", ["cached", "uncached", "output"], "tokens"),
-        row_checks(
-            days,
-            F.col("date_text"),
-            [(f"{f}-integer", F.col(f).isNull() | ~F.col(f).between(0, fixed.MAX_SAFE_INTEGER), "0 … 2^53-1", F.col(f)) for f in figures]
-            + [("credits-amount", F.col("credits").isNull() | (F.col("credits") < 0), ">= 0", F.col("credits"))],
-        ),
-        detail_matches_totals(days, "date_text", "models", ["threads", "turns"]),
-    )
+    rules = [
+        *grouping_rules(("day",)),
+        *date_rules("date_text", "date"),
+        *identity_rules(["cached", "uncached", "output"], "tokens"),
+        *[
+            (f"{f}-integer", F.col(f).isNull() | ~F.col(f).between(0, fixed.MAX_SAFE_INTEGER), "0 … 2^53-1", F.col(f))
+            for f in figures
+        ],
+        ("credits-amount", F.col("credits").isNull() | (F.col("credits") < 0), ">= 0", F.col("credits")),
+        *detail_rules("models", ["threads", "turns"]),
+    ]
+    return stack(row_checks(days, F.col("date_text"), rules), repeated_dates(days, "date_text", by))
 
 
 def audit_checks(audit: DataFrame, days: DataFrame, by: Sequence[str] = ()) -> DataFrame:

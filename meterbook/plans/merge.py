@@ -21,7 +21,7 @@ from meterbook.session import stage
 class MergedEvents:
     """Stages of an event-level merge."""
 
-    resolved: DataFrame
+    input: DataFrame
     distinct: DataFrame
     matches: DataFrame
     events: DataFrame
@@ -54,7 +54,7 @@ def merge_events(
         distinct = stage(distinct)
     matches = dedup.near_time_matches(distinct, by)
     merged = dedup.merge_pairs(distinct, dedup.mutual_pairs(matches, by), by)
-    return MergedEvents(resolved, distinct, matches, merged)
+    return MergedEvents(events, distinct, matches, merged)
 
 
 def serialised(events: DataFrame) -> DataFrame:
@@ -86,7 +86,7 @@ def coverage(records: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def token_audit(merged: MergedEvents, by: Sequence[str] = ()) -> DataFrame:
     """Calls and components in, removed by each step, and out."""
     frames = []
-    for stage_name, df in (("input", merged.resolved), ("distinct", merged.distinct), ("output", merged.events)):
+    for stage_name, df in (("input", merged.input), ("distinct", merged.distinct), ("output", merged.events)):
         sums = summarise(
             df, by, calls=F.count(F.lit(1)), **{c: F.coalesce(F.sum(c), F.lit(0)) for c in COMPONENTS},
             tokens=F.coalesce(F.sum(rollups.tokens()), F.lit(0)),
@@ -111,7 +111,7 @@ def token_audit(merged: MergedEvents, by: Sequence[str] = ()) -> DataFrame:
 
 def device_summary(merged: MergedEvents, by: Sequence[str] = ()) -> DataFrame:
     """What each device brought, and how many merged events have it in their provenance."""
-    inputs = merged.resolved.groupBy(*by, "device").agg(
+    inputs = merged.input.groupBy(*by, "device").agg(
         F.count(F.lit(1)).alias("input_events"),
         F.sum("calls").alias("input_calls"),
         *[F.sum(c).alias(f"input_{c}") for c in COMPONENTS],

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Joins and aggregations are left to Catalyst and AQE.  AQE measures the real
 # size of a side before it broadcasts it and splits a skewed partition of a
@@ -16,8 +17,13 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # aggregates that collect small sets stay in a hash table for this many keys
+    # per task (about 1 KB each) before they fall back to sorting
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
 }
 
+BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
+
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the run-time SQL settings; cluster sizing is left as it is."""
@@ -34,6 +40,7 @@ def local_session(cpus: str = "8", app: str = "meterbook") -> SparkSession:
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -67,3 +74,14 @@ def stage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def measured(df: DataFrame, limit_bytes: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
+    """A lookup side, staged once; hinted for broadcast only if its measured size allows it.
+
+    Beyond the limit the hint is left out and the join shuffles both sides.
+    """
+    staged = stage(df)
+    widths = [F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) + 16 for c in staged.columns]
+    size = staged.agg(F.sum(sum(widths[1:], widths[0]))).first()[0] or 0
+    return F.broadcast(staged) if size <= limit_bytes else staged

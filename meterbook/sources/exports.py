@@ -84,7 +84,7 @@ def export_records(exports: DataFrame) -> DataFrame:
         "input_order",
         F.col("provider"),
         from_epoch_ms(epoch_ms(parse_instant("timestamp"))).alias("ts"),
-        normalize_session_id("sessionId").alias("session"),
+        clean_dimension("sessionId").alias("session"),
         clean_dimension("model").alias("model"),
         clean_dimension("project").alias("project"),
         clean_dimension("category").alias("activity"),
@@ -96,6 +96,7 @@ def export_records(exports: DataFrame) -> DataFrame:
         F.coalesce("cost", F.lit(0).cast(_MONEY)).alias("cost"),
         F.col("calls"),
     )
+    usage = usage.withColumn("session", normalize_session_id("session"))
     split = components_from_split(usage, "inputTokens", "cacheReadTokens", "cacheWriteTokens", "outputTokens")
     return split.drop("inputTokens", "cacheReadTokens", "cacheWriteTokens", "outputTokens")
 

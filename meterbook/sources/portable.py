@@ -11,15 +11,13 @@ from meterbook.functions.labels import alias_conflict, single_alias, trim
 from meterbook.functions.timeparts import from_epoch_ms, epoch_ms, parse_instant
 from meterbook.functions.tokens import safe_amount, safe_integer
 from meterbook.operators.quality import (
-    date_span,
-    field_name_checks,
-    label_checks,
-    number_checks,
-    positive_cost,
-    record_minimums,
+    field_name_rules,
+    label_rules,
+    number_rules,
+    period_checks,
     row_checks,
     stack,
-    timestamp_checks,
+    timestamp_rules,
 )
 from meterbook.operators.dedup import repeated_rows
 
@@ -166,40 +164,59 @@ def normalize(parsed: DataFrame) -> DataFrame:
     )
 
 
-def alias_checks(parsed: DataFrame) -> DataFrame:
+def alias_rules() -> list[tuple]:
     """A field may be spelled in one way only."""
-    checks = [
+    rules = [
         (f"{name}-alias", alias_conflict(*spellings), "one spelling", " ".join(spellings))
         for name, spellings in fixed.PORTABLE_ALIASES.items()
         if len(spellings) > 1
     ]
-    checks.append(("record-malformed", F.col("malformed"), "a JSON object or full CSV row", "malformed"))
-    return row_checks(parsed, F.col("key"), checks)
+    rules.append(("record-malformed", F.col("malformed"), "a JSON object or full CSV row", "malformed"))
+    return rules
 
 
-def checks(parsed: DataFrame) -> DataFrame:
-    """Every rule of the portable format, as violations."""
+def checks(parsed: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Every rule of the portable format, as violations.
+
+    All rules of a single record run in one pass; the totals take a second one,
+    and repeated records and row ids one shuffle each.
+    """
     usage = normalize(parsed)
-    raw = parsed.select("key", *[_field(name).alias(name) for name in fixed.PORTABLE_ALIASES])
-    raw_times = raw.withColumn("ts", parse_instant(trim("timestamp")))
+    texts = parsed.withColumns({f"_{name}": trim(_field(name)) for name in fixed.PORTABLE_ALIASES})
+    texts = texts.withColumn("_ts", parse_instant("_timestamp"))
+    integers = ("input", "output", "cache_read", "cache_write", "calls")
+    # spellings are judged on the given columns, everything else on the trimmed values
+    spelled = alias_rules() + (field_name_rules("record") if "record" in parsed.columns else [])
+    numbers = {n: safe_integer(f"_{n}") for n in integers}
+    checked = texts.withColumns({f"_spelled_{i}": F.coalesce(rule[1], F.lit(False)) for i, rule in enumerate(spelled)})
+    shown = {f"_shown_{i}": rule[3] if isinstance(rule[3], Column) else F.lit(rule[3]) for i, rule in enumerate(spelled)}
+    checked = checked.withColumns(shown).select(
+        "key",
+        *[F.col(f"_spelled_{i}") for i in range(len(spelled))],
+        *[F.col(f"_shown_{i}") for i in range(len(spelled))],
+        *[F.col(f"_{name}").alias(name) for name in fixed.PORTABLE_ALIASES],
+        F.col("_ts").alias("ts"),
+        *[column.alias(f"n_{n}") for n, column in numbers.items()],
+    )
+    summed = F.col("n_input") + F.col("n_output") + F.col("n_cache_read") + F.col("n_cache_write")
+    record_rules = [
+        *[(rule[0], F.col(f"_spelled_{i}"), rule[2], F.col(f"_shown_{i}")) for i, rule in enumerate(spelled)],
+        *label_rules(["project", "session", "model", "activity", "row_id"]),
+        *timestamp_rules("timestamp", "ts"),
+        *number_rules(integers, ["cost"]),
+        ("calls-minimum", F.col("n_calls") < 1, ">= 1", F.col("n_calls")),
+        ("tokens-minimum", summed < 1, ">= 1", summed),
+    ]
     measures = ["ts", "session", "project", "model", "activity", "fresh_input", "cache_read", "cache_write", "output", "calls", "cost"]
-    found = [
-        alias_checks(parsed),
-        label_checks(raw, "key", ["project", "session", "model", "activity", "row_id"]),
-        timestamp_checks(raw_times, "key", "timestamp", "ts"),
-        number_checks(raw, "key", ["input", "output", "cache_read", "cache_write", "calls"], ["cost"]),
-        record_minimums(usage, "key"),
-        positive_cost(usage),
-        date_span(usage),
+    return stack(
+        row_checks(checked, F.col("key"), record_rules),
+        period_checks(usage, by),
         row_checks(
-            repeated_rows(usage, measures), F.col("session"), [("record-repeated", F.lit(True), "1", F.col("copies"))]
+            repeated_rows(usage, [*by, *measures]), F.col("session"), [("record-repeated", F.lit(True), "1", F.col("copies"))]
         ),
         row_checks(
-            repeated_rows(usage.where("row_id IS NOT NULL"), ["row_id"]),
+            repeated_rows(usage.where("row_id IS NOT NULL"), [*by, "row_id"]),
             F.col("row_id"),
             [("row-id-repeated", F.lit(True), "1", F.col("copies"))],
         ),
-    ]
-    if "record" in parsed.columns:
-        found.append(field_name_checks(parsed, "key", "record"))
-    return stack(*found)
+    )

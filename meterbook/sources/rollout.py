@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meterbook import fixed
-from meterbook.functions.identity import normalize_session_id, repository_fingerprint
+from meterbook.functions.identity import add_repository_fingerprint, normalize_session_id
 from meterbook.functions.labels import clean_dimension
 
 META = T.StructType(
@@ -50,16 +50,23 @@ def read_first_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_rollout_meta(first_lines: DataFrame) -> DataFrame:
     """Session, project and fingerprint per file; a file that says nothing has nulls."""
+    kept = [c for c in first_lines.columns if c != "first_line"]
     path = F.replace(F.col("file_path"), F.lit("\\"), F.lit("/"))
-    base = F.substring_index(path, "/", -1)
-    wanted = path.rlike(fixed.ROLLOUT_DIR_PATTERN) & base.rlike(fixed.ROLLOUT_FILE_PATTERN)
+    named = first_lines.where(path.rlike(fixed.ROLLOUT_DIR_PATTERN)).withColumn("_base", F.substring_index(path, "/", -1))
+    named = named.where(F.col("_base").rlike(fixed.ROLLOUT_FILE_PATTERN))
     line = F.regexp_replace(F.col("first_line"), "^\ufeff", "")
-    parsed = first_lines.where(wanted).withColumn("_m", F.from_json(line, META))
-    meta = (F.col("_m.type") == fixed.ROLLOUT_META_TYPE) & F.col("_m.payload").isNotNull()
-    from_name = normalize_session_id(F.regexp_replace(base, r"(?i)\.jsonl$", ""))
-    return parsed.select(
-        *[c for c in first_lines.columns if c != "first_line"],
-        F.when(meta, F.coalesce(normalize_session_id("_m.payload.id"), from_name)).alias("session"),
-        F.when(meta, clean_dimension("_m.payload.cwd")).alias("project"),
-        F.when(meta, repository_fingerprint("_m.payload.git.repository_url")).alias("fingerprint"),
+    parsed = named.withColumn("_meta", F.from_json(line, META))
+    payload = F.when(F.col("_meta.type") == fixed.ROLLOUT_META_TYPE, F.col("_meta.payload"))
+    parsed = parsed.withColumn("_payload", payload)
+    shaped = parsed.select(
+        *kept,
+        F.col("_payload").isNotNull().alias("_known"),
+        clean_dimension("_payload.id").alias("_id"),
+        F.regexp_replace("_base", r"(?i)\.jsonl$", "").alias("_name"),
+        clean_dimension("_payload.cwd").alias("project"),
+        F.col("_payload.git.repository_url").alias("_remote"),
     )
+    named = F.coalesce(F.col("_id"), F.col("_name"))
+    shaped = shaped.withColumn("session", F.when(F.col("_known"), normalize_session_id(named)))
+    fingerprinted = add_repository_fingerprint(shaped, "_remote", "fingerprint")
+    return fingerprinted.select(*kept, "session", "project", "fingerprint")
