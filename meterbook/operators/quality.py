@@ -37,23 +37,23 @@ def key_text(*columns: str) -> Column:
 def row_checks(df: DataFrame, key: Column, checks: Sequence[tuple]) -> DataFrame:
     """All row-level checks of a table in one pass.
 
-    ``checks`` holds ``(name, bad, expected, actual)``; a row yields one violation
-    for each ``bad`` that is true.
+    ``checks`` holds ``(name, bad, expected, actual)``, and a key of its own as a
+    fifth item where the common one does not fit; a row yields one violation for
+    each ``bad`` that is true.
     """
-    found = F.array(
-        *[
-            F.when(
-                F.coalesce(bad, F.lit(False)),
-                F.struct(
-                    F.lit(name).alias("check"),
-                    text(key).alias("key"),
-                    text(expected if isinstance(expected, Column) else F.lit(expected)).alias("expected"),
-                    text(actual if isinstance(actual, Column) else F.lit(actual)).alias("actual"),
-                ),
-            )
-            for name, bad, expected, actual in checks
-        ]
-    )
+
+    def violation(name, bad, expected, actual, own_key=None) -> Column:
+        return F.when(
+            F.coalesce(bad, F.lit(False)),
+            F.struct(
+                F.lit(name).alias("check"),
+                text(key if own_key is None else own_key).alias("key"),
+                text(expected if isinstance(expected, Column) else F.lit(expected)).alias("expected"),
+                text(actual if isinstance(actual, Column) else F.lit(actual)).alias("actual"),
+            ),
+        )
+
+    found = F.array(*[violation(*check) for check in checks])
     return df.select(F.explode(F.array_compact(found)).alias("v")).select("v.*")
 
 
@@ -425,17 +425,17 @@ def leak_checks(tables: dict[str, DataFrame], project_columns: Sequence[str] = (
     """UUIDs, absolute paths and path separators in the text columns of report tables."""
     out = []
     for name, df in tables.items():
+        checks = []
         for field in df.schema.fields:
             if field.dataType.simpleString() != "string":
                 continue
-            value = F.col(field.name)
-            checks = [
-                ("leak-uuid", value.rlike("(?i)" + fixed.UUID_TEXT), "no UUID", value),
-                ("leak-path", value.rlike(fixed.ABSOLUTE_PATH_PATTERN), "no path", value),
-            ]
+            value, key = F.col(field.name), F.lit(f"{name}.{field.name}")
+            checks.append(("leak-uuid", value.rlike("(?i)" + fixed.UUID_TEXT), "no UUID", value, key))
+            checks.append(("leak-path", value.rlike(fixed.ABSOLUTE_PATH_PATTERN), "no path", value, key))
             if field.name in project_columns:
-                checks.append(("leak-separator", value.rlike(r"[\\/]"), "no separator", value))
-            out.append(row_checks(df.select(value), F.lit(f"{name}.{field.name}"), checks))
+                checks.append(("leak-separator", value.rlike(r"[\\/]"), "no separator", value, key))
+        if checks:
+            out.append(row_checks(df, F.lit(name), checks))
     return stack(*out)
 
 

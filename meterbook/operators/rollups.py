@@ -168,13 +168,12 @@ def scaled_model_days(days: DataFrame, exact: DataFrame, by: Sequence[str] = ())
     ``exact`` has ``model`` and ``cost``; a model without one, or without
     any recorded cost, gets 0.
     """
-    recorded = days.groupBy(*by, "model").agg(F.sum("record_cost").alias("_recorded"))
     given = exact.select(*by, "model", F.col("cost").cast("double").alias("_exact"))
-    factors = keyed_join(recorded, given, [*by, "model"])
-    joined = keyed_join(days, factors, [*by, "model"])
-    recorded_total = F.col("_recorded").cast("double")
-    scaled = F.col("record_cost").cast("double") * F.coalesce("_exact", F.lit(0.0)) / recorded_total
-    cost = F.when(recorded_total > 0, scaled).otherwise(F.lit(0.0))
+    # one row per model and day by now: the total of a model is a window over its days
+    recorded = F.sum("record_cost").over(W.partitionBy(*by, "model")).cast("double")
+    joined = keyed_join(days.withColumn("_recorded", recorded), given, [*by, "model"])
+    scaled = F.col("record_cost").cast("double") * F.coalesce("_exact", F.lit(0.0)) / F.col("_recorded")
+    cost = F.when(F.col("_recorded") > 0, scaled).otherwise(F.lit(0.0))
     return joined.withColumn("cost", round_half_up(cost, 4)).drop("record_cost", "_recorded", "_exact")
 
 
@@ -255,8 +254,12 @@ def top_by_tokens(usage: DataFrame, dimension: str, by: Sequence[str] = ()) -> D
 
 def report_summary(usage: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Headline totals; days with calls and calendar days are named apart."""
+    # several distinct counts expand every row several times: sum up per combination first
+    combined = usage.groupBy(*by, "session", "project", "date").agg(
+        F.sum("cost").alias("cost"), F.sum("calls").alias("calls"), *component_sums()
+    )
     summed = summarise(
-        usage,
+        combined,
         by,
         cost=F.sum("cost"),
         calls=F.sum("calls"),

@@ -14,6 +14,7 @@ from meterbook import fixed
 from meterbook.functions.labels import any_of, trim
 from meterbook.operators.quality import row_checks
 
+_ASSIGNMENT = "secret assignment"
 _SENSITIVE_KEY = rf'(?i)"({fixed.SENSITIVE_KEYS})"\s*:'
 
 
@@ -79,37 +80,38 @@ def _matches(text: str, pattern: str, group: int, label: str) -> Column:
     return F.transform(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(group)), named)
 
 
+def _hits(texts: DataFrame, key: Sequence[str], matches: list[Column]) -> DataFrame:
+    """All matches of all patterns in one pass over the texts."""
+    return texts.select(*key, F.explode(F.flatten(F.array(*matches))).alias("hit")).select(*key, "hit.*")
+
+
 def secret_findings(texts: DataFrame, key: Sequence[str], text: str = "text") -> DataFrame:
     """Secrets in a text table: ``finding`` and matched ``value`` per hit, placeholders excused."""
-    formats = F.array(*[_matches(text, pattern, 0, label) for label, pattern in fixed.SECRET_PATTERNS])
-    hits = texts.select(*key, F.explode(F.flatten(formats)).alias("hit")).select(*key, "hit.*")
-    known = hits.where(~placeholder(F.col("value")))
-
-    matches = F.regexp_extract_all(F.col(text), F.lit(fixed.SECRET_ASSIGNMENT), F.lit(0))
-    assigned = texts.where(F.size(matches) > 0).select(*key, F.explode(matches).alias("_match"))
-    name = F.lower(F.regexp_extract("_match", fixed.SECRET_ASSIGNMENT, 1))
-    value = F.concat(*[F.regexp_extract("_match", fixed.SECRET_ASSIGNMENT, i) for i in (2, 3, 4)])
-    assigned = assigned.select(*key, name.alias("_name"), value.alias("value"))
+    patterns = [*fixed.SECRET_PATTERNS, (_ASSIGNMENT, fixed.SECRET_ASSIGNMENT)]
+    hits = _hits(texts, key, [_matches(text, pattern, 0, label) for label, pattern in patterns])
+    assigned = F.col("finding") == _ASSIGNMENT
+    inner = F.concat(*[F.regexp_extract("value", fixed.SECRET_ASSIGNMENT, i) for i in (2, 3, 4)])
+    named = hits.withColumns(
+        {
+            "_name": F.when(assigned, F.lower(F.regexp_extract("value", fixed.SECRET_ASSIGNMENT, 1))),
+            "value": F.when(assigned, inner).otherwise(F.col("value")),
+        }
+    )
     prose = F.col("value").rlike(r"\s|[\x{3400}-\x{9fff}]") | F.col("value").rlike(r"^[A-Z][A-Z0-9_]*$")
-    excused = placeholder(F.col("value")) | ((F.col("_name") == "token") & prose)
-    assigned = assigned.where(~excused).select(*key, F.lit("secret assignment").alias("finding"), "value")
-    return known.unionByName(assigned)
+    excused = placeholder(F.col("value")) | (F.col("_name").eqNullSafe("token") & prose)
+    return named.where(~excused).drop("_name")
 
 
 def private_findings(texts: DataFrame, key: Sequence[str], text: str = "text") -> DataFrame:
     """Home folders and UUIDs in a text table; public folder names, placeholders and UUIDs in URLs are excused."""
-    homes = F.array(*[_matches(text, pattern, 1, label) for label, pattern in fixed.PRIVATE_PATH_PATTERNS])
-    found = texts.select(*key, F.explode(F.flatten(homes)).alias("hit")).select(*key, "hit.*")
-    found = found.withColumn("value", F.lower("value"))
-    found = found.where(~F.col("value").isin(*fixed.SAFE_HOME_SEGMENTS))
     # a UUID inside a URL is public: URLs are matched whole, and then dropped
     with_url = rf"(?i)https?://\S*|\b{fixed.UUID_TEXT}\b"
-    matches = F.regexp_extract_all(F.col(text), F.lit(with_url), F.lit(0))
-    uuids = texts.where(F.col(text).rlike(fixed.UUID_PATTERN)).select(*key, F.explode(matches).alias("_match"))
-    uuids = uuids.where(~F.lower("_match").startswith("http")).select(
-        *key, F.lit(fixed.UUID_FINDING).alias("finding"), F.lower("_match").alias("value")
-    )
-    return found.unionByName(uuids).where(~placeholder(F.col("value")))
+    homes = [_matches(text, pattern, 1, label) for label, pattern in fixed.PRIVATE_PATH_PATTERNS]
+    hits = _hits(texts, key, [*homes, _matches(text, with_url, 0, fixed.UUID_FINDING)])
+    found = hits.withColumn("value", F.lower("value"))
+    url = (F.col("finding") == fixed.UUID_FINDING) & F.startswith("value", F.lit("http"))
+    excused = url | F.col("value").isin(*fixed.SAFE_HOME_SEGMENTS) | placeholder(F.col("value"))
+    return found.where(~excused)
 
 
 def finding_counts(findings: DataFrame, by: Sequence[str] = ()) -> DataFrame:

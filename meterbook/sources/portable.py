@@ -44,7 +44,7 @@ class PortableInputError(ValueError):
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Whole JSON documents, one per row."""
-    return spark.read.option("wholetext", True).text(path).select(
+    return spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("document"), F.col("value").alias("payload")
     )
 

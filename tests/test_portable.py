@@ -25,7 +25,7 @@ SNAKE = {
 def write(folder, kind):
     path = folder / f"usage.{kind}"
     if kind == "json":
-        path.write_text(json.dumps({"schema": "codex.portable.usage.v1", "timezone": TZ, "records": RECORDS}))
+        path.write_text(json.dumps({"schema": "codex.portable.usage.v1", "timezone": TZ, "records": RECORDS}, indent=2))
     elif kind == "jsonl":
         path.write_text("\n\n".join(json.dumps(r) for r in RECORDS) + "\n")
     else:
