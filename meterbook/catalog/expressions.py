@@ -14,7 +14,7 @@ from meterbook.plans import report
 
 @query(
     "p01_inclusive_components",
-    """SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) * 100 - CAST(l_quantity AS BIGINT) * l_linenumber AS fresh_input,
+    """SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, CAST(l_quantity AS BIGINT) * 100 - CAST(l_quantity AS BIGINT) * l_linenumber AS fresh_input,
   CAST(l_quantity AS BIGINT) * l_linenumber AS cache_read, CAST(0 AS BIGINT) AS cache_write, l_partkey AS output, CAST(l_quantity AS BIGINT) * 100 + l_partkey AS tokens FROM lineitem""",
 )
 def p01_inclusive_components(spark, folder):
@@ -30,7 +30,7 @@ def p01_inclusive_components(spark, folder):
 
 @query(
     "p02_split_components",
-    """SELECT l_orderkey, l_linenumber, l_partkey AS fresh_input, l_suppkey AS cache_read, CAST(l_linenumber AS BIGINT) AS cache_write, CAST(l_quantity AS BIGINT) AS output,
+    """SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey AS fresh_input, l_suppkey AS cache_read, CAST(l_linenumber AS BIGINT) AS cache_write, CAST(l_quantity AS BIGINT) AS output,
   l_partkey + l_suppkey + l_linenumber + CAST(l_quantity AS BIGINT) AS tokens FROM lineitem""",
 )
 def p02_split_components(spark, folder):
@@ -41,7 +41,7 @@ def p02_split_components(spark, folder):
 
 @query(
     "p03_token_total",
-    """SELECT l_orderkey, l_linenumber, coalesce(CASE WHEN l_partkey % 3 <> 0 THEN l_partkey END, 0) + coalesce(CASE WHEN l_suppkey % 2 <> 0 THEN l_suppkey END, 0) + l_linenumber AS tokens FROM lineitem""",
+    """SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, coalesce(CASE WHEN l_partkey % 3 <> 0 THEN l_partkey END, 0) + coalesce(CASE WHEN l_suppkey % 2 <> 0 THEN l_suppkey END, 0) + l_linenumber AS tokens FROM lineitem""",
 )
 def p03_token_total(spark, folder):
     some_part = F.when(F.col("l_partkey") % 3 != 0, F.col("l_partkey"))
@@ -52,7 +52,7 @@ def p03_token_total(spark, folder):
 
 @query(
     "p23_record_weight",
-    "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber - 3 > 0 THEN CAST(l_linenumber - 3 AS BIGINT) ELSE 1 END AS calls FROM lineitem",
+    "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, CASE WHEN l_linenumber - 3 > 0 THEN CAST(l_linenumber - 3 AS BIGINT) ELSE 1 END AS calls FROM lineitem",
 )
 def p23_record_weight(spark, folder):
     return t.table(spark, folder, "lineitem").select(
