@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from meterbook.llm import crf_quality, elias_fano, feistel_pii, html_layout, kk_sharding, quality_rules, simhash_dedup, transducer_bpe
 from meterbook.llm.common import table
 from meterbook.llm.registry import ORACLES, QUERIES, query
 
@@ -13,6 +15,55 @@ __all__ = ["ORACLES", "QUERIES"]
 @query("op1_simhash_near_dedup")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and group of near copies for every document."""
-    from meterbook.llm.simhash_dedup import near_duplicates
+    return simhash_dedup.near_duplicates(table(spark, folder, "documents"))
 
-    return near_duplicates(table(spark, folder, "documents"))
+
+@query("op5_quality_rules", quality_rules.SQL)
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """Rule counts and adaptive verdict for every document."""
+    return quality_rules.quality(table(spark, folder, "documents"))
+
+
+@query("op10_feistel_pii")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with personal data replaced by pseudonyms, and how many of them."""
+    done = feistel_pii.pseudonymise(table(spark, folder, "documents"), kinds_col="kinds")
+    return done.select("doc_id", "text", F.size("kinds").cast("long").alias("n_replaced"), F.array_join(F.array_distinct("kinds"), ",").alias("kinds"))
+
+
+@query("op2_kk_sharding")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """Shard and slot for every document."""
+    return kk_sharding.shard_rows(table(spark, folder, "documents"))
+
+
+@query("op3_crf_quality")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of every document."""
+    return crf_quality.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op4_html_layout")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """Visible text of every page."""
+    done = html_layout.extract(table(spark, folder, "pages"))
+    return done.select("page_id", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def word_bpe() -> str:
+    """The tokenizer file that the queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op7_transducer_bpe")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests of ids and decoded text of every document."""
+    return transducer_bpe.digest_documents(table(spark, folder, "documents"), word_bpe())
+
+
+@query("op8_elias_fano")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    """Place, length and checksum of the ids of every document, read back from the files."""
+    return elias_fano.store_and_read(table(spark, folder, "documents"), word_bpe())
