@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterbook.llm import crf_quality, elias_fano, feistel_pii, html_layout, kk_sharding, quality_rules, simhash_dedup, transducer_bpe
+from meterbook.llm import backoff_lm, crf_quality, elias_fano, feistel_pii, html_layout, kk_sharding, latent_decontamination, quality_rules, simhash_dedup, transducer_bpe
 from meterbook.llm.common import table
 from meterbook.llm.registry import ORACLES, QUERIES, query
 
@@ -67,3 +67,15 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     """Place, length and checksum of the ids of every document, read back from the files."""
     return elias_fano.store_and_read(table(spark, folder, "documents"), word_bpe())
+
+
+@query("op6_backoff_lm")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    """Stupid-backoff score of every document under the counts of all documents."""
+    return backoff_lm.score_documents(table(spark, folder, "documents"))
+
+
+@query("op9_latent_decontamination")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold benchmark items, and which."""
+    return latent_decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
