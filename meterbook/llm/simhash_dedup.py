@@ -226,3 +226,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(merged, "bits").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id")
     )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS) -> DataFrame:
+    """One row of each group, that of the smallest id (null ids last), with the columns of ``docs``; repeated rows are one group."""
+    own = F.col(f"`{id_col}`")
+    key = F.struct(own.isNull().alias("gone"), own.alias("id"), F.monotonically_increasing_id().alias("row"))
+    keyed = written(docs.select("*", key.alias("__key")), "keyed")  # row numbers are fixed once written
+    groups = near_duplicates(keyed, "__key", text_col, size)
+    kept = groups.where(F.col("__key") == F.col("component_id")).select(F.col("__key.row").alias("__row"))
+    return keyed.join(kept, F.col("__key.row") == F.col("__row"), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -84,3 +84,14 @@ def test_a_long_text_crosses_chunks():
     finally:
         op._CHUNK = old
     assert parts == op.fingerprint(text.encode())
+
+
+def test_one_of_each_group_stays(spark):
+    rows = corpus(60)
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id bigint, text string, bits string")
+    kept = op.keep_one(docs)
+    groups = {}
+    for i, _, component in slow_groups(rows):
+        groups.setdefault(component, set()).add(i)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(groups)
