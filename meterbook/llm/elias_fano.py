@@ -23,7 +23,6 @@ read, whatever their names.  Doc ids are whole numbers.
 
 from __future__ import annotations
 
-import os
 import struct
 import uuid
 import zlib
@@ -38,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from meterbook.llm.common import map_batches, texts_of, written
+from meterbook.llm.transducer_bpe import Vocabulary
 from meterbook.session import scratch_path
 
 _MAGIC = b"MBIDS001"
@@ -46,8 +46,8 @@ _HEAD = "<QQB"
 _SAMPLE = 256
 _READ_IDS = 1 << 20
 END_ID = 2
-MEMORY = 400_000
-_PIECES = 4000
+#: Pieces, and words, a task remembers before it starts anew.
+MEMORY = 300_000
 
 
 class EliasFano:
@@ -118,42 +118,37 @@ class EliasFano:
 
 
 class PieceEncoder:
-    """The tokenizers library, piece by piece: no token crosses ASCII white space, so a repeated piece is encoded once."""
+    """The tokenizers library, word by word.
+
+    No token crosses ASCII white space, so a piece that was met before is looked
+    up; the words of a new one go through the library's normaliser and cutter
+    (plain letters are cut here, as they would) and its model.
+    """
 
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        # a special token is cut out before anything else, so it parts pieces without touching them
-        self.mark, self.mark_id = next(((c, i) for c, i in sorted(special.items()) if not set(c) & set(" \t\n\r\x0b\x0c")), (None, -1))
-        self.special = list(special)
-        self.wide = self.tokenizer.get_vocab_size() > 1 << 16
-        self.kind = np.dtype("<u4" if self.wide else "<u2")
+        self.vocabulary = Vocabulary(path)
+        self.model = self.vocabulary.tokenizer.model
+        self.letters = {b: ord(c) for c, b in self.vocabulary.byte_of.items()}
+        self.kind = np.dtype("<u2" if len(self.vocabulary.names) <= 1 << 16 else "<u4")
         self.known: dict[bytes, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
+    def _word(self, word: bytes) -> bytes:
+        ids = self.words.get(word)
+        if ids is None:
+            found = self.model.tokenize(word.decode("latin-1").translate(self.letters))
+            ids = self.words[word] = np.array([t.id for t in found], self.kind).tobytes()
+        return ids
 
     def learn(self, pieces: set[bytes]) -> None:
         if len(self.known) > MEMORY:
             self.known.clear()
-        plain = []
+        if len(self.words) > MEMORY:
+            self.words.clear()
+        width = self.kind.itemsize
         for piece in pieces - self.known.keys():
-            text = piece.decode("utf-8", "replace")
-            if self.mark is None or any(s in text for s in self.special):
-                self.known[piece] = self._ids(text).tobytes()
-            else:
-                plain.append((piece, text))
-        for at in range(0, len(plain), _PIECES):
-            part = plain[at : at + _PIECES]
-            ids = self._ids(self.mark.join(t for _, t in part))
-            cuts = [-1, *np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
-            for (piece, _), a, b in zip(part, cuts[:-1], cuts[1:], strict=True):
-                self.known[piece] = ids[a + 1 : b].tobytes()
+            parts = self.vocabulary.words(piece)
+            self.known[piece] = b"".join([self._word(w) if isinstance(w, bytes) else w.to_bytes(width, "little") for w in parts])
 
     def batch(self, texts: list[bytes]) -> Iterator[bytes]:
         cut = [t.split() for t in texts]
