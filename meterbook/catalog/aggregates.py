@@ -478,7 +478,7 @@ UNION ALL SELECT 'output', a.calls - p.calls, a.fresh_input - p.fresh_input, a.c
 )
 def a18_token_audit(spark, folder):
     """Tokens in, removed by each step, and out, over two sources with near-time copies."""
-    return merge.token_audit(merge.merge_events(t.near_events(spark, folder), staged=True))
+    return merge.token_audit(merge.merge_events(t.near_events(spark, folder)))
 
 
 @query(

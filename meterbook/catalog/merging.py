@@ -100,7 +100,7 @@ FROM kept k LEFT JOIN pairs p ON p.b = k.event_id""",
 )
 def u04_near_time_dedup(spark, folder):
     """Pairs folded: numbers of the baseline, labels of both, provenance united."""
-    merged = merge.merge_events(t.near_events(spark, folder), staged=True).events
+    merged = merge.merge_events(t.near_events(spark, folder)).events
     from meterbook.functions.labels import is_specific
 
     return merged.select(

@@ -31,11 +31,15 @@ def from_epoch_seconds(seconds: str | Column) -> Column:
 
 
 def parse_instant(text: str | Column) -> Column:
-    """ISO text with ``Z`` or an explicit offset; null when it does not parse."""
+    """ISO text with ``Z`` or an explicit offset; null when it does not parse.
+
+    The text has to begin with a full date: a bare time would be read as one of today.
+    """
     column = _col(text)
     # +0800 is accepted next to +08:00
     spaced = F.regexp_replace(column, r"([+-]\d{2})(\d{2})$", "$1:$2")
-    return spaced.try_cast("timestamp").cast("timestamp_ntz")
+    dated = F.when(column.rlike(r"^\d{4}-\d{2}-\d{2}([T ]|$)"), spaced)
+    return dated.try_cast("timestamp").cast("timestamp_ntz")
 
 
 def iso_utc(ts: str | Column) -> Column:

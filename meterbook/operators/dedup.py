@@ -16,7 +16,7 @@ from meterbook import fixed
 from meterbook.functions.labels import is_specific
 from meterbook.functions.timeparts import epoch_ms
 from meterbook.functions.tokens import COMPONENTS
-from meterbook.operators.keyed import summarise
+from meterbook.operators.keyed import keyed_join, summarise
 from meterbook.operators.ranking import occurrence_number
 
 PICKED = ("device", "device_order", "input_order", "raw_project", "fingerprint", "project_rank")
@@ -76,7 +76,9 @@ def exact_dedup(events: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """
     # copies agree in their core if two independent 64-bit digests do; digests are
     # plain longs, so a copy does not carry its core twice through the shuffle
-    digests = [F.xxhash64(F.lit(seed), *CORE) for seed in ("first", "second")]
+    # a digest passes over nulls, so every field is hashed with a mark of its absence
+    marked = [c for name in CORE for c in (F.col(name), F.col(name).isNull())]
+    digests = [F.xxhash64(F.lit(seed), *marked) for seed in ("first", "second")]
     grouped = events.groupBy(*by, "event_id").agg(
         F.count(F.lit(1)).alias("copies"),
         *[f(d).alias(f"_{n}_{i}") for i, d in enumerate(digests) for n, f in (("low", F.min), ("high", F.max))],
@@ -222,7 +224,7 @@ def merge_pairs(events: DataFrame, pairs: DataFrame, by: Sequence[str] = ()) ->
     members = pairs.select(
         *by, F.col("baseline_id").alias("pair_id"), F.explode(F.array("baseline_id", "increment_id")).alias("event_id")
     )
-    tagged = events.join(members, [*by, "event_id"], "left")
+    tagged = keyed_join(events, members, [*by, "event_id"])
     alone = tagged.where(F.col("pair_id").isNull()).drop("pair_id")
     numeric = F.struct("event_id", *CORE, "calls", "copies", "conflicting")
     baseline_first = F.struct(

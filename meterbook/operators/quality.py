@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from meterbook import fixed
 from meterbook.functions.labels import any_of, trim
@@ -150,8 +151,8 @@ def record_minimums(df: DataFrame, key: str) -> DataFrame:
     return row_checks(df, F.col(key), minimum_rules())
 
 
-def period_checks(df: DataFrame, by: Sequence[str] = (), ts: str = "ts", limit: int = fixed.MAX_DATE_SPAN_DAYS) -> DataFrame:
-    """Cost is positive and the span of days is bounded; one summary pass for both.
+def period_checks(df: DataFrame, by: Sequence[str] = (), ts: str = "ts", max_days: int | None = None) -> DataFrame:
+    """Cost is positive, and the span of days is bounded where ``max_days`` asks for it; one summary pass for both.
 
     Days are counted in whole days between the first and last instant.
     """
@@ -164,13 +165,16 @@ def period_checks(df: DataFrame, by: Sequence[str] = (), ts: str = "ts", limit:
         key_text(*by) if by else F.lit("total"),
         [
             ("cost-positive", F.col("cost") <= 0, "> 0", F.col("cost")),
-            ("date-span", days > limit, f"<= {limit}", days),
+            *([] if max_days is None else [("date-span", days > max_days, f"<= {max_days}", days)]),
         ],
     )
 
 
 def number_rules(integers: Sequence[str], amounts: Sequence[str] = ()) -> list[tuple]:
-    """Whole numbers in the safe range and non-negative amounts, given as trimmed text."""
+    """Whole numbers in the safe range and non-negative amounts, given as trimmed text.
+
+    An amount is judged by the decimal it is kept as (``safe_amount``), so nothing is accepted here and lost there.
+    """
     rules = []
     for name in integers:
         parsed = F.col(name).try_cast("decimal(38,9)")
@@ -178,8 +182,7 @@ def number_rules(integers: Sequence[str], amounts: Sequence[str] = ()) -> list[t
         filled = F.coalesce(F.col(name) != "", F.lit(False))
         rules.append((f"{name}-integer", filled & ~F.coalesce(good, F.lit(False)), "0 … 2^53-1", F.col(name)))
     for name in amounts:
-        parsed = F.col(name).try_cast("double")
-        good = (parsed >= 0) & ~F.isnan(parsed) & (parsed < float("inf"))
+        good = F.col(name).try_cast("decimal(28,9)") >= 0
         filled = F.coalesce(F.col(name) != "", F.lit(False))
         rules.append((f"{name}-amount", filled & ~F.coalesce(good, F.lit(False)), ">= 0", F.col(name)))
     return rules
@@ -271,14 +274,13 @@ def same_buckets(usage: DataFrame, other: DataFrame, name: str, by: Sequence[str
     )
 
 
-def same_grouping(usage: DataFrame, other: DataFrame, name: str) -> DataFrame:
-    """Both responses are grouped by day, or both by week."""
-    grouped = F.min(F.coalesce("group_by", F.lit("day")))
-    mine = usage.agg(grouped.alias("_mine"))
-    joined = with_totals(mine, other.agg(grouped.alias("_theirs")))
-    return row_checks(
-        joined, F.lit(name), [("group-by", F.col("_mine") != F.col("_theirs"), F.col("_mine"), F.col("_theirs"))]
-    )
+def same_grouping(usage: DataFrame, other: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
+    """Both responses are grouped by day, or both by week; a response that mixes the two fits neither."""
+    grouped = F.array_join(F.array_sort(F.collect_set(F.coalesce("group_by", F.lit("day")))), "+")
+    joined = with_totals(summarise(usage, by, _mine=grouped), summarise(other, by, _theirs=grouped), by)
+    differs = ~F.col("_mine").eqNullSafe(F.col("_theirs")) | F.contains("_mine", F.lit("+"))
+    key = key_text(*by) if by else F.lit(name)
+    return row_checks(joined, key, [("group-by", differs, F.col("_mine"), F.col("_theirs"))])
 
 
 def grouping_rules(allowed: Sequence[str] = ("day", "week")) -> list[tuple]:
@@ -333,7 +335,7 @@ def event_checks(events: DataFrame) -> DataFrame:
 
 def unique_ids(events: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     counted = events.groupBy(*by, "event_id").agg(F.count(F.lit(1)).alias("n"))
-    return row_checks(counted, F.col("event_id"), [("event-id-repeated", F.col("n") > 1, "1", F.col("n"))])
+    return row_checks(counted, key_text(*by, "event_id"), [("event-id-repeated", F.col("n") > 1, "1", F.col("n"))])
 
 
 def core_conflicts(deduplicated: DataFrame) -> DataFrame:
@@ -394,7 +396,7 @@ def device_checks(devices: DataFrame, matches: DataFrame | None = None, by: Sequ
     out = [
         row_checks(zones, key, [("device-timezone", F.col("n") != 1, "1 time zone", F.col("n"))]),
         row_checks(named, key_text(*by, "device"), [("device-label-repeated", F.col("n") > 1, "1", F.col("n"))]),
-        row_checks(devices, F.col("device"), [("device-reliable", ~F.col("reliable"), "true", F.col("reliable"))]),
+        row_checks(devices, key_text(*by, "device"), [("device-reliable", ~F.col("reliable"), "true", F.col("reliable"))]),
         device_label_checks(devices),
     ]
     if matches is not None:
@@ -422,28 +424,59 @@ def device_label_checks(devices: DataFrame) -> DataFrame:
 
 
 def leak_checks(tables: dict[str, DataFrame], project_columns: Sequence[str] = ("project",)) -> DataFrame:
-    """UUIDs, absolute paths and path separators in the text columns of report tables."""
+    """UUIDs, absolute paths and path separators in the texts of report tables, those inside arrays, maps and structs included."""
     out = []
     for name, df in tables.items():
         checks = []
         for field in df.schema.fields:
-            if field.dataType.simpleString() != "string":
+            texts = text_leaves(F.col(f"`{field.name}`"), field.dataType)
+            if texts is None:
                 continue
-            value, key = F.col(field.name), F.lit(f"{name}.{field.name}")
-            checks.append(("leak-uuid", value.rlike("(?i)" + fixed.UUID_TEXT), "no UUID", value, key))
-            checks.append(("leak-path", value.rlike(fixed.ABSOLUTE_PATH_PATTERN), "no path", value, key))
+            key = F.lit(f"{name}.{field.name}")
+
+            def found(pattern: str, texts: Column = texts) -> Column:
+                return F.filter(texts, lambda x: x.rlike(pattern))
+
+            rules = [("leak-uuid", "(?i)" + fixed.UUID_TEXT, "no UUID"), ("leak-path", fixed.ABSOLUTE_PATH_PATTERN, "no path")]
             if field.name in project_columns:
-                checks.append(("leak-separator", value.rlike(r"[\\/]"), "no separator", value, key))
+                rules.append(("leak-separator", r"[\\/]", "no separator"))
+            checks += [(rule, F.size(found(p)) > 0, wanted, F.array_join(found(p), ","), key) for rule, p, wanted in rules]
         if checks:
             out.append(row_checks(df, F.lit(name), checks))
     return stack(*out)
 
 
-def raw_session_leaks(table: DataFrame, sessions: DataFrame, column: str = "session") -> DataFrame:
-    """Report rows whose public session still is a raw session id."""
-    raw = sessions.select(F.col("session").alias(column)).where(F.col(column).isNotNull()).distinct()
-    leaked = table.select(column).join(raw, column, "left_semi")
-    return row_checks(leaked, F.col(column), [("leak-session", F.lit(True), "pseudonym", F.col(column))])
+def text_leaves(column: Column, kind: T.DataType) -> Column | None:
+    """All texts in a column as one array, through arrays, maps and structs; None where its type holds none."""
+    if isinstance(kind, T.StringType):
+        return F.array_compact(F.array(column))
+    if isinstance(kind, T.ArrayType):
+        if text_leaves(column, kind.elementType) is None:
+            return None
+        return F.flatten(F.transform(F.coalesce(column, F.array().cast(kind)), lambda x: text_leaves(x, kind.elementType)))
+    if isinstance(kind, T.MapType):
+        parts = [text_leaves(F.map_keys(column), T.ArrayType(kind.keyType)), text_leaves(F.map_values(column), T.ArrayType(kind.valueType))]
+    elif isinstance(kind, T.StructType):
+        parts = [text_leaves(column.getField(f.name), f.dataType) for f in kind.fields]
+    else:
+        return None
+    parts = [p for p in parts if p is not None]
+    return F.concat(*parts) if parts else None
+
+
+def raw_session_leaks(table: DataFrame, sessions: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Raw session ids in the texts of a report table, whole or as a word of a text; all columns unless some are named."""
+    named = table.columns if columns is None else columns
+    leaves = [text_leaves(F.col(f"`{f.name}`"), f.dataType) for f in table.schema.fields if f.name in named]
+    leaves = [x for x in leaves if x is not None]
+    raw = sessions.select(F.col("session").alias("_token")).where(F.col("_token").isNotNull()).distinct()
+    if not leaves:
+        return row_checks(raw.limit(0), F.col("_token"), [("leak-session", F.lit(True), "pseudonym", F.col("_token"))])
+    texts = F.concat(*leaves)
+    words = F.flatten(F.transform(texts, lambda x: F.split(x, r"[^\p{L}\p{N}_.:@+-]+")))
+    tokens_ = table.select(F.explode(F.array_distinct(F.concat(texts, words))).alias("_token")).distinct()
+    leaked = tokens_.join(raw, "_token", "left_semi")
+    return row_checks(leaked, F.col("_token"), [("leak-session", F.lit(True), "pseudonym", F.col("_token"))])
 
 
 def pseudonym_checks(usage: DataFrame, raw: str = "raw_session", public: str = "session", by: Sequence[str] = ()) -> DataFrame:

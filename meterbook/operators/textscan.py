@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from meterbook import fixed
 from meterbook.functions.labels import any_of, trim
-from meterbook.operators.quality import row_checks
+from meterbook.operators.keyed import summarise
+from meterbook.operators.quality import key_text, row_checks
 
 _ASSIGNMENT = "secret assignment"
 _SENSITIVE_KEY = rf'(?i)"({fixed.SENSITIVE_KEYS})"\s*:'
@@ -29,19 +30,26 @@ def credential_like(value: str | Column) -> Column:
     return F.coalesce(column.rlike(fixed.CREDENTIAL_TEXT), F.lit(False))
 
 
-def gate(responses: DataFrame, kind: str = "kind", payload: str = "payload") -> tuple[DataFrame, DataFrame]:
+def gate(
+    responses: DataFrame, kind: str = "kind", payload: str = "payload", by: Sequence[str] = ()
+) -> tuple[DataFrame, DataFrame]:
     """Clean response bodies, and the violations of the others.
 
     A body must be a JSON object with a ``data`` array, grouped by day or week, free of
     sensitive fields and credential-like text.  The usage body is required.
+
+    Bodies are judged as parsed and written again, so escapes hide nothing; a body
+    that does not parse (a repeated field included) is a violation.  With ``by``,
+    every account must have its usage body.
     """
-    body = F.col(payload)
+    responses = responses.withColumn("_body", F.to_json(F.try_parse_json(payload)))
+    body = F.col("_body")
     group = F.get_json_object(body, "$.group_by")
     shaped = F.coalesce(F.startswith(F.get_json_object(body, "$.data"), F.lit("[")), F.lit(False))
     keys = sensitive_keys(body)
     marked = responses.withColumns(
         {
-            "_shaped": shaped & F.startswith(trim(body), F.lit("{")),
+            "_shaped": F.coalesce(shaped & F.startswith(body, F.lit("{")), F.lit(False)),
             "_grouped": group.isNull() | group.isin("day", "week"),
             "_keys": F.array_distinct(F.transform(keys, lambda k: F.lower(k))),
             "_credential": credential_like(body),
@@ -58,9 +66,11 @@ def gate(responses: DataFrame, kind: str = "kind", payload: str = "payload") ->
             ("response-credential", F.col("_credential"), "none", F.lit("credential-like text")),
         ],
     )
-    required = responses.agg(F.count_if(F.col(kind) == "usage").alias("_usage"))
-    missing = row_checks(required, F.lit("usage"), [("response-required", F.col("_usage") == 0, "usage", F.lit("absent"))])
-    return marked.where(~bad).select(*responses.columns), violations.unionByName(missing)
+    required = summarise(responses, by, _usage=F.count_if(F.col(kind) == "usage"))
+    key = key_text(*by) if by else F.lit("usage")
+    missing = row_checks(required, key, [("response-required", F.col("_usage") == 0, "usage", F.lit("absent"))])
+    given = [c for c in responses.columns if c != "_body"]
+    return marked.where(~bad).select(*given), violations.unionByName(missing)
 
 
 def placeholder(value: Column) -> Column:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterbook.functions.labels import activity_fallback, device_fallback, is_specific
@@ -13,6 +14,7 @@ from meterbook.functions.tokens import COMPONENTS
 from meterbook.operators import dedup, rollups
 from meterbook.operators.keyed import keyed_join, summarise
 from meterbook.operators.projects import resolve_projects
+from meterbook.operators.quality import key_text, row_checks
 from meterbook.plans.ledger import localised
 from meterbook.session import stage
 
@@ -39,19 +41,15 @@ def with_provenance(events: DataFrame) -> DataFrame:
     return events.withColumns(out) if out else events
 
 
-def merge_events(
-    events: DataFrame, aliases: DataFrame | None = None, by: Sequence[str] = (), staged: bool = False
-) -> MergedEvents:
+def merge_events(events: DataFrame, aliases: DataFrame | None = None, by: Sequence[str] = ()) -> MergedEvents:
     """Labels, exact dedup, near-time dedup.
 
     Ambiguous neighbours do not stop the plan: they are in ``matches`` and stay
     apart in ``events``; a result with any of them is not reliable.
     """
     resolved = resolve_projects(with_provenance(events), aliases, by)
-    distinct = dedup.exact_dedup(resolved, by)
-    if staged:
-        # the distinct events are read three times below
-        distinct = stage(distinct)
+    # the distinct events are read three times below
+    distinct = stage(dedup.exact_dedup(resolved, by))
     matches = dedup.near_time_matches(distinct, by)
     merged = dedup.merge_pairs(distinct, dedup.mutual_pairs(matches, by), by)
     return MergedEvents(events, distinct, matches, merged)
@@ -85,28 +83,48 @@ def coverage(records: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def token_audit(merged: MergedEvents, by: Sequence[str] = ()) -> DataFrame:
     """Calls and components in, removed by each step, and out."""
+    # what was removed is counted where it was removed: further copies of an id, and
+    # the increment of each pair; ``audit_checks`` compares that with the difference
+    dropped = merged.matches.where(F.col("status") == "pair").select(*by, F.col("increment_id").alias("event_id"))
+    paired = keyed_join(merged.distinct, dropped.distinct(), [*by, "event_id"], "left_semi")
+    counted = [
+        ("input", merged.input, F.lit(1)),
+        ("exact removed", merged.distinct, F.col("copies") - 1),
+        ("cross-source removed", paired, F.lit(1)),
+        ("output", merged.events, F.lit(1)),
+    ]
     frames = []
-    for stage_name, df in (("input", merged.input), ("distinct", merged.distinct), ("output", merged.events)):
+    for name, df, times in counted:
         sums = summarise(
-            df, by, calls=F.count(F.lit(1)), **{c: F.coalesce(F.sum(c), F.lit(0)) for c in COMPONENTS},
-            tokens=F.coalesce(F.sum(rollups.tokens()), F.lit(0)),
+            df, by, calls=F.coalesce(F.sum(times), F.lit(0)).cast("bigint"),
+            **{c: F.coalesce(F.sum(F.col(c) * times), F.lit(0)).cast("bigint") for c in COMPONENTS},
+            tokens=F.coalesce(F.sum(rollups.tokens() * times), F.lit(0)).cast("bigint"),
         )
-        frames.append(sums.withColumn("stage", F.lit(stage_name)))
-    wide = frames[0].unionByName(frames[1]).unionByName(frames[2])
+        frames.append(sums.withColumn("stage", F.lit(name)))
     measures = ["calls", *COMPONENTS, "tokens"]
+    found = reduce(DataFrame.unionByName, frames)
+    if by:  # an account without pairs has its row of zeros too
+        names = F.explode(F.array(*[F.lit(n) for n, _, _ in counted])).alias("stage")
+        found = keyed_join(merged.input.select(*by).distinct().select(*by, names), found, [*by, "stage"]).fillna(0, measures)
+    return found.select(*by, "stage", *measures)
+
 
-    def at(name: str, measure: str):
+def audit_checks(audit: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Input less what was removed is the output, in calls and every component, and nothing removed is negative."""
+    measures = ["calls", *COMPONENTS, "tokens"]
+
+    def at(name: str, measure: str) -> Column:
         return F.max(F.when(F.col("stage") == name, F.col(measure)))
 
-    folded = summarise(wide, by, **{f"{n}_{m}": at(n, m) for n in ("input", "distinct", "output") for m in measures})
-    rows = [
-        ("input", lambda m: F.col(f"input_{m}")),
-        ("exact removed", lambda m: F.col(f"input_{m}") - F.col(f"distinct_{m}")),
-        ("cross-source removed", lambda m: F.col(f"distinct_{m}") - F.col(f"output_{m}")),
-        ("output", lambda m: F.col(f"output_{m}")),
-    ]
-    packed = F.array(*[F.struct(F.lit(n).alias("stage"), *[f(m).alias(m) for m in measures]) for n, f in rows])
-    return folded.select(*by, F.explode(packed).alias("r")).select(*by, "r.*")
+    names = {"input": "input", "exact": "exact removed", "cross": "cross-source removed", "output": "output"}
+    wide = summarise(audit, by, **{f"{short}_{m}": at(name, m) for short, name in names.items() for m in measures})
+    checks = []
+    for m in measures:
+        left = F.col(f"input_{m}") - F.col(f"exact_{m}") - F.col(f"cross_{m}")
+        checks.append((f"merge-balance-{m}", left != F.col(f"output_{m}"), F.col(f"output_{m}"), left))
+        removed = F.least(F.col(f"exact_{m}"), F.col(f"cross_{m}"))
+        checks.append((f"merge-negative-{m}", removed < 0, ">= 0", removed))
+    return row_checks(wide, key_text(*by) if by else F.lit("total"), checks)
 
 
 def device_summary(merged: MergedEvents, by: Sequence[str] = ()) -> DataFrame:

@@ -28,9 +28,13 @@ def portable_audit(usage: DataFrame, tz: str, by: Sequence[str] = ()) -> DataFra
     )
 
 
-def portable_report(parsed: DataFrame, tz: str, by: Sequence[str] = ()) -> dict[str, DataFrame]:
-    """Check the records, then derive the report; raises on the first violations found."""
-    require_clean(portable.checks(parsed))
+def portable_report(
+    parsed: DataFrame, tz: str, by: Sequence[str] = (), documents: DataFrame | None = None, max_days: int | None = None
+) -> dict[str, DataFrame]:
+    """Check the documents (where there are any) and the records, then derive the report; raises on the first violations found."""
+    if documents is not None:
+        require_clean(portable.document_checks(documents))
+    require_clean(portable.checks(parsed, by, max_days))
     usage = portable.normalize(parsed)
     tables = build_report(usage, tz, by)
     tables["portable_audit"] = portable_audit(usage, tz, by)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +23,7 @@ from meterbook.operators.quality import (
     timestamp_rules,
 )
 from meterbook.operators.dedup import repeated_rows
+from meterbook.sources.heads import first_lines
 
 # every record field is read as text: one set of number rules serves all three formats
 RECORD_TYPE = T.StructType(
@@ -100,21 +104,33 @@ def parse_records(records: DataFrame) -> DataFrame:
     )
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV rows as text columns; the header decides which fields there are."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-    headers = [h.lstrip("\ufeff").strip() for h in reader.csv(path).columns]
-    check_headers(headers)
-    schema = T.StructType([T.StructField(h, T.StringType()) for h in [*headers, "_corrupt"]])
-    rows = reader.schema(schema).option("columnNameOfCorruptRecord", "_corrupt").csv(path)
-    filled = F.concat_ws("", *headers) != ""
-    absent = [n for n in fixed.PORTABLE_RECORD_FIELDS if n not in headers]
-    return rows.where(filled | F.col("_corrupt").isNotNull()).select(
-        F.xxhash64(*headers).cast("string").alias("key"),
-        *headers,
-        *[F.lit(None).cast("string").alias(n) for n in absent],
-        F.col("_corrupt").isNotNull().alias("malformed"),
-    )
+def read_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    """CSV rows as text columns; each file's own header decides which fields it has, and in which order.
+
+    Fields may hold line breaks, which keeps a file in one task; ``multiline=False``
+    splits files, for tables whose fields have none.
+    """
+    by_header: dict[str, list[str]] = {}
+    for row in first_lines(spark, path).collect():  # one short line of each file
+        by_header.setdefault(row.first_line or "", []).append(row.file_path)
+    if not by_header:
+        raise PortableInputError("no CSV file")
+    out = None
+    for header, files in sorted(by_header.items()):
+        headers = [h.strip() for h in next(csv.reader([header.lstrip("\ufeff")]), [])]
+        check_headers(headers)
+        schema = T.StructType([T.StructField(h, T.StringType()) for h in [*headers, "_corrupt"]])
+        reader = spark.read.option("header", True).option("multiLine", multiline).option("escape", '"')
+        rows = reader.schema(schema).option("columnNameOfCorruptRecord", "_corrupt").csv(files)
+        filled = F.concat_ws("", *headers) != ""
+        part = rows.where(filled | F.col("_corrupt").isNotNull()).select(
+            F.col("_metadata.file_path").alias("document"),
+            F.xxhash64(*headers).cast("string").alias("key"),
+            *[F.col(n) if n in headers else F.lit(None).cast("string").alias(n) for n in fixed.PORTABLE_RECORD_FIELDS],
+            F.col("_corrupt").isNotNull().alias("malformed"),
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def check_headers(headers: list[str]) -> None:
@@ -124,6 +140,9 @@ def check_headers(headers: list[str]) -> None:
     extra = [h for h in headers if h not in fixed.PORTABLE_CSV_HEADERS]
     if extra:
         raise PortableInputError(f"header is not allowed: {', '.join(extra)}")
+    for spellings in fixed.PORTABLE_ALIASES.values():
+        if len(set(spellings) & set(headers)) > 1:
+            raise PortableInputError(f"one field under several headers: {', '.join(spellings)}")
     needed = [
         ("timestamp",),
         ("project",),
@@ -164,10 +183,20 @@ def normalize(parsed: DataFrame) -> DataFrame:
     )
 
 
-def alias_rules() -> list[tuple]:
-    """A field may be spelled in one way only."""
+def alias_rules(record: str | None = None) -> list[tuple]:
+    """A field may be spelled in one way only.
+
+    Of a JSON ``record`` the names count that are there, with null or blank values too.
+    """
+
+    def conflict(spellings: tuple[str, ...]) -> Column:
+        if record is None:
+            return alias_conflict(*spellings)
+        names = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
+        return F.size(F.array_intersect(names, F.array(*[F.lit(s) for s in spellings]))) > 1
+
     rules = [
-        (f"{name}-alias", alias_conflict(*spellings), "one spelling", " ".join(spellings))
+        (f"{name}-alias", conflict(spellings), "one spelling", " ".join(spellings))
         for name, spellings in fixed.PORTABLE_ALIASES.items()
         if len(spellings) > 1
     ]
@@ -175,8 +204,8 @@ def alias_rules() -> list[tuple]:
     return rules
 
 
-def checks(parsed: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Every rule of the portable format, as violations.
+def checks(parsed: DataFrame, by: Sequence[str] = (), max_days: int | None = None) -> DataFrame:
+    """Every rule of the portable format, as violations; the span of days only where ``max_days`` bounds it.
 
     All rules of a single record run in one pass; the totals take a second one,
     and repeated records and row ids one shuffle each.
@@ -186,7 +215,8 @@ def checks(parsed: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     texts = texts.withColumn("_ts", parse_instant("_timestamp"))
     integers = ("input", "output", "cache_read", "cache_write", "calls")
     # spellings are judged on the given columns, everything else on the trimmed values
-    spelled = alias_rules() + (field_name_rules("record") if "record" in parsed.columns else [])
+    given = "record" in parsed.columns
+    spelled = alias_rules("record" if given else None) + (field_name_rules("record") if given else [])
     numbers = {n: safe_integer(f"_{n}") for n in integers}
     checked = texts.withColumns({f"_spelled_{i}": F.coalesce(rule[1], F.lit(False)) for i, rule in enumerate(spelled)})
     shown = {f"_shown_{i}": rule[3] if isinstance(rule[3], Column) else F.lit(rule[3]) for i, rule in enumerate(spelled)}
@@ -210,7 +240,7 @@ def checks(parsed: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     measures = ["ts", "session", "project", "model", "activity", "fresh_input", "cache_read", "cache_write", "output", "calls", "cost"]
     return stack(
         row_checks(checked, F.col("key"), record_rules),
-        period_checks(usage, by),
+        period_checks(usage, by, max_days=max_days),
         row_checks(
             repeated_rows(usage, [*by, *measures]), F.col("session"), [("record-repeated", F.lit(True), "1", F.col("copies"))]
         ),

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from meterbook import fixed
 from meterbook.functions.identity import add_repository_fingerprint, normalize_session_id
 from meterbook.functions.labels import clean_dimension
+from meterbook.sources.heads import first_lines
 
 META = T.StructType(
     [
@@ -28,24 +29,11 @@ META = T.StructType(
 
 
 def read_first_lines(spark: SparkSession, path: str) -> DataFrame:
-    """First line of every rollout file below a folder.
+    """First line of every rollout file below a folder, read from a short head of each file.
 
-    Files are streamed by line, never held as one value: rows of the first block
-    are reduced on the map side to the earliest one per file.
+    Where an index table of (file_path, first_line) is kept, give that to ``parse_rollout_meta`` instead.
     """
-    lines = (
-        spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "rollout-*.jsonl")
-        .text(path)
-        .select(
-            F.col("_metadata.file_path").alias("file_path"),
-            F.col("_metadata.file_block_start").alias("_start"),
-            F.col("value").alias("first_line"),
-            F.monotonically_increasing_id().alias("_line"),
-        )
-        .where((F.col("_start") == 0) & F.col("file_path").rlike(fixed.ROLLOUT_DIR_PATTERN))
-    )
-    return lines.groupBy("file_path").agg(F.min_by("first_line", "_line").alias("first_line"))
+    return first_lines(spark, path, "rollout-*.jsonl").where(F.col("file_path").rlike(fixed.ROLLOUT_DIR_PATTERN))
 
 
 def parse_rollout_meta(first_lines: DataFrame) -> DataFrame:
