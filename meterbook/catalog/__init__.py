@@ -10,4 +10,4 @@ __all__ = ["ORACLES", "QUERIES", "load"]
 
 def load() -> None:
     """Import every catalog module once."""
-    from meterbook.catalog import aggregates, checks, expressions, joins, merging, sources, views  # noqa: F401
+    from meterbook.catalog import aggregates, checks, expressions, faults, joins, merging, sources, views  # noqa: F401

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from meterbook.catalog import tables as t
 from meterbook.catalog.registry import query, sql_round, sql_time
+from meterbook.functions.identity import label_sessions, session_label
 from meterbook.operators import ranking, rollups, series
 from meterbook.operators.attribution import rollout_stats
 from meterbook.operators.dedup import duplicate_audit
@@ -152,7 +153,7 @@ SESSION_COLUMNS = f"""session, project, {sql_time('started_at')} AS started_at,
     f"WITH {t.FACTS}, {SESSION_SQL.format(source='facts')} SELECT {SESSION_COLUMNS}, CAST(cost AS DOUBLE) AS cost FROM s",
 )
 def a05_sessions(spark, folder):
-    return rollups.by_session(t.prepared(spark, folder))
+    return label_sessions(rollups.by_session(t.prepared(spark, folder)))
 
 
 @query(
@@ -179,7 +180,8 @@ def j08_sessions_with_detail(spark, folder):
     rows = t.prepared(spark, folder)
     known = rows.where(F.col("user_id") % 4 != 0).groupBy("session").agg(F.count(F.lit(1)).alias("turns"))
     extra = rows.where(F.col("user_id") % 9 == 0).select(F.concat(F.lit("extra-"), "raw_session").alias("session"), F.lit(1).cast("bigint").alias("turns")).distinct()
-    return rollups.session_rows_with_detail(known.unionByName(extra), rollups.by_session(rows))
+    given = rollups.session_rows_with_detail(known.unionByName(extra), rollups.by_session(rows))
+    return given.withColumn("session", F.when(F.startswith("session", F.lit("session-")), session_label("session")).otherwise(F.col("session")))
 
 
 @query(
@@ -316,13 +318,13 @@ def j06_scaled_model_days(spark, folder):
     f"""WITH {t.PREPARED}, grid AS (SELECT w.w AS weekday, CAST(w.i AS BIGINT) AS weekday_index, CAST(h.h AS BIGINT) AS hour FROM
   (VALUES ('Mon', 0), ('Tue', 1), ('Wed', 2), ('Thu', 3), ('Fri', 4), ('Sat', 5), ('Sun', 6)) w(w, i), (SELECT unnest(range(24)) AS h) h),
 c AS (SELECT weekday, hour, CAST(sum(calls) AS BIGINT) AS calls, CAST(sum(tokens) AS BIGINT) AS tokens, sum(cost) AS cost FROM prepared
-  WHERE hour % 5 <> 0 GROUP BY ALL)
+  GROUP BY ALL)
 SELECT weekday, weekday_index, hour, coalesce(calls, 0) AS calls, coalesce(tokens, 0) AS tokens, CAST(coalesce(cost, 0) AS DOUBLE) AS cost,
   CAST(coalesce(tokens, 0) AS DOUBLE) / CAST(sum(tokens) OVER () AS DOUBLE) AS token_share FROM grid LEFT JOIN c USING (weekday, hour)""",
 )
 def a09_weekday_hours(spark, folder):
-    """Dense week of usage that lacks every fifth hour."""
-    return rollups.weekday_hours(t.prepared(spark, folder).where(F.col("hour") % 5 != 0))
+    """Dense week of usage."""
+    return rollups.weekday_hours(t.prepared(spark, folder))
 
 
 FACT_COLUMNS = f"""CAST(date AS VARCHAR) AS date, hour, weekday, project, session, model, activity, calls, fresh_input, cache_read, cache_write, output,
@@ -331,7 +333,7 @@ FACT_COLUMNS = f"""CAST(date AS VARCHAR) AS date, hour, weekday, project, sessio
 
 @query("a10_compact_facts", f"WITH {t.FACTS} SELECT {FACT_COLUMNS}, CAST(cost AS DOUBLE) AS cost FROM facts")
 def a10_compact_facts(spark, folder):
-    return rollups.compact_facts(t.prepared(spark, folder))
+    return label_sessions(rollups.compact_facts(t.prepared(spark, folder)))
 
 
 @query(
@@ -353,7 +355,7 @@ def p21_scaled_cost(spark, folder):
     """Facts scaled to a period total that is three times the recorded cost."""
     facts = rollups.compact_facts(t.prepared(spark, folder))
     period = t.prepared(spark, folder).agg((F.sum("cost") * 3).alias("period_cost"))
-    return rollups.scale_costs(facts, period)
+    return label_sessions(rollups.scale_costs(facts, period))
 
 
 @query(
@@ -716,11 +718,11 @@ def a29_night_weekend(spark, folder):
 
 @query(
     "a31_account_strip",
-    f"""WITH {t.ACCOUNT} SELECT CAST(sum(tokens) AS BIGINT) AS total_tokens, count(*) AS calendar_days, CAST(sum(tokens) AS DOUBLE) / count(*) AS daily_average,
+    f"""WITH {t.WHOLE_ACCOUNT} SELECT CAST(sum(tokens) AS BIGINT) AS total_tokens, count(*) AS calendar_days, CAST(sum(tokens) AS DOUBLE) / count(*) AS daily_average,
   count(*) FILTER (tokens > 0) AS active_days, max(tokens) AS peak_tokens, (SELECT CAST(date AS VARCHAR) FROM account ORDER BY tokens DESC, date LIMIT 1) AS peak_date FROM account""",
 )
 def a31_account_strip(spark, folder):
-    return series.account_strip(t.account(spark, folder))
+    return series.account_strip(t.whole_account(spark, folder))
 
 
 @query(
@@ -760,7 +762,7 @@ SELECT CAST(daily.date AS VARCHAR) AS date, daily.tokens, account.tokens AS acco
 def w02_running_account(spark, folder):
     """Local days beside account buckets, some missing; the running total takes those as 0."""
     daily = series.daily_totals(t.prepared(spark, folder))
-    joined = series.with_account(daily, t.recent_account(spark, folder))
+    joined = series.with_account(daily, t.recent_account(spark, folder, gaps=True))
     return series.running_account(joined).select("date", "tokens", "account_tokens", "cumulative_account_tokens")
 
 

@@ -117,12 +117,12 @@ daily AS (
 )"""
 )
 
-# days on which few sessions called, so that the series has gaps
+# the calls of every third day are moved to the next day, so that the series has gaps and holds every row
 SPARSE = (
     PREPARED
     + """,
 sparse AS (
-  SELECT * FROM prepared WHERE date_diff('day', DATE '2023-12-31', date) % 3 <> 0
+  SELECT * REPLACE (CASE WHEN date_diff('day', DATE '2023-12-31', date) % 3 = 0 THEN date + 1 ELSE date END AS date) FROM prepared
 ),
 daily AS (
   SELECT date, sum(cost) AS cost, CAST(sum(calls) AS BIGINT) AS calls, count(DISTINCT session) AS sessions,
@@ -142,8 +142,9 @@ filled AS (
 
 
 def sparse(spark: SparkSession, folder: str) -> DataFrame:
-    """Usage without every third day: a series with gaps to fill."""
-    return prepared(spark, folder).where(F.datediff("date", F.lit("2023-12-31").cast("date")) % 3 != 0)
+    """Usage with the calls of every third day moved to the next: a series with gaps to fill, and every row in it."""
+    moved = F.datediff("date", F.lit("2023-12-31").cast("date")) % 3 == 0
+    return prepared(spark, folder).withColumn("date", F.when(moved, F.date_add("date", 1)).otherwise(F.col("date")))
 
 
 def sparse_daily(spark: SparkSession, folder: str) -> DataFrame:
@@ -349,17 +350,26 @@ shipments AS (
 )"""
 
 
-def account(spark: SparkSession, folder: str) -> DataFrame:
-    """orders as the account series; it starts later and ends earlier than the ledger."""
+def whole_account(spark: SparkSession, folder: str) -> DataFrame:
+    """orders as the account series."""
     cents = (F.col("o_totalprice").cast("decimal(18,2)") * 100).cast("bigint")
-    return (
-        table(spark, folder, "orders")
-        .groupBy(F.to_date("o_orderdate").alias("date"))
-        .agg(F.sum(cents).alias("tokens"))
-        .where(F.col("date").between(F.lit("1996-01-01").cast("date"), F.lit("2000-12-31").cast("date")))
+    return table(spark, folder, "orders").groupBy(F.to_date("o_orderdate").alias("date")).agg(F.sum(cents).alias("tokens"))
+
+
+def account(spark: SparkSession, folder: str) -> DataFrame:
+    """The account series that starts later and ends earlier than the ledger, for what has to do with that."""
+    return whole_account(spark, folder).where(
+        F.col("date").between(F.lit("1996-01-01").cast("date"), F.lit("2000-12-31").cast("date"))
     )
 
 
+WHOLE_ACCOUNT = """
+account AS (
+  SELECT CAST(o_orderdate AS DATE) AS date, CAST(sum(CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 100 AS BIGINT)) AS BIGINT) AS tokens
+  FROM orders GROUP BY 1
+)"""
+
+
 ACCOUNT = """
 account AS (
   SELECT CAST(o_orderdate AS DATE) AS date, CAST(sum(CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 100 AS BIGINT)) AS BIGINT) AS tokens
@@ -367,12 +377,12 @@ account AS (
 )"""
 
 
-def recent_account(spark: SparkSession, folder: str) -> DataFrame:
-    """Account buckets beside the events: totals of the local days, some days missing, a few unused."""
+def recent_account(spark: SparkSession, folder: str, gaps: bool = False) -> DataFrame:
+    """Account buckets beside the events: totals of the local days, with ``gaps`` some days missing."""
     from meterbook.operators.series import daily_totals as totals
 
     daily = totals(prepared(spark, folder))
-    kept = daily.where(F.dayofmonth("date") % 7 != 3)
+    kept = daily.where(F.dayofmonth("date") % 7 != 3) if gaps else daily
     return kept.select("date", (F.col("tokens") * 11 / F.lit(10)).cast("bigint").alias("tokens"))
 
 

@@ -61,10 +61,25 @@ def add_repository_fingerprint(df: DataFrame, remote: str, out: str, identity: s
     return done.drop("_text", "_url", "_scp", "_scheme", "_host", "_path", "_identity")
 
 
-def session_pseudonym(session: str | Column) -> Column:
-    """Stable public name of a session; a missing session has one of its own."""
+def session_key(session: str | Column) -> Column:
+    """Whole pseudonymous identity of a session, to group and join by; a missing session has one of its own."""
     raw = F.coalesce(_col(session).cast("string"), F.lit(fixed.UNKNOWN_SESSION))
-    return F.concat(F.lit("session-"), F.substring(F.sha2(raw, 256), 1, 12))
+    return F.concat(F.lit("session-"), F.sha2(raw, 256))
+
+
+def session_label(key: str | Column, digits: int = 12) -> Column:
+    """Public name of a session: its key, shortened for show.  Labels may collide; never group by them."""
+    return F.substring(_col(key), 1, len("session-") + digits)
+
+
+def session_pseudonym(session: str | Column) -> Column:
+    """Public name of a raw session id."""
+    return session_label(session_key(session))
+
+
+def label_sessions(df: DataFrame, digits: int = 12) -> DataFrame:
+    """Shorten the session keys of a finished table."""
+    return df.withColumn("session", session_label("session", digits)) if "session" in df.columns else df
 
 
 def json_token(value: Column) -> Column:

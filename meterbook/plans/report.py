@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterbook import fixed
-from meterbook.functions.identity import session_pseudonym
+from meterbook.functions.identity import label_sessions, session_key, session_label
 from meterbook.functions.labels import activity_label, is_specific, model_label
 from meterbook.functions.timeparts import local_date, local_hour, weekday
 from meterbook.functions.tokens import COMPONENTS, ratio_or_null, ratio_or_zero, record_weight, round_half_up
@@ -16,6 +16,7 @@ from meterbook.operators import rollups, series
 from meterbook.operators.filters import account_bounds
 from meterbook.operators.keyed import keyed_join, summarise, with_totals
 from meterbook.operators.projects import with_project_alias
+from meterbook.operators.quality import pseudonym_checks, require_clean
 from meterbook.operators.ranking import rank_quantiles, small_quantiles, top_share
 from meterbook.session import stage
 
@@ -28,7 +29,7 @@ def prepare(
     missing_activity: str = fixed.OTHER_LABEL,
     weigh_calls: bool = True,
 ) -> DataFrame:
-    """Usage rows with local calendar parts, public labels and session pseudonyms.
+    """Usage rows with local calendar parts, public labels and whole session keys (``label_sessions`` shortens them at the edge).
 
     All of it is column expressions on one scan.  ``bases`` (known project paths)
     adds the lookup of worktree parents.
@@ -40,7 +41,7 @@ def prepare(
             "hour": local_hour("ts", tz),
             "weekday": weekday(date),
             "raw_session": F.col("session"),
-            "session": session_pseudonym("session"),
+            "session": session_key("session"),
             "model": model_label("model"),
             "activity": activity_label("activity", missing_activity),
             "calls": record_weight("calls") if weigh_calls else F.coalesce(F.col("calls"), F.lit(0)).cast("bigint"),
@@ -217,9 +218,14 @@ def build_report(
     account: DataFrame | None = None,
     bases: DataFrame | None = None,
     period_cost: DataFrame | None = None,
+    session_digits: int = 12,
 ) -> dict[str, DataFrame]:
     """All report tables.
 
+    Everything is grouped by whole session keys; the tables show them with
+    ``session_digits`` digits.  Two sessions under one label are refused: ask for
+    more digits then.
+
     The usage rows are read once: every table comes from the compact facts, which
     are staged in the shared folder, so a lost executor costs no second pass.
     """
@@ -231,6 +237,8 @@ def build_report(
             F.col("date").between(F.col("account_start"), F.col("account_end"))
         ).drop("account_start", "account_end")
     exact = stage(rollups.compact_facts(prepared, by))
+    labels = exact.select(*by, F.col("session").alias("raw_session"), session_label("session", session_digits).alias("session")).distinct()
+    require_clean(pseudonym_checks(labels, by=by).where(F.col("check") == "pseudonym-collision"))
     totals = rollups.totals(exact, by)
     daily = stage(series.running_cost(series.zero_fill(series.daily_totals(exact, by), by), by))
     sessions = stage(rollups.by_session(exact, by))
@@ -273,4 +281,4 @@ def build_report(
         tables["account"] = series.account_with_local(account, daily, by)
         tables["account_strip"] = series.account_strip(account, by)
         tables["reconstruction"] = reconstruction(full, account, by)
-    return tables
+    return {name: label_sessions(df, session_digits) for name, df in tables.items()}

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Joins and aggregations are left to Catalyst and AQE.  AQE measures the real
 # size of a side before it broadcasts it and splits a skewed partition of a
@@ -22,9 +23,6 @@ RUNTIME_SETTINGS = {
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
 }
 
-BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
-
-
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the run-time SQL settings; cluster sizing is left as it is."""
     for key, value in RUNTIME_SETTINGS.items():
@@ -41,6 +39,7 @@ def local_session(cpus: str = "8", app: str = "meterbook") -> SparkSession:
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         # static: no capture of Python call sites per column expression, so plans build faster
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
@@ -50,13 +49,14 @@ def local_session(cpus: str = "8", app: str = "meterbook") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only in local mode."""
+    """The shared folder the cluster names; in local mode, where none is named, a temporary one that ends with the process."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     folder = tempfile.mkdtemp(prefix="meterbook-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 
@@ -76,14 +76,3 @@ def stage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
-
-
-def measured(df: DataFrame, limit_bytes: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
-    """A lookup side, staged once; hinted for broadcast only if its measured size allows it.
-
-    Beyond the limit the hint is left out and the join shuffles both sides.
-    """
-    staged = stage(df)
-    widths = [F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) + 16 for c in staged.columns]
-    size = staged.agg(F.sum(sum(widths[1:], widths[0]))).first()[0] or 0
-    return F.broadcast(staged) if size <= limit_bytes else staged
