@@ -4,10 +4,13 @@ from pyspark.sql import functions as F
 
 from meterbook.catalog import tables as t
 from meterbook.catalog.registry import query, sql_time
-from meterbook.operators import dedup
+from meterbook import fixed
+from meterbook.operators import dedup, quality
 from meterbook.operators.projects import resolve_projects
 from meterbook.plans import merge
 from meterbook.plans import ledger as ledger_plan
+from meterbook.session import scratch_path
+from meterbook.sources import devices, sinks
 
 NUMBERS = "CAST(cost AS DOUBLE) AS cost, fresh_input, cache_read, cache_write, output"
 
@@ -51,6 +54,70 @@ def u03_exact_dedup(spark, folder):
     )
 
 
+def _device_lines(spark, folder):
+    """Ledgers of both devices, written as lines and read back."""
+    events = t.device_events(spark, folder)
+    paths = {}
+    for name in ("A", "B"):
+        own = events.where(F.col("device") == name)
+        paths[name] = scratch_path(spark, f"device-{name}")
+        sinks.sink_ledger(own, own, paths[name], head=sinks.ledger_head(own, t.TZ))
+    return devices.read_ledger_lines(spark, paths)
+
+
+@query("s12_ledger_round_trip", MERGED)
+def s12_ledger_round_trip(spark, folder):
+    """Device ledgers that went through files merge as their sources do."""
+    lines = _device_lines(spark, folder)
+    return dedup.exact_dedup(resolve_projects(merge.with_provenance(lines.events), t.alias_map(spark, folder))).select(
+        "event_id", "copies", "ts", "source", "session", "model", "cost", "fresh_input", "cache_read", "cache_write", "output",
+        "device", "fingerprint", "project", "activity", "devices",
+    )
+
+
+def _heads(events, zones=("Asia/Shanghai",), reliable=True):
+    zone = F.element_at(F.array(*[F.lit(z) for z in zones]), (F.col("device_order") % len(zones) + 1).cast("int"))
+    return events.select("device", "device_order").distinct().select(
+        "device", "device_order", zone.alias("timezone"), F.lit(fixed.LEDGER_SCHEMA).alias("schema"), F.lit(reliable).alias("reliable")
+    )
+
+
+@query(
+    "u06_merge_ledgers",
+    f"""WITH {t.DEVICES}, d AS (SELECT DISTINCT event_id, tokens FROM device_events)
+SELECT 'events' AS mode, CAST(0 AS BIGINT) AS violations, count(*) AS events, CAST(sum(tokens) AS BIGINT) AS tokens FROM d""",
+)
+def u06_merge_ledgers(spark, folder):
+    """Reliable ledgers of one source pass every gate and are merged as events."""
+    events = t.device_events(spark, folder).withColumn("source", F.lit(fixed.SOURCE_BASELINE))
+    found = merge.merge_ledgers(_heads(events), events, events, t.TZ, t.alias_map(spark, folder))
+    return found.events.agg(
+        F.lit(found.mode).alias("mode"), F.lit(found.violations.count()).cast("bigint").alias("violations"), F.count(F.lit(1)).alias("events"),
+        F.sum(F.col("fresh_input") + F.col("cache_read") + F.col("cache_write") + F.col("output")).alias("tokens"),
+    )
+
+
+@query(
+    "u06_refused_ambiguous",
+    f"""WITH {t.NEAR}, p AS (SELECT source, session, model, ms FROM near JOIN ambiguous ON ambiguous.id = near.event_id GROUP BY ALL)
+SELECT 'near-time-ambiguous' AS "check", count(*) AS violations FROM p HAVING count(*) > 0""",
+)
+def u06_refused_ambiguous(spark, folder):
+    """Ambiguous neighbours refuse a merge of events."""
+    events = t.near_events(spark, folder)
+    found = merge.merge_ledgers(_heads(events), events, events, t.TZ)
+    if found.events is not None:
+        raise AssertionError("an ambiguous merge was given")
+    return quality.tally(found.violations)
+
+
+@query("u06_refused_zones", "SELECT 'device-timezone' AS \"check\", CAST(1 AS BIGINT) AS violations FROM (SELECT count(*) FROM events)")
+def u06_refused_zones(spark, folder):
+    """Ledgers of two time zones are not merged."""
+    events = t.device_events(spark, folder)
+    return quality.tally(merge.merge_ledgers(_heads(events, ("Asia/Shanghai", "Europe/Berlin")), events, events, t.TZ).violations)
+
+
 @query("w06_preferred_copy", f"WITH {t.DEVICES} SELECT event_id, device, project, activity FROM merged WHERE copies > 1")
 def w06_preferred_copy(spark, folder):
     """The preferred of several copies, its gaps filled from the next ones."""
@@ -172,3 +239,16 @@ FROM compact GROUP BY ts, session, model, source HAVING count(DISTINCT device) >
 )
 def u07_overlap_groups(spark, folder):
     return dedup.overlap_groups(t.compact_inputs(spark, folder))
+
+
+@query(
+    "u06_merge_records",
+    f"WITH {t.COMPACT} SELECT 'records' AS mode, count(*) AS records, CAST(sum(calls) AS BIGINT) AS calls, CAST(sum(cost) AS DOUBLE) AS cost FROM multiset",
+)
+def u06_merge_records(spark, folder):
+    """Ledgers that are not reliable at event level are merged as multisets of records."""
+    records = t.compact_inputs(spark, folder)
+    found = merge.merge_ledgers(_heads(records, reliable=False), records, records, t.TZ)
+    return found.records.agg(
+        F.lit(found.mode).alias("mode"), F.count(F.lit(1)).alias("records"), F.sum("calls").alias("calls"), F.sum("cost").alias("cost")
+    )

@@ -195,3 +195,12 @@ TRIM_CHARS = (
     "\t\n\x0b\x0c\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
     "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 )
+
+# --- fixed values: forms of a repository remote; fingerprints made elsewhere must be met exactly ---
+REMOTE_URL = r"^([A-Za-z][A-Za-z0-9+.-]*):(?://(?:[^@/?#]*@)?([^/?#]*))?([^?#]*)"
+REMOTE_SCP = r"^(?:[^@/\s]+@)?([^:/\s]+):(.+)$"
+REMOTE_USER = r"^[^@/]+@(?=[^/]+/)"
+REMOTE_QUERY = r"[?#].*$"
+REMOTE_SUFFIX = r"\.git$"
+DRIVE_PATH = r"(?i)^[a-z]:/"
+DEFAULT_PORTS = {"https": "443", "http": "80"}

@@ -9,9 +9,7 @@ from meterbook import fixed
 from meterbook.functions.labels import clean_dimension
 from meterbook.functions.timeparts import iso_utc
 
-_UUID = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
-_URL = r"^([A-Za-z][A-Za-z0-9+.-]*):(?://(?:[^@/?#]*@)?([^/?#]*))?([^?#]*)"
-_SCP = r"^(?:[^@/\s]+@)?([^:/\s]+):(.+)$"
+_WHOLE_UUID = f"(?i)^{fixed.UUID_TEXT}$"
 
 
 def _col(value: str | Column) -> Column:
@@ -21,44 +19,46 @@ def _col(value: str | Column) -> Column:
 def normalize_session_id(cleaned: str | Column) -> Column:
     """A trailing UUID in lower case, otherwise the text; of a text that is already trimmed."""
     tail = F.substring(_col(cleaned), -36, 36)
-    return F.when(tail.rlike(_UUID), F.lower(tail)).otherwise(_col(cleaned))
+    return F.when(tail.rlike(_WHOLE_UUID), F.lower(tail)).otherwise(_col(cleaned))
+
+
+def _host_and_path(text: Column) -> Column:
+    """(host, path) of a remote in any of its forms: scp, URL with or without a scheme, bare.
+
+    A bare remote has its host at the begin of the path.
+    """
+
+    def parts(host: Column, path: Column) -> Column:
+        return F.struct(host.alias("host"), path.alias("path"))
+
+    def of_url(url: Column) -> Column:
+        scheme, host = F.lower(F.regexp_extract(url, fixed.REMOTE_URL, 1)), F.regexp_extract(url, fixed.REMOTE_URL, 2)
+        port = F.try_element_at(F.create_map(*[F.lit(x) for item in fixed.DEFAULT_PORTS.items() for x in item]), scheme)
+        plain = F.when(F.endswith(host, F.concat(F.lit(":"), port)), F.substring_index(host, ":", 1)).otherwise(host)
+        return parts(plain, F.ltrim(F.regexp_extract(url, fixed.REMOTE_URL, 3), F.lit("/")))
+
+    url = F.when(F.startswith(text, F.lit("//")), F.concat(F.lit("ssh:"), text)).otherwise(text)
+    is_scp = text.rlike(fixed.REMOTE_SCP) & ~F.contains(text, F.lit("://")) & ~text.rlike(fixed.DRIVE_PATH)
+    bare = F.regexp_replace(F.regexp_replace(text, fixed.REMOTE_USER, ""), fixed.REMOTE_QUERY, "")
+    return (
+        F.when(is_scp, parts(F.regexp_extract(text, fixed.REMOTE_SCP, 1), F.regexp_extract(text, fixed.REMOTE_SCP, 2)))
+        .when(url.rlike(fixed.REMOTE_URL), of_url(url))
+        .otherwise(parts(F.lit(""), bare))
+    )
 
 
 def add_repository_fingerprint(df: DataFrame, remote: str, out: str, identity: str | None = None) -> DataFrame:
-    """Hash of ``host/owner/name`` of an scp, ssh, https or bare remote as a column.
+    """Hash of ``host/owner/name`` of a remote as a column.
 
     Each step is a column of its own and is computed once per row.  ``identity``
     names a column to keep the readable form in; by default it is dropped.
     """
-    steps = df.withColumn("_text", F.replace(clean_dimension(remote), F.lit("\\"), F.lit("/")))
-    text = F.col("_text")
-    scp = ~F.contains(text, F.lit("://")) & ~text.rlike("(?i)^[a-z]:/") & text.rlike(_SCP)
-    scp_identity = F.concat(F.regexp_extract(text, _SCP, 1), F.lit("/"), F.regexp_extract(text, _SCP, 2))
-    bare = F.regexp_replace(text, "(?i)^[a-z][a-z0-9+.-]*://", "")
-    bare = F.regexp_replace(F.regexp_replace(bare, r"^[^@/]+@(?=[^/]+/)", ""), r"[?#].*$", "")
-    steps = steps.withColumns(
-        {
-            "_url": F.when(F.startswith(text, F.lit("//")), F.concat(F.lit("ssh:"), text)).otherwise(text),
-            "_scp": F.when(scp, scp_identity),
-        }
-    )
-    url = F.col("_url")
-    is_url = F.col("_scp").isNull() & url.rlike(_URL)
-    steps = steps.withColumns(
-        {
-            "_scheme": F.when(is_url, F.lower(F.regexp_extract(url, _URL, 1))),
-            "_host": F.when(is_url, F.regexp_extract(url, _URL, 2)),
-            "_path": F.when(is_url, F.regexp_replace(F.regexp_extract(url, _URL, 3), "^/+", "")),
-        }
-    )
-    default = F.when(F.col("_scheme") == "https", ":443").when(F.col("_scheme") == "http", ":80")
-    host = F.when(F.endswith("_host", default), F.substring_index("_host", ":", 1)).otherwise(F.col("_host"))
-    found = F.coalesce("_scp", F.concat(host, F.lit("/"), F.col("_path")), bare)
-    trimmed = F.regexp_replace(F.regexp_replace(F.btrim(found, F.lit("/")), r"(?i)\.git$", ""), "/+$", "")
     name = identity or "_identity"
-    done = steps.withColumn(name, F.nullif(F.lower(trimmed), F.lit("")))
-    done = done.withColumn(out, F.sha2(name, 256))
-    return done.drop("_text", "_url", "_scp", "_scheme", "_host", "_path", "_identity")
+    steps = df.withColumn("_text", F.replace(clean_dimension(remote), F.lit("\\"), F.lit("/")))
+    steps = steps.withColumn("_parts", _host_and_path(F.col("_text")))
+    whole = F.lower(F.btrim(F.concat_ws("/", F.nullif("_parts.host", F.lit("")), "_parts.path"), F.lit("/")))
+    steps = steps.withColumn(name, F.nullif(F.rtrim(F.regexp_replace(whole, fixed.REMOTE_SUFFIX, ""), F.lit("/")), F.lit("")))
+    return steps.withColumn(out, F.sha2(name, 256)).drop("_text", "_parts", "_identity")
 
 
 def session_key(session: str | Column) -> Column:

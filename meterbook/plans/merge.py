@@ -14,9 +14,10 @@ from meterbook.functions.tokens import COMPONENTS
 from meterbook.operators import dedup, rollups
 from meterbook.operators.keyed import keyed_join, summarise
 from meterbook.operators.projects import resolve_projects
-from meterbook.operators.quality import key_text, row_checks
+from meterbook.operators.quality import core_conflicts, device_checks, event_checks, key_text, row_checks, unique_ids
 from meterbook.plans.ledger import localised
 from meterbook.session import stage
+from meterbook.sources.devices import ledger_head_checks
 
 
 @dataclass
@@ -164,6 +165,77 @@ def merge_compact(
     )
 
 
+@dataclass
+class MergedLedger:
+    """What a merge of device ledgers gives: the tables only where nothing was refused."""
+
+    mode: str
+    violations: DataFrame
+    records: DataFrame | None = None
+    events: DataFrame | None = None
+    audit: DataFrame | None = None
+    devices: DataFrame | None = None
+
+
+def merge_ledgers(
+    heads: DataFrame,
+    events: DataFrame,
+    records: DataFrame,
+    tz: str,
+    aliases: DataFrame | None = None,
+    by: Sequence[str] = (),
+    malformed: DataFrame | None = None,
+) -> MergedLedger:
+    """Gates, mode and merge of device ledgers.
+
+    Heads must agree in time zone and schema and have labels of their own.  If
+    every device is reliable at event level, events are merged: their own rules,
+    ids within a device, conflicting copies, ambiguous neighbours and the balance
+    of the audit decide whether the result is given.  Else compact records are
+    merged as multisets, which is never reliable at event level.
+    """
+    gates = [device_checks(heads, by=by).where(F.col("check") != "device-reliable"), ledger_head_checks(heads)]
+    if malformed is not None:
+        gates.append(malformed)
+    gate = stage(reduce(DataFrame.unionByName, gates))
+    mode = "events" if heads.where(~F.coalesce("reliable", F.lit(False))).isEmpty() else "records"
+    if not gate.isEmpty():
+        return MergedLedger(mode, gate)
+    if mode == "records":
+        return MergedLedger(mode, gate, merge_compact(records, tz, aliases, by), devices=compact_summary(records, by))
+    merged = merge_events(events, aliases, by)
+    audit = token_audit(merged, by)
+    found = stage(
+        reduce(
+            DataFrame.unionByName,
+            [
+                event_checks(events),
+                unique_ids(events, [*by, "device"]),
+                core_conflicts(merged.distinct),
+                device_checks(heads, merged.matches, by).where(F.col("check") == "near-time-ambiguous"),
+                audit_checks(audit, by),
+            ],
+        )
+    )
+    if not found.isEmpty():
+        return MergedLedger(mode, found, audit=audit)
+    return MergedLedger(mode, found, merged_records(merged.events, tz, by), merged.events, audit, device_summary(merged, by))
+
+
+def compact_summary(records: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """For each device: records given, records another device has too, and records that may be the same with other numbers."""
+    prints = records.withColumn("_print", dedup.record_fingerprint())
+    spread = prints.groupBy(*by, "_print").agg(F.countDistinct("device").alias("_devices"))
+    shared = keyed_join(prints, spread, [*by, "_print"])
+    odd = dedup.overlap_groups(records, by).select(*by, "ts", "session", "model", "source", F.lit(True).alias("_odd"))
+    marked = keyed_join(shared, odd, [*by, "ts", "session", "model", "source"])
+    return marked.groupBy(*by, "device").agg(
+        F.count(F.lit(1)).alias("records"),
+        F.count_if(F.col("_devices") > 1).alias("matched_records"),
+        F.count_if(F.coalesce("_odd", F.lit(False))).alias("possible_ambiguous"),
+    )
+
+
 def interchange(events: DataFrame) -> DataFrame:
     """Merged events with provenance as they are written for exchange."""
     from meterbook.sources.sinks import event_documents

@@ -19,6 +19,7 @@ from meterbook.operators.projects import with_project_alias
 from meterbook.operators.quality import pseudonym_checks, require_clean
 from meterbook.operators.ranking import rank_quantiles, small_quantiles, top_share
 from meterbook.session import stage
+from meterbook.sources import exports as exports_source
 
 
 def prepare(
@@ -211,6 +212,37 @@ def top_shares(daily: DataFrame, projects: DataFrame, sessions: DataFrame, by: S
     return with_totals(with_totals(out, p, by), s, by)
 
 
+def export_report(
+    usage: DataFrame,
+    tz: str,
+    exports: DataFrame,
+    account: DataFrame | None = None,
+    bases: DataFrame | None = None,
+    session_digits: int = 12,
+) -> dict[str, DataFrame]:
+    """Report of a session export: its own period cost, model, activity and session tables lead, the records add detail.
+
+    ``exports`` are parsed export documents, ``usage`` their records.
+    """
+    period = exports_source.export_summary(exports).agg(F.sum("period_cost").alias("period_cost"))
+    tables = build_report(usage, tz, (), account, bases, period, session_digits)
+    prepared = prepare(usage, tz, (), bases)
+    exact = stage(rollups.compact_facts(prepared))
+    given = exports_source.export_models(exports).withColumn("model", model_label("model")).groupBy("model").agg(
+        F.sum("cost").alias("cost"), F.sum("calls").alias("calls"), *[F.sum(c).alias(c) for c in COMPONENTS]
+    )
+    tables["models"] = given.withColumn("tokens", rollups.tokens())
+    tables["model_days"] = rollups.scaled_model_days(rollups.model_days(exact), given)
+    activities = exports_source.export_activities(exports).withColumn("activity", activity_label("activity"))
+    tables["activities"] = keyed_join(
+        activities.groupBy("activity").agg(F.sum("cost").alias("cost"), F.sum("turns").alias("turns")),
+        rollups.by_activity(exact).select("activity", "calls", "tokens"), ["activity"],
+    ).fillna(0, ["calls", "tokens"])
+    sessions = exports_source.export_sessions(exports).drop("document").withColumn("session", session_key("session"))
+    tables["sessions"] = label_sessions(rollups.session_rows_with_detail(sessions, rollups.by_session(exact)), session_digits)
+    return tables
+
+
 def build_report(
     usage: DataFrame,
     tz: str,

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from pyspark.sql import types as T
 from meterbook import fixed
 from meterbook.functions.labels import clean_dimension, single_alias, trim, value_conflict
 from meterbook.functions.timeparts import epoch_ms, from_epoch_ms, parse_instant
-from meterbook.operators.quality import row_checks
+from meterbook.operators.quality import row_checks, stack
 from meterbook.sources.portable import read_documents
 
 _S, _L, _D = T.StringType(), T.LongType(), T.DecimalType(28, 9)
@@ -51,15 +53,21 @@ LEDGER = _struct(
 ALIASES = _struct(schema=_S, aliases=T.ArrayType(_struct(device=_S, project=_S, alias=_S)))
 
 
+def device_name(label: str) -> str:
+    """A device label: trimmed, 1 to 64 printable characters."""
+    name = label.strip()
+    if not 1 <= len(name) <= 64 or any(ord(c) < 32 or ord(c) == 127 for c in name):
+        raise ValueError(f"device label must have 1 to 64 printable characters: {label!r}")
+    return name
+
+
 def read_device_ledgers(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
     """Ledger documents of several devices, tagged with label and order."""
     if not paths:
         raise ValueError("no device ledger given")
     out = None
     for order, (label, path) in enumerate(paths.items()):
-        name = label.strip()
-        if not 1 <= len(name) <= 64 or any(ord(c) < 32 or ord(c) == 127 for c in name):
-            raise ValueError(f"device label must have 1 to 64 printable characters: {label!r}")
+        name = device_name(label)
         one = read_documents(spark, path).withColumns(
             {"device": F.lit(name), "device_order": F.lit(order).cast("bigint")}
         )
@@ -77,9 +85,74 @@ def _component(name: str) -> list[Column]:
     return [F.col(f"e.{short}"), F.col(f"e.{long}"), F.col(f"e.components.{long}")]
 
 
+def ledger_document_checks(ledgers: DataFrame) -> DataFrame:
+    """A document that does not parse, or holds neither events nor records, is a violation."""
+    return row_checks(
+        ledgers,
+        F.col("device"),
+        [
+            ("ledger-malformed", F.col("schema").isNull() & F.col("events").isNull() & F.col("records").isNull(), "a ledger document", F.lit("other")),
+            ("ledger-empty", F.col("schema").isNotNull() & F.col("events").isNull() & F.col("records").isNull(), "events or records", F.lit("neither")),
+        ],
+    )
+
+
 def ledger_events(ledgers: DataFrame) -> DataFrame:
     """Normalised events with device, order, provenance and declared totals."""
-    rows = ledgers.select("device", "device_order", F.posexplode("events").alias("input_order", "e"))
+    return normalised_events(ledgers.select("device", "device_order", F.posexplode("events").alias("input_order", "e")))
+
+
+@dataclass
+class LedgerLines:
+    """Device ledgers in line-delimited form: tables that split, whatever their size."""
+
+    heads: DataFrame
+    events: DataFrame
+    records: DataFrame
+    malformed: DataFrame
+
+
+_LINE = T.StructType([*EVENT.fields, T.StructField("inputOrder", _L), T.StructField("_corrupt", _S)])
+_RECORD_LINE = T.StructType([*RECORD.fields, T.StructField("inputOrder", _L), T.StructField("_corrupt", _S)])
+_HEAD_LINE = T.StructType([*[f for f in LEDGER.fields if f.name not in ("events", "records")], T.StructField("_corrupt", _S)])
+
+
+def read_ledger_lines(spark: SparkSession, paths: Mapping[str, str]) -> LedgerLines:
+    """Folders that ``sink_ledger`` wrote, one for each device label.
+
+    A line that does not parse is a row of ``malformed`` (check key expected actual) and is in no table.
+    """
+    if not paths:
+        raise ValueError("no device ledger given")
+    parts: dict[str, list[DataFrame]] = {"head": [], "events": [], "records": []}
+    kinds = {"head": _HEAD_LINE, "events": _LINE, "records": _RECORD_LINE}
+    for order, (label, path) in enumerate(paths.items()):
+        name = device_name(label)
+        for kind, schema in kinds.items():
+            lines = spark.read.text(f"{path.rstrip('/')}/{kind}_lines").select("value")
+            parsed = lines.select("value", F.from_json("value", schema, {"columnNameOfCorruptRecord": "_corrupt"}).alias("e"))
+            parts[kind].append(parsed.select(F.lit(name).alias("device"), F.lit(order).cast("bigint").alias("device_order"), "value", "e"))
+    stacked = {kind: reduce(DataFrame.unionByName, frames) for kind, frames in parts.items()}
+    bad = F.col("e").isNull() | F.col("e._corrupt").isNotNull()
+    malformed = stack(*[
+        row_checks(df, F.concat_ws("|", "device", F.lit(kind)), [("ledger-line-malformed", bad, "a JSON object", F.substring("value", 1, 80))])
+        for kind, df in stacked.items()
+    ])
+    good = {kind: df.where(~bad) for kind, df in stacked.items()}
+
+    def ordered(df: DataFrame) -> DataFrame:
+        return df.withColumn("input_order", F.coalesce("e.inputOrder", F.lit(0).cast("bigint")))
+
+    return LedgerLines(
+        ledger_heads(good["head"].select("device", "device_order", "e.*")),
+        normalised_events(ordered(good["events"])),
+        normalised_records(ordered(good["records"])),
+        malformed,
+    )
+
+
+def normalised_events(rows: DataFrame) -> DataFrame:
+    """Events from rows (device, device_order, input_order, e)."""
     parts = {c: F.coalesce(*_component(c), F.lit(0).cast("bigint")) for c in COMPONENT_FIELDS}
     total = sum(list(parts.values())[1:], list(parts.values())[0])
     source = clean_dimension("e.source")
@@ -121,7 +194,12 @@ def spelling_checks(ledgers: DataFrame) -> DataFrame:
 
 def ledger_records(ledgers: DataFrame) -> DataFrame:
     """Normalised compact records with device and order."""
-    rows = ledgers.select("device", "device_order", F.posexplode("records").alias("input_order", "r"))
+    return normalised_records(ledgers.select("device", "device_order", F.posexplode("records").alias("input_order", "e")))
+
+
+def normalised_records(rows: DataFrame) -> DataFrame:
+    """Compact records from rows (device, device_order, input_order, e)."""
+    rows = rows.withColumnRenamed("e", "r")
     zero = F.lit(0).cast("bigint")
     return rows.select(
         "device",

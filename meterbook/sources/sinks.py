@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meterbook import fixed
 from meterbook.functions.timeparts import iso_utc, month_key
 from meterbook.operators.quality import require_clean
 from meterbook.operators.textscan import gate
@@ -15,6 +16,8 @@ from meterbook.operators.textscan import gate
 def event_documents(events: DataFrame) -> DataFrame:
     """Ledger events in the shape of the interchange format, one object per row."""
     kept = [c for c in ("provenance", "sourceEventIds") if c in events.columns]
+    if "input_order" in events.columns:
+        kept.append(F.col("input_order").alias("inputOrder"))
     return events.select(
         F.col("event_id").alias("eventId"),
         iso_utc("ts").alias("occurredAt"),
@@ -24,7 +27,7 @@ def event_documents(events: DataFrame) -> DataFrame:
         "project",
         "activity",
         F.col("fingerprint").alias("projectFingerprint"),
-        F.col("cost").cast("double").alias("costUsd"),
+        F.col("cost").cast("decimal(28,9)").alias("costUsd"),
         F.struct(
             F.col("fresh_input").alias("freshInputTokens"),
             F.col("cache_read").alias("cacheReadTokens"),
@@ -36,10 +39,37 @@ def event_documents(events: DataFrame) -> DataFrame:
     )
 
 
-def sink_ledger(events: DataFrame, compact: DataFrame, path: str, compression: str = "gzip") -> None:
-    """Events as compressed JSON for exchange, and both tables as parquet for work."""
+def record_documents(records: DataFrame) -> DataFrame:
+    """Compact records in the shape of the interchange format, one object per row."""
+    return records.select(
+        iso_utc("ts").alias("timestamp"), F.col("session").alias("sessionId"), "model", "project", "activity", "source",
+        F.col("cost").cast("decimal(28,9)").alias("cost"), "calls", F.col("fresh_input").alias("input"),
+        F.col("cache_read").alias("cacheRead"), "output", F.col("cache_write").alias("cacheWrite"),
+        *[F.col(c).alias(n) for c, n in (("fingerprint", "projectFingerprint"), ("input_order", "inputOrder")) if c in records.columns],
+    )
+
+
+def ledger_head(events: DataFrame, tz: str, cutoff: DataFrame | None = None, reliable: bool = True) -> DataFrame:
+    """Schema, zone, cutoff, range and event contract of a ledger, as one row."""
+    bounds = events.agg(iso_utc(F.min("ts")).alias("firstAt"), iso_utc(F.max("ts")).alias("lastAt"))
+    last = F.lit(None).cast("bigint") if cutoff is None else cutoff.select("cutoff_seconds").scalar()
+    return bounds.select(
+        F.lit(fixed.LEDGER_SCHEMA).alias("schema"),
+        F.lit(tz).alias("timezone"),
+        F.struct(last.alias("ccSwitchMaxCreatedAtEpochSeconds")).alias("cutoff"),
+        F.struct("firstAt", "lastAt").alias("range"),
+        F.struct(F.lit(reliable).alias("eventLevelReliable")).alias("eventContract"),
+    )
+
+
+def sink_ledger(events: DataFrame, compact: DataFrame, path: str, compression: str = "gzip", head: DataFrame | None = None) -> None:
+    """Both tables as compressed JSON lines for exchange and as parquet for work; ``read_ledger_lines`` reads the lines."""
     documents = event_documents(events)
-    documents.write.mode("overwrite").option("compression", compression).option("ignoreNullFields", False).json(f"{path}/events_json")
+    lines = {"events": documents, "records": record_documents(compact)}
+    if head is not None:
+        lines["head"] = head
+    for kind, df in lines.items():
+        df.write.mode("overwrite").option("compression", compression).option("ignoreNullFields", False).json(f"{path}/{kind}_lines")
     events.write.mode("overwrite").parquet(f"{path}/events")
     compact.write.mode("overwrite").parquet(f"{path}/records")
 
