@@ -131,24 +131,24 @@ class PieceEncoder:
         self.letters = {b: ord(c) for c, b in self.vocabulary.byte_of.items()}
         self.kind = np.dtype("<u2" if len(self.vocabulary.names) <= 1 << 16 else "<u4")
         self.known: dict[bytes, bytes] = {}
-        self.words: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
-    def _word(self, word: bytes) -> bytes:
+    def _word(self, word: str) -> bytes:
         ids = self.words.get(word)
         if ids is None:
-            found = self.model.tokenize(word.decode("latin-1").translate(self.letters))
+            found = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
             ids = self.words[word] = np.array([t.id for t in found], self.kind).tobytes()
         return ids
 
     def learn(self, pieces: set[bytes]) -> None:
-        if len(self.known) > MEMORY:
-            self.known.clear()
+        if len(self.known) > MEMORY:  # what this batch needs stays
+            self.known = {p: self.known[p] for p in pieces if p in self.known}
         if len(self.words) > MEMORY:
             self.words.clear()
-        width = self.kind.itemsize
-        for piece in pieces - self.known.keys():
-            parts = self.vocabulary.words(piece)
-            self.known[piece] = b"".join([self._word(w) if isinstance(w, bytes) else w.to_bytes(width, "little") for w in parts])
+        width, word = self.kind.itemsize, self._word
+        new = list(pieces - self.known.keys())
+        for piece, parts in zip(new, self.vocabulary.cut(new), strict=True):
+            self.known[piece] = b"".join([word(w) if isinstance(w, str) else w.to_bytes(width, "little") for w in parts])
 
     def batch(self, texts: list[bytes]) -> Iterator[bytes]:
         cut = [t.split() for t in texts]

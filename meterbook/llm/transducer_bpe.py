@@ -39,8 +39,8 @@ from meterbook.session import shared_dir
 #: The lexicon holds at most so many words (a few MB); it changes the speed only.
 LEXICON_WORDS = 65_536
 MIN_COUNT = 2
-#: Encoded pieces a task remembers before it starts anew.
-MEMORY = 250_000
+#: Encoded pieces, and words, a task remembers before it starts anew.
+MEMORY = 350_000
 _SIMPLE = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 _PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zßà-öø-ÿ]+|[0-9]|[^a-zßà-öø-ÿ0-9]+")
 _MAGIC = b"MBLEX001"
@@ -84,19 +84,26 @@ class Vocabulary:
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
-    def words(self, piece: bytes) -> list[bytes | int]:
-        """Words of a piece as bytes; a special token as its id."""
-        text = piece.decode("utf-8", "replace")
-        if _SIMPLE.fullmatch(text) and "<|" not in text:
-            return [w.encode() for w in _PARTS.findall(text.lower())]
-        out: list[bytes | int] = []
+    def cut(self, pieces: list[bytes]) -> list[list[str | int]]:
+        """Words of each piece; a special token as its id.  Pieces hold no line end, so they are decoded and lower-cased as one text."""
+        if not pieces:
+            return []
+        whole = b"\n".join(pieces).decode("utf-8", "replace")
+        simple, parts = _SIMPLE.fullmatch, _PARTS.findall
+        return [
+            parts(low) if simple(text) and "<|" not in text else self._cut_by_library(text)
+            for text, low in zip(whole.split("\n"), whole.lower().split("\n"), strict=True)
+        ]
+
+    def _cut_by_library(self, text: str) -> list[str | int]:
+        out: list[str | int] = []
         for i, part in enumerate(self.specials.split(text) if self.specials else [text]):
             if i % 2:
                 out.append(self.special[part])
             elif part:
                 normal = self.tokenizer.normalizer.normalize_str(part) if self.tokenizer.normalizer else part
                 cut = self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)
-                out += [bytes(map(self.byte_of.__getitem__, w)) for w, _ in cut if w]
+                out += [bytes(map(self.byte_of.__getitem__, w)).decode() for w, _ in cut if w]
         return out
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -259,45 +266,66 @@ class Lexicon:
     def ids_of(self, number: int) -> np.ndarray:
         return self.ids[self.offsets[number] : self.offsets[number + 1]]
 
+    def ids_of_all(self, numbers: np.ndarray) -> list[np.ndarray]:
+        ids = self.ids.view(np.ndarray)
+        starts, ends = self.offsets[numbers].tolist(), self.offsets[numbers + 1].tolist()
+        return [ids[a:b] for a, b in zip(starts, ends, strict=True)]
+
 
 class Encoder:
-    """Encodes pieces by lexicon and merges, and remembers them."""
+    """Encodes words by lexicon and merges, pieces by their words, and remembers both."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None):
         self.vocabulary, self.lexicon = vocabulary, lexicon
+        self.words: dict[str | int, tuple[bytes, bytes]] = {}
         self.ids: dict[bytes, bytes] = {}
         self.shown: dict[bytes, bytes] = {}
         self.silent: set[bytes] = set()
 
+    def _learn_words(self, words: list[str]) -> None:
+        raw = [w.encode() for w in words]
+        if self.lexicon is None:
+            numbers = np.full(len(raw), -1)
+        else:
+            numbers = self.lexicon.numbers(raw)
+        met, unseen = np.flatnonzero(numbers >= 0).tolist(), np.flatnonzero(numbers < 0).tolist()
+        found = [] if self.lexicon is None else self.lexicon.ids_of_all(numbers[met])
+        names, known = self.vocabulary.names, self.words
+        for at, ids in (*zip(met, found, strict=True), *zip(unseen, self.vocabulary.merge([raw[i] for i in unseen]), strict=True)):
+            known[words[at]] = (ids.tobytes(), b" ".join([names[i] for i in ids.tolist()]))
+
     def learn(self, pieces: set[bytes]) -> None:
         new = list(pieces - self.ids.keys())
         if not new:
             return
-        cut = [self.vocabulary.words(p) for p in new]
-        words = list({w for parts in cut for w in parts if isinstance(w, bytes)})
-        of: dict[bytes | int, bytes] = {}
-        unseen = words
-        if self.lexicon is not None:
-            numbers = self.lexicon.numbers(words)
-            unseen = [w for w, n in zip(words, numbers.tolist(), strict=True) if n < 0]
-            of.update((w, self.lexicon.ids_of(n).tobytes()) for w, n in zip(words, numbers.tolist(), strict=True) if n >= 0)
-        of.update((w, ids.tobytes()) for w, ids in zip(unseen, self.vocabulary.merge(unseen), strict=True))
-        names = self.vocabulary.names
+        if len(self.words) > MEMORY:
+            self.words.clear()
+        cut = self.vocabulary.cut(new)
+        every = set().union(*cut) - self.words.keys()
+        self._learn_words([w for w in every if isinstance(w, str)])
+        for w in every:
+            if not isinstance(w, str):  # a special token
+                self.words[w] = (w.to_bytes(4, "little"), self.vocabulary.names[w])
+        known, all_ids, all_shown = self.words, self.ids, self.shown
         for piece, parts in zip(new, cut, strict=True):
-            ids = b"".join([of[w] if isinstance(w, bytes) else w.to_bytes(4, "little") for w in parts])
-            self.ids[piece] = ids
-            self.shown[piece] = b" ".join([names[i] for i in memoryview(ids).cast("I")])
-            if not ids:
+            if len(parts) == 1:
+                all_ids[piece], all_shown[piece] = known[parts[0]]
+                continue
+            found = [known[w] for w in parts]
+            all_ids[piece] = b"".join([f[0] for f in found])
+            all_shown[piece] = b" ".join([f[1] for f in found])
+            if not parts:
                 self.silent.add(piece)
 
     def batch(self, texts: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         """Ids (little-endian 32 bit) and decoded text of each text."""
-        if len(self.ids) > MEMORY:
-            self.ids.clear()
-            self.shown.clear()
-            self.silent.clear()
         cut = [t.split() for t in texts]
-        self.learn(set().union(*cut))
+        pieces = set().union(*cut)
+        if len(self.ids) > MEMORY:  # what this batch needs stays
+            kept = [p for p in pieces if p in self.ids]
+            self.ids, self.shown = {p: self.ids[p] for p in kept}, {p: self.shown[p] for p in kept}
+            self.silent &= pieces
+        self.learn(pieces)
         for parts in cut:
             if self.silent:
                 parts = [p for p in parts if p not in self.silent]
@@ -330,13 +358,13 @@ def count_words(docs: DataFrame, vocabulary_path: str, text_col: str = "text") -
         pieces: Counter[bytes] = Counter()
 
         def sent() -> pa.RecordBatch:
-            words: Counter[bytes] = Counter()
-            for piece, n in pieces.items():
-                for w in vocabulary.words(piece):
-                    if isinstance(w, bytes):
+            words: Counter[str] = Counter()
+            for n, parts in zip(pieces.values(), vocabulary.cut(list(pieces)), strict=True):
+                for w in parts:
+                    if isinstance(w, str):
                         words[w] += n
             pieces.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
 
         for batch in batches:
             for text in texts_of(batch):
@@ -345,7 +373,7 @@ def count_words(docs: DataFrame, vocabulary_path: str, text_col: str = "text") -
                 yield sent()
         yield sent()
 
-    return map_batches(own, work, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return map_batches(own, work, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def put_file(spark: SparkSession, name: str, data: bytes) -> str:
@@ -364,7 +392,7 @@ def build_lexicon(docs: DataFrame, vocabulary_path: str, text_col: str = "text",
     """Compile the most frequent words; returns the name of the handed-out file."""
     counted = count_words(docs, vocabulary_path, text_col).where(F.col("n") >= MIN_COUNT)
     top = counted.orderBy(F.desc("n"), "word").limit(most).collect()
-    return put_file(docs.sparkSession, "lexicon", compile_lexicon([bytes(r.word) for r in top], Vocabulary(vocabulary_path)))
+    return put_file(docs.sparkSession, "lexicon", compile_lexicon([r.word.encode() for r in top], Vocabulary(vocabulary_path)))
 
 
 def encode_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", most: int = LEXICON_WORDS) -> DataFrame:
