@@ -64,13 +64,14 @@ _ANSWER = re.compile(r"(?is).*\banswer\s*:\s*(.+)\Z")
 _SENTENCE = re.compile(r"(?s)(?:.*[.!?]\s+)?(.+?)\s*\Z")
 
 
-def plain(piece: bytes) -> str:
-    """A word as it is compared: letters and digits in lower case."""
-    return "".join(filter(str.isalnum, piece.decode("utf-8", "replace").lower()))
+def plain(pieces: list[bytes]) -> list[str]:
+    """Words as they are compared: letters and digits in lower case.  Pieces hold no line end, so they are read as one text."""
+    low = b"\n".join(pieces).decode("utf-8", "replace").lower().split("\n") if pieces else []
+    return [w if w.isalnum() else "".join(filter(str.isalnum, w)) for w in low]
 
 
 def words_of(text: str | None) -> list[str]:
-    return [w for w in map(plain, (text or "").encode().split()) if w]
+    return [w for w in plain((text or "").encode().split()) if w]
 
 
 def answer_of(text: str) -> list[str]:
@@ -113,12 +114,12 @@ class Coder:
         self.known: dict[bytes, int] = {}
 
     def codes(self, texts: list[bytes]) -> list[np.ndarray]:
-        if len(self.known) > MEMORY:
-            self.known.clear()
         cut = [t.split() for t in texts]
-        for piece in set().union(*cut) - self.known.keys():
-            word = plain(piece)
-            self.known[piece] = self.vocabulary.get(word, 0) if word else -1
+        pieces = set().union(*cut)
+        if len(self.known) > MEMORY:  # what this batch needs stays
+            self.known = {p: self.known[p] for p in pieces if p in self.known}
+        new, code = list(pieces - self.known.keys()), self.vocabulary.get
+        self.known.update((p, code(w, 0) if w else -1) for p, w in zip(new, plain(new), strict=True))
         out = []
         for parts in cut:
             found = np.fromiter(map(self.known.__getitem__, parts), np.int32, len(parts))
@@ -280,11 +281,9 @@ def common(mask: dict[int, int], size: int, codes: list[int]) -> int:
     """Length of the longest common subsequence with an item whose places are given by term, in bit-parallel form."""
     full = (1 << size) - 1
     row = full
-    for code in codes:
-        places = mask.get(code)
-        if places:
-            hit = row & places
-            row = ((row + hit) | (row - hit)) & full
+    for places in filter(None, map(mask.get, codes)):
+        hit = row & places
+        row = ((row + hit) | (row - hit)) & full
     return size - row.bit_count()
 
 
@@ -309,10 +308,10 @@ class Checker:
         """(share of the item, share of its answer, first word) of the best stretch around a window, if it is a hit."""
         size = len(self.items.codes[item])
         a, b = max(0, start - size), min(len(codes), start + WINDOW + size)
-        region = codes[a:b].tolist()
         mask = self.masks[item]
-        if common(mask, size, region) < PARAPHRASE * size:
+        if common(mask, size, codes[a:b][codes[a:b] > 0].tolist()) < PARAPHRASE * size:
             return None
+        region = codes[a:b].tolist()
         length, best = -(-3 * size // 2), None
         step = max(1, size // 8)
         for at in range(0, max(1, len(region) - length + step), step):
