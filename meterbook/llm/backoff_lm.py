@@ -44,7 +44,7 @@ from meterbook.llm.common import ASCII_LOWER, map_batches, texts_of, written
 ORDER = 3
 BACKOFF = 0.4
 MIN_COUNT = 2
-CHUNK_WORDS = 1 << 20
+CHUNK_WORDS = 1 << 22
 PART_GRAMS = 1 << 21
 MEMORY = 400_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -65,7 +65,7 @@ class Hasher:
 
     def words(self, text: bytes) -> np.ndarray:
         parts = text.translate(ASCII_LOWER).split()
-        for piece in set(parts) - self.known.keys():
+        for piece in set(parts).difference(self.known):
             self.known[piece] = xxhash.xxh64_intdigest(piece, 0)
         out = np.fromiter(map(self.known.__getitem__, parts), np.uint64, len(parts))
         if len(self.known) > MEMORY:
@@ -88,24 +88,32 @@ def grams(words: np.ndarray, starts: np.ndarray, order: int) -> list[np.ndarray]
     return out
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers as compressed planes: all first bytes, all second bytes ..."""
+    width = values.dtype.itemsize
+    return zstandard.ZstdCompressor(1).compress(values.view(np.uint8).reshape(-1, width).T.tobytes())
+
+
+def _numbers(data: bytes, kind: str) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def pack(values: np.ndarray) -> bytes:
-    """Sorted 64-bit numbers: differences, byte by byte of their places, compressed."""
-    gaps = np.diff(values, prepend=np.uint64(0))
-    return zstandard.ZstdCompressor(1).compress(gaps.view(np.uint8).reshape(-1, 8).T.tobytes())
+    """Sorted 64-bit numbers, as their differences."""
+    return _planes(np.diff(values, prepend=np.uint64(0)))
 
 
 def unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.cumsum(np.ascontiguousarray(planes.reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+    return np.cumsum(_numbers(data, "<u8"), dtype=np.uint64)
 
 
 def pack_counts(values: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(1).compress(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+    return _planes(values.astype("<u4"))
 
 
 def unpack_counts(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
+    return _numbers(data, "<u4")
 
 
 def tokenise(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -121,12 +129,16 @@ def tokenise(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
         def sent() -> pa.RecordBatch:
             words = np.concatenate(found)
-            names, places = np.unique(words, return_inverse=True)
+            names, places, counts = np.unique(words, return_inverse=True, return_counts=True)
+            # the most frequent words get the smallest numbers, which compress best
+            order = np.argsort(-counts, kind="stable")
+            rank = np.empty_like(order)
+            rank[order] = np.arange(len(order))
             sizes = np.array([len(w) for w in found], "<i8")
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([part << 32 | number], pa.int64()), pa.array([ids], pa.list_(id_type)), pa.array([sizes.tobytes()], pa.binary()),
-                    pa.array([pack(names)], pa.binary()), pa.array([pack_counts(places)], pa.binary()), pa.array([len(words)], pa.int64()),
+                    pa.array([_planes(names[order])], pa.binary()), pa.array([pack_counts(rank[places])], pa.binary()), pa.array([len(words)], pa.int64()),
                 ],
                 ["chunk", "ids", "sizes", "names", "places", "words"],
             )
@@ -149,7 +161,7 @@ def tokenise(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _chunk_grams(row: dict, order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     sizes = np.frombuffer(row["sizes"], "<i8")
-    words = unpack(row["names"])[unpack_counts(row["places"])] if row["words"] else np.empty(0, np.uint64)
+    words = _numbers(row["names"], "<u8")[unpack_counts(row["places"])] if row["words"] else np.empty(0, np.uint64)
     starts = np.cumsum(sizes) - sizes
     # documents without words have no place of their own
     return sizes, words, grams(words, starts[sizes > 0], order)

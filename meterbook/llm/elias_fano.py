@@ -146,7 +146,7 @@ class PieceEncoder:
         if len(self.words) > MEMORY:
             self.words.clear()
         width, word = self.kind.itemsize, self._word
-        new = list(pieces - self.known.keys())
+        new = list(pieces.difference(self.known))
         for piece, parts in zip(new, self.vocabulary.cut(new), strict=True):
             self.known[piece] = b"".join([word(w) if isinstance(w, str) else w.to_bytes(width, "little") for w in parts])
 

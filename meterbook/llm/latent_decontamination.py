@@ -118,7 +118,7 @@ class Coder:
         pieces = set().union(*cut)
         if len(self.known) > MEMORY:  # what this batch needs stays
             self.known = {p: self.known[p] for p in pieces if p in self.known}
-        new, code = list(pieces - self.known.keys()), self.vocabulary.get
+        new, code = list(pieces.difference(self.known)), self.vocabulary.get
         self.known.update((p, code(w, 0) if w else -1) for p, w in zip(new, plain(new), strict=True))
         out = []
         for parts in cut:

@@ -295,13 +295,13 @@ class Encoder:
             known[words[at]] = (ids.tobytes(), b" ".join([names[i] for i in ids.tolist()]))
 
     def learn(self, pieces: set[bytes]) -> None:
-        new = list(pieces - self.ids.keys())
+        new = list(pieces.difference(self.ids))
         if not new:
             return
         if len(self.words) > MEMORY:
             self.words.clear()
         cut = self.vocabulary.cut(new)
-        every = set().union(*cut) - self.words.keys()
+        every = set().union(*cut).difference(self.words)
         self._learn_words([w for w in every if isinstance(w, str)])
         for w in every:
             if not isinstance(w, str):  # a special token
