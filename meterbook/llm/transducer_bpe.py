@@ -33,7 +33,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterbook.llm.common import map_batches, texts_of
+from meterbook.llm.common import map_batches, texts_of, written
 from meterbook.session import shared_dir
 
 #: The lexicon holds at most so many words (a few MB); it changes the speed only.
@@ -390,9 +390,25 @@ def put_file(spark: SparkSession, name: str, data: bytes) -> str:
 
 def build_lexicon(docs: DataFrame, vocabulary_path: str, text_col: str = "text", most: int = LEXICON_WORDS) -> str:
     """Compile the most frequent words; returns the name of the handed-out file."""
-    counted = count_words(docs, vocabulary_path, text_col).where(F.col("n") >= MIN_COUNT)
-    top = counted.orderBy(F.desc("n"), "word").limit(most).collect()
-    return put_file(docs.sparkSession, "lexicon", compile_lexicon([r.word.encode() for r in top], Vocabulary(vocabulary_path)))
+    return put_file(docs.sparkSession, "lexicon", compile_lexicon(frequent_words(docs, vocabulary_path, text_col, most), Vocabulary(vocabulary_path)))
+
+
+def frequent_words(docs: DataFrame, vocabulary_path: str, text_col: str = "text", most: int = LEXICON_WORDS) -> list[bytes]:
+    """At most ``most`` words, down to one level of frequency.
+
+    The level is found from a histogram of a few hundred rows, so no task sends more than its share of the words taken.
+    """
+    counted = count_words(docs, vocabulary_path, text_col).where(F.col("n") >= MIN_COUNT).withColumn("level", F.floor(F.log2("n") * 16))
+    counted = written(counted, "word-counts")
+    total, least = 0, None
+    for row in sorted(counted.groupBy("level").agg(F.count("*").alias("words")).collect(), key=lambda r: -r.level):
+        total += row.words
+        if total > most:
+            break
+        least = row.level
+    if least is None:
+        return []
+    return [r.word.encode() for r in counted.where(F.col("level") >= least).select("word").collect()]
 
 
 def encode_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", most: int = LEXICON_WORDS) -> DataFrame:
