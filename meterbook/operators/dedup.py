@@ -224,15 +224,15 @@ def merge_pairs(events: DataFrame, pairs: DataFrame, by: Sequence[str] = ()) ->
     members = pairs.select(
         *by, F.col("baseline_id").alias("pair_id"), F.explode(F.array("baseline_id", "increment_id")).alias("event_id")
     )
-    tagged = keyed_join(events, members, [*by, "event_id"])
-    alone = tagged.where(F.col("pair_id").isNull()).drop("pair_id")
+    # few events are paired: both joins send the small side around, the events stay where they are
+    alone = keyed_join(events, members, [*by, "event_id"], "left_anti")
+    paired = keyed_join(events, members, [*by, "event_id"], "inner")
     numeric = F.struct("event_id", *CORE, "calls", "copies", "conflicting")
     baseline_first = F.struct(
         (F.col("source") != fixed.SOURCE_BASELINE).cast("int"), F.col("device_order"), F.col("input_order")
     )
     folded = (
-        tagged.where(F.col("pair_id").isNotNull())
-        .groupBy(*by, "pair_id")
+        paired.groupBy(*by, "pair_id")
         .agg(
             F.min_by(numeric, baseline_first).alias("_numeric"),
             *attribution_picks(),

@@ -119,3 +119,41 @@ def test_large_scale_plans_keep_their_shape(spark):
     assert "NestedLoopJoin" not in scaled._jdf.queryExecution().executedPlan().toString()
     ranked = ordered_positions(rollups.project_sums(rows), [F.desc("cost"), F.asc("project")])
     assert "Exchange SinglePartition" not in ranked._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+
+
+def test_export_tables_lead_the_report(spark):
+    """The tables of an export are shown; its records give days, tokens and detail."""
+    import json
+
+    from meterbook.plans.report import export_report
+    from meterbook.sources import exports
+
+    def record(n, model, category, cost):
+        return {"project": "/u/site", "sessionId": f"rollout-s{n}", "timestamp": f"2024-05-0{n}T08:00:00Z", "category": category, "model": model,
+                "inputTokens": 100, "outputTokens": 20, "cacheReadTokens": 50, "cacheWriteTokens": 0, "cost": cost, "calls": 1}
+
+    def figures(**more):
+        return {"Cost (USD)": 8.0, "API Calls": 2, "Input Tokens": 100, "Output Tokens": 40, "Cache Read Tokens": 100, "Cache Write Tokens": 0, **more}
+
+    body = {
+        "schema": "codeburn.export.v2", "summary": [{"Cost (USD)": 16.0, "API Calls": 4, "Sessions": 2, "Projects": 1}],
+        "periods": [{
+            "daily": [{"Date": "2024-05-01", **figures()}],
+            "models": [figures(Model="m1", **{"Share (%)": 50.0}), figures(Model="m2", **{"Share (%)": 50.0})],
+            "activity": [{"Activity": "Coding", "Cost (USD)": 16.0, "Share (%)": 100.0, "Turns": 9}],
+        }],
+        "records": [record(1, "m1", "Coding", 1.0), record(2, "m1", "Coding", 3.0), record(3, "m2", "Coding", 4.0)],
+        "sessions": [{"Session ID": "s1", "Project": "site", "Started At": "2024-05-01T08:00:00Z", "Cost (USD)": 2.0, "API Calls": 1, "Turns": 3}],
+        "projects": [{"Project": "site", "Cost (USD)": 16.0, "API Calls": 4, "Sessions": 2}],
+    }
+    made = exports.parse_exports(spark.createDataFrame([("d", json.dumps(body))], "document string, payload string"))
+    tables = export_report(exports.export_records(made), "UTC", made)
+    assert {r.model: float(r.cost) for r in tables["models"].collect()} == {"m1": 8.0, "m2": 8.0}
+    assert {(r.model, str(r.date)): r.cost for r in tables["model_days"].collect()} == {
+        ("m1", "2024-05-01"): 2.0, ("m1", "2024-05-02"): 6.0, ("m2", "2024-05-03"): 8.0,
+    }
+    assert [(r.activity, r.turns, float(r.cost)) for r in tables["activities"].collect()] == [("Coding", 9, 16.0)]
+    session = tables["sessions"].first()
+    assert len(session.session) == len("session-") + 12 and session.turns == 3
+    # records cost 8, the period 16: one factor for all facts
+    assert {float(r.cost_scale) for r in tables["facts"].select("cost_scale").distinct().collect()} == {2.0}
