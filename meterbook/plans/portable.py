@@ -35,7 +35,7 @@ def portable_report(
     if documents is not None:
         require_clean(portable.document_checks(documents))
     require_clean(portable.checks(parsed, by, max_days))
-    usage = portable.normalize(parsed)
+    usage = portable.normalize(parsed, by)
     tables = build_report(usage, tz, by)
     tables["portable_audit"] = portable_audit(usage, tz, by)
     return tables

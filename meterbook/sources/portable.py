@@ -23,6 +23,7 @@ from meterbook.operators.quality import (
     timestamp_rules,
 )
 from meterbook.operators.dedup import repeated_rows
+from meterbook.session import stage
 from meterbook.sources.heads import first_lines
 
 # every record field is read as text: one set of number rules serves all three formats
@@ -162,25 +163,22 @@ def _field(name: str) -> Column:
     return single_alias(*fixed.PORTABLE_ALIASES[name])
 
 
-def normalize(parsed: DataFrame) -> DataFrame:
-    """Usage rows from parsed text columns; what does not parse is null and shows up in ``checks``."""
-    kept = [c for c in ("document", "key", "timezone", "synthetic") if c in parsed.columns]
-    return parsed.select(
-        *kept,
-        trim(_field("row_id")).alias("row_id"),
+def _usage_columns() -> dict[str, Column]:
+    return {
+        "row_id": trim(_field("row_id")),
         # instants are kept to the millisecond
-        from_epoch_ms(epoch_ms(parse_instant(trim(_field("timestamp"))))).alias("ts"),
-        trim(_field("session")).alias("session"),
-        trim(_field("project")).alias("project"),
-        trim(_field("model")).alias("model"),
-        trim(_field("activity")).alias("activity"),
-        safe_integer(_field("input")).alias("fresh_input"),
-        safe_integer(_field("cache_read")).alias("cache_read"),
-        safe_integer(_field("cache_write")).alias("cache_write"),
-        safe_integer(_field("output")).alias("output"),
-        safe_integer(_field("calls")).alias("calls"),
-        safe_amount(_field("cost")).alias("cost"),
-    )
+        "ts": from_epoch_ms(epoch_ms(parse_instant(trim(_field("timestamp"))))),
+        **{name: trim(_field(name)) for name in ("session", "project", "model", "activity")},
+        "fresh_input": safe_integer(_field("input")),
+        **{name: safe_integer(_field(name)) for name in ("cache_read", "cache_write", "output", "calls")},
+        "cost": safe_amount(_field("cost")),
+    }
+
+
+def normalize(parsed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Usage rows from parsed text columns, with the account columns ``by``; what does not parse is null and shows up in ``checks``."""
+    kept = [c for c in ("document", "key", "timezone", "synthetic") if c in parsed.columns and c not in by]
+    return parsed.select(*by, *kept, *[column.alias(name) for name, column in _usage_columns().items()])
 
 
 def alias_rules(record: str | None = None) -> list[tuple]:
@@ -207,10 +205,10 @@ def alias_rules(record: str | None = None) -> list[tuple]:
 def checks(parsed: DataFrame, by: Sequence[str] = (), max_days: int | None = None) -> DataFrame:
     """Every rule of the portable format, as violations; the span of days only where ``max_days`` bounds it.
 
-    All rules of a single record run in one pass; the totals take a second one,
-    and repeated records and row ids one shuffle each.
+    Records are parsed once; all rules of a single record run in one pass over
+    the result, the totals take a second one, and repeated records and row ids
+    one shuffle each.
     """
-    usage = normalize(parsed)
     texts = parsed.withColumns({f"_{name}": trim(_field(name)) for name in fixed.PORTABLE_ALIASES})
     texts = texts.withColumn("_ts", parse_instant("_timestamp"))
     integers = ("input", "output", "cache_read", "cache_write", "calls")
@@ -220,14 +218,18 @@ def checks(parsed: DataFrame, by: Sequence[str] = (), max_days: int | None = Non
     numbers = {n: safe_integer(f"_{n}") for n in integers}
     checked = texts.withColumns({f"_spelled_{i}": F.coalesce(rule[1], F.lit(False)) for i, rule in enumerate(spelled)})
     shown = {f"_shown_{i}": rule[3] if isinstance(rule[3], Column) else F.lit(rule[3]) for i, rule in enumerate(spelled)}
-    checked = checked.withColumns(shown).select(
+    wide = checked.withColumns(shown).select(
         "key",
+        *[F.col(k).alias(f"by_{k}") for k in by],
+        *[column.alias(f"u_{name}") for name, column in _usage_columns().items()],
         *[F.col(f"_spelled_{i}") for i in range(len(spelled))],
         *[F.col(f"_shown_{i}") for i in range(len(spelled))],
         *[F.col(f"_{name}").alias(name) for name in fixed.PORTABLE_ALIASES],
         F.col("_ts").alias("ts"),
         *[column.alias(f"n_{n}") for n, column in numbers.items()],
     )
+    checked = stage(wide)
+    usage = checked.select(*[F.col(f"by_{k}").alias(k) for k in by], *[F.col(f"u_{name}").alias(name) for name in _usage_columns()])
     summed = F.col("n_input") + F.col("n_output") + F.col("n_cache_read") + F.col("n_cache_write")
     record_rules = [
         *[(rule[0], F.col(f"_spelled_{i}"), rule[2], F.col(f"_shown_{i}")) for i, rule in enumerate(spelled)],

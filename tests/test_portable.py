@@ -134,3 +134,13 @@ def test_short_csv_row(spark, tmp_path):
     path.write_text("timestamp,project,session,model,activity,input_tokens,cost_usd,calls\n2024-05-01T00:00:00Z,p,s,m,a,1,1,1\n2024-05-01T00:00:00Z,p\n")
     found = {r.check for r in portable.checks(portable.read_csv(spark, str(path))).collect()}
     assert "record-malformed" in found
+
+
+def test_accounts_and_years(spark):
+    """Three accounts over three years are one input; each has its own totals."""
+    lines = [(account, json.dumps({**RECORDS[0], "timestamp": f"202{year}-05-01T09:00:00Z", "session": f"s{year}"})) for account in "abc" for year in (2, 3, 4)]
+    parsed_ = portable.parse_records(spark.createDataFrame(lines, "account string, record string"))
+    tables = portable_report(parsed_, "UTC", ["account"])
+    assert {(r.account, r.record_rows) for r in tables["portable_audit"].collect()} == {(a, 3) for a in "abc"}
+    with pytest.raises(QualityError, match="date-span"):
+        portable_report(parsed_, "UTC", ["account"], max_days=366)
