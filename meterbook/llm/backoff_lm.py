@@ -28,6 +28,7 @@ without rows gives no rows; other columns are not read, whatever their names.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,12 +40,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterbook.llm.common import ASCII_LOWER, map_batches, texts_of, written
+from meterbook.llm.common import ASCII_LOWER, map_batches, texts_of
+from meterbook.session import scratch_path
 
 ORDER = 3
 BACKOFF = 0.4
 MIN_COUNT = 2
-CHUNK_WORDS = 1 << 22
+CHUNK_WORDS = 1 << 21
 PART_GRAMS = 1 << 21
 MEMORY = 400_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -117,7 +119,7 @@ def unpack_counts(data: bytes) -> np.ndarray:
 
 
 def tokenise(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Written chunks of whole documents: ids (with a row of nulls marked), sizes, dictionary and places of the words."""
+    """Written chunks of whole documents: ids, sizes, dictionary and places of the words."""
     own = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     kind = own.schema["id"].dataType.simpleString()
 
@@ -156,7 +158,12 @@ def tokenise(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield sent()
 
     schema = f"chunk bigint, ids array<{kind}>, sizes binary, names binary, places binary, words bigint"
-    return written(map_batches(own, work, schema), "tokenised")
+    # bucketed by chunk: the last join reads the chunks where they are, and only the answers travel
+    spark, name = docs.sparkSession, f"tokenised_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    made = map_batches(own, work, schema).write.option("path", scratch_path(spark, "tokenised"))
+    made.bucketBy(buckets, "chunk").saveAsTable(name, format="parquet")
+    return spark.table(name)
 
 
 def _chunk_grams(row: dict, order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -247,7 +254,7 @@ def word_scores(found: list[np.ndarray], counts: list[np.ndarray], total: int, m
         whole = found[n - 1] != found[n - 2]  # a full n-gram ends here
         context = np.concatenate(([1], counts[n - 2][:-1]))  # the n-gram one shorter that ends at the word before
         seen = whole & (counts[n - 1] >= min_count)
-        with np.errstate(divide="ignore"):
+        with np.errstate(divide="ignore", invalid="ignore"):
             score = np.where(seen, np.log(counts[n - 1] / context), np.where(whole, np.log(BACKOFF) + score, score))
         length = np.where(seen, n, length)
     return score, length
@@ -284,3 +291,20 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     done = chunks.groupBy("chunk").cogroup(given.groupBy("chunk")).applyInPandas(score, f"id {kind}, n_words bigint, log_score double, n_backoff bigint")
     mean = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words"))
     return done.select(F.col("id").alias(id_col), "n_words", "log_score", mean.alias("mean_log_score"), "n_backoff")
+
+
+#: The scores of order 3 in SQL, rounded as the query rounds them.
+SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+w AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM (SELECT r, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws FROM d)),
+t AS (SELECT r, p, w, lag(w) OVER o AS w1, lag(w, 2) OVER o AS w2 FROM w WINDOW o AS (PARTITION BY r ORDER BY p)),
+c AS (SELECT *, count(*) OVER (PARTITION BY w) AS c1, count(*) OVER () AS total, CASE WHEN w1 IS NOT NULL THEN count(*) OVER (PARTITION BY w1, w) END AS c2,
+    CASE WHEN w2 IS NOT NULL THEN count(*) OVER (PARTITION BY w2, w1, w) END AS c3 FROM t),
+x AS (SELECT *, lag(c1) OVER o AS before1, lag(c2) OVER o AS before2 FROM c WINDOW o AS (PARTITION BY r ORDER BY p)),
+s AS (SELECT r, c3 IS NULL OR c3 < {MIN_COUNT} AS backed, CASE WHEN c3 >= {MIN_COUNT} THEN ln(c3 / before2)
+    WHEN c2 >= {MIN_COUNT} THEN CASE WHEN w2 IS NULL THEN 0 ELSE ln({BACKOFF}) END + ln(c2 / before1)
+    ELSE CASE WHEN w1 IS NULL THEN 0 WHEN w2 IS NULL THEN ln({BACKOFF}) ELSE 2 * ln({BACKOFF}) END + ln(c1 / total) END AS score FROM x),
+g AS (SELECT r, count(*) AS n, sum(score) AS score, count(*) FILTER (backed) AS backed FROM s GROUP BY r)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_words, round(coalesce(score, 0), 3) AS log_score, round(score / n, 6) AS mean_log_score,
+  coalesce(backed, 0)::BIGINT AS n_backoff FROM d LEFT JOIN g USING (r)"""

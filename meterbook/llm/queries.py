@@ -69,10 +69,11 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return elias_fano.store_and_read(table(spark, folder, "documents"), word_bpe())
 
 
-@query("op6_backoff_lm")
+@query("op6_backoff_lm", backoff_lm.SQL)
 def op6(spark: SparkSession, folder: str) -> DataFrame:
-    """Stupid-backoff score of every document under the counts of all documents."""
-    return backoff_lm.score_documents(table(spark, folder, "documents"))
+    """Stupid-backoff score of every document under the counts of all documents; rounded, as sums differ in their last bits."""
+    scored = backoff_lm.score_documents(table(spark, folder, "documents"))
+    return scored.withColumns({"log_score": F.round("log_score", 3), "mean_log_score": F.round("mean_log_score", 6)})
 
 
 @query("op9_latent_decontamination")

@@ -1,13 +1,16 @@
 """Stupid-backoff scores against a dictionary of counts."""
 
 import math
+import os
 import random
 from collections import Counter
 
 import numpy as np
+import oracle
 import pytest
 
 from meterbook.llm import backoff_lm as op
+from meterbook.llm import queries
 
 
 def corpus(n=120):
@@ -86,3 +89,9 @@ def test_empty_tables(spark):
     assert op.score_documents(empty).collect() == []
     blank = spark.createDataFrame([(1, ""), (2, None)], "doc_id bigint, text string")
     assert sorted(map(tuple, op.score_documents(blank).collect())) == [(1, 0, 0.0, None, 0), (2, 0, 0.0, None, 0)]
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.001"), reason="test tables are not there")
+def test_matches_sql(spark):
+    folder = "/root/testdata/sf0.001"
+    assert oracle.compare(queries.QUERIES["op6_backoff_lm"](spark, folder), oracle.connect(folder), op.SQL) == []
