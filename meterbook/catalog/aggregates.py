@@ -842,3 +842,33 @@ def t05_report_heads(spark, folder):
     )
 
 
+
+
+def _sizes(tables, names):
+    parts = [tables[n].agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("name"), "rows") for n in names]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+@query(
+    "a21_credits_audit",
+    f"""WITH {t.RESPONSES} SELECT 'summary' AS name, CAST(1 AS BIGINT) AS rows FROM (SELECT count(*) FROM days) UNION ALL SELECT 'days', count(*) FROM days UNION ALL SELECT 'models', count(DISTINCT model) FROM prepared
+UNION ALL SELECT 'reference', CAST(5 AS BIGINT) FROM (SELECT count(*) FROM days) UNION ALL SELECT 'alignment', CAST(1 AS BIGINT) FROM (SELECT count(*) FROM days)""",
+)
+def a21_credits_audit(spark, folder):
+    """All tables of the credits audit at once."""
+    tables = credits.credits_audit(parse_usage(t.response_days(spark, folder)), F.lit(41.0))
+    return _sizes(tables, ("summary", "days", "models", "reference", "alignment"))
+
+
+@query(
+    "a25_activity_audit",
+    f"""WITH {t.RESPONSES} SELECT 'days' AS name, count(*) AS rows FROM days UNION ALL SELECT 'summary', CAST(1 AS BIGINT) FROM (SELECT count(*) FROM days) UNION ALL SELECT 'models', count(DISTINCT model) FROM prepared""",
+)
+def a25_activity_audit(spark, folder):
+    """All tables of the activity report at once."""
+    days = parse_usage(t.response_days(spark, folder))
+    tools = [parse_tools(t.tool_days(spark, folder, k), k) for k in ("skills", "plugins")]
+    return _sizes(activity.activity_audit(days, *tools), ("days", "summary", "models"))

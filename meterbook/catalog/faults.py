@@ -9,7 +9,7 @@ from meterbook.functions.identity import label_sessions, session_key
 from meterbook.functions.timeparts import iso_utc, parse_instant
 from meterbook.functions.tokens import safe_amount
 from meterbook.operators import dedup, quality, rollups, textscan
-from meterbook.operators.projects import resolve_projects
+from meterbook.operators.projects import device_project_labels, resolve_projects
 from meterbook.plans import merge
 from meterbook.session import scratch_path
 from meterbook.sources import portable
@@ -166,3 +166,14 @@ def a18_merge_unbalanced(spark, folder):
     merged = merge.merge_events(t.near_events(spark, folder))
     lost = merge.MergedEvents(merged.input, merged.distinct, merged.matches, merged.events.where(F.col("source") != fixed.SOURCE_BASELINE))
     return quality.tally(merge.audit_checks(merge.token_audit(lost)))
+
+
+@query(
+    "p20_fingerprints_alike",
+    """SELECT DISTINCT 'abcdef' || lpad(CAST(user_id AS VARCHAR), 58, '0') AS fingerprint, 'repo · abcdef' || lpad(CAST(user_id AS VARCHAR), 58, '0') AS label FROM events""",
+)
+def p20_fingerprints_alike(spark, folder):
+    """Repositories of one folder name whose fingerprints begin alike keep labels of their own."""
+    prints = F.concat(F.lit("abcdef"), F.lpad(F.col("user_id").cast("string"), 58, "0"))
+    items = t.usage(spark, folder).select(F.lit("A").alias("device"), F.lit("/w/repo").alias("project"), prints.alias("fingerprint")).distinct()
+    return device_project_labels(items).select("fingerprint", "label")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from meterbook import fixed
@@ -104,7 +105,10 @@ def device_project_labels(items: DataFrame, aliases: DataFrame | None = None, by
     per_name = voting.groupBy(*by, "basename").agg(F.count(F.lit(1)).alias("prints"))
     named = keyed_join(per_print, per_name, [*by, "basename"])
     ambiguous = (F.col("names") > 1) | (F.col("prints") > 1)
-    suffixed = F.concat(F.col("basename"), F.lit(fixed.LABEL_SEPARATOR), short_fingerprint("fingerprint"))
+    # two fingerprints of one folder name that begin alike are told apart by the whole of them
+    named = named.withColumn("_short", short_fingerprint("fingerprint"))
+    alike = F.count(F.lit(1)).over(W.partitionBy(*by, "basename", "_short")) > 1
+    suffixed = F.concat(F.col("basename"), F.lit(fixed.LABEL_SEPARATOR), F.when(alike, F.lower("fingerprint")).otherwise(F.col("_short")))
     labels = named.select(*by, "fingerprint", F.when(ambiguous, suffixed).otherwise(F.col("basename")).alias("print_label"))
 
     joined = raw.join(shared_alias, [*by, "fingerprint"], "left").join(labels, [*by, "fingerprint"], "left")

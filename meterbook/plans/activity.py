@@ -22,6 +22,7 @@ from meterbook.operators.quality import (
     same_grouping,
     stack,
 )
+from meterbook.session import stage
 
 
 def usage_by(days: DataFrame, listed: str, name: str, by: Sequence[str] = ()) -> DataFrame:
@@ -154,3 +155,23 @@ def audit_checks(
                 )
             )
     return stack(*found)
+
+
+def activity_audit(
+    days: DataFrame, skills: DataFrame | None = None, plugins: DataFrame | None = None, by: Sequence[str] = ()
+) -> dict[str, DataFrame]:
+    """All tables of the activity report, and every violation of the responses and of the figures made from them."""
+    days = stage(days)
+    daily = stage(activity_days(days, skills, plugins, by))
+    tables = {
+        "days": daily,
+        "summary": activity_summary(daily, by),
+        "models": usage_by(days, "models", "model", by),
+        "clients": usage_by(days, "clients", "client_id", by),
+    }
+    for name, tools in (("skills", skills), ("plugins", plugins)):
+        if tools is not None:
+            tables[name] = tool_ranking(tools, name, by)
+    found = audit_checks(tables["summary"], daily, tables["models"], tables.get("skills"), tables.get("plugins"), by)
+    tables["violations"] = response_checks(days, skills, plugins, by).unionByName(found)
+    return tables

@@ -21,6 +21,7 @@ from meterbook.operators.quality import (
     row_checks,
     stack,
 )
+from meterbook.session import stage
 
 
 def rate_card() -> Column:
@@ -174,3 +175,17 @@ def audit_checks(audit: DataFrame, days: DataFrame, by: Sequence[str] = ()) -> D
         )
         pairs.append(("audit-quota", F.col("point_estimate"), estimate))
     return recomputed(joined, key_text(*by) if by else F.lit("total"), pairs, 1e-8)
+
+
+def credits_audit(days: DataFrame, remaining: Column | None = None, by: Sequence[str] = ()) -> dict[str, DataFrame]:
+    """All tables of the credits audit, and every violation of the responses and of the figures made from them."""
+    days = stage(days)
+    totals = stage(quota(credit_totals(days, by), remaining))
+    return {
+        "summary": totals,
+        "days": credit_days(days),
+        "models": credits_by_model(days, by),
+        "reference": priced(totals.select(*by, "cached", "uncached", "output"), by),
+        "alignment": detail_alignment(days, by),
+        "violations": stack(credit_checks(days, by), audit_checks(totals, days, by)),
+    }
