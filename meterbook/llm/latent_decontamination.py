@@ -31,6 +31,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -56,25 +57,27 @@ ANSWER = 0.8
 MIN_WORDS = 5
 ITEM_BLOCK = 1000
 SEGMENT = 1 << 15
-MEMORY = 300_000
 SEED = 7
 _CHUNK = 1 << 15
 _TERMS = 256
 _ANSWER = re.compile(r"(?is).*\banswer\s*:\s*(.+)\Z")
+_ASCII_DROPPED = bytes(c for c in range(128) if not chr(c).isalnum() and c not in b" \t\n\r\x0b\x0c")
+_DROPPED = re.compile(r"[^\w \t\n\r\x0b\x0c]+|_+")
 _SENTENCE = re.compile(r"(?s)(?:.*[.!?]\s+)?(.+?)\s*\Z")
 
 
-def plain(pieces: list[bytes]) -> list[str]:
-    """Words as they are compared: letters and digits in lower case.  Pieces hold no line end, so they are read as one text."""
-    low = b"\n".join(pieces).decode("utf-8", "replace").lower().split("\n") if pieces else []
-    return [w if w.isalnum() else "".join(filter(str.isalnum, w)) for w in low]
+def plain_words(text: bytes) -> list[bytes]:
+    """Words as they are compared: letters and digits in lower case, cut at ASCII white space."""
+    if text.isascii():
+        return text.lower().translate(None, _ASCII_DROPPED).split()
+    return _DROPPED.sub("", text.decode("utf-8", "replace").lower()).encode().split()
 
 
-def words_of(text: str | None) -> list[str]:
-    return [w for w in plain((text or "").encode().split()) if w]
+def words_of(text: str | None) -> list[bytes]:
+    return plain_words((text or "").encode())
 
 
-def answer_of(text: str) -> list[str]:
+def answer_of(text: str) -> list[bytes]:
     """What follows the last ``Answer:``, or else the last sentence."""
     found = _ANSWER.match(text) or _SENTENCE.match(text)
     return words_of(found[1]) if found else []
@@ -87,11 +90,11 @@ class Items:
     ids: list
     codes: list[np.ndarray]
     answers: list[np.ndarray]
-    vocabulary: dict[str, int]
+    vocabulary: dict[bytes, int]
 
     @classmethod
     def of(cls, rows: list[tuple]) -> Items:
-        vocabulary: dict[str, int] = {}
+        vocabulary: dict[bytes, int] = {}
         ids, codes, answers = [], [], []
         for i, text in rows:
             found = words_of(text)
@@ -106,25 +109,10 @@ class Items:
         return max(map(len, self.codes), default=0)
 
 
-class Coder:
-    """Codes of the words of a text; a word of no letters or digits is left out."""
-
-    def __init__(self, vocabulary: dict[str, int]):
-        self.vocabulary = vocabulary
-        self.known: dict[bytes, int] = {}
-
-    def codes(self, texts: list[bytes]) -> list[np.ndarray]:
-        cut = [t.split() for t in texts]
-        pieces = set().union(*cut)
-        if len(self.known) > MEMORY:  # what this batch needs stays
-            self.known = {p: self.known[p] for p in pieces if p in self.known}
-        new, code = list(pieces.difference(self.known)), self.vocabulary.get
-        self.known.update((p, code(w, 0) if w else -1) for p, w in zip(new, plain(new), strict=True))
-        out = []
-        for parts in cut:
-            found = np.fromiter(map(self.known.__getitem__, parts), np.int32, len(parts))
-            out.append(found[found >= 0])
-        return out
+def code_texts(texts: list[bytes], vocabulary: dict[bytes, int]) -> list[np.ndarray]:
+    """Codes of the words of each text, 0 for a word that the benchmark does not have."""
+    cut = map(plain_words, texts)
+    return [np.fromiter(map(vocabulary.get, parts, repeat(0)), np.int32, len(parts)) for parts in cut]
 
 
 def code_documents(docs: DataFrame, items: Items, id_col: str, text_col: str) -> DataFrame:
@@ -134,10 +122,9 @@ def code_documents(docs: DataFrame, items: Items, id_col: str, text_col: str) ->
     vocabulary, overlap = items.vocabulary, 2 * WINDOW + 4 * items.longest
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(vocabulary)
         for batch in batches:
             rows, starts, blobs = [], [], []
-            for row, codes in enumerate(coder.codes(texts_of(batch))):
+            for row, codes in enumerate(code_texts(texts_of(batch), vocabulary)):
                 for at in range(0, max(1, len(codes) - overlap), SEGMENT):
                     part = codes[at : at + SEGMENT + overlap]
                     if part.any():  # without a word of the benchmark there is no match

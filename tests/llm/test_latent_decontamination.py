@@ -42,7 +42,7 @@ def brute(items, docs):
     block = op.Items.of(items)
     checker, out = op.Checker(block), set()
     for i, t in docs:
-        codes = op.Coder(block.vocabulary).codes([(t or "").encode()])[0]
+        codes = op.code_texts([(t or "").encode()], block.vocabulary)[0]
         for item in range(len(block.ids)):
             if any(checker.check(item, codes, at) for at in range(0, max(1, len(codes)), op.STEP)):
                 out.add((i, block.ids[item]))
@@ -91,6 +91,12 @@ def test_common_subsequence():
 
 
 def test_answers():
-    assert op.answer_of("One thing. Two things? Three, four!") == ["three", "four"]
-    assert op.answer_of("Q: what is it\nAnswer: Forty two.") == ["forty", "two"]
-    assert op.answer_of("no end") == ["no", "end"] and op.answer_of("") == []
+    assert op.answer_of("One thing. Two things? Three, four!") == [b"three", b"four"]
+    assert op.answer_of("Q: what is it\nAnswer: Forty two.") == [b"forty", b"two"]
+    assert op.answer_of("no end") == [b"no", b"end"] and op.answer_of("") == []
+
+
+def test_words():
+    for text in ("It's A_b-c, \u00c9t\u00e9! 12\u00bd \x85x\u00a0y \u2026 \u00ab a \u00bb\n\x0b9", "plain ASCII: don't (stop) __x__ --", ""):
+        want = ["".join(c for c in w if c.isalnum()) for w in text.lower().encode().split() for w in [w.decode()]]
+        assert op.words_of(text) == [w.encode() for w in want if w]

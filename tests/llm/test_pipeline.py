@@ -44,9 +44,9 @@ def test_stages_match_brute_force(spark):
     # every hit of an exhaustive search is gone, nothing else
     bench = [(r.item_id, r.text) for r in table(spark, FOLDER, "benchmark").collect()]
     items = latent_decontamination.Items.of(bench)
-    checker, coder, hit = latent_decontamination.Checker(items), latent_decontamination.Coder(items.vocabulary), set()
+    checker, hit = latent_decontamination.Checker(items), set()
     for i, r in seen["dedup"].items():
-        codes = coder.codes([r.text.encode()])[0]
+        codes = latent_decontamination.code_texts([r.text.encode()], items.vocabulary)[0]
         if any(checker.check(k, codes, at) for k in range(len(items.ids)) for at in range(0, len(codes), latent_decontamination.STEP)):
             hit.add(i)
     assert hit and set(seen["decontaminate"]) == set(seen["dedup"]) - hit
