@@ -17,8 +17,9 @@
    ``PARAPHRASE`` of them, if the item's answer (what follows ``Answer:``, or
    else its last sentence) is there to at least ``ANSWER``.
 
-Items are taken in blocks of ``ITEM_BLOCK``, each with a vocabulary of its own,
-so what goes to the tasks has a bound whatever the benchmark is.
+Items are taken in blocks of about ``ITEM_BLOCK`` items or 60 times as many
+words, each with a vocabulary of its own, so what goes to the tasks has a bound
+whatever the benchmark is.
 
 Defined results: null and empty texts are never hits; items of fewer than
 ``MIN_WORDS`` words are not looked for; repeated documents are one row for
@@ -56,6 +57,8 @@ PARAPHRASE = 0.6
 ANSWER = 0.8
 MIN_WORDS = 5
 ITEM_BLOCK = 1000
+#: Words of an item that a block is sized for: long items make more and smaller blocks.
+BLOCK_WORDS = 60
 SEGMENT = 1 << 15
 SEED = 7
 _CHUNK = 1 << 15
@@ -373,7 +376,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     spark = docs.sparkSession
     items = benchmark.select(F.col(f"`{item_col}`").alias("item"), F.col(f"`{item_text_col}`").alias("text")).where(F.length("text") > 0)
     item_type = items.schema["item"].dataType.simpleString()
-    blocks = max(1, -(-items.count() // item_block))
+    count, words = items.agg(F.count("*"), F.sum(F.size(F.split("text", r"\s+")))).first()
+    blocks = max(1, -(-count // item_block), -(-(words or 0) // (item_block * BLOCK_WORDS)))
     parts = []
     for block in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).orderBy("item", "text")
