@@ -42,41 +42,61 @@ LOW_BITS = 0x5555555555555555
 #: A cell of more fingerprints is compared block by block, by an operator that returns spanning links only.
 CELL_BLOCK = 1024
 _CHUNK = 1 << 16
+_TURN_BIT = 40
+
+
+def _again(hashes: np.ndarray, turn: int) -> np.ndarray:
+    """The hashes of another turn: a one-to-one mixing of 64-bit numbers; turn 0 is the hashes themselves."""
+    if not turn:
+        return hashes
+    x = hashes + np.uint64((turn * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def fingerprint(text: bytes, size: int = SHINGLE_WORDS) -> int:
     """SimHash of one text as an unsigned integer: a bit is 1 if set in over half the shingle hashes."""
+    return fingerprint_turns(text, size, 1)[0]
+
+
+def fingerprint_turns(text: bytes, size: int, turns: int) -> list[int]:
+    """Fingerprints of one text under several hash functions."""
     parts = split_words(text.translate(ASCII_LOWER))
     if not parts:
-        return 0
+        return [0] * turns
     if len(parts) <= size:
-        return xxhash.xxh64_intdigest(b" ".join(parts), SEED)
+        whole = np.array([xxhash.xxh64_intdigest(b" ".join(parts), SEED)], np.uint64)
+        return [int(_again(whole, turn)[0]) for turn in range(turns)]
     joined = b" ".join(parts)
     # a shingle is a slice of the joined words: from the start of its first to the end of its last
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     digest, count = xxhash.xxh64_intdigest, len(parts) - size + 1
-    votes = np.zeros(64, np.int64)
+    votes = np.zeros((turns, 64), np.int64)
     for at in range(0, count, _CHUNK):
         to = min(at + _CHUNK, count)
         slices = zip(starts[at:to].tolist(), ends[at + size - 1 : to + size - 1].tolist(), strict=True)
         hashes = np.fromiter((digest(joined[s:e], SEED) for s, e in slices), np.uint64, to - at)
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        votes += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * votes > count, bitorder="little").view(np.uint64)[0])
+        for turn in range(turns):
+            bits = np.unpackbits(_again(hashes, turn).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            votes[turn] += bits.sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * votes > count, axis=1, bitorder="little").view(np.uint64).ravel().tolist()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS) -> DataFrame:
-    """One row (id, bits) per document; bits is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS, turns: int = 1) -> DataFrame:
+    """Rows (id, turn, bits), one for each document and turn; bits is the fingerprint as a signed long."""
     own = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     kind = own.schema["id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.array([fingerprint(t, size) for t in texts_of(batch)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], ["id", "bits"])
+            values = np.array([fingerprint_turns(t, size, turns) for t in texts_of(batch)], np.uint64).reshape(-1, turns).view(np.int64)
+            ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(values)), turns)))
+            turn = pa.array(np.tile(np.arange(turns, dtype=np.int32), len(values)))
+            yield pa.RecordBatch.from_arrays([ids, turn, pa.array(values.ravel())], ["id", "turn", "bits"])
 
-    return map_batches(own, work, f"id {kind}, bits bigint")
+    return map_batches(own, work, f"id {kind}, turn int, bits bigint")
 
 
 def _unary(bits: Column) -> Column:
@@ -91,13 +111,14 @@ def _half(counts: Column, half: int) -> Column:
 
 
 def _cells(prints: DataFrame) -> DataFrame:
-    """The two cells of each fingerprint; the key carries the half in its lowest bit."""
-    cell = F.explode(F.array(*[_half(F.col("counts"), h) * 2 + h for h in (0, 1)]))
-    return prints.select("bits", _unary(F.col("bits")).alias("counts")).select("bits", "counts", cell.alias("cell"))
+    """The two cells of each fingerprint; the key carries the half in its lowest bit and the turn above the counts."""
+    counts = _unary(F.col("bits"))
+    cell = F.explode(F.array(*[_half(counts, h) * 2 + h + F.shiftleft(F.col("turn").cast("long"), _TURN_BIT) for h in (0, 1)]))
+    return prints.select("bits", cell.alias("cell"))
 
 
 def _probes(cells: DataFrame) -> DataFrame:
-    """Own cell (step 0) and the cells with one segment counted one higher (step 1)."""
+    """Own cell (not up) and the cells with one segment counted one higher (up)."""
     ups = []
     for segment in range(16):
         low, high = 2 << (2 * segment), 4 << (2 * segment)  # shifted by the half's bit
@@ -105,13 +126,16 @@ def _probes(cells: DataFrame) -> DataFrame:
             F.col("cell").bitwiseOR(F.lit(high))
         )
         ups.append(raised)
-    near = cells.select("bits", "counts", "cell", F.posexplode(F.array(F.col("cell"), *ups)).alias("step", "at"))
-    return near.where((F.col("step") == 0) | (F.col("at") != F.col("cell"))).select("bits", "counts", "at", F.col("step") > 0)\
-        .toDF("bits", "counts", "cell", "up")
+    near = cells.select("bits", "cell", F.posexplode(F.array(F.col("cell"), *ups)).alias("step", "at"))
+    return near.where((F.col("step") == 0) | (F.col("at") != F.col("cell"))).select("bits", F.col("at").alias("cell"), (F.col("step") > 0).alias("up"))
+
+
+def _turn_of(cell: Column) -> Column:
+    return F.shiftright(cell, _TURN_BIT).cast("int").alias("turn")
 
 
 def links(prints: DataFrame, max_bits: int = MAX_BITS, cell_block: int = CELL_BLOCK) -> DataFrame:
-    """Pairs (a, b) that connect all distinct fingerprints within ``max_bits`` (3 at most) of each other.
+    """Rows (turn, a, b) that connect all distinct fingerprints (turn, bits) of a turn within ``max_bits`` (3 at most) of each other.
 
     Up to ``cell_block`` fingerprints in a cell every pair is returned; a
     fuller cell is compared in blocks, whose links are spanning ones, so that
@@ -132,10 +156,10 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, cell_block: int = CELL_BL
     near = (
         (F.col("a.cell") == F.col("b.cell"))
         & (F.col("b.up") | (F.col("a.bits") < F.col("b.bits")))
-        & (F.bit_count(F.col("a.counts").bitwiseXOR(F.col("b.counts"))) <= max_bits)
+        & (F.bit_count(_unary(F.col("a.bits")).bitwiseXOR(_unary(F.col("b.bits")))) <= max_bits)
         & (F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) <= max_bits)
     )
-    found = a.join(b, near).select(F.col("a.bits").alias("a"), F.col("b.bits").alias("b"))
+    found = a.join(b, near).select(_turn_of(F.col("a.cell")), F.col("a.bits").alias("a"), F.col("b.bits").alias("b"))
     return found if spanning is None else found.unionByName(spanning)
 
 
@@ -158,9 +182,10 @@ def _full_cells(cells: DataFrame, probes: DataFrame, full: DataFrame, max_bits:
     def span(group: pd.DataFrame) -> pd.DataFrame:
         left = np.unique(group.loc[~group["probe"], "bits"].to_numpy(np.int64))
         right = np.unique(group.loc[group["probe"], "bits"].to_numpy(np.int64))
-        return pd.DataFrame(spanning_links(left, right, max_bits), columns=["a", "b"])
+        return pd.DataFrame(spanning_links(left, right, max_bits), columns=["a", "b"]).assign(cell=group["cell"].iloc[0])
 
-    return base.unionByName(other).groupBy("cell", "i", "j").applyInPandas(span, "a bigint, b bigint")
+    found = base.unionByName(other).groupBy("cell", "i", "j").applyInPandas(span, "a bigint, b bigint, cell bigint")
+    return found.select(_turn_of(F.col("cell")), "a", "b")
 
 
 def spanning_links(left: np.ndarray, right: np.ndarray, max_bits: int) -> np.ndarray:
@@ -220,19 +245,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     cell_block: int = CELL_BLOCK) -> DataFrame:
     """One row per document: id, fingerprint (16 hex digits), component_id (smallest id reachable over links)."""
     prints = written(fingerprints(docs, id_col, text_col, size), "fingerprints")
-    nodes = written(prints.groupBy("bits").agg(F.min("id").alias("least")), "prints")
+    nodes = written(prints.groupBy("turn", "bits").agg(F.min("id").alias("least")), "prints")
     found = links(nodes, cell_block=cell_block)
     merged = nodes.join(components(nodes, found), "bits", "left").select("bits", F.coalesce("component", "least").alias("component"))
-    return prints.join(merged, "bits").select(
+    return prints.drop("turn").join(merged, "bits").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id")
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS) -> DataFrame:
-    """One row of each group, that of the smallest id (null ids last), with the columns of ``docs``; repeated rows are one group."""
+#: The pipeline links what is within three bits under any of several hash functions of two-word shingles: one fingerprint
+#: of three-word shingles misses most pairs whose five-word shingles have a similarity of 0.8.
+WIDE_TURNS = 8
+WIDE_WORDS = 2
+
+
+def wide_groups(docs: DataFrame, id_col: str, text_col: str = "text", size: int = WIDE_WORDS, turns: int = WIDE_TURNS,
+                cell_block: int = CELL_BLOCK) -> DataFrame:
+    """(id, component) for every document that has a near copy under any turn; ids are distinct and not null."""
+    prints = written(fingerprints(docs, id_col, text_col, size, turns), "fingerprints")
+    nodes = written(prints.groupBy("turn", "bits").agg(F.min("id").alias("least"), F.count("*").alias("n")), "prints")
+    # copies of one fingerprint hang on the smallest of them, so links join few ids
+    same = prints.join(nodes.where("n > 1"), ["turn", "bits"]).where(F.col("id") != F.col("least")).select(F.col("id").alias("a"), F.col("least").alias("b"))
+    found = links(nodes, cell_block=cell_block)
+    for side in ("a", "b"):
+        named = nodes.select("turn", F.col("bits").alias(side), F.col("least").alias(f"id_{side}"))
+        found = found.join(named, ["turn", side])
+    near = found.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).where(F.col("a") != F.col("b"))
+    pairs = written(same.unionByName(near).distinct(), "pairs")
+    ends = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
+    return components(ends.select(F.col("a").alias("bits"), F.col("a").alias("least")), pairs).select(F.col("bits").alias("id"), "component")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WIDE_WORDS, turns: int = WIDE_TURNS) -> DataFrame:
+    """One row of each group of ``wide_groups``, that of the smallest id (null ids last), with the columns of ``docs``; repeated rows are one group."""
     own = F.col(f"`{id_col}`")
     key = F.struct(own.isNull().alias("gone"), own.alias("id"), F.monotonically_increasing_id().alias("row"))
     keyed = written(docs.select("*", key.alias("__key")), "keyed")  # row numbers are fixed once written
-    groups = near_duplicates(keyed, "__key", text_col, size)
-    kept = groups.where(F.col("__key") == F.col("component_id")).select(F.col("__key.row").alias("__row"))
-    return keyed.join(kept, F.col("__key.row") == F.col("__row"), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    groups = wide_groups(keyed, "__key", text_col, size, turns)
+    gone = written(groups.where(F.col("id") != F.col("component")).select(F.col("id.row").alias("__row")), "copies")
+    return keyed.join(gone, F.col("__key.row") == F.col("__row"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
