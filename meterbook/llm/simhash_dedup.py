@@ -41,6 +41,8 @@ SHINGLE_WORDS = 3
 LOW_BITS = 0x5555555555555555
 #: A cell of more fingerprints is compared block by block, by an operator that returns spanning links only.
 CELL_BLOCK = 1024
+#: ... where a cell holds more than this.
+DENSE = 8
 _CHUNK = 1 << 16
 _TURN_BIT = 40
 
@@ -134,18 +136,19 @@ def _turn_of(cell: Column) -> Column:
     return F.shiftright(cell, _TURN_BIT).cast("int").alias("turn")
 
 
-def links(prints: DataFrame, max_bits: int = MAX_BITS, cell_block: int = CELL_BLOCK) -> DataFrame:
+def links(prints: DataFrame, max_bits: int = MAX_BITS, dense: int = DENSE, cell_block: int = CELL_BLOCK) -> DataFrame:
     """Rows (turn, a, b) that connect all distinct fingerprints (turn, bits) of a turn within ``max_bits`` (3 at most) of each other.
 
-    Up to ``cell_block`` fingerprints in a cell every pair is returned; a
-    fuller cell is compared in blocks, whose links are spanning ones, so that
-    no group is larger than two blocks and no dense group is listed pair by pair.
+    Up to ``dense`` fingerprints in a cell every pair is returned; a fuller
+    cell is compared in blocks of ``cell_block``, whose links are spanning ones,
+    so that no group is larger than two blocks and no dense group is listed
+    pair by pair.
     """
     if max_bits > MAX_BITS:
         raise ValueError("two halves bound one step only up to three bits")
     cells = _cells(prints)
     probes = _probes(cells)
-    fill = cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > cell_block)
+    fill = cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > dense)
     full = written(fill, "full-cells")
     usual_cells, usual_probes, spanning = cells, probes, None
     if not full.isEmpty():
@@ -242,11 +245,11 @@ def components(nodes: DataFrame, pairs: DataFrame, max_rounds: int = 200) -> Dat
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS,
-                    cell_block: int = CELL_BLOCK) -> DataFrame:
+                    dense: int = DENSE, cell_block: int = CELL_BLOCK) -> DataFrame:
     """One row per document: id, fingerprint (16 hex digits), component_id (smallest id reachable over links)."""
     prints = written(fingerprints(docs, id_col, text_col, size), "fingerprints")
     nodes = written(prints.groupBy("turn", "bits").agg(F.min("id").alias("least")), "prints")
-    found = links(nodes, cell_block=cell_block)
+    found = links(nodes, dense=dense, cell_block=cell_block)
     merged = nodes.join(components(nodes, found), "bits", "left").select("bits", F.coalesce("component", "least").alias("component"))
     return prints.drop("turn").join(merged, "bits").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id")
@@ -259,21 +262,30 @@ WIDE_TURNS = 8
 WIDE_WORDS = 2
 
 
-def wide_groups(docs: DataFrame, id_col: str, text_col: str = "text", size: int = WIDE_WORDS, turns: int = WIDE_TURNS,
-                cell_block: int = CELL_BLOCK) -> DataFrame:
-    """(id, component) for every document that has a near copy under any turn; ids are distinct and not null."""
-    prints = written(fingerprints(docs, id_col, text_col, size, turns), "fingerprints")
+def _doc_pairs(prints: DataFrame, dense: int, cell_block: int) -> DataFrame:
+    """Written pairs of ids that link all rows (id, turn, bits) within three bits in a turn."""
     nodes = written(prints.groupBy("turn", "bits").agg(F.min("id").alias("least"), F.count("*").alias("n")), "prints")
     # copies of one fingerprint hang on the smallest of them, so links join few ids
     same = prints.join(nodes.where("n > 1"), ["turn", "bits"]).where(F.col("id") != F.col("least")).select(F.col("id").alias("a"), F.col("least").alias("b"))
-    found = links(nodes, cell_block=cell_block)
+    found = links(nodes, dense=dense, cell_block=cell_block)
     for side in ("a", "b"):
         named = nodes.select("turn", F.col("bits").alias(side), F.col("least").alias(f"id_{side}"))
         found = found.join(named, ["turn", side])
     near = found.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).where(F.col("a") != F.col("b"))
-    pairs = written(same.unionByName(near).distinct(), "pairs")
+    return written(same.unionByName(near).distinct(), "pairs")
+
+
+def _doc_components(pairs: DataFrame) -> DataFrame:
     ends = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
-    return components(ends.select(F.col("a").alias("bits"), F.col("a").alias("least")), pairs).select(F.col("bits").alias("id"), "component")
+    found = components(ends.select(F.col("a").alias("bits"), F.col("a").alias("least")), pairs)
+    return found.select(F.col("bits").alias("id"), "component")
+
+
+def wide_groups(docs: DataFrame, id_col: str, text_col: str = "text", size: int = WIDE_WORDS, turns: int = WIDE_TURNS,
+                dense: int = DENSE, cell_block: int = CELL_BLOCK) -> DataFrame:
+    """(id, component) for every document that has a near copy under any turn; ids are distinct and not null."""
+    prints = written(fingerprints(docs, id_col, text_col, size, turns), "fingerprints")
+    return _doc_components(_doc_pairs(prints, dense, cell_block))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WIDE_WORDS, turns: int = WIDE_TURNS) -> DataFrame:

@@ -69,7 +69,7 @@ def test_groups_match_brute_force(spark):
 def test_full_cells_give_the_same_groups(spark):
     rows = corpus(80)
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    assert got(op.near_duplicates(docs, cell_block=2)) == slow_groups(rows)
+    assert got(op.near_duplicates(docs, dense=1, cell_block=2)) == slow_groups(rows)
 
 
 def test_empty_table(spark):
