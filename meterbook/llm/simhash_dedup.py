@@ -217,31 +217,45 @@ def spanning_links(left: np.ndarray, right: np.ndarray, max_bits: int) -> np.nda
     return np.array(pairs, np.int64).reshape(-1, 2)
 
 
-def components(nodes: DataFrame, pairs: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """(bits, component) for every node that has a link; ``nodes`` is (bits, least), the smallest id of each print.
+def components(nodes: DataFrame, pairs: DataFrame, max_rounds: int = 100) -> DataFrame:
+    """(bits, component) for every node that has a link; ``nodes`` is (bits, least), a component is the smallest ``least`` of its nodes.
 
-    Smallest labels spread along links; after each round a label is replaced
-    by the label of the node it names, which shortens long chains.
+    In each round a node joins its smallest neighbour, if that is smaller than
+    itself, and the links are drawn between what has been joined, so only links
+    between different groups reach the next round.
     """
-    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    edges = written(both, "links")
-    labels = written(
-        nodes.join(edges.select(F.col("a").alias("bits")).distinct(), "bits").select("bits", "least", F.col("least").alias("label")),
-        "labels-0",
-    )
+    edges = written(_links_between(pairs.select("a", "b")), "links-0")
+    joined = None
     for round_ in range(1, max_rounds + 1):
-        met = edges.join(labels.select(F.col("bits").alias("b"), "label"), "b").groupBy(F.col("a").alias("bits")).agg(F.min("label").alias("met"))
-        spread = labels.join(met, "bits", "left").select("bits", "least", F.col("label").alias("old"), F.least("label", "met").alias("label"))
-        spread = written(spread, f"spread-{round_}")
-        named = spread.select(F.col("least").alias("label"), F.col("label").alias("further")).where("label is not null")
-        named = named.groupBy("label").agg(F.min("further").alias("further"))
-        labels = written(
-            spread.join(named, "label", "left").select("bits", "least", "old", F.least("label", "further").alias("label")),
-            f"labels-{round_}",
-        )
-        if labels.where(~F.col("old").eqNullSafe(F.col("label"))).isEmpty():
-            return labels.select("bits", F.col("label").alias("component"))
-    raise RuntimeError("components did not settle")
+        if edges.isEmpty():
+            break
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        parents = both.groupBy("a").agg(F.min("b").alias("p")).select(F.col("a").alias("node"), F.least("a", "p").alias("root"))
+        parents = written(parents, f"parents-{round_}")
+        for jump in (1, 2):  # towards the root of the chain
+            above = parents.select(F.col("node").alias("root"), F.col("root").alias("further"))
+            parents = written(parents.join(above, "root").select("node", F.col("further").alias("root")), f"parents-{round_}-{jump}")
+        if joined is None:
+            joined = parents
+        else:
+            above = parents.select(F.col("node").alias("root"), F.col("root").alias("further"))
+            joined = joined.join(above, "root", "left").select("node", F.coalesce("further", "root").alias("root"))
+        joined = written(joined, f"joined-{round_}")
+        for side in ("a", "b"):
+            edges = edges.join(parents.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side)
+        edges = written(_links_between(edges.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))), f"links-{round_}")
+    else:
+        raise RuntimeError("components did not settle")
+    if joined is None:
+        return nodes.limit(0).select("bits", F.col("least").alias("component"))
+    named = written(joined.select(F.col("node").alias("bits"), "root").join(nodes.select("bits", "least"), "bits"), "members")
+    least = named.groupBy("root").agg(F.min("least").alias("component"))
+    return named.join(least, "root").select("bits", "component")
+
+
+def _links_between(pairs: DataFrame) -> DataFrame:
+    """Distinct links, the smaller end first, without links of a node to itself."""
+    return pairs.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS,
