@@ -270,43 +270,246 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-#: The pipeline links what is within three bits under any of several hash functions of two-word shingles: one fingerprint
-#: of three-word shingles misses most pairs whose five-word shingles have a similarity of 0.8.
+#: What the pipeline's stage linked by before it compared shingles: fingerprints of two-word shingles under eight hash functions.
 WIDE_TURNS = 8
 WIDE_WORDS = 2
 
+#: The pipeline links texts whose five-word shingles have a Jaccard similarity of at least 4 / 5.
+NEAR_WORDS = 5
+NEAR_PART, NEAR_WHOLE = 4, 5
+#: Of one document in so many the shingles are counted; those seen three times or more come last in the order of prefixes.
+#: Any order gives the same links, this one keeps common lines out of the prefixes.
+SAMPLED = 32
+COMMON_SHINGLES = 50_000
+#: Fuller cells compare every text with some of their texts first, ``STAR_CLASSES`` a round, and what that leaves apart in blocks.
+STAR_ROUNDS = 2
+STAR_CLASSES = 16
+#: A prefix is longer than one shared shingle asks for by one in so many shingles, so near copies share that many more.
+PREFIX_PART = 16
+PRUNE_ROUNDS = 2
+#: A cell of up to so many texts lists its pairs.
+LISTED = 64
+#: Shingles of one side of a block.
+BLOCK_SHINGLES = 1 << 20
+
+
+def shingle_set(text: bytes, size: int = NEAR_WORDS) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of a text; a shorter text is one shingle."""
+    parts = split_words(text.translate(ASCII_LOWER))
+    joined = b" ".join(parts)
+    if len(parts) <= size:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64).view(np.int64)
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    digest, count = xxhash.xxh64_intdigest, len(parts) - size + 1
+    slices = zip(starts[:count].tolist(), ends[size - 1 :].tolist(), strict=True)
+    return np.unique(np.fromiter((digest(joined[s:e], SEED) for s, e in slices), np.uint64, count).view(np.int64))
 
-def _doc_pairs(prints: DataFrame, dense: int, cell_block: int) -> DataFrame:
-    """Written pairs of ids that link all rows (id, turn, bits) within three bits in a turn."""
-    nodes = written(prints.groupBy("turn", "bits").agg(F.min("id").alias("least"), F.count("*").alias("n")), "prints")
-    # copies of one fingerprint hang on the smallest of them, so links join few ids
-    same = prints.join(nodes.where("n > 1"), ["turn", "bits"]).where(F.col("id") != F.col("least")).select(F.col("id").alias("a"), F.col("least").alias("b"))
-    found = links(nodes, dense=dense, cell_block=cell_block)
-    for side in ("a", "b"):
-        named = nodes.select("turn", F.col("bits").alias(side), F.col("least").alias(f"id_{side}"))
-        found = found.join(named, ["turn", side])
-    near = found.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).where(F.col("a") != F.col("b"))
-    return written(same.unionByName(near).distinct(), "pairs")
+
+def prefix_of(shingles: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, the common ones last.
+
+    A set lacks at most a fifth of its shingles in a near copy, so with k more
+    than that in the prefixes of both, the prefixes share at least k.
+    """
+    take = len(shingles) - -(-NEAR_PART * len(shingles) // NEAR_WHOLE) + _least_shared(len(shingles))
+    if not len(common):
+        return shingles[:take]
+    last = common[np.minimum(np.searchsorted(common, shingles), len(common) - 1)] == shingles
+    return np.concatenate((shingles[~last], shingles[last]))[:take]
+
+
+def _least_shared(size: int | Column) -> int | Column:
+    return F.floor(size / PREFIX_PART) + 1 if isinstance(size, Column) else size // PREFIX_PART + 1
+
+
+def near(shared: np.ndarray | int, left: np.ndarray | int, right: int) -> np.ndarray | bool:
+    """Whether sets of these sizes with so many shingles in common have the similarity of near copies."""
+    return (NEAR_PART + NEAR_WHOLE) * shared >= NEAR_PART * (left + right)
+
+
+def _common_shingles(keyed: DataFrame, size: int) -> np.ndarray:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(t, size) for t in texts_of(batch)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found or [np.empty(0, np.int64)]))], ["token"])
+
+    some = keyed.where(F.pmod(F.xxhash64("row"), F.lit(SAMPLED)) == 0).select("text")
+    counted = map_batches(some, work, "token bigint").groupBy("token").agg(F.count("*").alias("n")).where("n > 2")
+    most = counted.orderBy(F.desc("n"), "token").limit(COMMON_SHINGLES).select("token")
+    return np.sort(np.array([r.token for r in most.collect()], np.int64))
 
 
-def _doc_components(pairs: DataFrame) -> DataFrame:
-    ends = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
-    found = components(ends.select(F.col("a").alias("bits"), F.col("a").alias("least")), pairs)
-    return found.select(F.col("bits").alias("id"), "component")
+def _prefixes(keyed: DataFrame, size: int) -> DataFrame:
+    """Written rows (row, digest of the set, its size, prefix)."""
+    spark = keyed.sparkSession
+    shared = spark.sparkContext.broadcast(_common_shingles(keyed, size))  # at most COMMON_SHINGLES longs
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, size) for t in texts_of(batch)]
+            digests = pa.array([xxhash.xxh3_128_digest(s.tobytes(), SEED) for s in sets], pa.binary())
+            sizes, prefixes = pa.array(list(map(len, sets)), pa.int32()), [prefix_of(s, shared.value) for s in sets]
+            ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes or [np.empty(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), digests, sizes, lists], ["row", "digest", "size", "prefix"])
 
-def wide_groups(docs: DataFrame, id_col: str, text_col: str = "text", size: int = WIDE_WORDS, turns: int = WIDE_TURNS,
-                dense: int = DENSE, cell_block: int = CELL_BLOCK) -> DataFrame:
-    """(id, component) for every document that has a near copy under any turn; ids are distinct and not null."""
-    prints = written(fingerprints(docs, id_col, text_col, size, turns), "fingerprints")
-    return _doc_components(_doc_pairs(prints, dense, cell_block))
+    return written(map_batches(keyed.select("row", "text"), work, "row bigint, digest binary, size int, prefix array<bigint>"), "prefixes")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WIDE_WORDS, turns: int = WIDE_TURNS) -> DataFrame:
-    """One row of each group of ``wide_groups``, that of the smallest id (null ids last), with the columns of ``docs``; repeated rows are one group."""
+def _sets(keyed: DataFrame, rows: DataFrame, size: int) -> DataFrame:
+    """Written rows (row, shingles) of some rows."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blobs = pa.array([shingle_set(t, size).tobytes() for t in texts_of(batch)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), blobs], ["row", "shingles"])
+
+    own = keyed.select("row", "text").join(rows, "row", "left_semi")
+    return written(map_batches(own, work, "row bigint, shingles binary"), "sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+    """The written pairs (a, b) whose sets are near."""
+    both = pairs.select("a", "b").distinct()
+    for side in ("a", "b"):
+        both = both.join(sets.select(F.col("row").alias(side), F.col("shingles").alias(f"of_{side}")), side)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = ([np.frombuffer(x, np.int64) for x in batch.column(c).to_pylist()] for c in (2, 3))
+            keep = [bool(near(len(np.intersect1d(x, y, True)), len(x), len(y))) for x, y in zip(left, right, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in (0, 1)], ["a", "b"])
+
+    return written(map_batches(both.select("a", "b", "of_a", "of_b"), work, "a bigint, b bigint"), name)
+
+
+def near_links(left: list[np.ndarray], right: list[np.ndarray], left_groups: np.ndarray, right_groups: np.ndarray) -> list[tuple[int, int]]:
+    """Places (left, right) of near sets; at most one for two groups that are not connected yet, and all groups that near sets connect get connected."""
+    names, groups = np.unique(np.concatenate((left_groups, right_groups)), return_inverse=True)
+    own, other = groups[: len(left)], groups[len(left) :]
+    top = np.arange(len(names))
+    sizes = np.array(list(map(len, left)), np.int64)
+    tokens, owner = np.concatenate(left), np.repeat(np.arange(len(left)), sizes)
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    found = []
+    for j, shingles in enumerate(right):
+        least = np.minimum(sizes, len(shingles))
+        if not (near(least, sizes, len(shingles)) & (top[own] != top[other[j]])).any():
+            continue
+        starts, ends = np.searchsorted(tokens, shingles, "left"), np.searchsorted(tokens, shingles, "right")
+        met = [owner[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True) if e > s]
+        if not met:
+            continue
+        shared = np.bincount(np.concatenate(met), minlength=len(left))
+        for i in np.flatnonzero(near(shared, sizes, len(shingles))).tolist():
+            a, b = top[own[i]], top[other[j]]
+            if a != b:
+                top[top == a] = b
+                found.append((i, j))
+    return found
+
+
+def _apart(cells: DataFrame, groups: DataFrame) -> DataFrame:
+    """Written rows (token, row, size, n, group, main) of the cells that hold texts of several groups; main is the group of most of its texts."""
+    named = cells.join(groups, "row", "left").withColumn("group", F.coalesce("group", "row"))
+    parts = named.groupBy("token", "group").agg(F.count("*").alias("texts"))
+    several = parts.groupBy("token").agg(F.count("*").alias("groups"), F.max_by("group", F.struct("texts", "group")).alias("main")).where("groups > 1")
+    return written(named.join(several.select("token", "main"), "token"), "apart")
+
+
+def _block_links(apart: DataFrame, sets: DataFrame, block: int) -> DataFrame:
+    """Links between the groups of each cell: all its texts against those outside its main group, block by block."""
+    outside = F.col("group") != F.col("main")
+    loads = apart.groupBy("token").agg(F.sum("size").alias("all"), F.sum(F.when(outside, F.col("size")).otherwise(0)).alias("out"))
+    counts = loads.select("token", *[F.ceil(F.col(c) / block).cast("int").alias(k) for c, k in (("all", "is"), ("out", "js"))])
+    dealt = apart.join(counts, "token")
+
+    def deal(rows: DataFrame, own: str, other: str, probe: bool) -> DataFrame:
+        mine, their = ("j", "i") if probe else ("i", "j")
+        placed = rows.withColumn(mine, F.pmod(F.xxhash64("row"), F.col(own)).cast("int")).withColumn(their, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        return placed.select("token", "i", "j", "row", "group", F.lit(probe).alias("probe"))
+
+    both = deal(dealt, "is", "js", False).unionByName(deal(dealt.where(outside), "js", "is", True)).join(sets, "row")
+
+    def work(part: pd.DataFrame) -> pd.DataFrame:
+        sides = [part[part["probe"] == probe] for probe in (False, True)]
+        if not all(map(len, sides)):
+            return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
+        blobs = [[np.frombuffer(x, np.int64) for x in side["shingles"]] for side in sides]
+        ids, groups = ([side[c].to_numpy(np.int64) for side in sides] for c in ("row", "group"))
+        found = near_links(*blobs, *groups)
+        return pd.DataFrame({"a": ids[0][[i for i, _ in found]], "b": ids[1][[j for _, j in found]]}, dtype=np.int64)
+
+    return written(both.groupBy("token", "i", "j").applyInPandas(work, "a bigint, b bigint"), "block-links")
+
+
+def _shared(tokens: DataFrame) -> DataFrame:
+    """Written rows (row, size, token, n) of the shingles that n rows share, n two or more."""
+    fill = written(tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), "fill")
+    return written(tokens.join(fill, "token"), "shared")
+
+
+def near_copy_links(keyed: DataFrame, tokens: DataFrame, size: int, dense: int, block: int) -> DataFrame:
+    """Pairs (a, b) of rows that connect all rows (row, size, token of the prefix) whose shingles are near.
+
+    Near sets share shingles of their prefixes, so every such pair meets in
+    cells.  Cells of up to ``dense`` texts list their pairs.  A fuller one
+    compares each text with a few of its texts, and then exactly those that are
+    still in different groups, in blocks that return spanning links only.
+    """
+    shared = _shared(tokens)
+    for _ in range(PRUNE_ROUNDS):  # rows that share too few shingles with all others together have no near copy
+        smaller = F.ceil(F.col("size") * NEAR_PART / NEAR_WHOLE)
+        enough = shared.groupBy("row", "size").agg(F.count("*").alias("t")).where(F.col("t") >= _least_shared(smaller))
+        shared = _shared(shared.drop("n").join(enough.select("row"), "row", "left_semi"))
+    sets = _sets(keyed, shared.select("row").distinct(), size)
+    full = shared.groupBy("row").agg(F.count(F.when(F.col("n") > dense, 1)).alias("full"))
+    listed = written(shared.where(F.col("n") <= dense).join(full, "row"), "listed")
+    a, b = listed.alias("a"), listed.alias("b")
+    alike = NEAR_WHOLE * F.least("a.size", "b.size") >= NEAR_PART * F.greatest("a.size", "b.size")
+    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.row") < F.col("b.row")) & alike)
+    # what they share in full cells is not listed, and is counted as much as it can be
+    lacks = F.least(*[_least_shared(F.col(f"{x}.size")) for x in "ab"]) - F.least("a.full", "b.full")
+    usual = pairs.select(F.col("a.row").alias("a"), F.col("b.row").alias("b"), lacks.alias("least"))
+    usual = usual.groupBy("a", "b", "least").agg(F.count("*").alias("c")).where("c >= least")
+    links = _verified(usual, sets, "near")
+    cells = shared.where(F.col("n") > dense)
+    if cells.isEmpty():
+        return links
+    for round_ in range(STAR_ROUNDS):
+        apart = _apart(cells, _groups(links))
+        salt = F.pmod("token", F.lit(STAR_CLASSES)) + STAR_CLASSES * round_
+        centre = apart.groupBy("token").agg(F.min(F.struct(F.xxhash64("row", salt).alias("h"), F.col("row"), F.col("group"))).alias("c"))
+        stars = apart.join(centre, "token").where(F.col("group") != F.col("c.group"))
+        stars = stars.select(F.least("row", "c.row").alias("a"), F.greatest("row", "c.row").alias("b"))
+        links = links.unionByName(_verified(stars, sets, "stars"))
+    return links.unionByName(_block_links(_apart(cells, _groups(links)), sets, block))
+
+
+def _groups(links: DataFrame) -> DataFrame:
+    ends = links.select("a").unionByName(links.select(F.col("b").alias("a"))).distinct()
+    found = components(ends.select(F.col("a").alias("bits"), F.col("a").alias("least")), links)
+    return found.select(F.col("bits").alias("row"), F.col("component").alias("group"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = NEAR_WORDS, dense: int = LISTED,
+             block: int = BLOCK_SHINGLES) -> DataFrame:
+    """One row of each group of near copies, that of the smallest id (null ids last), with the columns of ``docs``; repeated rows are one group.
+
+    Two texts are linked if the Jaccard similarity of their ``size``-word shingles is at least 4 / 5.
+    """
     own = F.col(f"`{id_col}`")
     key = F.struct(own.isNull().alias("gone"), own.alias("id"), F.monotonically_increasing_id().alias("row"))
-    keyed = written(docs.select("*", key.alias("__key")), "keyed")  # row numbers are fixed once written
-    groups = wide_groups(keyed, "__key", text_col, size, turns)
-    gone = written(groups.where(F.col("id") != F.col("component")).select(F.col("id.row").alias("__row")), "copies")
-    return keyed.join(gone, F.col("__key.row") == F.col("__row"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    stored = written(docs.select("*", key.alias("__key")), "keyed")  # row numbers are fixed once written
+    keyed = stored.select(F.col("__key.row").alias("row"), F.col(f"`{text_col}`").alias("text"), F.col("__key").alias("key"))
+    prefixes = _prefixes(keyed, size)
+    first = prefixes.select("row", "digest").join(keyed.select("row", "key"), "row").groupBy("digest").agg(F.min("key").alias("least"))
+    first = written(first.select(F.col("least.row").alias("bits"), "least"), "first")
+    tokens = prefixes.join(first.select(F.col("bits").alias("row")), "row", "left_semi").select("row", "size", F.explode("prefix").alias("token"))
+    groups = components(first, near_copy_links(keyed, tokens, size, dense, block))
+    near_copies = groups.where(F.col("bits") != F.col("component.row")).select(F.col("bits").alias("__row"))
+    copies = prefixes.select(F.col("row").alias("__row")).join(first.select(F.col("bits").alias("__row")), "__row", "left_anti")
+    gone = written(copies.unionByName(near_copies), "copies")
+    return stored.join(gone, F.col("__key.row") == F.col("__row"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

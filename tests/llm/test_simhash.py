@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import xxhash
 
 from meterbook.llm import simhash_dedup as op
@@ -127,3 +128,61 @@ def test_near_copies_are_caught(spark):
         rows.append((2 * k + 1, " ".join(base)))
     kept = {r.doc_id for r in op.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert all(2 * k in kept for k in range(60)) and len(kept) <= 60 + 12
+
+
+def near_slow(rows):
+    """Groups of rows (by place) whose five-word shingles have a Jaccard similarity of 0.8 or more, linked pair by pair."""
+    sets = []
+    for _, t in rows:
+        parts = (t or "").lower().split()
+        sets.append({" ".join(parts[i : i + 5]) for i in range(max(1, len(parts) - 4))})
+    top = list(range(len(rows)))
+    for x in range(len(rows)):
+        for y in range(x):
+            if top[x] != top[y] and 10 * len(sets[x] & sets[y]) >= 8 * len(sets[x] | sets[y]):
+                top = [top[y] if t == top[x] else t for t in top]
+    return [[rows[x][0] for x in range(len(rows)) if top[x] == name] for name in set(top)]
+
+
+def edited(rng, base, words):
+    """A text with so many words in a row cut out or replaced one by one."""
+    if rng.random() < 0.5:
+        at = rng.randrange(len(base) - words)
+        return base[:at] + base[at + words :]
+    out = list(base)
+    for at in rng.sample(range(len(base)), words):
+        out[at] = rng.choice(WORDS)
+    return out
+
+
+def test_groups_have_a_similarity_of_at_least_four_fifths(spark):
+    """Pairs below 0.8 stay, pairs from 0.8 up are linked, in small cells and in full ones compared in blocks."""
+    rng = random.Random(21)
+    rows, hot = [], [rng.choice(WORDS) for _ in range(120)]
+    for _ in range(50):
+        base = [rng.choice(WORDS) for _ in range(rng.randint(40, 300))]
+        rows.append(" ".join(base))
+        rows += [" ".join(edited(rng, base, rng.randint(1, max(2, len(base) // 12)))) for _ in range(3)]
+    rows += [" ".join(edited(rng, hot, rng.randint(1, 12))) for _ in range(80)]
+    rows = list(enumerate(rows))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = sorted(map(min, near_slow(rows)))
+    assert 0 < len(want) < len(rows) - 50
+    assert sorted(r.doc_id for r in op.keep_one(docs).collect()) == want
+    assert sorted(r.doc_id for r in op.keep_one(docs, dense=2, block=500).collect()) == want
+
+
+def test_blocks_connect_what_is_near():
+    rng = random.Random(4)
+    base = rng.sample(range(10_000), 60)
+    sets = [np.array(sorted(set(rng.sample(base, rng.randint(45, 60)) + rng.sample(range(10_000), 3)))) for _ in range(60)]
+    links = op.near_links(sets[:30], sets[30:], np.arange(30), np.arange(30, 60))
+    near = [(i, j) for i in range(30) for j in range(30) if 5 * len(np.intersect1d(sets[i], sets[30 + j])) >= 4 * len(np.union1d(sets[i], sets[30 + j]))]
+
+    def tops(pairs):
+        top = list(range(60))
+        for i, j in pairs:
+            top = [top[i] if t == top[30 + j] else t for t in top]
+        return {frozenset(x for x in range(60) if top[x] == t) for t in top}
+
+    assert near and set(links) <= set(near) and tops(links) == tops(near) and len(links) == 60 - len(tops(near))
