@@ -10,7 +10,8 @@
    solved as a small problem (Rayleigh-Ritz).
 3. Items and overlapping windows are folded into the latent space; pairs with
    a cosine of at least ``COSINE`` are candidates, of every window and without
-   any cap.
+   any cap.  So is every stretch that holds as many of an item's rarest words
+   as a hit has to hold: no hit depends on the latent space.
 4. A candidate is checked on the words themselves.  The longest common
    subsequence of the item and a stretch of the document half as long again
    must hold at least ``COPY`` of the item's words; or at least
@@ -230,6 +231,7 @@ class Space:
 
     fold: np.ndarray
     searched: np.ndarray
+    counts: np.ndarray
 
     def item(self, codes: np.ndarray) -> np.ndarray:
         return unit(self.fold[codes].sum(axis=0, keepdims=True))[0]
@@ -255,7 +257,8 @@ def term_weights(counts: np.ndarray, items: list[np.ndarray]) -> np.ndarray:
 def latent_space(coded: DataFrame, items: Items, rank: int = RANK) -> Space:
     """Randomised SVD of the TF-IDF passages of all documents."""
     terms = len(items.vocabulary)
-    weights = term_weights(passage_counts(coded, terms), items.codes)
+    counts = passage_counts(coded, terms)
+    weights = term_weights(counts, items.codes)
     rank = min(rank, terms)
     sketch = np.random.default_rng(SEED).normal(size=(terms + 1, rank))
     sketch[0] = 0
@@ -264,7 +267,7 @@ def latent_space(coded: DataFrame, items: Items, rank: int = RANK) -> Space:
     small = basis.T @ again
     values, turn = np.linalg.eigh((small + small.T) / 2)
     values = np.sqrt(np.maximum(values, max(values.max(), 0) * 1e-9 + 1e-12))
-    return Space((weights[:, None] * (basis @ turn) / values).astype(np.float32), weights > 0)
+    return Space((weights[:, None] * (basis @ turn) / values).astype(np.float32), weights > 0, counts)
 
 
 def common(mask: dict[int, int], size: int, codes: list[int]) -> int:
@@ -315,23 +318,92 @@ class Checker:
         return best
 
 
-def find(docs: list[np.ndarray], space: Space, targets: np.ndarray, checker: Checker) -> Iterator[tuple[int, int, float, float, float, int]]:
+@dataclass
+class Rare:
+    """The rarest words of each item, and how many of them a hit holds at least.
+
+    A hit holds ``PARAPHRASE`` of the item's words in a stretch half as long
+    again, so of any words of the item it lacks at most the other share.
+    """
+
+    starts: np.ndarray
+    item: np.ndarray
+    places: np.ndarray
+    need: np.ndarray
+    steps: np.ndarray
+    before: np.ndarray
+    after: np.ndarray
+
+    @classmethod
+    def of(cls, items: list[np.ndarray], counts: np.ndarray) -> Rare:
+        terms, owner, places, need = [], [], [], []
+        for i, codes in enumerate(items):
+            own, times = np.unique(codes, return_counts=True)
+            order = np.argsort(counts[own], kind="stable")
+            missing = len(codes) - int(np.ceil(PARAPHRASE * len(codes) - 1e-9))
+            taken = np.cumsum(times[order])
+            last = min(int(np.searchsorted(taken, missing + max(3, len(codes) // 6))), len(own) - 1)
+            need.append(int(taken[last]) - missing)
+            terms.append(own[order[: last + 1]])
+            places.append(times[order[: last + 1]])
+            owner.append(np.full(last + 1, i))
+        term, sizes = np.concatenate(terms), np.array(list(map(len, items)))
+        by_term = np.argsort(term, kind="stable")
+        starts = np.searchsorted(term[by_term], np.arange(len(counts) + 1))
+        stretch = -(-3 * sizes // 2)
+        return cls(starts, np.concatenate(owner)[by_term], np.concatenate(places)[by_term], np.array(need), -(-stretch // STEP) + 1,
+                   -(-sizes // STEP) + 2, (sizes + STEP - 1) // STEP)
+
+    def windows(self, codes: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, first, last window) wherever so many words are together; documents are told apart by the caller."""
+        first = self.starts[codes]
+        size = self.starts[codes + 1] - first
+        place = np.flatnonzero(size)
+        if not len(place):
+            return
+        size = size[place]
+        ends = np.cumsum(size)
+        at = np.arange(ends[-1]) + np.repeat(first[place] - (ends - size), size)
+        span = len(codes) // STEP + int(self.steps.max()) + 1  # apart by item
+        key = self.item[at] * np.int64(span) + np.repeat(place // STEP, size)
+        order = np.argsort(key, kind="stable")
+        key, sums = key[order], np.concatenate(([0], np.cumsum(self.places[at[order]])))
+        begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        key = key[begin]
+        sums = sums[np.append(begin, len(order))]
+        item = key // span
+        upto = np.searchsorted(key, key + self.steps[item])
+        held = sums[upto] - sums[: len(key)]
+        for k in np.flatnonzero(held >= self.need[item]).tolist():
+            i, step = int(item[k]), int(key[k] % span)
+            yield i, step - int(self.before[i]), step + int(self.after[i])
+
+
+def find(docs: list[np.ndarray], space: Space, targets: np.ndarray, checker: Checker, rare: Rare) -> Iterator[tuple[int, int, float, float, float, int]]:
     """(document, item, cosine, share, answer share, first word) of the best hit of each pair."""
     best: dict[tuple[int, int], tuple] = {}
     for codes, owner in _chunks(docs, STEP):
+        first = np.searchsorted(owner, owner, "left")
+        after = np.searchsorted(owner, owner, "right")
+        pairs = set()
+        for item, low, high in rare.windows(codes):
+            # the step that the stretch begins at names the document; a stretch over two documents is a candidate that fails
+            at = low + int(rare.before[item])
+            pairs.update((w, item) for w in range(max(low, int(first[at])), min(high + 1, int(after[at]))))
         place = np.flatnonzero(space.searched[codes])
-        if not len(place):
+        if not len(place) and not pairs:
             continue
-        step = place // STEP
-        begin = np.flatnonzero(np.concatenate(([True], step[1:] != step[:-1])))
         steps = np.zeros((len(owner), space.fold.shape[1]), np.float32)
-        steps[step[begin]] = np.add.reduceat(space.fold[codes[place]], begin, axis=0)
+        if len(place):
+            step = place // STEP
+            begin = np.flatnonzero(np.concatenate(([True], step[1:] != step[:-1])))
+            steps[step[begin]] = np.add.reduceat(space.fold[codes[place]], begin, axis=0)
         joined = np.flatnonzero(owner[1:] == owner[:-1])
         windows = steps.copy()
         windows[joined] += steps[joined + 1]
         near = unit(windows) @ targets.T
-        first = np.searchsorted(owner, owner, "left")
-        for w, item in np.argwhere(near >= COSINE).tolist():
+        pairs.update(map(tuple, np.argwhere(near >= COSINE).tolist()))
+        for w, item in sorted(pairs):
             doc = int(owner[w])
             if best.get((doc, item), (0.0,))[0] == 1.0:  # nothing can be closer
                 continue
@@ -349,14 +421,15 @@ def hits_of_block(docs: DataFrame, rows: list[tuple], id_col: str, text_col: str
     coded = code_documents(docs, items, id_col, text_col)
     space = latent_space(coded, items)
     targets = np.stack([space.item(c) for c in items.codes])
-    shared = docs.sparkSession.sparkContext.broadcast((items, space, targets))  # a block of items has a bound
+    rare = Rare.of(items.codes, space.counts)
+    shared = docs.sparkSession.sparkContext.broadcast((items, space, targets, rare))  # a block of items has a bound
     kind = coded.schema["id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, space, targets = shared.value
+        items, space, targets, rare = shared.value
         checker = Checker(items)
         for batch in batches:
-            found = list(find(_coded(batch), space, targets, checker))
+            found = list(find(_coded(batch), space, targets, checker, rare))
             at = pa.array([f[0] for f in found], pa.int64())
             starts = batch.column(1).take(at).to_numpy(zero_copy_only=False) + np.array([f[5] for f in found], np.int64)
             columns = [batch.column(0).take(at), pa.array([f[1] for f in found], pa.int32())]

@@ -100,3 +100,17 @@ def test_words():
     for text in ("It's A_b-c, \u00c9t\u00e9! 12\u00bd \x85x\u00a0y \u2026 \u00ab a \u00bb\n\x0b9", "plain ASCII: don't (stop) __x__ --", ""):
         want = ["".join(c for c in w if c.isalnum()) for w in text.lower().encode().split() for w in [w.decode()]]
         assert op.words_of(text) == [w.encode() for w in want if w]
+
+
+def test_hits_do_not_depend_on_the_latent_space(spark):
+    """With the cosine of every pair below the bound the rare words alone find what brute force finds."""
+    items, docs, _ = corpus()
+    block = op.Items.of(items)
+    codes = op.code_texts([t.encode() for _, t in docs], block.vocabulary)
+    counts = np.bincount(np.concatenate(codes), minlength=len(block.vocabulary) + 1)
+    nothing = op.Space(np.zeros((len(counts), 2), np.float32), np.zeros(len(counts), bool), counts)
+    found = op.find(codes, nothing, np.zeros((len(block.ids), 2), np.float32), op.Checker(block), op.Rare.of(block.codes, counts))
+    assert {(docs[f[0]][0], block.ids[f[1]]) for f in found} == brute(items, docs)
+    table = spark.createDataFrame(docs, "doc_id bigint, text string")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    assert {(r.doc_id, r.item_id) for r in op.contaminated(table, bench).collect()} == brute(items, docs)
