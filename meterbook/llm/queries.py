@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterbook.llm import backoff_lm, crf_quality, elias_fano, feistel_pii, html_layout, kk_sharding, latent_decontamination, quality_rules, simhash_dedup, transducer_bpe
+from meterbook.llm import backoff_lm, conversation_repair, crf_quality, elias_fano, feistel_pii, html_layout, kk_sharding, latent_decontamination, quality_rules, simhash_dedup, transducer_bpe
 from meterbook.llm.common import table
 from meterbook.llm.registry import ORACLES, QUERIES, query
 
@@ -80,3 +80,10 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold benchmark items, and which."""
     return latent_decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op11_conversation_repair")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults, cheapest edits and digest of the repair of every conversation, damaged first."""
+    rows = table(spark, folder, "conversations")
+    return conversation_repair.audits(conversation_repair.damage(rows), rows)
