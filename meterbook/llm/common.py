@@ -49,6 +49,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_written(df: DataFrame) -> None:
+    """Delete the files of a table that ``written`` returned, once nothing reads it any more."""
+    spark = df.sparkSession
+    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(file)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def words(text: Column) -> Column:
     """Array of words ``[^\\x20\\x09-\\x0D]+``; null and empty texts give an empty array."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")

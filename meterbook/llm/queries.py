@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterbook.llm import backoff_lm, conversation_repair, crf_quality, elias_fano, feistel_pii, html_layout, kk_sharding, latent_decontamination, quality_rules, simhash_dedup, transducer_bpe
+from meterbook.llm import backoff_lm, conversation_repair, crf_quality, elias_fano, feistel_pii, html_layout, kk_sharding, latent_decontamination, quality_rules, shallot_clusters, simhash_dedup, transducer_bpe
 from meterbook.llm.common import table
 from meterbook.llm.registry import ORACLES, QUERIES, query
 
@@ -87,3 +87,9 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     """Faults, cheapest edits and digest of the repair of every conversation, damaged first."""
     rows = table(spark, folder, "conversations")
     return conversation_repair.audits(conversation_repair.damage(rows), rows)
+
+
+@query("op12_shallot_clusters", shallot_clusters.SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Cluster of every vector, with inertia and centroid."""
+    return shallot_clusters.cluster(table(spark, folder, "embeddings"))
