@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterbook.llm import backoff_lm, conversation_repair, crf_quality, elias_fano, feistel_pii, html_layout, kk_sharding, latent_decontamination, quality_rules, shallot_clusters, simhash_dedup, transducer_bpe
+from meterbook.llm import backoff_lm, conversation_repair, crf_quality, elias_fano, feistel_pii, fragment_join, html_layout, kk_sharding, latent_decontamination, quality_rules, shallot_clusters, simhash_dedup, transducer_bpe
 from meterbook.llm.common import table
 from meterbook.llm.registry import ORACLES, QUERIES, query
 
@@ -93,3 +93,9 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     """Cluster of every vector, with inertia and centroid."""
     return shallot_clusters.cluster(table(spark, folder, "embeddings"))
+
+
+@query("op13_fragment_join")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Number of five-word shingles and group of every document."""
+    return fragment_join.jaccard_groups(table(spark, folder, "documents"))
