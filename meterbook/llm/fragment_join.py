@@ -6,9 +6,11 @@ a *segment*.  Two sets of sizes a and b with a similarity of 0.8 or more differ
 in at most ``D = (a + b) // 9`` n-grams, and segments serve twice:
 
 * **Candidates.**  With more fragments than ``D`` that are not empty, one of them
-  holds no difference: both sets have the same segment there, and the first such
-  is among the first ``D + 1`` non-empty segments of each.  So a set sends digests of
-  its first ``D + 1`` segments only.  The number of fragments goes by a power of two
+  holds no difference: both sets have the same segment there.  With ``D + m`` of them
+  there are m such, and the first m are among the first ``D + m`` non-empty segments
+  of each.  So a set sends digests of its first ``D + m`` segments only, m being one
+  in ``LEAST_PART`` of its n-grams, and pairs have that many digests in common
+  or are not linked.  The number of fragments goes by a power of two
   of the larger set's size; a set whose partners may lie in the next class
   sends its segments under that class too.  A set with too few non-empty
   fragments also sends those of a finer cut, until there are enough.  A long
@@ -18,8 +20,7 @@ in at most ``D = (a + b) // 9`` n-grams, and segments serve twice:
   each pair.  A fragment in which a pair differs by more than ``D`` sends nothing.
 
 Links are needed as far as they connect.  Equal sets are one class.  Classes
-that share a segment are compared with one class of their cell first, the same
-one wherever they meet it; then only those still in different groups are
+that share segments are compared with one class of their cells first; then only those still in different groups are
 compared with each other, in listed pairs where the cell is small and else in
 blocks that return spanning links.  No group lists all its pairs, no link
 between groups is lost.
@@ -43,10 +44,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterbook.llm.common import ASCII_LOWER, drop_written, map_batches, split_words, texts_of, written
+from meterbook.llm.common import ASCII_LOWER, drop_written, map_batches, release, split_words, texts_of, written
 from meterbook.llm.simhash_dedup import components
 
 SEED = 42
@@ -54,11 +55,13 @@ WORDS = 5
 #: 100 * shared >= 80 * union is 9 * shared >= 4 * (a + b).
 LINK_SHARED, LINK_SIZES = 9, 4
 #: Fragments of a class per n-gram of its smallest set.
-CUT = 0.6
+CUT = 0.75
+#: Linked sets share a digest for every so many n-grams of the smaller set, and one more.
+LEAST_PART = 16
 #: Fragments in which overlaps are counted.
 FRAGMENTS = 8
 #: A cell of up to so many classes lists the pairs that are still apart.
-LISTED = 16
+LISTED = 64
 #: N-grams of one side of a block.
 BLOCK_SHINGLES = 1 << 20
 #: Bits of the filters that are sent to the tasks (8 MB).
@@ -102,8 +105,13 @@ def linked(shared: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int) -
     return LINK_SHARED * shared >= LINK_SIZES * (a + b)
 
 
-def _digests(hashes: np.ndarray, scheme: int, differ: int) -> np.ndarray:
-    """Digests of the first ``differ + 1`` segments under a class, with finer cuts until there are as many."""
+def _least(size: int | Column) -> int | Column:
+    """Digests that a set of this size has in common with a linked one that is not smaller."""
+    return F.floor(size / LEAST_PART) + 1 if isinstance(size, Column) else size // LEAST_PART + 1
+
+
+def _digests(hashes: np.ndarray, scheme: int, take: int) -> np.ndarray:
+    """Digests of the first ``take`` segments under a class, with finer cuts until there are as many."""
     found, bits = [], 0
     while True:
         fragments = int(CUT * (1 << scheme) + 1) << bits
@@ -111,25 +119,25 @@ def _digests(hashes: np.ndarray, scheme: int, differ: int) -> np.ndarray:
         # above 2^31 fragments every n-gram is its own
         place = hashes if last else ((hashes >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)
         starts = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
-        enough = last or len(starts) > differ
+        enough = last or len(starts) >= take
         salt = mixed(np.array([(scheme << 8 | bits) + 1], np.uint64) * _ODD)
         sums = np.add.reduceat(mixed(hashes ^ salt), starts)
-        found.append(mixed(sums + salt)[: differ + 1])
+        found.append(mixed(sums + salt)[:take])
         if enough:
             return np.concatenate(found)
         bits += 1
 
 
 def segment_digests(hashes: np.ndarray) -> np.ndarray:
-    """What a set sends: any two linked sets have a digest in common."""
+    """What a set sends: any two linked sets have ``_least`` digests of the smaller one in common."""
     n = len(hashes)
     if not n:
         return np.empty(0, np.uint64)
     own = n.bit_length() - 1
     largest = n * 5 // 4
-    found = [_digests(hashes, own, (n + min(largest, (2 << own) - 1)) // 9)]
+    found = [_digests(hashes, own, (n + min(largest, (2 << own) - 1)) // 9 + _least(n))]
     if largest >= 2 << own:
-        found.append(_digests(hashes, own + 1, (n + largest) // 9))
+        found.append(_digests(hashes, own + 1, (n + largest) // 9 + _least(n)))
     return np.concatenate(found)
 
 
@@ -175,27 +183,34 @@ def _holds(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def _cells(marked: DataFrame, bits: int) -> DataFrame:
-    """Written rows (digest, class, low, top) of the digests that several classes share; low and top are two of these classes."""
+    """Written rows (digest, class, n, low, top) of the digests that several classes share; low and top are two of these classes."""
     spark = marked.sparkSession
     rows = marked.where(F.col("class").isNotNull())
     sent = rows.select("class", F.explode("digests").alias("digest"))
     # copies of a text and large groups are combined before they travel
     ends = sent.groupBy("digest").agg(F.min("class").alias("low"), F.max("class").alias("top")).where("low < top")
     ends = written(ends, "shared")
+    release(spark)
     again = spark.sparkContext.broadcast(_filter(ends.select("digest"), bits))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, lists = batch.column(0).to_numpy(), batch.column(1)
+            lists = batch.column(2)
             sizes = np.diff(lists.offsets.to_numpy())
             values = lists.flatten().to_numpy()
             keep = _holds(again.value, values)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, sizes)[keep]), pa.array(values[keep])], ["class", "digest"])
+            own = [pa.array(np.repeat(batch.column(c).to_numpy(), sizes)[keep]) for c in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(values[keep])], ["class", "n", "digest"])
 
-    some = map_batches(rows.select("class", "digests"), work, "class bigint, digest bigint").distinct()
+    some = map_batches(rows.select("class", "n", "digests"), work, "class bigint, n bigint, digest bigint").distinct()
     found = written(some.join(ends, "digest"), "cells")
     drop_written(ends)
-    return found
+    # a set that shares too few digests with all others together is linked with none
+    smaller = F.ceil(F.col("n") * 4 / 5)
+    enough = found.groupBy("class", "n").agg(F.count("*").alias("t")).where(F.col("t") >= _least(smaller)).select("class")
+    pruned = written(found.join(enough, "class", "left_semi").select(*found.columns), "pruned")
+    drop_written(found)
+    return pruned
 
 
 def _segments(docs: DataFrame, marked: DataFrame, wanted: DataFrame, id_col: str, text_col: str, size: int, bits: int) -> DataFrame:
@@ -224,8 +239,13 @@ def _segments(docs: DataFrame, marked: DataFrame, wanted: DataFrame, id_col: str
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["class", "fragment", "n", "grams"])
 
-    cut = map_batches(own, work, "class bigint, fragment int, n bigint, grams binary")
-    return written(cut.dropDuplicates(["class", "fragment"]), "fragments")
+    cut = written(map_batches(own, work, "class bigint, fragment int, n bigint, grams binary"), "fragments")
+    heads = cut.where("fragment = 0").groupBy("class").agg(F.count("*").alias("held"))
+    if heads.where("held > 1").isEmpty():
+        return cut
+    once = written(cut.dropDuplicates(["class", "fragment"]), "fragments")  # repeated rows
+    drop_written(cut)
+    return once
 
 
 def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
@@ -261,19 +281,30 @@ def _groups(found: DataFrame) -> DataFrame:
 
 
 def _apart(cells: DataFrame, found: DataFrame) -> DataFrame:
-    """Written rows (digest, class, low, top, group, main) of the cells with classes of several groups; main is the group with most of them."""
+    """Written rows of the cells with classes of several groups, with group, main (the group with most of them) and filled."""
     named = cells.join(_groups(found), "class", "left").withColumn("group", F.coalesce("group", "class"))
     parts = named.groupBy("digest", "group").agg(F.count("*").alias("held"))
     several = parts.groupBy("digest").agg(F.count("*").alias("groups"), F.sum("held").alias("filled"), F.max_by("group", F.struct("held", "group")).alias("main"))
-    # a cell of two has been compared
-    return written(named.join(several.where("groups > 1 and filled > 2").select("digest", "filled", "main"), "digest"), "apart")
+    return written(named.join(several.where("groups > 1").select("digest", "filled", "main"), "digest"), "apart")
+
+
+def _star(cells: DataFrame, centre: str) -> DataFrame:
+    """Pairs (a, b) of a class and the centre of its cells that share enough digests in such cells."""
+    rows = cells.where(F.col("class") != F.col(centre)).groupBy("class", "n", centre).agg(F.count("*").alias("c"))
+    pairs = rows.where(F.col("c") >= _least(F.ceil(F.col("n") * 4 / 5)))
+    return pairs.select(F.least("class", centre).alias("a"), F.greatest("class", centre).alias("b")).distinct()
 
 
 def _listed(apart: DataFrame, listed: int) -> DataFrame:
-    few = apart.where(F.col("filled") <= listed).select("digest", "class", "group")
+    """Pairs (a, b) of different groups that share enough digests; those of fuller cells, which are not listed, count as shared."""
+    full = apart.groupBy("class").agg(F.count(F.when(F.col("filled") > listed, 1)).alias("full"))
+    few = apart.where(F.col("filled") <= listed).join(full, "class").select("digest", "class", "group", "n", "full")
     a, b = few.alias("a"), few.alias("b")
-    pairs = a.join(b, (F.col("a.digest") == F.col("b.digest")) & (F.col("a.class") < F.col("b.class")) & (F.col("a.group") != F.col("b.group")))
-    return pairs.select(F.col("a.class").alias("a"), F.col("b.class").alias("b")).distinct()
+    sizes = LINK_SHARED * F.least("a.n", "b.n") >= LINK_SIZES * (F.col("a.n") + F.col("b.n"))
+    pairs = a.join(b, (F.col("a.digest") == F.col("b.digest")) & (F.col("a.class") < F.col("b.class")) & (F.col("a.group") != F.col("b.group")) & sizes)
+    lacks = _least(F.least("a.n", "b.n")) - F.least("a.full", "b.full")
+    met = pairs.select(F.col("a.class").alias("a"), F.col("b.class").alias("b"), lacks.alias("lacks")).groupBy("a", "b", "lacks").agg(F.count("*").alias("c"))
+    return met.where("c >= lacks").select("a", "b")
 
 
 def _block_links(apart: DataFrame, segments: DataFrame, block: int) -> DataFrame:
@@ -281,8 +312,7 @@ def _block_links(apart: DataFrame, segments: DataFrame, block: int) -> DataFrame
 
     A block counts overlaps fragment by fragment, like ``overlaps``, and returns links of groups it has not connected yet.
     """
-    sizes = segments.where("fragment = 0").select("class", "n")
-    rows = apart.join(sizes, "class")
+    rows = apart
     outside = F.col("group") != F.col("main")
     loads = rows.groupBy("digest").agg(F.sum("n").alias("all"), F.sum(F.when(outside, F.col("n")).otherwise(0)).alias("out"))
     counts = loads.select("digest", *[F.ceil(F.col(c) / block).cast("int").alias(k) for c, k in (("all", "is"), ("out", "js"))])
@@ -339,24 +369,26 @@ def spanning_links(left: list, right: list, left_groups: np.ndarray, right_group
 
 def links(docs: DataFrame, marked: DataFrame, id_col: str, text_col: str, size: int, listed: int, block: int, bits: int) -> DataFrame | None:
     """Pairs (a, b) of classes that connect all linked classes; None without candidates."""
+    spark = docs.sparkSession
     cells = _cells(marked, bits)
     if cells.isEmpty():
         return None
     segments = _segments(docs, marked, cells.select("class").distinct(), id_col, text_col, size, bits)
-
-    def star(rows: DataFrame, centre: str) -> DataFrame:
-        pairs = rows.where(F.col("class") != F.col(centre)).select(F.least("class", centre).alias("a"), F.greatest("class", centre).alias("b"))
-        return written(overlaps(pairs.distinct(), segments), f"star-{centre}")
-
-    found = star(cells, "low")
+    drop_written(marked)
+    release(spark)
+    found = written(overlaps(_star(cells, "low"), segments), "star-low")
     apart = _apart(cells, found)
-    found = found.unionByName(star(apart, "top"))
+    found = found.unionByName(written(overlaps(_star(apart, "top"), segments), "star-top"))
     left = _apart(apart.select(*cells.columns), found)
     drop_written(apart)
+    release(spark)
     found = found.unionByName(written(overlaps(_listed(left, listed), segments), "listed"))
     full = left.where(F.col("filled") > listed)
     if not full.isEmpty():
         found = found.unionByName(_block_links(full, segments, block))
+    for table in (left, cells, segments):
+        drop_written(table)
+    release(spark)
     return found
 
 
@@ -366,10 +398,11 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marked = prints(docs, id_col, text_col, size)
     classes = marked.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("id").alias("least"))
     classes = written(classes.select(F.col("class").alias("bits"), "least"), "classes")
+    narrow = written(marked.drop("digests"), "marked")
     found = links(docs, marked, id_col, text_col, size, listed, block, bits)
     named = classes.select("bits", F.col("least").alias("component"))
     if found is not None:
         named = classes.join(components(classes, found), "bits", "left").select("bits", F.coalesce("component", "least").alias("component"))
-    whole = marked.join(named, F.col("class") == F.col("bits"), "left")
+    whole = narrow.join(named, F.col("class") == F.col("bits"), "left")
     component = F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component"))
     return whole.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))

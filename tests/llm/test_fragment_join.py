@@ -80,7 +80,7 @@ def test_groups_match_brute_force(spark, sizes):
     assert got(op.jaccard_groups(docs, **sizes)) == want
 
 
-def test_linked_sets_share_a_digest():
+def test_linked_sets_share_enough_digests():
     """Random sets at the limit of the similarity, of all sizes."""
     rng = np.random.default_rng(6)
     tried = 0
@@ -94,7 +94,7 @@ def test_linked_sets_share_a_digest():
         pool = rng.integers(0, 1 << 63, a + b - shared, np.uint64) * np.uint64(2)
         left, right = np.unique(pool[:a]), np.unique(np.concatenate((pool[:shared], pool[a:])))
         assert op.linked(shared, a, b)
-        assert len(np.intersect1d(op.segment_digests(left), op.segment_digests(right)))
+        assert len(np.intersect1d(op.segment_digests(left), op.segment_digests(right))) >= min(a, b) // op.LEAST_PART + 1
     assert tried > 4000
 
 
@@ -102,7 +102,7 @@ def test_hashes_in_one_place_still_share_a_digest():
     """Sets that fall into one fragment of the usual cut are cut finer."""
     base = np.arange(1, 41, dtype=np.uint64)
     other = np.concatenate((base[:36], np.arange(100, 104, dtype=np.uint64)))
-    assert len(np.intersect1d(op.segment_digests(base), op.segment_digests(other)))
+    assert len(np.intersect1d(op.segment_digests(base), op.segment_digests(other))) >= 3
 
 
 def test_spanning_links_connect_groups():
