@@ -3,7 +3,10 @@
 A page is cut into tags and text, a tree is built with implied end tags, rules
 of visibility are applied, and what is left is written block by block: blank
 lines between paragraphs, list markers with indents, preformatted text as it
-is, and tables with their columns aligned.
+is, and tables with their columns aligned.  Of style sheets the display and
+visibility rules of tags, classes, ids and their descendants and children
+count, in the order of the cascade and as far as media queries ask for a
+screen; selectors with other parts are passed over.
 
 Defined results: null and empty pages give an empty text; broken markup is
 read as browsers do in the simple cases (open elements end with the page, end
@@ -16,6 +19,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,7 +32,7 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _RAW = frozenset("script style xmp iframe noembed noframes".split())
 _ESCAPABLE = frozenset(("textarea", "title"))
 _HIDDEN = frozenset(
-    "head script style template noscript iframe object svg math canvas audio video datalist noembed noframes map applet rp title select input textarea".split()
+    "head script style template noscript iframe object math canvas audio video datalist noembed noframes map applet rp title desc defs metadata input".split()
 )
 #: block elements and the blank lines around them
 _MARGIN = dict.fromkeys("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre figure hr table fieldset menu".split(), 1) | dict.fromkeys(
@@ -59,10 +63,13 @@ _WALLS = frozenset("table td th caption html button object template".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
-_VISIBILITY = re.compile(r"visibility\s*:\s*(\w+)", re.I)
-_SELECTOR = re.compile(r"([A-Za-z][\w-]*)?((?:[.#][\w-]+)*)\Z")
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+_BRACE = re.compile(r"[{}]")
+_DECLARATION = re.compile(r"\s*(display|visibility)\s*:\s*([A-Za-z-]+)\s*(!\s*important)?", re.I)
+_SELECTOR = re.compile(r"(\*|[A-Za-z][\w-]*)?((?:[.#][\w-]+)*)\Z")
+_WIDTH = re.compile(r"(min|max)-width\s*:\s*(\d+)px")
+#: Width of the screen that media queries are asked about.
+SCREEN = 1280
 
 
 class Node:
@@ -84,12 +91,16 @@ def build(page: str) -> tuple[Node, list[str]]:
     """The tree of a page and the texts of its style sheets."""
     root = Node("#page", {})
     stack, sheets, at, size = [root], [], 0, len(page)
+    opened: Counter[str] = Counter()  # names on the stack, so that what is not open is not looked for
 
     def close(names: set[str], walls: set[str]) -> None:
+        if not any(opened[name] for name in names):
+            return
         for i in range(len(stack) - 1, 0, -1):
             tag = stack[i].tag
             if tag in names:
-                del stack[i:]
+                while len(stack) > i:
+                    opened[stack.pop().tag] -= 1
                 return
             if tag in walls:
                 return
@@ -108,7 +119,7 @@ def build(page: str) -> tuple[Node, list[str]]:
         if found[1]:
             if tag == "br":
                 stack[-1].parts.append(Node("br", {}))
-            elif tag == "p" and not any(n.tag == "p" for n in stack):
+            elif tag == "p" and not opened["p"]:
                 stack[-1].parts.append(Node("p", {}))
             else:
                 close({tag}, set() if tag in ("table", "html", "body") else {"table"} if tag in _CELLS or tag in _ROWS or tag == "tr" else _WALLS - {tag})
@@ -122,7 +133,7 @@ def build(page: str) -> tuple[Node, list[str]]:
         if tag in _ENDS_P:
             close({"p"}, _WALLS)
         if tag in ("h1", "h2", "h3", "h4", "h5", "h6") and stack[-1].tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            stack.pop()
+            opened[stack.pop().tag] -= 1
         node = Node(tag, attributes(found[3]))
         stack[-1].parts.append(node)
         if tag in _RAW or tag in _ESCAPABLE:
@@ -134,36 +145,121 @@ def build(page: str) -> tuple[Node, list[str]]:
             at = end.end()
         elif tag not in _VOID and not (found[3].endswith("/") and tag in ("svg", "math", "path")):
             stack.append(node)
+            opened[tag] += 1
     return root, sheets
 
 
-def hiding_rules(sheets: list[str]) -> list[tuple[str, tuple[str, ...], tuple[str, ...]]]:
-    """(tag, classes, ids) of the simple selectors that take elements out of the layout."""
-    out = []
-    for sheet in sheets:
-        for selectors, body in _RULE.findall(sheet):
-            if _NO_DISPLAY.search(body):
-                for one in selectors.split(","):
-                    found = _SELECTOR.match(one.strip())
-                    if found and found[0]:
-                        names = re.findall(r"([.#])([\w-]+)", found[2])
-                        out.append(((found[1] or "").lower(), tuple(n for k, n in names if k == "."), tuple(n for k, n in names if k == "#")))
-    return out
+def declarations(body: str) -> list[tuple[str, str, bool]]:
+    """(property, value, important) of the declarations that decide what is seen."""
+    found = (_DECLARATION.match(one) for one in body.split(";"))
+    return [(m[1].lower(), m[2].lower(), bool(m[3])) for m in found if m]
+
+
+def on_screen(prelude: str) -> bool:
+    """Whether the rules inside an at-rule count for a screen."""
+    name, _, rest = prelude.partition(" ")
+    if not name.lower().startswith("@media"):
+        return name.lower() in ("@supports", "@layer", "@container", "@scope")
+    for query in (name[6:] + " " + rest).lower().split(","):
+        kind = query.replace("(", " (").split()
+        negated, kind = kind[:1] == ["not"], [w for w in kind if w not in ("not", "only")]
+        holds = not kind or kind[0] in ("all", "screen") or kind[0].startswith("(")
+        holds = holds and all(SCREEN >= int(n) if side == "min" else SCREEN <= int(n) for side, n in _WIDTH.findall(query))
+        if holds != negated:
+            return True
+    return False
 
 
-def is_hidden(node: Node, rules: list) -> bool:
+class Styles:
+    """Display and visibility rules of the style sheets, found by the last part of their selectors."""
+
+    def __init__(self, sheets: list[str]):
+        self.by_key: dict[str, list[tuple]] = {}
+        count = 0
+        for sheet in sheets:
+            sheet, at = _COMMENT.sub(" ", sheet), 0
+            open_: list[tuple[str, bool]] = []
+            for brace in _BRACE.finditer(sheet):
+                part, at = sheet[at : brace.start()], brace.end()
+                outer = open_[-1][1] if open_ else True
+                if brace[0] == "{":
+                    prelude = part.rsplit(";", 1)[-1].strip()
+                    open_.append((prelude, outer and (on_screen(prelude) if prelude.startswith("@") else True)))
+                elif open_:
+                    prelude, counts = open_.pop()
+                    found = declarations(part) if counts and not prelude.startswith("@") else []
+                    if found:
+                        count += 1
+                        for one in prelude.split(","):
+                            self._add(one, found, count)
+
+    def _add(self, selector: str, found: list, order: int) -> None:
+        chain, child = [], False
+        for word in selector.replace(">", " > ").split():
+            if word == ">":
+                child = True
+                continue
+            parsed = _SELECTOR.match(word)
+            if not parsed or not parsed[0]:
+                return
+            names = re.findall(r"([.#])([\w-]+)", parsed[2])
+            tag = (parsed[1] or "").lower().replace("*", "")
+            chain.append((child, tag, frozenset(n for k, n in names if k == "."), frozenset(n for k, n in names if k == "#")))
+            child = False
+        if chain:
+            weight = tuple(sum(map(len, (part[i] for part in chain))) for i in (3, 2)) + (sum(bool(part[1]) for part in chain),)
+            _, tag, classes, ids = chain[-1]
+            key = "#" + min(ids) if ids else "." + min(classes) if classes else tag
+            self.by_key.setdefault(key, []).append((chain, weight, order, found))
+
+    def of(self, path: list[Node]) -> dict[str, str]:
+        """The display and visibility that hold for the last node of a path: important ones, then inline ones, the most specific, the latest."""
+        node = path[-1]
+        best: dict[str, tuple] = {}
+        if "style" in node.attrs:
+            for name, value, important in declarations(node.attrs["style"]):
+                best[name] = max(best.get(name, ((),)), ((important, True, (0, 0, 0), 0), value), key=lambda x: x[0])
+        if self.by_key:
+            keys = [node.tag, ""] + ["." + c for c in set(node.attrs.get("class", "").split())]
+            if "id" in node.attrs:
+                keys.append("#" + node.attrs["id"])
+            for key in keys:
+                for chain, weight, order, found in self.by_key.get(key, ()):
+                    if _fits(chain, path):
+                        for name, value, important in found:
+                            best[name] = max(best.get(name, ((),)), ((important, False, weight, order), value), key=lambda x: x[0])
+        return {name: value for name, (_, value) in best.items()}
+
+
+def _is(node: Node, part: tuple) -> bool:
+    _, tag, classes, ids = part
+    return (not tag or tag == node.tag) and classes <= set(node.attrs.get("class", "").split()) and all(i == node.attrs.get("id") for i in ids)
+
+
+def _fits(chain: list[tuple], path: list[Node]) -> bool:
+    """Whether a chain of selectors ends at the last node of a path."""
+    if not _is(path[-1], chain[-1]):
+        return False
+    # places of the path where the part after the one in question may lie
+    places = {len(path) - 1}
+    for at in range(len(chain) - 2, -1, -1):
+        if chain[at + 1][0]:
+            wanted = {p - 1 for p in places}
+        else:
+            wanted = range(max(places))
+        places = {p for p in wanted if p >= 0 and _is(path[p], chain[at])}
+        if not places:
+            return False
+    return True
+
+
+def is_hidden(node: Node, style: dict[str, str]) -> bool:
     """Not displayed, with all it holds."""
-    attrs = node.attrs
-    if node.tag in _HIDDEN or "hidden" in attrs or (node.tag == "dialog" and "open" not in attrs):
+    if node.tag in _HIDDEN:
         return True
-    if "style" in attrs and _NO_DISPLAY.search(attrs["style"]):
-        return True
-    if rules:
-        classes = attrs.get("class", "").split()
-        for tag, need, ids in rules:
-            if (not tag or tag == node.tag) and all(c in classes for c in need) and all(i == attrs.get("id") for i in ids):
-                return True
-    return False
+    if "display" in style:
+        return style["display"] == "none"
+    return "hidden" in node.attrs or (node.tag == "dialog" and "open" not in node.attrs)
 
 
 class Canvas:
@@ -236,20 +332,15 @@ def aligned(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
                     taken[y + dy, x + dx] = True
             placed.append((y, x, lines, wide))
             x += wide
-    columns = max((x + wide for _, x, _, wide in placed), default=0)
-    width = [0] * columns
-    for _, x, lines, wide in placed:
-        if wide == 1:
-            width[x] = max([width[x], *map(len, lines)])
-    for _, x, lines, wide in placed:
-        need = max(map(len, lines), default=0) - sum(width[x : x + wide]) - 2 * (wide - 1)
-        if wide > 1 and need > 0:
-            width[x + wide - 1] += need
-    used = [c for c in range(columns) if width[c]]
-    start, at = {}, 0
-    for c in used:
+    # a column begins where cells begin, two blanks behind whatever ends before it in any row
+    shown = sorted(((x + wide, x, max(map(len, lines))) for _, x, lines, wide in placed if lines))
+    start: dict[int, int] = {}
+    at = ended = 0
+    for c in sorted({x for _, x, _ in shown}):
+        while ended < len(shown) and shown[ended][0] <= c:
+            _, x, size = shown[ended]
+            at, ended = max(at, start[x] + size + 2), ended + 1
         start[c] = at
-        at += width[c] + 2
     out = []
     for y in range(len(rows)):
         own = [(x, lines) for row, x, lines, _ in placed if row == y and lines]
@@ -257,7 +348,7 @@ def aligned(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
             line = ""
             for x, lines in own:
                 if i < len(lines) and lines[i]:
-                    line = line.ljust(start[next(c for c in used if c >= x)]) + lines[i]
+                    line = line.ljust(start[x]) + lines[i]
             out.append(line.rstrip())
     return out
 
@@ -273,9 +364,9 @@ def render(page: str | None) -> str:
     if not page:
         return ""
     root, sheets = build(page.replace("\r\n", "\n").replace("\r", "\n").replace("\0", "�"))
-    rules = hiding_rules(sheets)
+    styles = Styles(sheets)
     canvases, tables, lists = [Canvas()], [], []
-    shown, kept = [True], [False]
+    shown, kept, path = [True], [False], []
     # (node, None) enters a node, (node, canvas state) leaves it
     work: list[tuple] = [("enter", root)]
     while work:
@@ -288,7 +379,10 @@ def render(page: str | None) -> str:
         tag = node.tag
         margin = _MARGIN.get(tag)
         if what == "enter":
-            if is_hidden(node, rules):
+            path.append(node)
+            style = styles.of(path)
+            path.pop()
+            if is_hidden(node, style):
                 continue
             if tag == "br":
                 if shown[-1]:
@@ -303,9 +397,10 @@ def render(page: str | None) -> str:
                     canvas.put("---")
                 canvas.block(1)
                 continue
-            looks = _VISIBILITY.search(node.attrs.get("style", ""))
-            shown.append(shown[-1] if looks is None or looks[1].lower() == "inherit" else looks[1].lower() == "visible")
-            kept.append(kept[-1] or tag == "pre")
+            looks = style.get("visibility", "inherit")
+            shown.append(shown[-1] if looks in ("inherit", "unset") else looks in ("visible", "initial"))
+            kept.append(kept[-1] or tag in ("pre", "textarea"))
+            path.append(node)
             before = canvas.indent
             parts = node.parts
             if tag in _LISTS:
@@ -337,7 +432,7 @@ def render(page: str | None) -> str:
                 canvas.text('"', False)
             work.append(("leave", node, before, len(canvases)))
             work.extend(("enter", p) if isinstance(p, Node) else ("text", p) for p in reversed(parts))
-            if tag == "pre" and parts and isinstance(parts[0], str) and parts[0][:1] == "\n":
+            if tag in ("pre", "textarea") and parts and isinstance(parts[0], str) and parts[0][:1] == "\n":
                 work[-1] = ("text", parts[0][1:])
             continue
         before, depth = state
@@ -366,6 +461,7 @@ def render(page: str | None) -> str:
             canvas.block(margin if not (tag in _LISTS and lists) else 0)
         shown.pop()
         kept.pop()
+        path.pop()
     return "\n".join(canvases[0].done())
 
 

@@ -2,7 +2,9 @@
 
 import html
 import os
+import random
 import re
+import time
 
 import pytest
 
@@ -38,6 +40,15 @@ CASES = [
     ("a < b <", "a < b <"),
     ("<p>open <a href='x>y'>link</a", "open link"),
     ("<ul><li></ul>x", "-\n\nx"),
+    ("<table><tr><td colspan=2>Hi</table>", "Hi"),
+    ("<table><tr><td colspan=2>a<td>b</table>", "a  b"),
+    ("<table><tr><td>a<td colspan=3>long text<td>b<tr><td><td>c</table>", "a  long text  b\n   c"),
+    ("<style>.tab{display:none} .tab.active{display:block}</style><p class=tab>no<p class='active tab'>yes", "yes"),
+    ("<style>@media print{p{display:none}} @media (max-width: 400px){p{display:none}}</style><p>yes", "yes"),
+    ("<style>@media screen and (min-width:600px){p{display:none}}</style><p>no", ""),
+    ("<style>.a .b{display:none} .a > i{visibility:hidden}</style><div class=a><p><span class=b>no</span><i>yes</i></p><i>no</i></div><span class=b>yes", "yes\n\nyes"),
+    ("<style>.v{visibility:hidden} p{display:none !important}</style><p style='display:block'>no</p><b class=v>no</b>yes", "yes"),
+    ("<select><option>a<option>b</select><textarea> c\n d</textarea><svg><title>no</title><text>e</text></svg>", "a\nb\n c\n de"),
 ]
 
 
@@ -67,3 +78,23 @@ def test_words_of_the_test_pages(spark):
         want = re.sub(r"(?s)<[A-Za-z/!][^>]*>", " ", plain).split()
         drop = {"-", "---"}
         assert [w for w in got[r.page_id].split() if w not in drop] == [w for w in want if w not in drop], r.page_id
+
+
+def test_cells_of_any_span_keep_words_apart():
+    rng = random.Random(7)
+    for _ in range(1500):
+        words, page = [], "<table>"
+        for _ in range(rng.randint(1, 4)):
+            page += "<tr>"
+            for _ in range(rng.randint(0, 4)):
+                own = [f"w{len(words) + i}" * rng.randint(1, 4) for i in range(rng.randint(0, 2))]
+                words += own
+                page += f"<td colspan={rng.randint(0, 4)} rowspan={rng.randint(0, 3)}>{rng.choice([' ', '<br>']).join(own)}"
+        assert sorted(op.render(page + "</table>").split()) == sorted(words), page
+
+
+def test_long_style_text_is_read_in_passing():
+    for sheet in ("x" * 1_000_000, "/*" + "a" * 500_000, "{" * 300_000, "a{" * 200_000 + "}" * 200_000, "p{display:none}" * 50_000 + "b" * 500_000):
+        begun = time.perf_counter()
+        assert "seen" in op.render(f"<style>{sheet}</style><div>seen</div>")
+        assert time.perf_counter() - begun < 5
