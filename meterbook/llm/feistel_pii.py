@@ -36,7 +36,12 @@ ROUNDS = 10
 KEY = "change this key"
 
 # The forms that are looked for, in order of precedence.
-_EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+# A run before an @ is tried from its begin only, and what it takes is not given back.  A domain that ends in letters is taken as a
+# whole, of any length; of one that does not, the last label of letters among its first 127 counts, as host names have no more.
+_LOCAL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@"
+_EMAIL = (
+    _LOCAL + r"(?:[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+(?<=\.[A-Za-z]{2,63})|[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){0,126}\.[A-Za-z]{2,})"
+)
 _SECRET = r"(?i:token|secret|api_?key|password|passwd)[\"']?\s*[=:]\s*[\"']?[A-Za-z0-9]{16,}"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _IP = rf"(?<![\w.-])(?:{_OCTET}\.){{3}}{_OCTET}(?![\w-]|\.\d)"
@@ -92,11 +97,15 @@ def permute_characters(text: Column, key: str, kind: str, alphabets: tuple[str,
     """Feistel network on a text: each character of an alphabet moves within it, all others stay."""
 
     def moved(half: Column, other: Column, i: Column) -> Column:
-        blocks = F.transform(F.sequence(F.lit(0), F.floor(F.length(half) / 32).cast("int")), lambda k: _mac(key, kind, F.length(half), i, k, other))
+        # the other half is read once a round, its digest stands for it in the blocks
+        numbers = F.sequence(F.lit(0), F.floor(F.length(half) / 32).cast("int"))
+        blocks = let(F.sha2(other, 256), lambda digest: F.transform(numbers, lambda k: _mac(key, kind, F.length(half), i, k, digest)))
 
         def shifted(stream: Column) -> Column:
             def one(c: Column, at: Column) -> Column:
-                by = F.conv(F.substr(stream, at * 2 + 1, F.lit(2)), 16, 10).cast("int")
+                # 32 numbers of a block, so a place is found at once however long the text is
+                part = F.get(stream, F.floor(at / 32).cast("int"))
+                by = F.conv(F.substr(part, F.pmod(at, F.lit(32)) * 2 + 1, F.lit(2)), 16, 10).cast("int")
                 out = c
                 for letters in alphabets:
                     place = F.instr(F.lit(letters), c)
@@ -105,7 +114,7 @@ def permute_characters(text: Column, key: str, kind: str, alphabets: tuple[str,
 
             return F.array_join(F.transform(F.split(half, ""), one), "")
 
-        return F.when(F.length(half) > 0, let(F.array_join(blocks, ""), shifted)).otherwise(half)
+        return F.when(F.length(half) > 0, let(blocks, shifted)).otherwise(half)
 
     def network(t: Column) -> Column:
         cut = F.floor(F.length(t) / 2).cast("int")
