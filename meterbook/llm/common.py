@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from meterbook.session import scratch_path
 ASCII_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 # rows of one Arrow batch: a few MB of usual texts, and one very long text does not pull thousands of others with it
 BATCH_ROWS = "512"
+#: Bits of the filters that are sent to tasks (8 MB).
+FILTER_BITS = 1 << 26
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -64,6 +67,27 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def bitmap_of(values: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """A bitmap of the values (one bigint column, evenly spread) by their low bits; ``bits / 8`` bytes whatever the table holds.
+
+    As a filter it lets more pass the fuller it gets, and never drops a value of the table.
+    """
+    at = F.col(values.columns[0]).bitwiseAND(F.lit(bits - 1))
+    packed = values.select(F.shiftright(at, 15).alias("bucket"), at.bitwiseAND(F.lit((1 << 15) - 1)).alias("bit"))
+    # one row of 4 KB for each 32768 bits, made before the shuffle
+    rows = packed.groupBy("bucket").agg(F.expr("bitmap_construct_agg(bit)").alias("bitmap")).collect()
+    out = np.zeros((max(bits >> 15, 1), 4096), np.uint8)
+    for row in rows:
+        out[row.bucket] = np.frombuffer(row.bitmap, np.uint8)
+    return out.ravel()
+
+
+def in_bitmap(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether values (64 bits each) may be in the table of a bitmap."""
+    at = values.view(np.uint64) & np.uint64(len(bitmap) * 8 - 1)
+    return bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 > 0
+
+
 def words(text: Column) -> Column:
     """Array of words ``[^\\x20\\x09-\\x0D]+``; null and empty texts give an empty array."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")

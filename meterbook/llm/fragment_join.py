@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterbook.llm.common import ASCII_LOWER, drop_written, map_batches, release, split_words, texts_of, written
+from meterbook.llm.common import ASCII_LOWER, FILTER_BITS, bitmap_of, drop_written, in_bitmap, map_batches, release, split_words, texts_of, written
 from meterbook.llm.simhash_dedup import components
 
 SEED = 42
@@ -64,8 +64,6 @@ FRAGMENTS = 8
 LISTED = 64
 #: N-grams of one side of a block.
 BLOCK_SHINGLES = 1 << 20
-#: Bits of the filters that are sent to the tasks (8 MB).
-FILTER_BITS = 1 << 26
 _WORD_CACHE = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -164,24 +162,6 @@ def _class_of(hashes: np.ndarray) -> int | None:
     return int(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes(), SEED)).astype(np.int64)) if len(hashes) else None
 
 
-def _filter(values: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """A bitmap of the values (one bigint column) by their low bits; ``bits / 8`` bytes whatever the table holds."""
-    name = values.columns[0]
-    at = F.col(name).bitwiseAND(F.lit(bits - 1))
-    packed = values.select(F.shiftright(at, 15).alias("bucket"), at.bitwiseAND(F.lit((1 << 15) - 1)).alias("bit"))
-    # one row of 4 KB for each 32768 bits, made before the shuffle
-    rows = packed.groupBy("bucket").agg(F.expr("bitmap_construct_agg(bit)").alias("bitmap")).collect()
-    out = np.zeros((max(bits >> 15, 1), 4096), np.uint8)
-    for row in rows:
-        out[row.bucket] = np.frombuffer(row.bitmap, np.uint8)
-    return out.ravel()
-
-
-def _holds(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
-    at = values.view(np.uint64) & np.uint64(len(bitmap) * 8 - 1)
-    return bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 > 0
-
-
 def _cells(marked: DataFrame, bits: int) -> DataFrame:
     """Written rows (digest, class, n, low, top) of the digests that several classes share; low and top are two of these classes."""
     spark = marked.sparkSession
@@ -191,14 +171,14 @@ def _cells(marked: DataFrame, bits: int) -> DataFrame:
     ends = sent.groupBy("digest").agg(F.min("class").alias("low"), F.max("class").alias("top")).where("low < top")
     ends = written(ends, "shared")
     release(spark)
-    again = spark.sparkContext.broadcast(_filter(ends.select("digest"), bits))
+    again = spark.sparkContext.broadcast(bitmap_of(ends.select("digest"), bits))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(2)
             sizes = np.diff(lists.offsets.to_numpy())
             values = lists.flatten().to_numpy()
-            keep = _holds(again.value, values)
+            keep = in_bitmap(again.value, values)
             own = [pa.array(np.repeat(batch.column(c).to_numpy(), sizes)[keep]) for c in (0, 1)]
             yield pa.RecordBatch.from_arrays([*own, pa.array(values[keep])], ["class", "n", "digest"])
 
@@ -216,20 +196,20 @@ def _cells(marked: DataFrame, bits: int) -> DataFrame:
 def _segments(docs: DataFrame, marked: DataFrame, wanted: DataFrame, id_col: str, text_col: str, size: int, bits: int) -> DataFrame:
     """Written rows (class, fragment, n, grams) of the classes that are wanted (one bigint column)."""
     spark = docs.sparkSession
-    classes = spark.sparkContext.broadcast(_filter(wanted, bits))
+    classes = spark.sparkContext.broadcast(bitmap_of(wanted, bits))
     # one document for each class: the others need not be read again
     least = marked.where(F.col("class").isNotNull()).groupBy("class").agg(F.min(F.xxhash64("id")).alias("id_hash"))
     ids = least.join(wanted.toDF("class"), "class", "left_semi").select("id_hash")
-    readers = spark.sparkContext.broadcast(_filter(ids, bits))
+    readers = spark.sparkContext.broadcast(bitmap_of(ids, bits))
     own = docs.select(F.xxhash64(F.col(f"`{id_col}`")).alias("id_hash"), F.col(f"`{text_col}`").alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHashes()
         for batch in batches:
-            keep = _holds(readers.value, batch.column(0).to_numpy())
+            keep = in_bitmap(readers.value, batch.column(0).to_numpy())
             sets = [shingles(t, known, size) for t in texts_of(batch.filter(pa.array(keep)))]
             named = [(_class_of(s), s) for s in sets if len(s)]
-            held = _holds(classes.value, np.array([c for c, _ in named], np.int64)) if named else []
+            held = in_bitmap(classes.value, np.array([c for c, _ in named], np.int64)) if named else []
             rows = []
             for (name, s), yes in zip(named, held, strict=True):
                 if yes:
@@ -248,6 +228,16 @@ def _segments(docs: DataFrame, marked: DataFrame, wanted: DataFrame, id_col: str
     return once
 
 
+def _shared(left: np.ndarray, right: np.ndarray) -> int:
+    """How many values two ascending segments have in common."""
+    if len(left) < len(right):
+        left, right = right, left
+    if not len(right):
+        return 0
+    at = np.searchsorted(left, right)
+    return int((left[np.minimum(at, len(left) - 1)] == right).sum())
+
+
 def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     """Rows (a, b) of the pairs that are linked: overlaps are counted by fragment and summed."""
     both = pairs
@@ -262,7 +252,7 @@ def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
             keep, counts = [], []
             for i, (x, y) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
                 left, right = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                met = len(left) + len(right) - len(np.union1d(left, right)) if len(left) and len(right) else 0
+                met = _shared(left, right)
                 if met and len(left) + len(right) - 2 * met <= sizes[i] // 9:
                     keep.append(i)
                     counts.append(met)

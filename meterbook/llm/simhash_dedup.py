@@ -25,6 +25,7 @@ read, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterbook.llm.common import ASCII_LOWER, map_batches, split_words, texts_of, written
+from meterbook.llm.common import ASCII_LOWER, bitmap_of, drop_written, in_bitmap, map_batches, release, split_words, texts_of, written
 
 SEED = 42
 MAX_BITS = 3
@@ -44,61 +45,40 @@ CELL_BLOCK = 1024
 #: ... where a cell holds more than this.
 DENSE = 8
 _CHUNK = 1 << 16
-_TURN_BIT = 40
-
-
-def _again(hashes: np.ndarray, turn: int) -> np.ndarray:
-    """The hashes of another turn: a one-to-one mixing of 64-bit numbers; turn 0 is the hashes themselves."""
-    if not turn:
-        return hashes
-    x = hashes + np.uint64((turn * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
 
 
 def fingerprint(text: bytes, size: int = SHINGLE_WORDS) -> int:
     """SimHash of one text as an unsigned integer: a bit is 1 if set in over half the shingle hashes."""
-    return fingerprint_turns(text, size, 1)[0]
-
-
-def fingerprint_turns(text: bytes, size: int, turns: int) -> list[int]:
-    """Fingerprints of one text under several hash functions."""
     parts = split_words(text.translate(ASCII_LOWER))
     if not parts:
-        return [0] * turns
-    if len(parts) <= size:
-        whole = np.array([xxhash.xxh64_intdigest(b" ".join(parts), SEED)], np.uint64)
-        return [int(_again(whole, turn)[0]) for turn in range(turns)]
+        return 0
     joined = b" ".join(parts)
+    if len(parts) <= size:
+        return xxhash.xxh64_intdigest(joined, SEED)
     # a shingle is a slice of the joined words: from the start of its first to the end of its last
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     digest, count = xxhash.xxh64_intdigest, len(parts) - size + 1
-    votes = np.zeros((turns, 64), np.int64)
+    votes = np.zeros(64, np.int64)
     for at in range(0, count, _CHUNK):
         to = min(at + _CHUNK, count)
         slices = zip(starts[at:to].tolist(), ends[at + size - 1 : to + size - 1].tolist(), strict=True)
         hashes = np.fromiter((digest(joined[s:e], SEED) for s, e in slices), np.uint64, to - at)
-        for turn in range(turns):
-            bits = np.unpackbits(_again(hashes, turn).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            votes[turn] += bits.sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * votes > count, axis=1, bitorder="little").view(np.uint64).ravel().tolist()
+        votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * votes > count, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS, turns: int = 1) -> DataFrame:
-    """Rows (id, turn, bits), one for each document and turn; bits is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS) -> DataFrame:
+    """Rows (id, bits), one for each document; bits is the fingerprint as a signed long."""
     own = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     kind = own.schema["id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.array([fingerprint_turns(t, size, turns) for t in texts_of(batch)], np.uint64).reshape(-1, turns).view(np.int64)
-            ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(values)), turns)))
-            turn = pa.array(np.tile(np.arange(turns, dtype=np.int32), len(values)))
-            yield pa.RecordBatch.from_arrays([ids, turn, pa.array(values.ravel())], ["id", "turn", "bits"])
+            values = np.array([fingerprint(t, size) for t in texts_of(batch)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], ["id", "bits"])
 
-    return map_batches(own, work, f"id {kind}, turn int, bits bigint")
+    return map_batches(own, work, f"id {kind}, bits bigint")
 
 
 def _unary(bits: Column) -> Column:
@@ -113,9 +93,9 @@ def _half(counts: Column, half: int) -> Column:
 
 
 def _cells(prints: DataFrame) -> DataFrame:
-    """The two cells of each fingerprint; the key carries the half in its lowest bit and the turn above the counts."""
+    """The two cells of each fingerprint; the key carries the half in its lowest bit."""
     counts = _unary(F.col("bits"))
-    cell = F.explode(F.array(*[_half(counts, h) * 2 + h + F.shiftleft(F.col("turn").cast("long"), _TURN_BIT) for h in (0, 1)]))
+    cell = F.explode(F.array(*[_half(counts, h) * 2 + h for h in (0, 1)]))
     return prints.select("bits", cell.alias("cell"))
 
 
@@ -132,12 +112,8 @@ def _probes(cells: DataFrame) -> DataFrame:
     return near.where((F.col("step") == 0) | (F.col("at") != F.col("cell"))).select("bits", F.col("at").alias("cell"), (F.col("step") > 0).alias("up"))
 
 
-def _turn_of(cell: Column) -> Column:
-    return F.shiftright(cell, _TURN_BIT).cast("int").alias("turn")
-
-
 def links(prints: DataFrame, max_bits: int = MAX_BITS, dense: int = DENSE, cell_block: int = CELL_BLOCK) -> DataFrame:
-    """Rows (turn, a, b) that connect all distinct fingerprints (turn, bits) of a turn within ``max_bits`` (3 at most) of each other.
+    """Rows (a, b) that connect all distinct fingerprints (bits) within ``max_bits`` (3 at most) of each other.
 
     Up to ``dense`` fingerprints in a cell every pair is returned; a fuller
     cell is compared in blocks of ``cell_block``, whose links are spanning ones,
@@ -162,7 +138,7 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, dense: int = DENSE, cell_
         & (F.bit_count(_unary(F.col("a.bits")).bitwiseXOR(_unary(F.col("b.bits")))) <= max_bits)
         & (F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) <= max_bits)
     )
-    found = a.join(b, near).select(_turn_of(F.col("a.cell")), F.col("a.bits").alias("a"), F.col("b.bits").alias("b"))
+    found = a.join(b, near).select(F.col("a.bits").alias("a"), F.col("b.bits").alias("b"))
     return found if spanning is None else found.unionByName(spanning)
 
 
@@ -185,10 +161,9 @@ def _full_cells(cells: DataFrame, probes: DataFrame, full: DataFrame, max_bits:
     def span(group: pd.DataFrame) -> pd.DataFrame:
         left = np.unique(group.loc[~group["probe"], "bits"].to_numpy(np.int64))
         right = np.unique(group.loc[group["probe"], "bits"].to_numpy(np.int64))
-        return pd.DataFrame(spanning_links(left, right, max_bits), columns=["a", "b"]).assign(cell=group["cell"].iloc[0])
+        return pd.DataFrame(spanning_links(left, right, max_bits), columns=["a", "b"])
 
-    found = base.unionByName(other).groupBy("cell", "i", "j").applyInPandas(span, "a bigint, b bigint, cell bigint")
-    return found.select(_turn_of(F.col("cell")), "a", "b")
+    return base.unionByName(other).groupBy("cell", "i", "j").applyInPandas(span, "a bigint, b bigint")
 
 
 def spanning_links(left: np.ndarray, right: np.ndarray, max_bits: int) -> np.ndarray:
@@ -234,21 +209,30 @@ def components(nodes: DataFrame, pairs: DataFrame, max_rounds: int = 100) -> Dat
         parents = written(parents, f"parents-{round_}")
         for jump in (1, 2):  # towards the root of the chain
             above = parents.select(F.col("node").alias("root"), F.col("root").alias("further"))
-            parents = written(parents.join(above, "root").select("node", F.col("further").alias("root")), f"parents-{round_}-{jump}")
+            after = written(parents.join(above, "root").select("node", F.col("further").alias("root")), f"parents-{round_}-{jump}")
+            drop_written(parents)
+            parents = after
+        before = joined
         if joined is None:
             joined = parents
         else:
             above = parents.select(F.col("node").alias("root"), F.col("root").alias("further"))
             joined = joined.join(above, "root", "left").select("node", F.coalesce("further", "root").alias("root"))
         joined = written(joined, f"joined-{round_}")
+        if before is not None:
+            drop_written(before)
+        old = edges
         for side in ("a", "b"):
             edges = edges.join(parents.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side)
         edges = written(_links_between(edges.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))), f"links-{round_}")
+        for read in (old, parents):
+            drop_written(read)
     else:
         raise RuntimeError("components did not settle")
     if joined is None:
         return nodes.limit(0).select("bits", F.col("least").alias("component"))
     named = written(joined.select(F.col("node").alias("bits"), "root").join(nodes.select("bits", "least"), "bits"), "members")
+    drop_written(joined)
     least = named.groupBy("root").agg(F.min("least").alias("component"))
     return named.join(least, "root").select("bits", "component")
 
@@ -262,18 +246,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     dense: int = DENSE, cell_block: int = CELL_BLOCK) -> DataFrame:
     """One row per document: id, fingerprint (16 hex digits), component_id (smallest id reachable over links)."""
     prints = written(fingerprints(docs, id_col, text_col, size), "fingerprints")
-    nodes = written(prints.groupBy("turn", "bits").agg(F.min("id").alias("least")), "prints")
+    nodes = written(prints.groupBy("bits").agg(F.min("id").alias("least")), "prints")
     found = links(nodes, dense=dense, cell_block=cell_block)
     merged = nodes.join(components(nodes, found), "bits", "left").select("bits", F.coalesce("component", "least").alias("component"))
-    return prints.drop("turn").join(merged, "bits").select(
+    return prints.join(merged, "bits").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id")
     )
 
 
-#: What the pipeline's stage linked by before it compared shingles: fingerprints of two-word shingles under eight hash functions.
-WIDE_TURNS = 8
-WIDE_WORDS = 2
-
 #: The pipeline links texts whose five-word shingles have a Jaccard similarity of at least 4 / 5.
 NEAR_WORDS = 5
 NEAR_PART, NEAR_WHOLE = 4, 5
@@ -289,6 +269,8 @@ PREFIX_PART = 16
 PRUNE_ROUNDS = 2
 #: A cell of up to so many texts lists its pairs.
 LISTED = 64
+#: Shingles are counted in so many passes, which bounds what a shuffle holds on disk.
+PASSES = 4
 #: Shingles of one side of a block.
 BLOCK_SHINGLES = 1 << 20
 
@@ -445,10 +427,33 @@ def _block_links(apart: DataFrame, sets: DataFrame, block: int) -> DataFrame:
     return written(both.groupBy("token", "i", "j").applyInPandas(work, "a bigint, b bigint"), "block-links")
 
 
-def _shared(tokens: DataFrame) -> DataFrame:
-    """Written rows (row, size, token, n) of the shingles that n rows share, n two or more."""
-    fill = written(tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), "fill")
-    return written(tokens.join(fill, "token"), "shared")
+def _shared(tokens: DataFrame, passes: int = 1) -> DataFrame:
+    """Written rows (row, size, token, n) of the shingles that n rows share, n two or more.
+
+    Shingles are counted in passes over ranges of their hashes, each freed before the next, and only those that may
+    occur again travel with their rows.
+    """
+    spark = tokens.sparkSession
+    part = F.pmod(F.xxhash64("token"), F.lit(passes))
+    fills = []
+    for i in range(passes):
+        own = tokens.where(part == i) if passes > 1 else tokens
+        fills.append(written(own.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), "fill"))
+        release(spark)
+    fill = reduce(DataFrame.unionByName, fills)
+    again = spark.sparkContext.broadcast(bitmap_of(fill.select("token")))
+    kinds = "row bigint, size int, token bigint"
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(again.value, batch.column(2).to_numpy())))
+
+    some = map_batches(tokens.select("row", "size", "token"), work, kinds) if passes > 1 else tokens
+    found = written(some.join(fill, "token"), "shared")
+    for read in fills:
+        drop_written(read)
+    release(spark)
+    return found
 
 
 def near_copy_links(keyed: DataFrame, tokens: DataFrame, size: int, dense: int, block: int) -> DataFrame:
@@ -459,11 +464,14 @@ def near_copy_links(keyed: DataFrame, tokens: DataFrame, size: int, dense: int,
     compares each text with a few of its texts, and then exactly those that are
     still in different groups, in blocks that return spanning links only.
     """
-    shared = _shared(tokens)
+    spark = keyed.sparkSession
+    shared = _shared(tokens, PASSES)
     for _ in range(PRUNE_ROUNDS):  # rows that share too few shingles with all others together have no near copy
         smaller = F.ceil(F.col("size") * NEAR_PART / NEAR_WHOLE)
         enough = shared.groupBy("row", "size").agg(F.count("*").alias("t")).where(F.col("t") >= _least_shared(smaller))
-        shared = _shared(shared.drop("n").join(enough.select("row"), "row", "left_semi"))
+        fewer = _shared(shared.drop("n").join(enough.select("row"), "row", "left_semi"))
+        drop_written(shared)
+        shared = fewer
     sets = _sets(keyed, shared.select("row").distinct(), size)
     full = shared.groupBy("row").agg(F.count(F.when(F.col("n") > dense, 1)).alias("full"))
     listed = written(shared.where(F.col("n") <= dense).join(full, "row"), "listed")
@@ -475,6 +483,8 @@ def near_copy_links(keyed: DataFrame, tokens: DataFrame, size: int, dense: int,
     usual = pairs.select(F.col("a.row").alias("a"), F.col("b.row").alias("b"), lacks.alias("least"))
     usual = usual.groupBy("a", "b", "least").agg(F.count("*").alias("c")).where("c >= least")
     links = _verified(usual, sets, "near")
+    drop_written(listed)
+    release(spark)
     cells = shared.where(F.col("n") > dense)
     if cells.isEmpty():
         return links
@@ -485,7 +495,11 @@ def near_copy_links(keyed: DataFrame, tokens: DataFrame, size: int, dense: int,
         stars = apart.join(centre, "token").where(F.col("group") != F.col("c.group"))
         stars = stars.select(F.least("row", "c.row").alias("a"), F.greatest("row", "c.row").alias("b"))
         links = links.unionByName(_verified(stars, sets, "stars"))
-    return links.unionByName(_block_links(_apart(cells, _groups(links)), sets, block))
+        drop_written(apart)
+        release(spark)
+    links = links.unionByName(_block_links(_apart(cells, _groups(links)), sets, block))
+    drop_written(sets)
+    return links
 
 
 def _groups(links: DataFrame) -> DataFrame:
@@ -508,8 +522,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     first = prefixes.select("row", "digest").join(keyed.select("row", "key"), "row").groupBy("digest").agg(F.min("key").alias("least"))
     first = written(first.select(F.col("least.row").alias("bits"), "least"), "first")
     tokens = prefixes.join(first.select(F.col("bits").alias("row")), "row", "left_semi").select("row", "size", F.explode("prefix").alias("token"))
-    groups = components(first, near_copy_links(keyed, tokens, size, dense, block))
+    found = near_copy_links(keyed, tokens, size, dense, block)
+    narrow = written(prefixes.select("row"), "rows")
+    drop_written(prefixes)
+    release(docs.sparkSession)
+    groups = components(first, found)
     near_copies = groups.where(F.col("bits") != F.col("component.row")).select(F.col("bits").alias("__row"))
-    copies = prefixes.select(F.col("row").alias("__row")).join(first.select(F.col("bits").alias("__row")), "__row", "left_anti")
+    copies = narrow.select(F.col("row").alias("__row")).join(first.select(F.col("bits").alias("__row")), "__row", "left_anti")
     gone = written(copies.unionByName(near_copies), "copies")
     return stored.join(gone, F.col("__key.row") == F.col("__row"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -10,7 +10,7 @@ pytest.importorskip("public_tokenizers")
 
 import public_tokenizers
 from test_quality_rules import slow as slow_counts
-from test_simhash import wide_slow
+from test_simhash import near_slow
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -39,7 +39,7 @@ def test_stages_match_brute_force(spark):
         base = n < 50 or 100 * repeated > 50 * n
         assert judged[i].base_failed == base and (i in seen["quality"]) == judged[i].kept and not (base and judged[i].kept)
     # one of each group
-    assert set(seen["dedup"]) == {min(g) for g in wide_slow([(i, r.text) for i, r in seen["quality"].items()])}
+    assert set(seen["dedup"]) == {min(g) for g in near_slow([(i, r.text) for i, r in seen["quality"].items()])}
     # every hit of an exhaustive search is gone, nothing else
     bench = [(r.item_id, r.text) for r in table(spark, FOLDER, "benchmark").collect()]
     items = latent_decontamination.Items.of(bench)

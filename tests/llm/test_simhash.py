@@ -87,32 +87,12 @@ def test_a_long_text_crosses_chunks():
     assert parts == op.fingerprint(text.encode())
 
 
-def wide_slow(rows, size=op.WIDE_WORDS, turns=op.WIDE_TURNS):
-    """Groups of rows (by place) within three bits under any turn."""
-    prints = [op.fingerprint_turns((t or "").encode(), size, turns) for _, t in rows]
-    parent = list(range(len(rows)))
-
-    def top(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for x in range(len(rows)):
-        for y in range(x):
-            if any((a ^ b).bit_count() <= 3 for a, b in zip(prints[x], prints[y], strict=True)):
-                parent[top(x)] = top(y)
-    groups = {}
-    for x, (i, _) in enumerate(rows):
-        groups.setdefault(top(x), []).append(i)
-    return list(groups.values())
-
-
 def test_one_of_each_group_stays(spark):
     rows = corpus(60)
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id bigint, text string, bits string")
     kept = op.keep_one(docs)
     assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(min(i for i in g if i is not None) for g in wide_slow(rows))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(min(i for i in g if i is not None) for g in near_slow(rows))
     assert op.keep_one(docs.limit(0)).collect() == []
 
 
