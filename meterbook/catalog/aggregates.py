@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from meterbook.catalog import tables as t
 from meterbook.catalog.registry import query, sql_round, sql_time
 from meterbook.functions.identity import label_sessions, session_label
+from meterbook.functions.tokens import round_half_up
 from meterbook.operators import ranking, rollups, series
 from meterbook.operators.attribution import rollout_stats
 from meterbook.operators.dedup import duplicate_audit
@@ -670,11 +671,23 @@ def a27_cost_quantiles(spark, folder):
 SELECT round(quantile_cont(cost, 0.5), 6) AS p50, round(quantile_cont(cost, 0.95), 6) AS p95 FROM c""",
 )
 def a27_session_quantiles_large(spark, folder):
-    ranked = rollups.ranked_sessions(rollups.by_session(t.shipments(spark, folder)))
-    out = ranking.rank_quantiles(ranked, "cost", [0.5, 0.95])
+    """Read off by selection: neither a sort nor ranks of all sessions."""
+    out = ranking.exact_quantiles(rollups.by_session(t.shipments(spark, folder)), "cost", [0.5, 0.95])
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 
+@query(
+    "a27_cost_quantiles_by_account",
+    f"""WITH {t.SHIPMENTS}, c AS (SELECT session, min(project) AS project, {sql_round("sum(cost)", 2)} AS cost FROM shipments GROUP BY session)
+SELECT project, round(quantile_cont(cost, 0.1), 6) AS p10, round(quantile_cont(cost, 0.5), 6) AS p50, round(quantile_cont(cost, 0.99), 6) AS p99 FROM c GROUP BY project""",
+)
+def a27_cost_quantiles_by_account(spark, folder):
+    """Quantiles of session costs for each project, the account of a session being its least project."""
+    costs = t.shipments(spark, folder).groupBy("session").agg(F.min("project").alias("project"), round_half_up(F.sum("cost"), 2).alias("cost"))
+    out = ranking.exact_quantiles(costs, "cost", [0.1, 0.5, 0.99], ["project"])
+    return out.select("project", *[F.round(c, 6).alias(c) for c in out.columns if c != "project"])
+
+
 CONCENTRATION = """pk AS (SELECT date AS peak_date, tokens AS peak_tokens, calls AS peak_calls FROM daily WHERE calls > 0 ORDER BY tokens DESC, date LIMIT 1),
 med AS (SELECT quantile_cont(CAST(tokens AS DOUBLE), 0.5) AS m FROM daily WHERE calls > 0),
 tp AS (SELECT project, sum(tokens) AS n FROM prepared GROUP BY 1), tm AS (SELECT model, sum(tokens) AS n FROM prepared GROUP BY 1),

@@ -200,6 +200,33 @@ def q08_strict_order(spark, folder):
     return quality.strictly_ordered(single.where("n = 1"), "date", ["l_suppkey"])
 
 
+_STEPS = "d AS (SELECT l_orderkey * 8 + l_linenumber AS pos, CAST(l_shipdate AS DATE) AS date FROM lineitem), u AS (SELECT pos, min(date) AS date FROM d GROUP BY pos HAVING count(*) = 1), s AS (SELECT *, lag(date) OVER (ORDER BY pos) AS p FROM u)"
+
+
+def _one_account(spark, folder):
+    rows = t.table(spark, folder, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pos"), F.to_date("l_shipdate").alias("date"))
+    return rows.groupBy("pos").agg(F.min("date").alias("date"), F.count(F.lit(1)).alias("n")).where("n = 1")
+
+
+@query(
+    "q08_strict_order_one_account",
+    f"""WITH {_STEPS}
+SELECT 'date-order' AS "check", CAST(date AS VARCHAR) AS key, '> ' || p AS expected, CAST(date AS VARCHAR) AS actual FROM s WHERE date <= p""",
+)
+def q08_strict_order_one_account(spark, folder):
+    """All rows as one series: blocks are checked apart and put together at their borders."""
+    return quality.strictly_ordered(_one_account(spark, folder), "date")
+
+
+@query(
+    "q08_order_summary",
+    f"""WITH {_STEPS} SELECT count(*) AS rows, CAST(arg_min(date, pos) AS VARCHAR) AS first, CAST(arg_max(date, pos) AS VARCHAR) AS last, count(*) FILTER (date <= p) AS broken FROM s""",
+)
+def q08_order_summary(spark, folder):
+    """Rows, first and last date and broken steps of the same series, merged from its blocks."""
+    return quality.merged_order(quality.block_order(quality.order_blocks(_one_account(spark, folder), "date"), "date"))
+
+
 @query(
     "q10_account_series",
     """WITH d AS (SELECT CAST(o_orderdate AS DATE) AS date, CAST(sum(CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 100 AS BIGINT)) AS BIGINT) AS n FROM orders GROUP BY 1)

@@ -122,6 +122,32 @@ def j10_device_labels(spark, folder):
     return device_project_labels(t.device_events(spark, folder), t.alias_map(spark, folder))
 
 
+def _two_accounts(df):
+    """The rows under an account without a name and under one with a name."""
+    return df.withColumn("account", F.explode(F.array(F.lit(None).cast("string"), F.lit("t"))))
+
+
+ACCOUNTS = "accounts AS (SELECT unnest([NULL, 't']) AS account)"
+
+
+@query(
+    "j10_labels_without_account_name",
+    f"WITH {t.DEVICES}, {ACCOUNTS} SELECT DISTINCT account, device, raw_project, fingerprint, project AS label, CAST(project_rank AS BIGINT) AS rank FROM resolved, accounts",
+)
+def j10_labels_without_account_name(spark, folder):
+    """An account without a name gets the labels that a named one gets."""
+    return device_project_labels(_two_accounts(t.device_events(spark, folder)), _two_accounts(t.alias_map(spark, folder)), ["account"])
+
+
+@query(
+    "j09_aliases_without_account_name",
+    f"WITH {t.DEVICES}, {ACCOUNTS} SELECT account, device, input_order, project, CAST(project_rank AS BIGINT) AS project_rank FROM resolved, accounts",
+)
+def j09_aliases_without_account_name(spark, folder):
+    rows = resolve_projects(_two_accounts(t.device_events(spark, folder)), _two_accounts(t.alias_map(spark, folder)), ["account"])
+    return rows.select("account", "device", "input_order", "project", "project_rank")
+
+
 @query(
     "j09_explicit_aliases",
     f"WITH {t.DEVICES} SELECT device, input_order, project, CAST(project_rank AS BIGINT) AS project_rank FROM resolved",

@@ -90,7 +90,7 @@ def device_project_labels(items: DataFrame, aliases: DataFrame | None = None, by
         explicit = aliases.select(
             *known, "device", F.col("project").alias("raw_project"), F.col("alias").alias("explicit")
         ).distinct()
-        raw = raw.join(explicit, [*known, "device", "raw_project"], "left")
+        raw = keyed_join(raw, explicit, [*known, "device", "raw_project"])
 
     has_print = raw.where(F.col("fingerprint").isNotNull())
     shared_alias = has_print.groupBy(*by, "fingerprint").agg(F.min("explicit").alias("shared_alias"))
@@ -111,7 +111,7 @@ def device_project_labels(items: DataFrame, aliases: DataFrame | None = None, by
     suffixed = F.concat(F.col("basename"), F.lit(fixed.LABEL_SEPARATOR), F.when(alike, F.lower("fingerprint")).otherwise(F.col("_short")))
     labels = named.select(*by, "fingerprint", F.when(ambiguous, suffixed).otherwise(F.col("basename")).alias("print_label"))
 
-    joined = raw.join(shared_alias, [*by, "fingerprint"], "left").join(labels, [*by, "fingerprint"], "left")
+    joined = keyed_join(keyed_join(raw, shared_alias, [*by, "fingerprint"]), labels, [*by, "fingerprint"])
     own_name = F.coalesce(project_basename("raw_project"), F.lit(fixed.UNKNOWN_PROJECT_FRAGMENT))
     device = display_fragment("device", fixed.UNKNOWN_DEVICE_FRAGMENT)
     separator = F.lit(fixed.LABEL_SEPARATOR)
@@ -162,7 +162,7 @@ def conflicting_fingerprints(items: DataFrame, aliases: DataFrame, by: Sequence[
         *by, "device", clean_dimension("project").alias("project"), clean_dimension("fingerprint").alias("fingerprint")
     ).distinct()
     known = [k for k in by if k in aliases.columns]
-    matched = raw.join(aliases.select(*known, "device", "project", "alias"), [*known, "device", "project"])
+    matched = keyed_join(raw, aliases.select(*known, "device", "project", "alias"), [*known, "device", "project"], "inner")
     return (
         matched.where(F.col("fingerprint").isNotNull())
         .groupBy(*by, "fingerprint")

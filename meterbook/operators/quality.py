@@ -19,6 +19,7 @@ from meterbook.functions.timeparts import epoch_ms, local_date, local_hour, week
 from meterbook.functions.tokens import COMPONENTS
 from meterbook.operators.keyed import full_keyed_join, summarise, with_totals
 from meterbook.operators.rollups import tokens
+from meterbook.session import stage
 
 COLUMNS = ("check", "key", "expected", "actual")
 
@@ -228,12 +229,55 @@ def date_checks(df: DataFrame, text_column: str, parsed: str, by: Sequence[str]
     return stack(invalid, repeated_dates(df, text_column, by))
 
 
+def order_blocks(df: DataFrame, date: str, by: Sequence[str] = (), position: str = "pos") -> DataFrame:
+    """The rows in order, staged with ``_block`` and ``_at``: a sort by range, cut wherever its tasks begin.
+
+    A key that holds most of the rows lies in many blocks.
+    """
+    placed = df.select(*by, position, date).orderBy(*by, position).withColumn("_at", F.monotonically_increasing_id())
+    return stage(placed.withColumn("_block", F.shiftright("_at", 33)))
+
+
+def block_order(blocks: DataFrame, date: str, by: Sequence[str] = ()) -> DataFrame:
+    """Order summary of every key and block: ``block rows first last broken``; broken counts the steps inside that do not grow."""
+    previous = F.lag(date).over(W.partitionBy("_block", *by).orderBy("_at"))
+    return blocks.withColumn("_previous", previous).groupBy(*by, F.col("_block").alias("block")).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.min_by(date, "_at").alias("first"),
+        F.max_by(date, "_at").alias("last"),
+        F.count_if(F.col(date) <= F.col("_previous")).alias("broken"),
+    )
+
+
+def block_borders(summaries: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Summaries with ``before``, the last date of the block in front: a key has one row per sort task that met it."""
+    return summaries.withColumn("before", F.lag("last").over(W.partitionBy(*by).orderBy("block")))
+
+
+def merged_order(summaries: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One summary per key from those of its blocks, in the order of ``block``; summaries of later blocks can be added at any time."""
+    return summarise(
+        block_borders(summaries, by),
+        by,
+        rows=F.sum("rows"),
+        first=F.min_by("first", "block"),
+        last=F.max_by("last", "block"),
+        broken=F.sum("broken") + F.count_if(F.col("first") <= F.col("before")),
+    )
+
+
 def strictly_ordered(df: DataFrame, date: str, by: Sequence[str] = (), position: str = "pos") -> DataFrame:
-    """Dates grow in the order the rows were given; a daily series is short."""
-    previous = F.lag(date).over(W.partitionBy(*by).orderBy(position))
-    stepped = df.withColumn("_previous", previous)
+    """Dates grow in the order the rows were given; one row for every step that does not.
+
+    Steps inside a block are found by the task that holds it, steps over the border
+    of two blocks from their summaries, so no task holds all rows of a key.
+    """
+    blocks = order_blocks(df, date, by, position)
+    inside = blocks.withColumn("_previous", F.lag(date).over(W.partitionBy("_block", *by).orderBy("_at")))
+    borders = block_borders(block_order(blocks, date, by), by)
+    steps = inside.select(*by, date, "_previous").unionByName(borders.select(*by, F.col("first").alias(date), F.col("before").alias("_previous")))
     return row_checks(
-        stepped,
+        steps,
         key_text(*by, date),
         [("date-order", F.col(date) <= F.col("_previous"), F.concat(F.lit("> "), text(F.col("_previous"))), F.col(date))],
     )

@@ -12,6 +12,8 @@ from meterbook.operators.keyed import keyed_join, summarise, with_totals
 from meterbook.session import stage
 
 _ROW_BITS = 33
+#: Ranges of one round of a selection.
+RADIX = 4096
 
 
 def small_rank(df: DataFrame, order: Sequence[Column], by: Sequence[str] = (), name: str = "rank") -> DataFrame:
@@ -115,6 +117,64 @@ def rank_quantiles(
     return cuts.select(*by, *picked)
 
 
+def exact_quantiles(df: DataFrame, value: str, probabilities: Sequence[float], by: Sequence[str] = (), digits: int = 2) -> DataFrame:
+    """Linear-interpolation quantiles of amounts of ``digits`` decimal places, by radix selection on counts.
+
+    Each round counts the rows of ``RADIX`` equal ranges between the bounds of every
+    wanted rank and keeps the range that holds the rank, until ranges are one unit
+    wide.  Rows are read once a round and combined on the map side; neither a
+    sort nor a task sees all of them.  Output: one ``p<percent>`` column per probability.
+    """
+    unit = 10**digits
+    rows = stage(df.where(F.col(value).isNotNull()).select(*by, F.round(F.col(value).cast("double") * unit).cast("bigint").alias("_v")))
+    bounds = summarise(rows, by, _n=F.count(F.lit(1)), _low=F.min("_v"), _high=F.max("_v"))
+    ranks = []
+    for p in probabilities:
+        index = (F.col("_n") - 1) * F.lit(float(p))
+        for side, end in (("low", F.floor(index)), ("high", F.ceil(index))):
+            ranks.append(F.struct(F.lit(f"{quantile_name(p)}_{side}").alias("name"), end.cast("bigint").alias("left"), (index - F.floor(index)).alias("part")))
+    widest = bounds.agg(F.max(F.col("_high") - F.col("_low") + 1)).first()[0]  # one number
+    found = bounds.where("_n > 0").select(*by, F.inline(F.array(*ranks)), "_low", F.lit(widest or 1).cast("bigint").alias("_width"))
+    width = widest or 1
+    while width > 1:
+        step = -(-width // RADIX)
+        found = _narrowed(rows, found, step, by)
+        width = step
+    picked = []
+    for p in probabilities:
+        low, high, part = (F.max(F.when(F.col("name") == f"{quantile_name(p)}_{side}", F.col(c))) for side, c in (("low", "_low"), ("high", "_low"), ("low", "part")))
+        low, high = low.cast("double") / unit, high.cast("double") / unit
+        picked.append((low + (high - low) * part).alias(quantile_name(p)))
+    return found.groupBy(*by).agg(*picked) if by else found.agg(*picked)
+
+
+def _narrowed(rows: DataFrame, found: DataFrame, step: int, by: Sequence[str]) -> DataFrame:
+    """Wanted ranks (name, left: rows before it, from ``_low`` on) with the range of ``step`` values that holds them."""
+    wanted = found.select(*by, "_low", "_width").distinct()
+    # a key has a few ranges at a time, those of its quantiles
+    packed = summarise(wanted, by, _ranges=F.collect_set(F.struct("_low", "_width")))
+    near = with_totals(rows, packed, by).select(*by, "_v", F.explode("_ranges").alias("_range"))
+    inside = near.where((F.col("_v") >= F.col("_range._low")) & (F.col("_v") < F.col("_range._low") + F.col("_range._width")))
+    part = F.floor((F.col("_v") - F.col("_range._low")) / F.lit(step)).cast("bigint")
+    counted = inside.groupBy(*by, F.col("_range._low").alias("_low"), part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    # RADIX entries at most
+    tables = counted.groupBy(*by, "_low").agg(F.array_sort(F.collect_list(F.struct("_part", "_n"))).alias("_parts"))
+    joined = keyed_join(found, tables, [*by, "_low"])
+    empty = F.struct(F.lit(0).cast("bigint").alias("before"), F.lit(None).cast("bigint").alias("part"))
+
+    def walk(acc: Column, x: Column) -> Column:
+        here = acc["part"].isNull() & (F.col("left") < acc["before"] + x["_n"])
+        return F.struct(
+            F.when(acc["part"].isNull() & ~here, acc["before"] + x["_n"]).otherwise(acc["before"]).alias("before"),
+            F.when(here, x["_part"]).otherwise(acc["part"]).alias("part"),
+        )
+
+    placed = joined.withColumn("_found", F.aggregate("_parts", empty, walk))
+    return placed.select(
+        *by, "name", (F.col("left") - F.col("_found.before")).alias("left"), "part", (F.col("_low") + F.col("_found.part") * step).alias("_low"), F.lit(step).cast("bigint").alias("_width")
+    )
+
+
 def quantile_name(p: float) -> str:
     return f"p{round(p * 100):02d}"
 
