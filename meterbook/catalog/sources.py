@@ -3,13 +3,15 @@
 Queries that need files write them to the shared folder the cluster names.
 """
 
+import json
+
 from pyspark.sql import functions as F
 
 from meterbook import fixed
 from meterbook.catalog import tables as t
 from meterbook.catalog.registry import query, sql_time
 from meterbook.functions.timeparts import iso_utc
-from meterbook.operators import quality, rollups, textscan
+from meterbook.operators import quality, ranking, rollups, textscan
 from meterbook.session import scratch_path
 from meterbook.sources import account as account_source
 from meterbook.sources import devices, exports, portable, requestlog, responses, rollout, sinks
@@ -70,6 +72,40 @@ def s01_portable_documents(spark, folder):
     return portable.normalize(parsed).select(*PORTABLE_COLUMNS)
 
 
+def one_document(spark, folder, head, record):
+    """One JSON document of a record per usage row, written as one file, and ranges that make about forty of it."""
+    rows = t.usage(spark, folder)
+    last = rows.agg(F.max("event_id")).first()[0]
+    texts = rows.select(F.col("event_id").alias("at"), F.concat(F.to_json(record), F.when(F.col("event_id") != last, ",").otherwise("]}")).alias("value"))
+    opened = spark.range(1).select(F.lit(-1).cast("bigint").alias("at"), F.lit(head).alias("value"))
+    path = scratch_path(spark, "one-document")
+    opened.unionByName(texts).repartition(1).sortWithinPartitions("at").select("value").write.text(path)
+    size = spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0]
+    return path, max(1 << 16, size // 40)
+
+
+def _head(schema, **fields):
+    return json.dumps({"schema": schema, **fields, "records": []})[:-2]
+
+
+@query("s01_one_large_document", PORTABLE)
+def s01_one_large_document(spark, folder):
+    """All records in one document, which many tasks read."""
+    path, split = one_document(spark, folder, _head(fixed.PORTABLE_SCHEMA, timezone=t.TZ, synthetic=True), portable_struct())
+    records, _ = portable.read_split_documents(spark, path, split)
+    return portable.normalize(portable.parse_records(records)).select(*PORTABLE_COLUMNS)
+
+
+@query(
+    "s01_large_document_checks",
+    f"""SELECT * FROM (VALUES ('document-root-field', 'known root fields', 'note'), ('document-schema', '{fixed.PORTABLE_SCHEMA}', 'other')) v("check", expected, actual) WHERE (SELECT count(*) FROM events) > 0""",
+)
+def s01_large_document_checks(spark, folder):
+    """The same document with another schema name and a field too many."""
+    path, split = one_document(spark, folder, _head("other", note={"a": [1, 2], "b": "],{"}, timezone=t.TZ), portable_struct())
+    return portable.read_split_documents(spark, path, split)[1].drop("key")
+
+
 @query("s02_portable_lines", PORTABLE)
 def s02_portable_lines(spark, folder):
     """Written as JSON lines and read back."""
@@ -100,10 +136,9 @@ def s03_portable_csv(spark, folder):
     return portable.normalize(portable.read_csv(spark, path)).select(*PORTABLE_COLUMNS)
 
 
-def export_documents(spark, folder):
-    """Session exports of a hundred records each, with day, model and activity tables of their own."""
-    rows = t.usage(spark, folder).withColumn("batch", F.floor(F.col("event_id") / BATCH))
-    record = F.struct(
+def export_record():
+    """An export record of a usage row."""
+    return F.struct(
         "project",
         F.concat(F.lit("rollout-"), "session").alias("sessionId"),
         iso_utc("ts").alias("timestamp"),
@@ -118,6 +153,11 @@ def export_documents(spark, folder):
         "cost",
         "calls",
     )
+
+
+def export_documents(spark, folder):
+    """Session exports of a hundred records each, with day, model and activity tables of their own."""
+    rows = t.usage(spark, folder).withColumn("batch", F.floor(F.col("event_id") / BATCH))
     day = F.struct(
         F.col("d").alias("Date"), F.col("c").alias("Cost (USD)"), F.col("n").alias("API Calls"), F.col("s").alias("Sessions"),
         F.col("t").alias("Input Tokens"), F.lit(0).alias("Output Tokens"), F.lit(0).alias("Cache Read Tokens"), F.lit(0).alias("Cache Write Tokens"),
@@ -131,7 +171,7 @@ def export_documents(spark, folder):
         F.sort_array(F.collect_list(F.struct(F.col("model").alias("Model"), F.col("c").alias("Cost (USD)"), F.col("n").alias("API Calls")))).alias("models")
     )
     records = rows.groupBy("batch").agg(
-        F.collect_list(record).alias("records"), F.sum("cost").alias("c"), F.sum("calls").alias("n"), F.countDistinct("session").alias("s")
+        F.collect_list(export_record()).alias("records"), F.sum("cost").alias("c"), F.sum("calls").alias("n"), F.countDistinct("session").alias("s")
     )
     joined = records.join(days, "batch").join(models, "batch")
     return joined.select(
@@ -157,6 +197,19 @@ def s04_session_export(spark, folder):
     return rows.drop("input_order", "provider")
 
 
+@query(
+    "s04_one_large_export",
+    f"""WITH {t.USAGE} SELECT {sql_time('ts')} AS ts, 'rollout-' || session AS session, model, project, activity, CAST(cost AS DOUBLE) AS cost, calls, fresh_input, cache_read, cache_write, output, tokens,
+  greatest(output - 1, 0) AS reasoning, event_id - (SELECT min(event_id) FROM usage) AS nth FROM usage""",
+)
+def s04_one_large_export(spark, folder):
+    """All records in one export, which many tasks read; their places keep the order of the document."""
+    head = _head(fixed.EXPORT_SCHEMA, summary=[{"Cost (USD)": 1, "API Calls": 2}], periods=[{"label": "all", "daily": [{"Date": "2024-01-01"}], "models": []}])
+    path, split = one_document(spark, folder, head, export_record())
+    rows = ranking.ordered_positions(exports.read_split_records(spark, path, split), [F.col("input_order")], rank="nth")
+    return rows.withColumn("nth", F.col("nth") - 1).drop("document", "input_order", "provider")
+
+
 @query(
     "s04_export_days",
     f"""WITH {t.USAGE} SELECT 'export-' || (event_id // 100) AS document, CAST(CAST(ts AS DATE) AS VARCHAR) AS date, CAST(sum(cost) AS DOUBLE) AS cost, count(*) AS calls, count(DISTINCT session) AS sessions, CAST(sum(fresh_input) AS BIGINT) AS fresh_input,

@@ -13,6 +13,7 @@ from meterbook.functions.timeparts import epoch_ms, from_epoch_ms, parse_date, p
 from meterbook.functions.tokens import components_from_split
 from meterbook.operators.quality import row_checks
 from meterbook.sources.portable import read_documents
+from meterbook.sources.splitjson import SPLIT_BYTES, read_elements
 
 _MONEY = T.DecimalType(28, 9)
 
@@ -76,9 +77,16 @@ def export_checks(exports: DataFrame) -> DataFrame:
 
 def export_records(exports: DataFrame) -> DataFrame:
     """Records with their place in the export; provider and validity rules are left to operators."""
-    rows = exports.select("document", F.posexplode("records").alias("input_order", "r")).select(
-        "document", "input_order", "r.*"
-    )
+    return _usage(exports.select("document", F.posexplode("records").alias("input_order", "r")).select("document", "input_order", "r.*"))
+
+
+def read_split_records(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """The same records of exports of any size, each read by as many tasks as it has ranges; the order is the byte a record begins at."""
+    found = read_elements(spark, path, split_bytes).where("kind = 'element' AND field = 'records'")
+    return _usage(found.select("document", F.col("place").alias("input_order"), F.from_json("value", RECORD).alias("r")).select("document", "input_order", "r.*"))
+
+
+def _usage(rows: DataFrame) -> DataFrame:
     usage = rows.select(
         "document",
         "input_order",

@@ -23,8 +23,10 @@ from meterbook.operators.quality import (
     timestamp_rules,
 )
 from meterbook.operators.dedup import repeated_rows
+from meterbook.operators.keyed import keyed_join
 from meterbook.session import stage
 from meterbook.sources.heads import first_lines
+from meterbook.sources.splitjson import SPLIT_BYTES, read_elements
 
 # every record field is read as text: one set of number rules serves all three formats
 RECORD_TYPE = T.StructType(
@@ -67,6 +69,38 @@ def parse_documents(documents: DataFrame) -> DataFrame:
     )
 
 
+def read_split_documents(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(records, checks) of JSON documents of any size, each read by as many tasks as it has ranges.
+
+    Records are those of ``parse_documents``, with the document's own fields beside them and ``place``, the byte they begin at.
+    """
+    found = read_elements(spark, path, split_bytes)
+    names = {"schema": "schema", "timezone": "timezone", "synthetic": "synthetic", "generatedAt": "generated_at"}
+    plain = F.from_json(F.concat(F.lit('{"v":'), "value", F.lit("}")), "v string")["v"]
+    fields = found.where(F.col("kind") == "value").groupBy("document").agg(
+        *[F.max(F.when(F.col("field") == field, plain)).alias(name) for field, name in names.items()]
+    )
+    records = found.where("kind = 'element' AND field = 'records'").select("document", F.col("value").alias("record"), "place")
+    unknown = ~F.col("field").isin(*fixed.PORTABLE_ROOT_FIELDS)
+    sizes = found.groupBy("document").agg(
+        F.count_if((F.col("kind") == "element") & (F.col("field") == "records")).alias("n"),
+        F.count_if(F.col("kind") == "broken").alias("broken"),
+        F.array_sort(F.collect_set(F.when(F.col("kind").isin("value", "array") & unknown, F.col("field")))).alias("unknown"),
+    )
+    judged = keyed_join(sizes, fields, ["document"])
+    checks = row_checks(
+        judged,
+        F.col("document"),
+        [
+            ("document-malformed", F.col("broken") > 0, "one JSON object", F.col("broken")),
+            ("document-schema", ~F.col("schema").eqNullSafe(F.lit(fixed.PORTABLE_SCHEMA)), fixed.PORTABLE_SCHEMA, F.col("schema")),
+            ("document-root-field", F.size("unknown") > 0, "known root fields", F.array_join("unknown", ",")),
+            ("document-records", F.col("n") < 1, ">= 1 record", F.col("n")),
+        ],
+    )
+    return keyed_join(records, fields, ["document"]), checks
+
+
 def document_checks(documents: DataFrame) -> DataFrame:
     """Schema name, root fields and a non-empty record list."""
     names = F.coalesce(F.json_object_keys("payload"), F.array().cast("array<string>"))
