@@ -340,14 +340,16 @@ def _prefixes(keyed: DataFrame, size: int) -> DataFrame:
 
 
 def _sets(keyed: DataFrame, rows: DataFrame, size: int) -> DataFrame:
-    """Written rows (row, shingles) of some rows."""
+    """Written rows (row, shingles) of at least the given rows: a bitmap of fixed size says which, and no text travels."""
+    wanted = keyed.sparkSession.sparkContext.broadcast(bitmap_of(rows.select(F.xxhash64("row").alias("h"))))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(in_bitmap(wanted.value, batch.column(2).to_numpy())))
             blobs = pa.array([shingle_set(t, size).tobytes() for t in texts_of(batch)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), blobs], ["row", "shingles"])
 
-    own = keyed.select("row", "text").join(rows, "row", "left_semi")
+    own = keyed.select("row", "text", F.xxhash64("row").alias("h"))
     return written(map_batches(own, work, "row bigint, shingles binary"), "sets")
 
 
@@ -473,6 +475,7 @@ def near_copy_links(keyed: DataFrame, tokens: DataFrame, size: int, dense: int,
         drop_written(shared)
         shared = fewer
     sets = _sets(keyed, shared.select("row").distinct(), size)
+    release(spark)
     full = shared.groupBy("row").agg(F.count(F.when(F.col("n") > dense, 1)).alias("full"))
     listed = written(shared.where(F.col("n") <= dense).join(full, "row"), "listed")
     a, b = listed.alias("a"), listed.alias("b")
