@@ -489,19 +489,24 @@ def q20_reasoning(spark, folder):
 
 @query(
     "q21_credit_audit",
-    f"""WITH {t.RESPONSES} SELECT 'audit-turns' AS "check", CAST(CAST(sum(turns) AS DOUBLE) AS BIGINT) AS expected, CAST(sum(turns) + 2 AS BIGINT) AS actual FROM days""",
+    f"""WITH {t.RESPONSES} SELECT 'audit-turns' AS "check", CAST(CAST(sum(turns) AS DOUBLE) AS BIGINT) AS expected, CAST(sum(turns) + 2 AS BIGINT) AS actual FROM days
+UNION ALL SELECT 'models-threads', threads + 1, threads FROM days WHERE has_detail AND day(date) = 7""",
 )
 def q21_credit_audit(spark, folder):
-    """A stored credits audit against its days; its turns were changed."""
+    """A stored credits audit against its days; its turns were changed, and the threads of every seventh of a month."""
     days = parse_usage(t.response_days(spark, folder))
+    days = days.withColumn("threads", F.col("threads") + F.when(F.dayofmonth("date") == 7, 1).otherwise(0))
     audit = credits.quota(credits.credit_totals(days), F.lit(41.0)).withColumn("turns", F.col("turns") + 2)
-    found = quality.stack(credits.audit_checks(audit, days), credits.credit_checks(days).where(F.col("check") != "models-threads"))
+    found = quality.stack(credits.audit_checks(audit, days), credits.credit_checks(days))
     return found.select("check", F.col("expected").cast("double").cast("bigint").alias("expected"), F.col("actual").cast("double").cast("bigint").alias("actual"))
 
 
 @query(
     "q22_activity_audit",
-    f"""WITH {t.RESPONSES}, n AS (SELECT count(*) AS n FROM prepared) SELECT 'activity-skill_invocations' AS "check", n AS expected, n + 1 AS actual FROM n UNION ALL SELECT 'skill_invocations-listed', n, n + 1 FROM n""",
+    f"""WITH {t.RESPONSES}, n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM prepared),
+s AS (SELECT CASE WHEN user_id % 5 = 4 THEN 'Other' ELSE upper(substr(model, 1, 1)) || ' tool' END AS name, CAST(sum(calls) AS DOUBLE) AS c FROM prepared GROUP BY 1)
+SELECT 'activity-skill_invocations' AS "check", 'total' AS key, n AS expected, n + 1 AS actual FROM n UNION ALL SELECT 'skill_invocations-listed', 'total', n, n + 1 FROM n
+UNION ALL SELECT 'skill_invocations-share', name, round(c / (n + 1), 9), round(c / n, 9) FROM s, n""",
 )
 def q22_activity_audit(spark, folder):
     """Stored activity totals against their parts; the skill total was changed."""
@@ -512,8 +517,25 @@ def q22_activity_audit(spark, folder):
     models = activity.usage_by(days, "models", "model")
     ranking_rows = activity.tool_ranking(skills, "skills")
     found = activity.audit_checks(summary, daily, models, ranking_rows)
-    found = found.where(F.col("check") != "skill_invocations-share")
-    return found.select("check", F.col("expected").cast("double").cast("bigint").alias("expected"), F.col("actual").cast("double").cast("bigint").alias("actual"))
+    return found.select("check", "key", *[F.round(F.col(c).cast("double"), 9).alias(c) for c in ("expected", "actual")])
+
+
+@query(
+    "q22_damaged_responses",
+    f"""WITH {t.RESPONSES}, d AS (SELECT *, CAST(date AS VARCHAR) AS key FROM days)
+SELECT 'models-turns' AS "check", key, CAST(turns + 5 AS VARCHAR) AS expected, CAST(turns AS VARCHAR) AS actual FROM d WHERE has_detail AND day(date) = 3
+UNION ALL SELECT 'clients-turns', key, CAST(turns + 5 AS VARCHAR), CAST(turns AS VARCHAR) FROM d WHERE has_detail AND day(date) = 3
+UNION ALL SELECT 'skills-buckets', key, 'true', 'false' FROM d WHERE day(date) = 5
+UNION ALL SELECT 'group-by', 'plugins', 'day', 'day+week' WHERE EXISTS (SELECT 1 FROM d WHERE day(date) = 9)""",
+)
+def q22_damaged_responses(spark, folder):
+    """Responses that disagree: turns of a day changed, a day of the tools left out, one grouped by week."""
+    days = parse_usage(t.response_days(spark, folder))
+    day = F.dayofmonth("date")
+    days = days.withColumn("turns", F.col("turns") + F.when(day == 3, 5).otherwise(0))
+    skills = parse_tools(t.tool_days(spark, folder, "skills"), "skills").where(day != 5)
+    plugins = parse_tools(t.tool_days(spark, folder, "plugins"), "plugins").withColumn("group_by", F.when(day == 9, "week").otherwise(F.col("group_by")))
+    return activity.response_checks(days, skills, plugins)
 
 
 @query("q22_responses", NONE)

@@ -106,12 +106,12 @@ def w10_rollout_mappings(spark, folder):
 
 @query(
     "j05_account_with_local",
-    f"""WITH {t.SHIPMENTS}, {t.ACCOUNT}, l AS (SELECT date, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(calls) AS BIGINT) AS calls FROM shipments GROUP BY date)
+    f"""WITH {t.SHIPMENTS}, {t.WHOLE_ACCOUNT}, l AS (SELECT date, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(calls) AS BIGINT) AS calls FROM shipments GROUP BY date)
 SELECT CAST(account.date AS VARCHAR) AS date, account.tokens AS account_tokens, coalesce(l.tokens, 0) AS local_tokens, coalesce(l.calls, 0) AS local_calls FROM account LEFT JOIN l USING (date)""",
 )
 def j05_account_with_local(spark, folder):
     """Account buckets beside the ledger days."""
-    return series.account_with_local(t.account(spark, folder), series.daily_totals(t.shipments(spark, folder)))
+    return series.account_with_local(t.whole_account(spark, folder), series.daily_totals(t.shipments(spark, folder)))
 
 
 LABELS = f"WITH {t.DEVICES} SELECT DISTINCT device, raw_project, fingerprint, project AS label, CAST(project_rank AS BIGINT) AS rank FROM resolved"
