@@ -301,6 +301,21 @@ def q12_credential_text(spark, folder):
     return docs.unionByName(pages.select((-1 - F.col("page_id")).alias("doc_id"), F.lit("page").alias("source")))
 
 
+@query(
+    "q12_planted_credentials",
+    f"""SELECT doc_id, regexp_extract(planted, '{fixed.CREDENTIAL_TEXT}') AS found FROM (SELECT doc_id, text || CASE doc_id % 40 WHEN 0 THEN ' Authorization: x' WHEN 1 THEN ' Bearer abcdef.123-XYZ' WHEN 2 THEN chr(10) || 'refresh_token=' WHEN 3 THEN ' bearer short' ELSE '' END AS planted FROM documents)
+WHERE regexp_matches(planted, '{fixed.CREDENTIAL_TEXT}')""",
+)
+def q12_planted_credentials(spark, folder):
+    """Documents into which credential texts of three forms, and one that is none, were written."""
+    kinds = {0: " Authorization: x", 1: " Bearer abcdef.123-XYZ", 2: "\nrefresh_token=", 3: " bearer short"}
+    more = F.lit("")
+    for n, extra in kinds.items():
+        more = F.when(F.col("doc_id") % 40 == n, F.lit(extra)).otherwise(more)
+    planted = t.table(spark, folder, "documents").select("doc_id", F.concat("text", more).alias("text"))
+    return planted.where(textscan.credential_like("text")).select("doc_id", F.regexp_extract("text", fixed.CREDENTIAL_TEXT, 0).alias("found"))
+
+
 @query(
     "q13_leaks",
     """WITH p AS (SELECT o_custkey % 14 AS n FROM orders)

@@ -18,6 +18,7 @@ from meterbook.operators.keyed import keyed_join, summarise, with_totals
 from meterbook.operators.projects import with_project_alias
 from meterbook.operators.quality import pseudonym_checks, require_clean
 from meterbook.operators.ranking import rank_quantiles, small_quantiles, top_share
+from meterbook.operators.series import component_sums
 from meterbook.session import stage
 from meterbook.sources import exports as exports_source
 
@@ -123,8 +124,18 @@ def reconstruction(
     )
 
 
+def token_cells(facts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Tokens by date and project and by date and model, in one pass: ``dimension name date tokens``."""
+    sets = [[*by, "date", d] for d in ("project", "model")]
+    cells = facts.groupingSets(sets, *by, "date", "project", "model").agg(F.sum(rollups.tokens()).alias("tokens"), F.grouping("project").alias("_other"))
+    by_project = F.col("_other") == 0
+    return cells.select(
+        *by, F.when(by_project, "project").otherwise("model").alias("dimension"), F.when(by_project, F.col("project")).otherwise(F.col("model")).alias("name"), "date", "tokens"
+    )
+
+
 def concentration(facts: DataFrame, daily: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Peak day against the median active day, and top shares overall and on the peak day."""
+    """Peak day against the median active day, and top shares overall and on the peak day; the facts are read once."""
     peak = series.peak_day(daily, by).select(
         *by, F.col("date").alias("peak_date"), F.col("tokens").alias("peak_tokens"), F.col("calls").alias("peak_calls")
     )
@@ -133,19 +144,53 @@ def concentration(facts: DataFrame, daily: DataFrame, by: Sequence[str] = ()) ->
     out = with_totals(peak, median, by)
     ratio = F.col("peak_tokens").cast("double") / F.greatest(F.lit(1.0), F.col("p50"))
     out = out.withColumn("peak_ratio", ratio).drop("p50")
+    marked = with_totals(token_cells(facts, by), peak.select(*by, "peak_date"), by)
+    sums = marked.groupBy(*by, "dimension", "name").agg(
+        F.sum("tokens").alias("tokens"), F.sum(F.when(F.col("date") == F.col("peak_date"), F.col("tokens"))).alias("on_peak")
+    )
+    largest = {}
     for dimension in ("project", "model"):
-        top = rollups.top_by_tokens(facts, dimension, by).select(
-            *by,
-            F.col("name").alias(f"top_{dimension}"),
-            F.col("tokens").alias(f"top_{dimension}_tokens"),
-            F.col("share").alias(f"top_{dimension}_share"),
-        )
-        out = with_totals(out, top, by)
-    on_peak = with_totals(facts, peak.select(*by, "peak_date"), by).where(F.col("date") == F.col("peak_date"))
+        here = F.col("dimension") == dimension
+        largest |= {
+            f"top_{dimension}": F.min_by("name", F.when(here, F.struct(-F.col("tokens"), F.col("name")))),
+            f"top_{dimension}_tokens": F.max(F.when(here, F.col("tokens"))),
+            f"_{dimension}_whole": F.sum(F.when(here, F.col("tokens"))),
+            f"_{dimension}_peak": F.max(F.when(here, F.col("on_peak"))),
+            f"_{dimension}_day": F.sum(F.when(here, F.col("on_peak"))),
+        }
+    tops = summarise(sums, by, **largest)
+    shown = []
     for dimension in ("project", "model"):
-        top = rollups.top_by_tokens(on_peak, dimension, by).select(*by, F.col("share").alias(f"peak_day_top_{dimension}_share"))
-        out = with_totals(out, top, by)
-    return out
+        share = ratio_or_zero(F.col(f"top_{dimension}_tokens"), F.col(f"_{dimension}_whole"))
+        shown += [F.col(f"top_{dimension}"), F.col(f"top_{dimension}_tokens"), share.alias(f"top_{dimension}_share")]
+    shown += [ratio_or_zero(F.col(f"_{d}_peak"), F.col(f"_{d}_day")).alias(f"peak_day_top_{d}_share") for d in ("project", "model")]
+    return with_totals(out, tops.select(*by, *shown), by)
+
+
+class ReportCells:
+    """Sums of compact facts by model and date, activity, weekday and hour, and project, from one pass (GROUPING SETS).
+
+    Each slice has the columns of usage rows that its table reads, so the rollups work on it as on the facts.
+    """
+
+    SETS = {"models": ["date", "model"], "activities": ["activity"], "hours": ["weekday", "hour"], "projects": ["project"]}
+
+    def __init__(self, facts: DataFrame, by: Sequence[str] = ()):
+        keys = ["date", "model", "activity", "weekday", "hour", "project"]
+        sets = [[*by, *names] for names in self.SETS.values()]
+        summed = facts.groupingSets(sets, *by, *keys).agg(
+            F.sum("cost").alias("cost"), F.sum("calls").alias("calls"), *component_sums(), *[F.grouping(k).alias(f"_no_{k}") for k in keys]
+        )
+        # which set a row belongs to: the keys it is not summed over
+        marks = {name: F.lit(True) for name in self.SETS}
+        for name, own in self.SETS.items():
+            for k in keys:
+                marks[name] = marks[name] & (F.col(f"_no_{k}") == (0 if k in own else 1))
+        kind = F.coalesce(*[F.when(mark, name) for name, mark in marks.items()])
+        self.by, self.cells = list(by), stage(summed.select(*by, kind.alias("kind"), *keys, "cost", "calls", *COMPONENTS))
+
+    def slice(self, name: str) -> DataFrame:
+        return self.cells.where(F.col("kind") == name).select(*self.by, *self.SETS[name], "cost", "calls", *COMPONENTS)
 
 
 def analysis_facts(concentrated: DataFrame, cache_share: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -271,18 +316,20 @@ def build_report(
     exact = stage(rollups.compact_facts(prepared, by))
     labels = exact.select(*by, F.col("session").alias("raw_session"), session_label("session", session_digits).alias("session")).distinct()
     require_clean(pseudonym_checks(labels, by=by).where(F.col("check") == "pseudonym-collision"))
-    totals = rollups.totals(exact, by)
+    cells = ReportCells(exact, by)
+    totals = rollups.totals(cells.slice("activities"), by)
     daily = stage(series.running_cost(series.zero_fill(series.daily_totals(exact, by), by), by))
     sessions = stage(rollups.by_session(exact, by))
     ranked = rollups.ranked_sessions(sessions, by)
     projects = rollups.by_project(exact, by)
     months = series.monthly_totals(daily, by)
     models = rollups.by_model(exact, by)
-    week = rollups.weekday_hours(exact, by)
+    week = rollups.weekday_hours(cells.slice("hours"), by)
     cost = period_cost if period_cost is not None else totals.select(*by, F.col("total_cost").alias("period_cost"))
     facts = rollups.scale_costs(exact, cost, by)
-    top = rollups.top_projects(exact, 5, by)
+    top = rollups.top_projects(cells.slice("projects"), 5, by)
     focus = concentration(exact, daily, by)
+    shares = token_shares(cells.slice("activities"), by)
     tables = {
         "summary": rollups.report_summary(exact, by),
         "daily": daily,
@@ -290,14 +337,14 @@ def build_report(
         "projects": projects,
         "project_weeks": rollups.project_weeks(sessions, top, by),
         "models": models,
-        "model_days": rollups.scaled_model_days(rollups.model_days(exact, by), models, by),
-        "activities": rollups.by_activity(exact, by),
+        "model_days": rollups.scaled_model_days(rollups.model_days(cells.slice("models"), by), models, by),
+        "activities": rollups.by_activity(cells.slice("activities"), by),
         "sessions": ranked,
         "weekday_hours": week,
         "facts": facts,
         "concentration": focus,
-        "analysis_facts": analysis_facts(focus, token_shares(exact, by), by),
-        "token_shares": token_shares(exact, by),
+        "analysis_facts": analysis_facts(focus, shares, by),
+        "token_shares": shares,
         "cost_quantiles": cost_quantiles(daily, ranked, by),
         "top_shares": top_shares(daily, projects, ranked, by),
         "night_weekend": rollups.night_and_weekend(week, by),
