@@ -6,9 +6,9 @@ from meterbook import fixed
 from meterbook.catalog import tables as t
 from meterbook.catalog.registry import query
 from meterbook.catalog.aggregates import RECONSTRUCTION
-from meterbook.catalog.sources import account_documents, ledger_documents, portable_lines
+from meterbook.catalog.sources import BATCH, account_documents, ledger_documents, portable_lines
 from meterbook.functions.identity import session_pseudonym
-from meterbook.functions.timeparts import parse_date, parse_instant
+from meterbook.functions.timeparts import iso_utc, parse_date, parse_instant
 from meterbook.operators import quality, rollups, series, textscan
 from meterbook.plans import activity, credits, report
 from meterbook.sources import account as account_source
@@ -271,6 +271,29 @@ def q09_spelling(spark, folder):
     return devices.spelling_checks(devices.parse_device_ledgers(ledger_documents(spark, folder)))
 
 
+@query(
+    "q09_conflicting_spelling",
+    f"""WITH {t.DEVICES} SELECT CASE WHEN input_order % 4 = 1 THEN 'event-fresh_input-spelling' ELSE 'event-total-spelling' END AS "check", event_id AS key,
+  CASE WHEN input_order % 4 = 1 THEN (fresh_input + 1) || ',' || fresh_input ELSE (tokens + 2) || ',' || tokens END AS actual
+FROM device_events WHERE input_order % 4 IN (1, 3)""",
+)
+def q09_conflicting_spelling(spark, folder):
+    """Device ledgers whose events state an input directly and another one nested, or two totals."""
+    nested = F.col("input_order") % 4
+    event = F.struct(
+        F.col("event_id").alias("eventId"), iso_utc("ts").alias("occurredAt"), "source",
+        F.when(nested == 1, F.col("fresh_input") + 1).alias("input"), F.when(nested == 3, F.col("tokens") + 2).alias("totalTokens"),
+        F.struct(
+            F.col("fresh_input").alias("freshInputTokens"), F.col("cache_read").alias("cacheReadTokens"), F.col("cache_write").alias("cacheWriteTokens"),
+            F.col("output").alias("outputTokens"), F.col("tokens").alias("totalTokens"),
+        ).alias("components"),
+    )
+    rows = t.device_events(spark, folder).withColumn("batch", F.floor(F.col("input_order") / BATCH))
+    grouped = rows.groupBy("device", "device_order", "batch").agg(F.collect_list(event).alias("events"))
+    documents = grouped.select("device", "device_order", F.to_json(F.struct(F.lit(fixed.LEDGER_SCHEMA).alias("schema"), "events")).alias("payload"))
+    return devices.spelling_checks(devices.parse_device_ledgers(documents)).select("check", "key", "actual")
+
+
 @query(
     "q11_sensitive_keys",
     """SELECT event_id, CASE WHEN event_id % 6 IN (1, 4) THEN 'Email' WHEN event_id % 6 = 2 THEN 'access-token,user_id' END AS names FROM events WHERE event_id % 6 IN (1, 2, 4)""",

@@ -4,6 +4,7 @@ Queries that need files write them to the shared folder the cluster names.
 """
 
 import json
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -12,6 +13,8 @@ from meterbook.catalog import tables as t
 from meterbook.catalog.registry import query, sql_time
 from meterbook.functions.timeparts import iso_utc
 from meterbook.operators import quality, ranking, rollups, textscan
+from meterbook.operators.keyed import keyed_join
+from meterbook.plans import report
 from meterbook.session import scratch_path
 from meterbook.sources import account as account_source
 from meterbook.sources import devices, exports, portable, requestlog, responses, rollout, sinks
@@ -381,6 +384,38 @@ def s13_report_sink(spark, folder):
     )
 
 
+REPORT_KEYS = {
+    "daily": None, "projects": "project", "models": "model", "model_days": "model, date", "activities": "activity", "sessions": "session",
+    "facts": "date, hour, project, session, model, activity",
+}
+
+
+@query(
+    "s13_report_set",
+    f"WITH {t.PREPARED} SELECT 'daily' AS name, date_diff('day', min(date), max(date)) + 1 AS rows, 0 AS differing FROM prepared"
+    + "".join(f" UNION ALL SELECT '{name}', count(*), 0 FROM (SELECT DISTINCT {keys} FROM prepared)" for name, keys in REPORT_KEYS.items() if keys)
+    + " UNION ALL SELECT * FROM (VALUES ('summary', 1, 0), ('weekday_hours', 168, 0), ('concentration', 1, 0), ('token_shares', 1, 0), ('tables', 18, 0)) WHERE (SELECT count(*) FROM prepared) > 0",
+)
+def s13_report_set(spark, folder):
+    """All tables of a report written as one set and read back: rows of those whose keys SQL can list, and rows that differ, over all tables."""
+    tables = report.build_report(t.usage(spark, folder), t.TZ)
+    path = scratch_path(spark, "report-set")
+    back = sinks.read_report_set(spark, path, sinks.sink_report_set(tables, path))
+    counted, parts = [], []
+    for name, df in back.items():
+        built = tables[name].select(*df.columns)
+        # both directions, copies counted
+        digest = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+        sides = built.select(digest.alias("h"), F.lit(1).alias("n")).unionByName(df.select(digest.alias("h"), F.lit(-1).alias("n")))
+        parts.append(sides.groupBy("h").agg(F.sum("n").alias("n")).where("n <> 0").agg(F.count(F.lit(1)).alias("differing")).select(F.lit(name).alias("name"), "differing"))
+        if name in REPORT_KEYS or name in ("summary", "weekday_hours", "concentration", "token_shares"):
+            counted.append(df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("name"), "rows"))
+    differing = reduce(lambda a, b: a.unionByName(b), parts)
+    rows = reduce(lambda a, b: a.unionByName(b), counted)
+    every = differing.agg(F.count(F.lit(1)).alias("rows"), F.sum("differing").alias("differing")).select(F.lit("tables").alias("name"), "rows", "differing")
+    return keyed_join(rows, differing, ["name"]).select("name", "rows", "differing").unionByName(every)
+
+
 def response_bodies(spark, folder):
     """Response bodies derived from events: some hold identity fields, credentials or a bad grouping."""
     n = F.col("event_id") % 8

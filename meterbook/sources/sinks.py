@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import time
+import uuid
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from meterbook import fixed
 from meterbook.functions.timeparts import iso_utc, month_key
@@ -85,6 +90,50 @@ def sink_report_tables(tables: Mapping[str, DataFrame], path: str, monthly: tupl
             df.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
+class ReportSetError(ValueError):
+    """There is no whole set of report tables."""
+
+
+def sink_report_set(tables: Mapping[str, DataFrame], path: str, monthly: tuple[str, ...] = ("facts",)) -> str:
+    """All tables of a report as one set; returns its name.
+
+    Tables go to a folder of their own and a manifest, which names them with schema and
+    row count, is written last.  Readers see a set from then on, whole or not at all,
+    and an earlier set stays readable while a later one is written.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    name = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    sink_report_tables(tables, f"{path}/{name}", monthly)
+    # a few dozen rows; the counts come from the footers of what was written
+    listed = [(name, table, df.schema.json(), spark.read.parquet(f"{path}/{name}/{table}").count()) for table, df in tables.items()]
+    manifest = spark.createDataFrame(listed, "set string, table string, schema string, rows bigint")
+    manifest.coalesce(1).write.json(f"{path}/manifests/{name}")
+    return name
+
+
+def read_report_set(spark: SparkSession, path: str, name: str | None = None) -> dict[str, DataFrame]:
+    """Tables of the latest set, or of the set ``name``; refused without its manifest or if a table is missing or incomplete."""
+    try:
+        listed = spark.read.schema("set string, table string, schema string, rows bigint").option("recursiveFileLookup", True).json(f"{path}/manifests").collect()
+    except AnalysisException as error:
+        raise ReportSetError(f"no manifest below {path}") from error
+    wanted = name or max((r["set"] for r in listed), default=None)
+    own = [r for r in listed if r["set"] == wanted]
+    if not own:
+        raise ReportSetError(f"no manifest of set {wanted}")
+    out = {}
+    for r in own:
+        schema = T.StructType.fromJson(json.loads(r["schema"]))
+        try:
+            found = spark.read.schema(schema).parquet(f"{path}/{wanted}/{r['table']}")
+        except AnalysisException as error:
+            raise ReportSetError(f"table {r['table']} of set {wanted} is missing") from error
+        if found.count() != r["rows"]:
+            raise ReportSetError(f"table {r['table']} of set {wanted} has not the {r['rows']} rows of its manifest")
+        out[r["table"]] = found.select(*[F.col(f"`{name}`") for name in schema.names])
+    return out
+
+
 def sink_responses(responses: DataFrame, path: str) -> DataFrame:
     """Write response bodies only if none of them is rejected."""
     clean, violations = gate(responses)

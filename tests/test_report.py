@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import call, usage
+from meterbook.sources import sinks
 from meterbook.functions import timeparts
 from meterbook.functions.labels import add_project_alias
 from meterbook.operators import quality, rollups, series
@@ -157,3 +158,23 @@ def test_export_tables_lead_the_report(spark):
     assert len(session.session) == len("session-") + 12 and session.turns == 3
     # records cost 8, the period 16: one factor for all facts
     assert {float(r.cost_scale) for r in tables["facts"].select("cost_scale").distinct().collect()} == {2.0}
+
+
+def test_report_sets_are_read_whole_or_not_at_all(spark, tmp_path):
+    path = str(tmp_path / "reports")
+    with pytest.raises(sinks.ReportSetError):
+        sinks.read_report_set(spark, path)
+    first = {"models": spark.createDataFrame([("m", 1)], "model string, calls bigint"), "empty": spark.createDataFrame([], "a int, `b.c` array<string>")}
+    name = sinks.sink_report_set(first, path)
+    second = sinks.sink_report_set({"models": spark.createDataFrame([("m", 2), ("n", 3)], "model string, calls bigint")}, path)
+    back = sinks.read_report_set(spark, path)
+    assert list(back) == ["models"] and sorted(map(tuple, back["models"].collect())) == [("m", 2), ("n", 3)]
+    old = sinks.read_report_set(spark, path, name)
+    assert [tuple(r) for r in old["models"].collect()] == [("m", 1)]
+    assert old["empty"].collect() == [] and old["empty"].columns == ["a", "b.c"]
+    # a table that lost rows, and one without its manifest
+    spark.createDataFrame([("m", 2)], "model string, calls bigint").write.mode("overwrite").parquet(f"{path}/{second}/models")
+    with pytest.raises(sinks.ReportSetError):
+        sinks.read_report_set(spark, path)
+    with pytest.raises(sinks.ReportSetError):
+        sinks.read_report_set(spark, path, "none")
