@@ -367,12 +367,15 @@ def links(docs: DataFrame, marked: DataFrame, id_col: str, text_col: str, size:
     drop_written(marked)
     release(spark)
     found = written(overlaps(_star(cells, "low"), segments), "star-low")
+    release(spark)
     apart = _apart(cells, found)
     found = found.unionByName(written(overlaps(_star(apart, "top"), segments), "star-top"))
+    release(spark)
     left = _apart(apart.select(*cells.columns), found)
     drop_written(apart)
     release(spark)
     found = found.unionByName(written(overlaps(_listed(left, listed), segments), "listed"))
+    release(spark)
     full = left.where(F.col("filled") > listed)
     if not full.isEmpty():
         found = found.unionByName(_block_links(full, segments, block))
