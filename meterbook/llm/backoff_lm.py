@@ -221,7 +221,8 @@ def answers(exploded: DataFrame) -> DataFrame:
 
     def join(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         sent, keys, counts = _add(group)
-        found = [pack_counts(np.minimum(counts[np.searchsorted(keys, g)], 0xFFFFFFFF)) for g in sent]
+        # counts of the corpus take 64 bits; their upper planes are zeros, which compress to nothing
+        found = [_planes(counts[np.searchsorted(keys, g)]) for g in sent]
         return pd.DataFrame({"chunk": group["chunk"], "n": key[0], "part": key[1], "counts": found})
 
     return exploded.groupBy("n", "part").applyInPandas(join, "chunk bigint, n int, part bigint, counts binary")
@@ -277,7 +278,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for n, values in enumerate(found, 1):
                 whole = values != found[n - 2] if n > 1 else np.ones(len(values), bool)
                 own = right[right["n"] == n].sort_values("part")
-                table = np.concatenate([unpack_counts(c) for c in own["counts"]]).astype(np.float64) if len(own) else np.empty(0)
+                table = np.concatenate([_numbers(c, "<i8") for c in own["counts"]]).astype(np.float64) if len(own) else np.empty(0)
                 at = np.zeros(len(values))
                 at[whole] = table[np.unique(values[whole], return_inverse=True)[1]]
                 counts.append(at)

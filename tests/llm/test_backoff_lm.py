@@ -84,6 +84,15 @@ def test_packing():
     assert (op.unpack_counts(op.pack_counts(counts)) == counts).all()
 
 
+def test_counts_beyond_32_bits(spark):
+    gram, most = np.array([7, 9], np.uint64), 0xFFFFFFFF
+    sent = [(1, 0, c, op.pack(gram), op.pack_counts(np.array([most, 1]))) for c in (5, 6, 8)]
+    exploded = spark.createDataFrame([(n, p, c, bytearray(g), bytearray(k)) for n, p, c, g, k in sent], "n int, part bigint, chunk bigint, grams binary, counts binary")
+    got = op.answers(exploded).collect()
+    assert sorted(r.chunk for r in got) == [5, 6, 8]
+    assert all(op._numbers(bytes(r.counts), "<i8").tolist() == [3 * most, 3] for r in got)
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     assert op.score_documents(empty).collect() == []
