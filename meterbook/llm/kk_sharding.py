@@ -137,12 +137,12 @@ def shard_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.coalesce(F.crc32(text), F.lit(0)).alias("text_crc32"),
         _group_key(text).alias("group"),
+        # the block of a row is the task that scans it, so a hot group of copies is spread over as many blocks as it has tasks
+        F.spark_partition_id().alias("block"),
     )
     rows = written(rows, "sizes")
     groups = written(rows.groupBy("group").agg(F.sum("size").alias("bytes")), "groups")
-    # the block of a row is the task that wrote it, so blocks are even whatever the keys are
-    put = rows.join(assign(groups, shards, bucket_groups), "group").select("id", "size", "text_crc32", "shard", F.spark_partition_id().alias("block"))
-    put = written(put, "put")
+    put = written(rows.join(assign(groups, shards, bucket_groups), "group").select("id", "size", "text_crc32", "shard", "block"), "put")
     counts = put.groupBy("shard", "block").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("block")) - F.col("n")
     offsets = counts.select(F.col("shard").alias("o_shard"), F.col("block").alias("o_block"), before.alias("before"))

@@ -1,5 +1,6 @@
 """Shards: groups stay whole, sums are near equal, slots have no gaps."""
 
+import heapq
 import random
 import zlib
 
@@ -50,6 +51,40 @@ def test_difference_is_exact_where_known():
     assert abs(sums[0] - sums[1]) == 2
 
 
+def plain(sizes, shards):
+    """Karmarkar-Karp by the book: sums only, the two tuples of largest spread put together in opposite order."""
+    heap = [(-s, i, [s] + [0] * (shards - 1)) for i, s in enumerate(sizes)]
+    heapq.heapify(heap)
+    number = len(heap)
+    while len(heap) > 1:
+        a, b = heapq.heappop(heap)[2], heapq.heappop(heap)[2]
+        both = sorted((x + y for x, y in zip(a, sorted(b), strict=True)), reverse=True)
+        heapq.heappush(heap, (both[-1] - both[0], number, both))
+        number += 1
+    return sorted(heap[0][2])
+
+
+def test_same_sums_as_plain_differencing():
+    rng = random.Random(4)
+    for shards in (2, 3, 8):
+        for n in (1, 5, 40, 300):
+            sizes = rng.sample(range(1, 10**12), n)  # no ties, which could be broken either way
+            shard = op._partition(sorted(sizes, reverse=True), shards)
+            sums = [0] * shards
+            for size, k in zip(sorted(sizes, reverse=True), shard, strict=True):
+                sums[k] += size
+            assert [s - min(sums) for s in sorted(sums)] == [s - plain(sizes, shards)[0] for s in plain(sizes, shards)], (shards, n)
+
+
+def test_rows_of_a_hot_group_are_numbered_in_blocks_of_the_scan(spark):
+    rows = [(i, "hot", "", "") for i in range(900)] + [(1000 + i, f"t{i}", "", "") for i in range(300)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(6)
+    check_slots = {}
+    for r in op.shard_rows(docs).collect():
+        check_slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in check_slots.values())
+
+
 def test_written_shards_hold_every_row(spark, tmp_path):
     docs = spark.createDataFrame(corpus(50), SCHEMA)
     op.write_shards(docs, str(tmp_path / "out"))
