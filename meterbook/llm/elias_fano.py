@@ -26,7 +26,9 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -98,23 +100,33 @@ class EliasFano:
             bits &= bits - 1
         return (word << 6) + (bits & -bits).bit_length() - 1
 
+    def _low(self, i: int) -> int:
+        if not self.low_bits:
+            return 0
+        at = i * self.low_bits
+        pair = int(self.low[at >> 6]) | (int(self.low[(at >> 6) + 1]) << 64 if (at & 63) + self.low_bits > 64 else 0)
+        return pair >> (at & 63) & ((1 << self.low_bits) - 1)
+
     def __getitem__(self, i: int) -> int:
         if not 0 <= i < self.count:
             raise IndexError(i)
-        low, at = 0, i * self.low_bits
-        if self.low_bits:
-            pair = int(self.low[at >> 6]) | (int(self.low[(at >> 6) + 1]) << 64 if (at & 63) + self.low_bits > 64 else 0)
-            low = pair >> (at & 63) & ((1 << self.low_bits) - 1)
-        return (self.select(i) - i) << self.low_bits | low
-
-    def all(self) -> np.ndarray:
-        """Every value, from one pass over the bits."""
-        ones = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little")).astype(np.int64)[: self.count]
-        values = (ones - np.arange(self.count)) << self.low_bits
-        if self.low_bits:
-            bits = np.unpackbits(self.low.view(np.uint8), bitorder="little")[: self.count * self.low_bits].reshape(self.count, self.low_bits)
-            values |= bits.astype(np.int64) @ (np.int64(1) << np.arange(self.low_bits, dtype=np.int64))
-        return values
+        return self.select(i) - i << self.low_bits | self._low(i)
+
+    def run(self, start: int, stop: int) -> list[int]:
+        """Values ``start`` to ``stop``: the first is selected, the others are the ones that follow it."""
+        if start >= stop:
+            return []
+        place = self.select(start)
+        word = place >> 6
+        bits = int(self.high[word]) >> (place & 63) << (place & 63)
+        out = []
+        for i in range(start, stop):
+            while not bits:
+                word += 1
+                bits = int(self.high[word])
+            out.append((word << 6) + (bits & -bits).bit_length() - 1 - i << self.low_bits | self._low(i))
+            bits &= bits - 1
+        return out
 
 
 class PieceEncoder:
@@ -235,19 +247,20 @@ class IdFile:
     def document(self, i: int) -> np.ndarray:
         return self.read(self.bounds[i], self.bounds[i + 1])
 
-    def doc_ids(self) -> list[int | None]:
-        return [None] * self.nulls + (self.names.all() + self.least).tolist()
+    def doc_ids(self, start: int, stop: int) -> list[int | None]:
+        """Ids of documents ``start`` to ``stop``; null ids come first."""
+        nulls = self.nulls
+        return [None] * (min(stop, nulls) - min(start, nulls)) + [n + self.least for n in self.names.run(max(start - nulls, 0), max(stop - nulls, 0))]
 
-    def documents_with_ids(self) -> Iterator[tuple[int, np.ndarray]]:
-        """(start, ids) of each document, read in stretches of about a million ids."""
-        starts = self.bounds.all()
+    def stretches(self) -> Iterator[tuple[list[int | None], list[int], np.ndarray]]:
+        """(doc ids, boundaries, ids) of up to ``_SAMPLE`` documents at a time, of about a million ids or one document."""
         at = 0
         while at < self.documents:
-            to = max(at + 1, int(np.searchsorted(starts, starts[at] + _READ_IDS, "right")) - 1)
-            ids = self.read(int(starts[at]), int(starts[to]))
-            for i in range(at, to):
-                yield int(starts[i]), ids[starts[i] - starts[at] : starts[i + 1] - starts[at]]
-            at = to
+            bounds = self.bounds.run(at, min(at + _SAMPLE, self.documents) + 1)
+            taken = max(1, bisect_right(bounds, bounds[0] + _READ_IDS) - 1)
+            bounds = bounds[: taken + 1]
+            yield self.doc_ids(at, at + taken), bounds, self.read(bounds[0], bounds[-1])
+            at += taken
 
 
 def read_offsets(manifest: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
@@ -262,13 +275,14 @@ def read_offsets(manifest: DataFrame, path: str, id_col: str = "doc_id") -> Data
         for batch in batches:
             for row in batch.to_pylist():
                 found = IdFile(system, f"{folder}/{row['file']}")
-                starts, sizes, sums = [], [], []
-                for start, ids in found.documents_with_ids():
-                    starts.append(start + row["before"])
-                    sizes.append(len(ids))
-                    sums.append(zlib.crc32(ids.astype("<u4").tobytes()))
-                columns = [pa.array(x, pa.int64()) for x in (found.doc_ids(), starts, sizes, sums)]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "start", "n_tokens", "ids_crc32"])
+                for names, bounds, ids in found.stretches():
+                    data = memoryview(ids.astype("<u4").tobytes())
+                    own = [4 * (b - bounds[0]) for b in bounds]
+                    starts = [b + row["before"] for b in bounds[:-1]]
+                    sizes = [b - a for a, b in pairwise(bounds)]
+                    sums = [zlib.crc32(data[a:b]) for a, b in pairwise(own)]
+                    columns = [pa.array(x, pa.int64()) for x in (names, starts, sizes, sums)]
+                    yield pa.RecordBatch.from_arrays(columns, ["id", "start", "n_tokens", "ids_crc32"])
 
     return map_batches(listed, work, "id bigint, start bigint, n_tokens bigint, ids_crc32 bigint").withColumnRenamed("id", id_col)
 

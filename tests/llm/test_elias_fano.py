@@ -20,8 +20,9 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 @pytest.mark.parametrize("values", [[], [0], [7], [0, 0, 0], [5, 5, 9, 1000, 10**15], list(range(2000)), [0] + [3] * 700 + [2**40] * 3])
 def test_sequences(values):
     found = op.EliasFano.decode(op.EliasFano.encode(np.array(values, np.uint64)))
-    assert found.all().tolist() == values
     assert [found[i] for i in range(len(values))] == values
+    for start in {0, 1, len(values) // 3, 256, len(values)}:
+        assert found.run(start, len(values)) == values[start:]
     with pytest.raises(IndexError):
         found[len(values)]
 
@@ -68,9 +69,26 @@ def test_single_documents_can_be_read(spark, tmp_path):
     seen = {}
     for row in manifest:
         found = op.IdFile(fs.LocalFileSystem(), f"{path}/{row.file}")
-        seen |= {d: found.document(i).tolist() for i, d in enumerate(found.doc_ids())}
+        seen |= {d: found.document(i).tolist() for i, d in enumerate(found.doc_ids(0, found.documents))}
     assert seen == {r.doc_id: [*library.encode(r.text, add_special_tokens=False).ids, 2] for r in docs.collect()}
 
 
+def test_stretches_cover_a_file(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(op, "_READ_IDS", 50)
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    path = str(tmp_path / "ids")
+    for row in op.write_files(docs.coalesce(1), path, PATH).collect():
+        found = op.IdFile(fs.LocalFileSystem(), f"{path}/{row.file}")
+        at = 0
+        for names, bounds, ids in found.stretches():
+            assert len(names) == len(bounds) - 1 and len(ids) == bounds[-1] - bounds[0]
+            for k, name in enumerate(names):
+                assert found.doc_ids(at, at + 1) == [name]
+                assert found.document(at).tolist() == ids[bounds[k] - bounds[0] : bounds[k + 1] - bounds[0]].tolist()
+                at += 1
+        assert at == found.documents == row.documents
+
+
 def test_empty_table(spark):
     assert op.store_and_read(spark.createDataFrame([], "doc_id bigint, text string"), PATH).collect() == []
