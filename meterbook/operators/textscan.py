@@ -1,10 +1,12 @@
 """Scans of text tables for credentials and private identifiers.
 
-Whole texts are read; each pattern runs inside the JVM.
+Whole texts are read; each pattern runs inside the JVM, and only over texts
+that hold the literal every match of it begins with.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -17,12 +19,23 @@ from meterbook.operators.quality import key_text, row_checks
 
 _ASSIGNMENT = "secret assignment"
 _SENSITIVE_KEY = rf'(?i)"({fixed.SENSITIVE_KEYS})"\s*:'
+#: What an assignment cannot do without, in lower case.
+_ASSIGNED_WORDS = ("key", "secret", "password", "token")
+_CUT = "\x01"
+
+
+def _keys_of(body: Column) -> Column:
+    return F.regexp_extract_all(body, F.lit(_SENSITIVE_KEY), F.lit(1))
 
 
 def sensitive_keys(json_text: str | Column) -> Column:
-    """Names of sensitive JSON fields at any depth of a raw JSON text."""
+    """Names of sensitive JSON fields at any depth.
+
+    The text is parsed and written again first, so that an escaped name is
+    found and a name inside a value is not; what does not parse is read as it is.
+    """
     column = F.col(json_text) if isinstance(json_text, str) else json_text
-    return F.regexp_extract_all(column, F.lit(_SENSITIVE_KEY), F.lit(1))
+    return _keys_of(F.coalesce(F.to_json(F.try_parse_json(column)), column))
 
 
 def credential_like(value: str | Column) -> Column:
@@ -46,7 +59,7 @@ def gate(
     body = F.col("_body")
     group = F.get_json_object(body, "$.group_by")
     shaped = F.coalesce(F.startswith(F.get_json_object(body, "$.data"), F.lit("[")), F.lit(False))
-    keys = sensitive_keys(body)
+    keys = _keys_of(body)
     marked = responses.withColumns(
         {
             "_shaped": F.coalesce(shaped & F.startswith(body, F.lit("{")), F.lit(False)),
@@ -81,13 +94,29 @@ def placeholder(value: Column) -> Column:
     return worded | compact.rlike(r"^[x*\-]+$")
 
 
-def _matches(text: str, pattern: str, group: int, label: str) -> Column:
-    """Every match of a pattern as (finding, value)."""
+def literal_start(pattern: str) -> str:
+    """The literal that every match of a pattern begins with; empty where it has none."""
+    flat, last = pattern, ""
+    while flat != last:
+        flat, last = re.sub(r"\([^()]*\)", "", flat), flat
+    if "|" in flat:
+        return ""
+    return re.match(r"(?:\\b)?([\w /-]*)(?![*+?{])", pattern).group(1)
+
+
+def _matches(text: str, pattern: str, group: int, label: str, worth: Column | None = None) -> Column:
+    """Every match of a pattern as (finding, value), looked for where the text is ``worth`` it."""
 
     def named(match: Column) -> Column:
         return F.struct(F.lit(label).alias("finding"), match.alias("value"))
 
-    return F.transform(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(group)), named)
+    found = F.transform(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(group)), named)
+    if worth is None:
+        literal = literal_start(pattern)
+        if not literal:
+            return found
+        worth = F.contains(F.col(text), F.lit(literal))
+    return F.when(worth, found).otherwise(F.from_json(F.lit("[]"), "array<struct<finding string, value string>>"))
 
 
 def _hits(texts: DataFrame, key: Sequence[str], matches: list[Column]) -> DataFrame:
@@ -97,15 +126,19 @@ def _hits(texts: DataFrame, key: Sequence[str], matches: list[Column]) -> DataFr
 
 def secret_findings(texts: DataFrame, key: Sequence[str], text: str = "text") -> DataFrame:
     """Secrets in a text table: ``finding`` and matched ``value`` per hit, placeholders excused."""
-    patterns = [*fixed.SECRET_PATTERNS, (_ASSIGNMENT, fixed.SECRET_ASSIGNMENT)]
-    hits = _hits(texts, key, [_matches(text, pattern, 0, label) for label, pattern in patterns])
+    lowered = F.lower(F.col(text))
+    worded = any_of([F.contains(lowered, F.lit(w)) for w in _ASSIGNED_WORDS])
+    worth = worded & F.col(text).rlike(rf"(?i)(?:{'|'.join(_ASSIGNED_WORDS)})[\"']?\s*[:=]")
+    matches = [_matches(text, pattern, 0, label) for label, pattern in fixed.SECRET_PATTERNS]
+    hits = _hits(texts, key, [*matches, _matches(text, fixed.SECRET_ASSIGNMENT, 0, _ASSIGNMENT, worth)])
     assigned = F.col("finding") == _ASSIGNMENT
-    inner = F.concat(*[F.regexp_extract("value", fixed.SECRET_ASSIGNMENT, i) for i in (2, 3, 4)])
-    named = hits.withColumns(
-        {
-            "_name": F.when(assigned, F.lower(F.regexp_extract("value", fixed.SECRET_ASSIGNMENT, 1))),
-            "value": F.when(assigned, inner).otherwise(F.col("value")),
-        }
+    # name and value of an assignment from one match
+    parts = F.split(F.regexp_replace("value", fixed.SECRET_ASSIGNMENT, f"$1{_CUT}$2$3$4"), _CUT, 2)
+    named = hits.withColumn("_parts", F.when(assigned, parts)).select(
+        *key,
+        "finding",
+        F.when(assigned, F.get("_parts", 1)).otherwise(F.col("value")).alias("value"),
+        F.lower(F.get("_parts", 0)).alias("_name"),
     )
     prose = F.col("value").rlike(r"\s|[\x{3400}-\x{9fff}]") | F.col("value").rlike(r"^[A-Z][A-Z0-9_]*$")
     excused = placeholder(F.col("value")) | (F.col("_name").eqNullSafe("token") & prose)
