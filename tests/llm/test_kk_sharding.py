@@ -76,7 +76,7 @@ def test_same_sums_as_plain_differencing():
             assert [s - min(sums) for s in sorted(sums)] == [s - plain(sizes, shards)[0] for s in plain(sizes, shards)], (shards, n)
 
 
-def test_rows_of_a_hot_group_are_numbered_in_blocks_of_the_scan(spark):
+def test_slots_of_a_hot_group_have_no_gaps(spark):
     rows = [(i, "hot", "", "") for i in range(900)] + [(1000 + i, f"t{i}", "", "") for i in range(300)]
     docs = spark.createDataFrame(rows, SCHEMA).repartition(6)
     check_slots = {}
