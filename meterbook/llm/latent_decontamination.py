@@ -12,27 +12,34 @@
    a cosine of at least ``COSINE`` are candidates, of every window and without
    any cap.  So is every stretch that holds as many of an item's rarest words
    as a hit has to hold: no hit depends on the latent space.
-4. A candidate is checked on the words themselves.  The longest common
-   subsequence of the item and a stretch of the document half as long again
-   must hold at least ``COPY`` of the item's words; or at least
+4. Candidates of an item that lie together are one region of the document,
+   which is checked on the words themselves.  The longest common subsequence
+   of the item and a stretch half as long again, beginning at any word of the
+   region, must hold at least ``COPY`` of the item's words; or at least
    ``PARAPHRASE`` of them, if the item's answer (what follows ``Answer:``, or
    else its last sentence) is there to at least ``ANSWER``.
+5. Items of fewer than ``MIN_WORDS`` words have nothing to be paraphrased.
+   They are found where their words follow one another, as hits of the kind
+   ``short``, which ``clean`` takes out only where it is asked to.
 
 Items are taken in blocks of about ``ITEM_BLOCK`` items or 60 times as many
 words, each with a vocabulary of its own, so what goes to the tasks has a bound
 whatever the benchmark is.
 
-Defined results: null and empty texts are never hits; items of fewer than
-``MIN_WORDS`` words are not looked for; repeated documents are one row for
-each item, and a null id is a row like any other; an empty benchmark or table
-gives no rows; other columns are not read, whatever their names.
+Defined results: null and empty texts are never hits; items without words are
+not looked for; the cosine and the answer's share of a short hit are null;
+repeated documents are one row for each item, and a null id is a row like any
+other; an empty benchmark or table gives no rows; other columns are not read,
+whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -95,18 +102,24 @@ class Items:
     codes: list[np.ndarray]
     answers: list[np.ndarray]
     vocabulary: dict[bytes, int]
+    short_ids: list
+    short: list[np.ndarray]
 
     @classmethod
     def of(cls, rows: list[tuple]) -> Items:
         vocabulary: dict[bytes, int] = {}
-        ids, codes, answers = [], [], []
+        ids, codes, answers, short_ids, short = [], [], [], [], []
         for i, text in rows:
             found = words_of(text)
+            coded = np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in found], np.int32)
             if len(found) >= MIN_WORDS:
                 ids.append(i)
-                codes.append(np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in found], np.int32))
+                codes.append(coded)
                 answers.append(np.array([vocabulary[w] for w in answer_of(text) if w in vocabulary], np.int32))
-        return cls(ids, codes, answers, vocabulary)
+            elif found:
+                short_ids.append(i)
+                short.append(coded)
+        return cls(ids, codes, answers, vocabulary, short_ids, short)
 
     @property
     def longest(self) -> int:
@@ -297,24 +310,38 @@ class Checker:
         self.masks = [places_of(c) for c in self.items.codes]
         self.answer_masks = [places_of(c) for c in self.items.answers]
 
-    def check(self, item: int, codes: np.ndarray, start: int) -> tuple[float, float, int] | None:
-        """(share of the item, share of its answer, first word) of the best stretch around a window, if it is a hit."""
-        size = len(self.items.codes[item])
-        a, b = max(0, start - size), min(len(codes), start + WINDOW + size)
-        mask = self.masks[item]
-        if common(mask, size, codes[a:b][codes[a:b] > 0].tolist()) < PARAPHRASE * size:
+    def check(self, item: int, codes: np.ndarray, start: int, stop: int) -> tuple[float, float, int] | None:
+        """(share of the item, share of its answer, first word) of the best stretch that begins in a region, if it is a hit.
+
+        A stretch that begins with a word of neither item nor answer holds no more than the one behind that word, and
+        one with too few of the item's words, in whatever order, is passed over.
+        """
+        size, mask, answer_mask = len(self.items.codes[item]), self.masks[item], self.answer_masks[item]
+        answer, length = len(self.items.answers[item]), -(-3 * size // 2)
+        best, least = None, int(np.ceil(PARAPHRASE * size - 1e-9))
+        region = codes[start:stop].tolist()
+        own = list(filter(mask.__contains__, region))
+        if len(own) < least or common(mask, size, own) < least:
             return None
-        region = codes[a:b].tolist()
-        length, best = -(-3 * size // 2), None
-        step = max(1, size // 8)
-        for at in range(0, max(1, len(region) - length + step), step):
-            part = region[at : at + length]
-            share = common(mask, size, part) / size
-            if share >= PARAPHRASE and (best is None or share > best[0]):
-                answer = len(self.items.answers[item])
-                given = common(self.answer_masks[item], answer, part) / answer if answer else 0.0
-                if share >= COPY or given >= ANSWER:
-                    best = (share, given, a + at)
+        places = [(i, c) for i, c in enumerate(region, start) if c in mask or c in answer_mask]
+        own = [c for _, c in places]
+        counts: Counter[int] = Counter()
+        held = end = 0
+        for k, (at, code) in enumerate(places):
+            while end < len(places) and places[end][0] < at + length:
+                new = own[end]
+                counts[new] += 1
+                held += new in mask and counts[new] <= mask[new].bit_count()
+                end += 1
+            if held >= least:
+                part = own[k:end]
+                got = common(mask, size, part)
+                if got >= least:
+                    given = common(answer_mask, answer, part) / answer if answer else 0.0
+                    if got / size >= COPY or given >= ANSWER:
+                        best, least = (got / size, given, at), got + 1
+            held -= code in mask and counts[code] <= mask[code].bit_count()
+            counts[code] -= 1
         return best
 
 
@@ -379,6 +406,20 @@ class Rare:
             yield i, step - int(self.before[i]), step + int(self.after[i])
 
 
+def regions(pairs: set[tuple[int, int]], owner: np.ndarray, items: Items) -> Iterator[tuple[int, int, int]]:
+    """(item, first, last window) of candidate windows of one document whose surroundings touch."""
+    open_: tuple[int, int, int] | None = None
+    for item, w in sorted((item, w) for w, item in pairs):
+        if open_ and open_[0] == item and owner[open_[2]] == owner[w] and (w - open_[2]) * STEP <= WINDOW + 2 * len(items.codes[item]):
+            open_ = (item, open_[1], w)
+            continue
+        if open_:
+            yield open_
+        open_ = (item, w, w)
+    if open_:
+        yield open_
+
+
 def find(docs: list[np.ndarray], space: Space, targets: np.ndarray, checker: Checker, rare: Rare) -> Iterator[tuple[int, int, float, float, float, int]]:
     """(document, item, cosine, share, answer share, first word) of the best hit of each pair."""
     best: dict[tuple[int, int], tuple] = {}
@@ -403,26 +444,76 @@ def find(docs: list[np.ndarray], space: Space, targets: np.ndarray, checker: Che
         windows[joined] += steps[joined + 1]
         near = unit(windows) @ targets.T
         pairs.update(map(tuple, np.argwhere(near >= COSINE).tolist()))
-        for w, item in sorted(pairs):
-            doc = int(owner[w])
+        for item, begin, end in regions(pairs, owner, checker.items):
+            doc, size = int(owner[begin]), len(checker.items.codes[item])
             if best.get((doc, item), (0.0,))[0] == 1.0:  # nothing can be closer
                 continue
-            hit = checker.check(item, docs[doc], (w - int(first[w])) * STEP)
-            if hit and (hit[0], float(near[w, item])) > best.get((doc, item), (0.0, 0.0))[:2]:
-                best[doc, item] = (hit[0], float(near[w, item]), hit[1], hit[2])
+            start = (begin - int(first[begin])) * STEP - size
+            hit = checker.check(item, docs[doc], max(0, start), start + (end - begin) * STEP + WINDOW + 2 * size)
+            if hit:
+                cosine = float(near[begin : end + 1, item].max())
+                if (hit[0], cosine) > best.get((doc, item), (0.0, 0.0))[:2]:
+                    best[doc, item] = (hit[0], cosine, hit[1], hit[2])
     for (doc, item), (share, cosine, given, start) in best.items():
         yield doc, item, cosine, share, given, start
 
 
+def find_short(codes: np.ndarray, short: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """(short item, first word) of the first place where the words of an item follow one another."""
+    for size in {len(s) for s in short}:
+        if len(codes) < size:
+            continue
+        own = [i for i, s in enumerate(short) if len(s) == size]
+        # sums of odd multiples name a sequence of words, up to chance, which the words themselves rule out
+        factors = np.uint64(0x9E3779B97F4A7C15) ** np.arange(1, size + 1, dtype=np.uint64)
+        names = np.array([(short[i].astype(np.uint64) * factors).sum(dtype=np.uint64) for i in own])
+        order = np.argsort(names, kind="stable")
+        runs = np.lib.stride_tricks.sliding_window_view(codes.astype(np.uint64), size)
+        keys = (runs * factors).sum(axis=1, dtype=np.uint64)
+        some = np.flatnonzero(np.isin(keys, names))
+        seen = set()
+        low, high = (np.searchsorted(names[order], keys[some], side) for side in ("left", "right"))
+        for at, a, b in zip(some.tolist(), low.tolist(), high.tolist(), strict=True):
+            for i in (own[o] for o in order[a:b]):
+                if i not in seen and (codes[at : at + size] == short[i]).all():
+                    seen.add(i)
+                    yield i, at
+
+
+def _short_hits(coded: DataFrame, items: Items) -> DataFrame:
+    kind, short = coded.schema["id"].dataType.simpleString(), items.short
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(row, i, at) for row, codes in enumerate(_coded(batch)) for i, at in find_short(codes, short)]
+            at = pa.array([f[0] for f in found], pa.int64())
+            starts = batch.column(1).take(at).to_numpy(zero_copy_only=False) + np.array([f[2] for f in found], np.int64)
+            columns = [batch.column(0).take(at), pa.array([f[1] for f in found], pa.int32()), pa.array(starts, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "item", "start_word"])
+
+    found = map_batches(coded, work, f"id {kind}, item int, start_word bigint").groupBy("id", "item").agg(F.min("start_word").alias("start_word"))
+    none = F.lit(None).cast("double")
+    return found.select("id", "item", F.struct(none.alias("cosine"), F.lit(1.0).alias("lcs_share"), none.alias("answer_share"), "start_word").alias("b"))
+
+
 def hits_of_block(docs: DataFrame, rows: list[tuple], id_col: str, text_col: str, item_type: str) -> DataFrame | None:
     items = Items.of(rows)
-    if not items.ids:
+    if not items.vocabulary:
         return None
     coded = code_documents(docs, items, id_col, text_col)
+    hits = ([_long_hits(coded, items)] if items.ids else []) + ([_short_hits(coded, items)] if items.short else [])
+    parts = []
+    for ids, each in zip([i for i in (items.ids, items.short_ids) if i], hits, strict=True):
+        names = docs.sparkSession.createDataFrame(list(enumerate(ids)), f"item int, name {item_type}")
+        parts.append(each.join(names, "item").select("id", F.col("name").alias("item"), "b.*"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _long_hits(coded: DataFrame, items: Items) -> DataFrame:
     space = latent_space(coded, items)
     targets = np.stack([space.item(c) for c in items.codes])
     rare = Rare.of(items.codes, space.counts)
-    shared = docs.sparkSession.sparkContext.broadcast((items, space, targets, rare))  # a block of items has a bound
+    shared = coded.sparkSession.sparkContext.broadcast((items, space, targets, rare))  # a block of items has a bound
     kind = coded.schema["id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -438,9 +529,7 @@ def hits_of_block(docs: DataFrame, rows: list[tuple], id_col: str, text_col: str
 
     found = map_batches(coded, work, f"id {kind}, item int, cosine double, lcs_share double, answer_share double, start_word bigint")
     best = F.max_by(F.struct("cosine", "lcs_share", "answer_share", "start_word"), F.struct("lcs_share", "cosine", -F.col("start_word")))
-    each = found.groupBy("id", "item").agg(best.alias("b"))
-    names = docs.sparkSession.createDataFrame(list(enumerate(items.ids)), f"item int, name {item_type}")
-    return each.join(names, "item").select("id", F.col("name").alias("item"), "b.*")
+    return found.groupBy("id", "item").agg(best.alias("b"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
@@ -462,11 +551,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     out = spark.createDataFrame([], schema)
     for part in parts:
         out = out.unionByName(part)
-    way = F.when(F.col("lcs_share") >= COPY, "copy").otherwise("paraphrase")
+    way = F.when(F.col("cosine").isNull(), "short").when(F.col("lcs_share") >= COPY, "copy").otherwise("paraphrase")
     return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), way.alias("kind"), "cosine", "lcs_share", "answer_share", "start_word")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without those that hold a benchmark item, with their columns."""
-    found = written(contaminated(docs, benchmark, id_col, text_col).select(F.col(f"`{id_col}`").alias("__hit")).distinct(), "contaminated")
-    return docs.join(found, F.col(f"`{id_col}`").eqNullSafe(F.col("__hit")), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
+    """``docs`` without those that hold a benchmark item, with their columns; an item of a few words counts only if ``short`` is set."""
+    found = contaminated(docs, benchmark, id_col, text_col)
+    gone = found if short else found.where("kind != 'short'")
+    gone = written(gone.select(F.col(f"`{id_col}`").alias("__hit")).distinct(), "contaminated")
+    return docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("__hit")), "left_anti")
