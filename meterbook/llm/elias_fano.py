@@ -23,6 +23,7 @@ read, whatever their names.  Doc ids are whole numbers.
 
 from __future__ import annotations
 
+import gc
 import struct
 import uuid
 import zlib
@@ -129,6 +130,23 @@ class EliasFano:
         return out
 
 
+class Words(dict):
+    """Ids of a word as bytes, made by the library's model when they are first asked for; of a special token by its number."""
+
+    def __init__(self, vocabulary: Vocabulary, kind: np.dtype):
+        super().__init__()
+        self.model = vocabulary.tokenizer.model
+        self.letters = {b: ord(c) for c, b in vocabulary.byte_of.items()}
+        self.codes = [i.to_bytes(kind.itemsize, "little") for i in range(len(vocabulary.names))]
+
+    def __missing__(self, word: str | int) -> bytes:
+        codes = self.codes
+        if isinstance(word, int):
+            return codes[word]
+        ids = self[word] = b"".join([codes[t.id] for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))])
+        return ids
+
+
 class PieceEncoder:
     """The tokenizers library, word by word.
 
@@ -139,34 +157,31 @@ class PieceEncoder:
 
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
-        self.model = self.vocabulary.tokenizer.model
-        self.letters = {b: ord(c) for c, b in self.vocabulary.byte_of.items()}
         self.kind = np.dtype("<u2" if len(self.vocabulary.names) <= 1 << 16 else "<u4")
         self.known: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def _word(self, word: str) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
-            found = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
-            ids = self.words[word] = np.array([t.id for t in found], self.kind).tobytes()
-        return ids
+        self.words = Words(self.vocabulary, self.kind)
 
     def learn(self, pieces: set[bytes]) -> None:
-        if len(self.known) > MEMORY:  # what this batch needs stays
-            self.known = {p: self.known[p] for p in pieces if p in self.known}
+        known = self.known
+        if len(known) > MEMORY:  # what this batch needs stays
+            known = self.known = {p: known[p] for p in pieces if p in known}
         if len(self.words) > MEMORY:
             self.words.clear()
-        width, word = self.kind.itemsize, self._word
-        new = list(pieces.difference(self.known))
-        for piece, parts in zip(new, self.vocabulary.cut(new), strict=True):
-            self.known[piece] = b"".join([word(w) if isinstance(w, str) else w.to_bytes(width, "little") for w in parts])
+        new, word, join = list(pieces.difference(known)), self.words.__getitem__, b"".join
+        known.update(zip(new, [join(map(word, parts)) for parts in self.vocabulary.cut(new)], strict=True))
 
     def batch(self, texts: list[bytes]) -> Iterator[bytes]:
-        cut = [t.split() for t in texts]
-        self.learn(set().union(*cut))
+        collects = gc.isenabled()
+        gc.disable()  # millions of lists and bytes in no cycles, which a collection would walk through for nothing
+        try:
+            cut = [t.split() for t in texts]
+            self.learn(set().union(*cut))
+        finally:
+            if collects:
+                gc.enable()
+        ids = self.known.__getitem__
         for parts in cut:
-            yield b"".join([self.known[p] for p in parts])
+            yield b"".join(map(ids, parts))
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
