@@ -17,7 +17,7 @@ from meterbook.operators.keyed import keyed_join
 from meterbook.plans import report
 from meterbook.session import scratch_path
 from meterbook.sources import account as account_source
-from meterbook.sources import devices, exports, portable, requestlog, responses, rollout, sinks
+from meterbook.sources import devices, exports, portable, requestlog, responses, rollout, sinks, splitjson
 
 BATCH = 100  # records per derived document
 
@@ -76,15 +76,18 @@ def s01_portable_documents(spark, folder):
 
 
 def one_document(spark, folder, head, record):
-    """One JSON document of a record per usage row, written as one file, and ranges that make about forty of it."""
+    """One JSON document of a record per usage row, written as files that follow each other, and ranges that make about forty of it.
+
+    Many tasks write it: the files hold ranges of the order of the events.
+    """
     rows = t.usage(spark, folder)
     last = rows.agg(F.max("event_id")).first()[0]
     texts = rows.select(F.col("event_id").alias("at"), F.concat(F.to_json(record), F.when(F.col("event_id") != last, ",").otherwise("]}")).alias("value"))
     opened = spark.range(1).select(F.lit(-1).cast("bigint").alias("at"), F.lit(head).alias("value"))
     path = scratch_path(spark, "one-document")
-    opened.unionByName(texts).repartition(1).sortWithinPartitions("at").select("value").write.text(path)
-    size = spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0]
-    return path, max(1 << 16, size // 40)
+    opened.unionByName(texts).repartitionByRange("at").sortWithinPartitions("at").select("value").write.text(path)
+    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0]
+    return path, min(splitjson.SPLIT_BYTES, max(1 << 16, size // 40))
 
 
 def _head(schema, **fields):
@@ -95,7 +98,7 @@ def _head(schema, **fields):
 def s01_one_large_document(spark, folder):
     """All records in one document, which many tasks read."""
     path, split = one_document(spark, folder, _head(fixed.PORTABLE_SCHEMA, timezone=t.TZ, synthetic=True), portable_struct())
-    records, _ = portable.read_split_documents(spark, path, split)
+    records, _ = portable.read_split_documents(spark, path, split, parts=True)
     return portable.normalize(portable.parse_records(records)).select(*PORTABLE_COLUMNS)
 
 
@@ -106,7 +109,7 @@ def s01_one_large_document(spark, folder):
 def s01_large_document_checks(spark, folder):
     """The same document with another schema name and a field too many."""
     path, split = one_document(spark, folder, _head("other", note={"a": [1, 2], "b": "],{"}, timezone=t.TZ), portable_struct())
-    return portable.read_split_documents(spark, path, split)[1].drop("key")
+    return portable.read_split_documents(spark, path, split, parts=True)[1].drop("key")
 
 
 @query("s02_portable_lines", PORTABLE)
@@ -209,7 +212,7 @@ def s04_one_large_export(spark, folder):
     """All records in one export, which many tasks read; their places keep the order of the document."""
     head = _head(fixed.EXPORT_SCHEMA, summary=[{"Cost (USD)": 1, "API Calls": 2}], periods=[{"label": "all", "daily": [{"Date": "2024-01-01"}], "models": []}])
     path, split = one_document(spark, folder, head, export_record())
-    rows = ranking.ordered_positions(exports.read_split_records(spark, path, split), [F.col("input_order")], rank="nth")
+    rows = ranking.ordered_positions(exports.read_split_records(spark, path, split, parts=True), [F.col("input_order")], rank="nth")
     return rows.withColumn("nth", F.col("nth") - 1).drop("document", "input_order", "provider")
 
 

@@ -76,3 +76,16 @@ def stage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def stage_table(df: DataFrame) -> DataFrame:
+    """Cut lineage by a Parquet table in the shared folder.
+
+    For tables that are large, as it is compressed and read by column, and for
+    small ones that are joined to large ones, as the size of its files is known
+    when a join is planned (that of a checkpoint is not).
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "stage")
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

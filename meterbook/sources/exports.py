@@ -80,9 +80,9 @@ def export_records(exports: DataFrame) -> DataFrame:
     return _usage(exports.select("document", F.posexplode("records").alias("input_order", "r")).select("document", "input_order", "r.*"))
 
 
-def read_split_records(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+def read_split_records(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, parts: bool = False) -> DataFrame:
     """The same records of exports of any size, each read by as many tasks as it has ranges; the order is the byte a record begins at."""
-    found = read_elements(spark, path, split_bytes).where("kind = 'element' AND field = 'records'")
+    found = read_elements(spark, path, split_bytes, parts=parts).where("kind = 'element' AND field = 'records'")
     return _usage(found.select("document", F.col("place").alias("input_order"), F.from_json("value", RECORD).alias("r")).select("document", "input_order", "r.*"))
 
 

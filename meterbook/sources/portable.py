@@ -24,7 +24,7 @@ from meterbook.operators.quality import (
 )
 from meterbook.operators.dedup import repeated_rows
 from meterbook.operators.keyed import keyed_join
-from meterbook.session import stage
+from meterbook.session import stage, stage_table
 from meterbook.sources.heads import first_lines
 from meterbook.sources.splitjson import SPLIT_BYTES, read_elements
 
@@ -69,17 +69,18 @@ def parse_documents(documents: DataFrame) -> DataFrame:
     )
 
 
-def read_split_documents(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> tuple[DataFrame, DataFrame]:
+def read_split_documents(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, parts: bool = False) -> tuple[DataFrame, DataFrame]:
     """(records, checks) of JSON documents of any size, each read by as many tasks as it has ranges.
 
     Records are those of ``parse_documents``, with the document's own fields beside them and ``place``, the byte they begin at.
     """
-    found = read_elements(spark, path, split_bytes)
+    found = read_elements(spark, path, split_bytes, parts=parts)
     names = {"schema": "schema", "timezone": "timezone", "synthetic": "synthetic", "generatedAt": "generated_at"}
     plain = F.from_json(F.concat(F.lit('{"v":'), "value", F.lit("}")), "v string")["v"]
     fields = found.where(F.col("kind") == "value").groupBy("document").agg(
         *[F.max(F.when(F.col("field") == field, plain)).alias(name) for field, name in names.items()]
     )
+    fields = stage_table(fields)  # a row for each document; the records of one document stay where they are
     records = found.where("kind = 'element' AND field = 'records'").select("document", F.col("value").alias("record"), "place")
     unknown = ~F.col("field").isin(*fixed.PORTABLE_ROOT_FIELDS)
     sizes = found.groupBy("document").agg(

@@ -86,3 +86,56 @@ def test_one_document_is_read_by_several_tasks(spark, tmp_path):
     assert [json.loads(r.record) for r in rows] == records
     assert {(r.schema, r.synthetic, r.timezone) for r in rows} == {("s", "true", None)}
     assert [r.check for r in checks.collect()] == ["document-schema"]
+
+
+def test_a_document_in_parts_is_one_document(spark, tmp_path):
+    """Files of a folder follow each other by name, wherever they are cut, whatever the ranges."""
+    records = [{"project": f'p"{i}', "note": "\\é" * (i % 9)} for i in range(200)]
+    text = json.dumps({"schema": "s", "records": records, "synthetic": True}, ensure_ascii=False).encode()
+    rng = random.Random(3)
+    for name, cuts in (("one", 17), ("two", 1)):
+        (tmp_path / name).mkdir()
+        places = [0, *sorted(rng.sample(range(1, len(text)), cuts)), len(text)]
+        for i, (begin, end) in enumerate(zip(places, places[1:], strict=False)):
+            (tmp_path / name / f"part-{i:05d}.txt").write_bytes(text[begin:end])
+    for split in (97, 1 << 20):
+        rows = op.read_elements(spark, str(tmp_path), split, parts=True).orderBy("place").collect()
+        for name in ("one", "two"):
+            mine = [r for r in rows if r.document.endswith(name)]
+            assert [json.loads(r.value) for r in mine if r.kind == "element"] == records
+            assert {r.field for r in mine if r.kind == "element"} == {"records"} and not any(r.kind == "broken" for r in mine)
+            assert all(text[r.place : r.place + len(r.value.encode())] == r.value.encode() for r in mine if r.value)
+
+
+def test_an_element_costs_no_copy_of_the_rest_of_its_range(tmp_path):
+    """Elements of a large range: time grows with the range, not with its square."""
+    import time
+
+    def seconds(n):
+        (tmp_path / f"{n}.json").write_text('{"records":[' + ",".join(['{"a":"' + "x" * 300 + '"}'] * n) + "]}")
+        size, start = (tmp_path / f"{n}.json").stat().st_size, time.perf_counter()
+        assert sum(kind == "element" for kind, *_ in op.elements(str(tmp_path / f"{n}.json"), 0, size, op.OUT, 0)) == n
+        return time.perf_counter() - start
+
+    assert seconds(40_000) < 4 * max(seconds(10_000), 0.3)
+
+
+def test_states_behind_ranges_without_backslashes():
+    """Counting quotes tells the same as walking over the texts."""
+    rng = random.Random(8)
+    for _ in range(400):
+        data = "".join(rng.choice('"[]{},a: ') for _ in range(rng.randint(0, 12))).encode()
+        for state in (op.OUT, op.IN, op.ESCAPED):
+            # a backslash pair inside a text of its own changes nothing, and sends it along the other way
+            slow = op.after(b'"\\\\"' + data, state) if state == op.OUT else None
+            if slow:
+                assert op.after(data, state) == slow
+            now, deeper = state, 0
+            for byte in data.decode():
+                if now == op.ESCAPED:
+                    now = op.IN
+                elif byte == '"':
+                    now = op.OUT if now == op.IN else op.IN
+                elif now == op.OUT:
+                    deeper += (byte in "[{") - (byte in "]}")
+            assert op.after(data, state) == (now, deeper), (data, state)
