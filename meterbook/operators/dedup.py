@@ -21,6 +21,8 @@ from meterbook.operators.ranking import occurrence_number
 
 PICKED = ("device", "device_order", "input_order", "raw_project", "fingerprint", "project_rank")
 CORE = ("ts", "source", "session", "model", *COMPONENTS, "cost")
+#: A block of time of near-time matching is so many windows long: the longer, the fewer points travel twice.
+BLOCK_WINDOWS = 32
 
 
 def preference() -> Column:
@@ -126,8 +128,9 @@ def near_time_matches(
     ambiguous, with ``status baseline_id increment_id ts_ms source events``.
 
     No pair is ever listed.  Rows are first counted per millisecond, which bounds
-    a block of time at ``window_ms`` points per source whatever the data holds.
-    Inside a block, running sums up to either end of the window count the
+    a block of time at ``BLOCK_WINDOWS * window_ms`` points per source, and two
+    windows more, whatever the data holds.  Only points within a window of its
+    ends are in two blocks.  Inside a block, running sums up to either end of the window count the
     neighbours, and the last opposite point before its end is the only candidate
     if there is just one: one sort, and frames that only grow.
     """
@@ -136,9 +139,12 @@ def near_time_matches(
     points = events.groupBy(*by, "session", "model", "source", "_ms").agg(
         F.count(F.lit(1)).alias("_n"), F.min(F.struct("event_id", *COMPONENTS)).alias("_one")
     )
-    # a point is seen from its own block of time and from both neighbours
-    reach = points.withColumn("_home", F.floor(F.col("_ms") / F.lit(window_ms)))
-    reach = reach.withColumn("_block", F.explode(F.array(F.col("_home") - 1, F.col("_home"), F.col("_home") + 1)))
+    # a point is seen from its own block of time and from those its window reaches into
+    def block_of(ms: Column) -> Column:
+        return F.floor(ms / F.lit(BLOCK_WINDOWS * max(window_ms, 1)))
+
+    reach = points.withColumn("_home", block_of(F.col("_ms")))
+    reach = reach.withColumn("_block", F.explode(F.sequence(block_of(F.col("_ms") - window_ms), block_of(F.col("_ms") + window_ms))))
     order = W.partitionBy(*by, "session", "model", "_block").orderBy("_ms")
     upto_end = order.rangeBetween(W.unboundedPreceding, window_ms)
     before_start = order.rangeBetween(W.unboundedPreceding, -window_ms - 1)

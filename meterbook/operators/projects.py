@@ -20,7 +20,7 @@ from meterbook.functions.labels import (
     worktree_suffix,
 )
 from meterbook.operators.keyed import keyed_join
-from meterbook.session import stage
+from meterbook.session import stage, stage_table
 
 
 def worktree_parents(bases: DataFrame, by: Sequence[str] = (), project: str = "project", order: str = "ord") -> DataFrame:
@@ -142,7 +142,8 @@ def resolve_projects(items: DataFrame, aliases: DataFrame | None = None, by: Seq
     cleaned = items.withColumns(
         {"raw_project": clean_dimension("project"), "fingerprint": clean_dimension("fingerprint")}
     )
-    labels = device_project_labels(items, aliases, by)
+    # labels are few: staged, their size is known and the items need not be shuffled to meet them
+    labels = stage_table(device_project_labels(items, aliases, by))
     joined = keyed_join(cleaned, labels, [*by, "device", "raw_project", "fingerprint"])
     return joined.withColumns({"project": F.col("label"), "project_rank": F.col("rank")}).drop("label", "rank")
 

@@ -16,7 +16,7 @@ from meterbook.operators.keyed import keyed_join, summarise
 from meterbook.operators.projects import resolve_projects
 from meterbook.operators.quality import core_conflicts, device_checks, event_checks, key_text, row_checks, unique_ids
 from meterbook.plans.ledger import localised
-from meterbook.session import stage
+from meterbook.session import stage, stage_table
 from meterbook.sources.devices import ledger_head_checks
 
 
@@ -49,9 +49,10 @@ def merge_events(events: DataFrame, aliases: DataFrame | None = None, by: Sequen
     apart in ``events``; a result with any of them is not reliable.
     """
     resolved = resolve_projects(with_provenance(events), aliases, by)
-    # the distinct events are read three times below
-    distinct = stage(dedup.exact_dedup(resolved, by))
-    matches = dedup.near_time_matches(distinct, by)
+    # the distinct events are read three times below, each time a part of their columns
+    distinct = stage_table(dedup.exact_dedup(resolved, by))
+    # and the matches by each join, the audit and the checks
+    matches = stage_table(dedup.near_time_matches(distinct, by))
     merged = dedup.merge_pairs(distinct, dedup.mutual_pairs(matches, by), by)
     return MergedEvents(events, distinct, matches, merged)
 

@@ -179,3 +179,40 @@ def test_merge_keeps_accounts_apart(spark):
     rows = events(spark, [event("e"), event("f", 500, INC)]).crossJoin(spark.createDataFrame([("x",), ("y",)], "account string"))
     out = merge.merge_events(rows, by=["account"]).events.select("account", "event_id", "sources").collect()
     assert sorted((r.account, r.event_id) for r in out) == [("x", "e"), ("y", "e")]
+
+
+def test_blocks_of_any_length_give_the_same_matches(spark, monkeypatch):
+    """Times at the ends of blocks, whose neighbours lie in the next one."""
+    rng = random.Random(9)
+    ends = [b * 10_000 * n for n in (1, 3, 32) for b in (0, 1, 2, 5)]
+    rows = [event(f"e{i}", rng.choice(ends) + rng.choice([-10_001, -10_000, -1500, -1, 0, 1, 1500, 9_999, 10_000]), rng.choice([BASE, INC])) for i in range(120)]
+    want = brute(events(spark, rows).collect())
+    for windows in (1, 3, 32):
+        monkeypatch.setattr(dedup, "BLOCK_WINDOWS", windows)
+        assert statuses(spark, rows) == want
+
+
+def test_points_travel_to_more_than_one_block_only_near_its_ends(spark):
+    """Of points spread over time few are in two blocks; each was in three."""
+    spread = spark.range(20_000).select(
+        F.concat(F.lit("e"), F.col("id").cast("string")).alias("event_id"), F.timestamp_millis(F.col("id") * 997).cast("timestamp_ntz").alias("ts"), F.lit("s").alias("session"),
+        F.lit("m").alias("model"), F.lit(BASE).alias("source"), *[F.lit(1).cast("bigint").alias(c) for c in dedup.COMPONENTS],
+    )
+    plan = dedup.near_time_matches(spread)._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(sequence(" in plan
+    windows = dedup.fixed.CANDIDATE_WINDOW_MS
+    length = dedup.BLOCK_WINDOWS * windows
+    assert sum((ms + windows) // length - (ms - windows) // length + 1 for ms in range(0, 20_000 * 997, 997)) < 1.2 * 20_000
+
+
+def test_items_are_not_shuffled_to_meet_their_labels(spark):
+    from meterbook.operators.projects import resolve_projects
+
+    plan = resolve_projects(events(spark, [event("a"), event("b", 10)]))._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_shared_tables_of_a_merge_are_compressed_files(spark):
+    merged = merge.merge_events(events(spark, [event("b"), event("i", 900, INC)]))
+    assert all(f.endswith(".parquet") for df in (merged.distinct, merged.matches) for f in df.inputFiles())
+    assert merged.distinct.inputFiles() and merged.matches.inputFiles() and merged.events.count() == 1
