@@ -323,20 +323,22 @@ def _common_shingles(keyed: DataFrame, size: int) -> np.ndarray:
 
 
 def _prefixes(keyed: DataFrame, size: int) -> DataFrame:
-    """Written rows (row, digest of the set, its size, prefix)."""
+    """Written rows (row, digest of the set, its size, prefix, SimHash fingerprint)."""
     spark = keyed.sparkSession
     shared = spark.sparkContext.broadcast(_common_shingles(keyed, size))  # at most COMMON_SHINGLES longs
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t, size) for t in texts_of(batch)]
+            texts = texts_of(batch)
+            sets = [shingle_set(t, size) for t in texts]
+            bits = pa.array(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
             digests = pa.array([xxhash.xxh3_128_digest(s.tobytes(), SEED) for s in sets], pa.binary())
             sizes, prefixes = pa.array(list(map(len, sets)), pa.int32()), [prefix_of(s, shared.value) for s in sets]
             ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes or [np.empty(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), digests, sizes, lists], ["row", "digest", "size", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), digests, sizes, lists, bits], ["row", "digest", "size", "prefix", "bits"])
 
-    return written(map_batches(keyed.select("row", "text"), work, "row bigint, digest binary, size int, prefix array<bigint>"), "prefixes")
+    return written(map_batches(keyed.select("row", "text"), work, "row bigint, digest binary, size int, prefix array<bigint>, bits bigint"), "prefixes")
 
 
 def _sets(keyed: DataFrame, rows: DataFrame, size: int) -> DataFrame:
@@ -458,11 +460,26 @@ def _shared(tokens: DataFrame, passes: int = 1) -> DataFrame:
     return found
 
 
-def near_copy_links(keyed: DataFrame, tokens: DataFrame, size: int, dense: int, block: int) -> DataFrame:
-    """Pairs (a, b) of rows that connect all rows (row, size, token of the prefix) whose shingles are near.
+def fingerprint_pairs(prints: DataFrame) -> DataFrame:
+    """Written pairs (a, b) of the rows (row, bits) that SimHash links: the first rows of linked fingerprints, and each other row with the first of its own."""
+    nodes = written(prints.groupBy("bits").agg(F.min("row").alias("first")), "prints")
+    same = prints.join(nodes, "bits").where(F.col("row") != F.col("first")).select(F.col("first").alias("a"), F.col("row").alias("b"))
+    found = links(nodes.select("bits"))
+    for side in ("a", "b"):
+        found = found.join(nodes.select(F.col("bits").alias(side), F.col("first").alias(f"first_{side}")), side)
+    met = found.select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b"))
+    pairs = written(same.unionByName(met).distinct(), "fingerprint-pairs")
+    drop_written(nodes)
+    return pairs
+
 
-    Near sets share shingles of their prefixes, so every such pair meets in
-    cells.  Cells of up to ``dense`` texts list their pairs.  A fuller one
+def near_copy_links(keyed: DataFrame, tokens: DataFrame, prints: DataFrame, size: int, dense: int, block: int) -> DataFrame:
+    """Pairs (a, b) of rows that connect all rows (row, size, token of the prefix; row, bits) whose shingles are near.
+
+    Rows that SimHash links are compared first, and those that are near form
+    groups.  What SimHash leaves apart is found by prefixes: near sets share
+    shingles of them, so every such pair meets in cells.  Cells of up to
+    ``dense`` texts list their pairs of different groups.  A fuller one
     compares each text with a few of its texts, and then exactly those that are
     still in different groups, in blocks that return spanning links only.
     """
@@ -476,16 +493,21 @@ def near_copy_links(keyed: DataFrame, tokens: DataFrame, size: int, dense: int,
         shared = fewer
     sets = _sets(keyed, shared.select("row").distinct(), size)
     release(spark)
+    pairs = fingerprint_pairs(prints)
+    links = _verified(pairs, sets, "fingerprint-links")
+    drop_written(pairs)
+    release(spark)
     full = shared.groupBy("row").agg(F.count(F.when(F.col("n") > dense, 1)).alias("full"))
+    full = full.join(_groups(links), "row", "left").withColumn("group", F.coalesce("group", "row"))
     listed = written(shared.where(F.col("n") <= dense).join(full, "row"), "listed")
     a, b = listed.alias("a"), listed.alias("b")
     alike = NEAR_WHOLE * F.least("a.size", "b.size") >= NEAR_PART * F.greatest("a.size", "b.size")
-    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.row") < F.col("b.row")) & alike)
+    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.row") < F.col("b.row")) & (F.col("a.group") != F.col("b.group")) & alike)
     # what they share in full cells is not listed, and is counted as much as it can be
     lacks = F.least(*[_least_shared(F.col(f"{x}.size")) for x in "ab"]) - F.least("a.full", "b.full")
     usual = pairs.select(F.col("a.row").alias("a"), F.col("b.row").alias("b"), lacks.alias("least"))
     usual = usual.groupBy("a", "b", "least").agg(F.count("*").alias("c")).where("c >= least")
-    links = _verified(usual, sets, "near")
+    links = links.unionByName(_verified(usual, sets, "near"))
     drop_written(listed)
     release(spark)
     cells = shared.where(F.col("n") > dense)
@@ -515,7 +537,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
              block: int = BLOCK_SHINGLES) -> DataFrame:
     """One row of each group of near copies, that of the smallest id (null ids last), with the columns of ``docs``; repeated rows are one group.
 
-    Two texts are linked if the Jaccard similarity of their ``size``-word shingles is at least 4 / 5.
+    Two texts are linked if the Jaccard similarity of their ``size``-word shingles is at least 4 / 5.  SimHash links are taken first and
+    compared exactly; prefixes then find the near copies whose fingerprints differ in more bits.
     """
     own = F.col(f"`{id_col}`")
     key = F.struct(own.isNull().alias("gone"), own.alias("id"), F.monotonically_increasing_id().alias("row"))
@@ -524,8 +547,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     prefixes = _prefixes(keyed, size)
     first = prefixes.select("row", "digest").join(keyed.select("row", "key"), "row").groupBy("digest").agg(F.min("key").alias("least"))
     first = written(first.select(F.col("least.row").alias("bits"), "least"), "first")
-    tokens = prefixes.join(first.select(F.col("bits").alias("row")), "row", "left_semi").select("row", "size", F.explode("prefix").alias("token"))
-    found = near_copy_links(keyed, tokens, size, dense, block)
+    own = prefixes.join(first.select(F.col("bits").alias("row")), "row", "left_semi")
+    tokens = own.select("row", "size", F.explode("prefix").alias("token"))
+    found = near_copy_links(keyed, tokens, own.select("row", "bits"), size, dense, block)
     narrow = written(prefixes.select("row"), "rows")
     drop_written(prefixes)
     release(docs.sparkSession)

@@ -152,6 +152,39 @@ def test_groups_have_a_similarity_of_at_least_four_fifths(spark):
     assert sorted(r.doc_id for r in op.keep_one(docs, dense=2, block=500).collect()) == want
 
 
+def test_simhash_links_come_first(spark, monkeypatch):
+    """Pairs of fingerprints within three bits are compared first; prefixes look for links between what is still apart only."""
+    rng, rows = random.Random(8), []
+    for _ in range(20):
+        base = [rng.choice(WORDS) for _ in range(900)]
+        rows += [" ".join(base), " ".join([*base[:300], "x", *base[301:]]), " ".join([*base[:300], "y", *base[301:]])]
+        rows.append(" ".join(edited(rng, base, 9)))
+    rows = list(enumerate(rows))
+    linked, verified = [], {}
+    links, check = op.links, op._verified
+
+    def spy_links(nodes, *more, **named):
+        linked.append({r.bits for r in nodes.collect()})
+        return links(nodes, *more, **named)
+
+    def spy_check(pairs, sets, name):
+        asked, done = {(r.a, r.b) for r in pairs.select("a", "b").collect()}, check(pairs, sets, name)
+        verified[name] = asked, {(r.a, r.b) for r in done.collect()}
+        return done
+
+    monkeypatch.setattr(op, "links", spy_links)
+    monkeypatch.setattr(op, "_verified", spy_check)
+    kept = sorted(r.doc_id for r in op.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert kept == sorted(map(min, near_slow(rows)))
+    prints = np.array([slow_print(t) for _, t in rows], np.uint64)
+    assert linked == [set(prints.view(np.int64).tolist())]
+    assert next(iter(verified)) == "fingerprint-links"
+    asked, first = verified["fingerprint-links"]
+    near = {(a, b) for a in range(len(rows)) for b in range(a + 1, len(rows)) if (int(prints[a]) ^ int(prints[b])).bit_count() <= 3}
+    assert 0 < len(asked) <= len(near) and first
+    assert not verified["near"][0] & first
+
+
 def test_blocks_connect_what_is_near():
     rng = random.Random(4)
     base = rng.sample(range(10_000), 60)
