@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from meterbook.session import scratch_path
 
@@ -40,7 +41,7 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [t or b"" for t in column.to_pylist()]
 
 
-def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     prepare(df.sparkSession)
     return df.mapInArrow(work, schema)
 
@@ -88,6 +89,19 @@ def in_bitmap(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
     return bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 > 0
 
 
+def having(df: DataFrame, key: str, wanted: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows of ``df`` with a wanted key (one column), and perhaps some others: a filter before wide rows are shuffled for a join."""
+    names = df.columns
+    held = df.sparkSession.sparkContext.broadcast(bitmap_of(wanted.select(F.xxhash64(wanted.columns[0]).alias("h")), bits))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = in_bitmap(held.value, batch.column(len(names)).to_numpy())
+            yield batch.select(names).filter(pa.array(keep))
+
+    return map_batches(df.select("*", F.xxhash64(key).alias("__h")), work, df.schema)
+
+
 def words(text: Column) -> Column:
     """Array of words ``[^\\x20\\x09-\\x0D]+``; null and empty texts give an empty array."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")

@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterbook.llm.common import ASCII_LOWER, FILTER_BITS, bitmap_of, drop_written, in_bitmap, map_batches, release, split_words, texts_of, written
+from meterbook.llm.common import ASCII_LOWER, FILTER_BITS, bitmap_of, drop_written, having, in_bitmap, map_batches, release, split_words, texts_of, written
 from meterbook.llm.simhash_dedup import components
 
 SEED = 42
@@ -240,7 +240,8 @@ def _shared(left: np.ndarray, right: np.ndarray) -> int:
 
 def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     """Rows (a, b) of the pairs that are linked: overlaps are counted by fragment and summed."""
-    both = pairs
+    both = pairs = written(pairs, "pairs")
+    segments = having(segments, "class", pairs.select(F.explode(F.array("a", "b")).alias("class")))
     for side in ("a", "b"):
         own = segments.select(F.col("class").alias(side), F.col("fragment").alias(f"f_{side}"), F.col("n").alias(f"n_{side}"), F.col("grams").alias(f"g_{side}"))
         same = [side] if side == "a" else (F.col("b") == F.col("b2")) & (F.col("f_a") == F.col("f_b"))
@@ -314,7 +315,7 @@ def _block_links(apart: DataFrame, segments: DataFrame, block: int) -> DataFrame
         return placed.select("digest", "i", "j", "class", "group", F.lit(probe).alias("probe"))
 
     both = deal(dealt, "is", "js", False).unionByName(deal(dealt.where(outside), "js", "is", True))
-    whole = segments.groupBy("class").agg(F.sort_array(F.collect_list(F.struct("fragment", "grams"))).alias("cut"))  # FRAGMENTS a class
+    whole = having(segments, "class", apart.select("class")).groupBy("class").agg(F.sort_array(F.collect_list(F.struct("fragment", "grams"))).alias("cut"))  # FRAGMENTS a class
 
     def work(part: pd.DataFrame) -> pd.DataFrame:
         sides = [part[part["probe"] == probe] for probe in (False, True)]

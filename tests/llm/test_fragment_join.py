@@ -131,3 +131,27 @@ def test_empty_tables(spark):
 def test_whole_table(spark):
     docs = table(spark, FOLDER, "documents")
     assert got(op.jaccard_groups(docs)) == slow([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_only_sets_of_pairs_travel(spark, monkeypatch):
+    """Segments are filtered by the classes of a round's pairs before they are joined; none that is wanted is lost."""
+    rng = random.Random(31)
+    names = [f"v{i}" for i in range(5000)]
+    rows = []
+    for i in range(60):
+        base = [rng.choice(names) for _ in range(120)]
+        rows += [(3 * i, " ".join(base)), (3 * i + 1, " ".join([*base, "a"])), (3 * i + 2, " ".join([*base[:60], "b", *base[61:]]))]
+    seen, filtered = [], op.having
+
+    def spy(df, key, wanted, *more):
+        out = filtered(df, key, wanted, *more)
+        want = {r[0] for r in wanted.collect()}
+        before, after = ([r[0] for r in d.select(key).collect()] for d in (df, out))
+        assert sorted(k for k in before if k in want) == sorted(k for k in after if k in want)
+        seen.append((len(want), len(set(before)), len(set(after))))
+        return out
+
+    monkeypatch.setattr(op, "having", spy)
+    groups = {r.doc_id: r.component_id for r in op.jaccard_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert groups == {i: i - i % 3 for i in range(180)}
+    assert len(seen) == 3 and all(after <= want + 2 for want, _, after in seen) and seen[-1][2] < seen[-1][1]
