@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterbook.llm.common import ASCII_LOWER, bitmap_of, drop_written, in_bitmap, map_batches, release, split_words, texts_of, written
+from meterbook.llm.common import ASCII_LOWER, bitmap_of, drop_written, having, in_bitmap, map_batches, release, split_words, texts_of, written
 
 SEED = 42
 MAX_BITS = 3
@@ -357,7 +357,9 @@ def _sets(keyed: DataFrame, rows: DataFrame, size: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
     """The written pairs (a, b) whose sets are near."""
-    both = pairs.select("a", "b").distinct()
+    asked = written(pairs.select("a", "b").distinct(), f"{name}-asked")
+    sets = having(sets, "row", asked.select(F.explode(F.array("a", "b")).alias("row")))
+    both = asked
     for side in ("a", "b"):
         both = both.join(sets.select(F.col("row").alias(side), F.col("shingles").alias(f"of_{side}")), side)
 
@@ -367,7 +369,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
             keep = [bool(near(len(np.intersect1d(x, y, True)), len(x), len(y))) for x, y in zip(left, right, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in (0, 1)], ["a", "b"])
 
-    return written(map_batches(both.select("a", "b", "of_a", "of_b"), work, "a bigint, b bigint"), name)
+    found = written(map_batches(both.select("a", "b", "of_a", "of_b"), work, "a bigint, b bigint"), name)
+    drop_written(asked)
+    release(found.sparkSession)
+    return found
 
 
 def near_links(left: list[np.ndarray], right: list[np.ndarray], left_groups: np.ndarray, right_groups: np.ndarray) -> list[tuple[int, int]]:
@@ -417,7 +422,7 @@ def _block_links(apart: DataFrame, sets: DataFrame, block: int) -> DataFrame:
         placed = rows.withColumn(mine, F.pmod(F.xxhash64("row"), F.col(own)).cast("int")).withColumn(their, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
         return placed.select("token", "i", "j", "row", "group", F.lit(probe).alias("probe"))
 
-    both = deal(dealt, "is", "js", False).unionByName(deal(dealt.where(outside), "js", "is", True)).join(sets, "row")
+    both = deal(dealt, "is", "js", False).unionByName(deal(dealt.where(outside), "js", "is", True)).join(having(sets, "row", apart.select("row")), "row")
 
     def work(part: pd.DataFrame) -> pd.DataFrame:
         sides = [part[part["probe"] == probe] for probe in (False, True)]
@@ -547,12 +552,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     prefixes = _prefixes(keyed, size)
     first = prefixes.select("row", "digest").join(keyed.select("row", "key"), "row").groupBy("digest").agg(F.min("key").alias("least"))
     first = written(first.select(F.col("least.row").alias("bits"), "least"), "first")
-    own = prefixes.join(first.select(F.col("bits").alias("row")), "row", "left_semi")
-    tokens = own.select("row", "size", F.explode("prefix").alias("token"))
-    found = near_copy_links(keyed, tokens, own.select("row", "bits"), size, dense, block)
     narrow = written(prefixes.select("row"), "rows")
+    # written once: each pass over the shingles reads it, and none joins again
+    own = written(prefixes.join(first.select(F.col("bits").alias("row")), "row", "left_semi").select("row", "size", "prefix", "bits"), "first-prefixes")
     drop_written(prefixes)
     release(docs.sparkSession)
+    tokens = own.select("row", "size", F.explode("prefix").alias("token"))
+    found = near_copy_links(keyed, tokens, own.select("row", "bits"), size, dense, block)
+    drop_written(own)
+    release(docs.sparkSession)
     groups = components(first, found)
     near_copies = groups.where(F.col("bits") != F.col("component.row")).select(F.col("bits").alias("__row"))
     copies = narrow.select(F.col("row").alias("__row")).join(first.select(F.col("bits").alias("__row")), "__row", "left_anti")

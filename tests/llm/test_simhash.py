@@ -185,6 +185,21 @@ def test_simhash_links_come_first(spark, monkeypatch):
     assert not verified["near"][0] & first
 
 
+def test_passes_over_shingles_join_nothing(spark, monkeypatch):
+    """The prefixes of the first rows are written before they are counted, so that no pass shuffles them for a join again."""
+    plans, shared = [], op._shared
+
+    def spy(tokens, *more):
+        plans.append(tokens._jdf.queryExecution().optimizedPlan().toString())
+        return shared(tokens, *more)
+
+    monkeypatch.setattr(op, "_shared", spy)
+    rows = [(i, " ".join(WORDS[i % 9 : i % 9 + 80])) for i in range(20)]
+    kept = sorted(r.doc_id for r in op.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert kept == sorted(map(min, near_slow(rows)))
+    assert "Join" not in plans[0]
+
+
 def test_blocks_connect_what_is_near():
     rng = random.Random(4)
     base = rng.sample(range(10_000), 60)
