@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
 
@@ -43,7 +44,12 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
 
 def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     prepare(df.sparkSession)
-    return df.mapInArrow(work, schema)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        return_memory()
+
+    return df.mapInArrow(task, schema)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -68,6 +74,13 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def return_memory() -> None:
+    """Give the memory that a Python task has freed back to the system (with glibc): Spark keeps its worker, idle, beside the tasks that come next."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def bitmap_of(values: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     """A bitmap of the values (one bigint column, evenly spread) by their low bits; ``bits / 8`` bytes whatever the table holds.
 

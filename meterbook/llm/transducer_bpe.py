@@ -317,6 +317,10 @@ class Encoder:
             if not parts:
                 self.silent.add(piece)
 
+    def forget(self) -> None:
+        """Drop what was remembered; the vocabulary and the lexicon stay for the worker's next task."""
+        self.words, self.ids, self.shown, self.silent = {}, {}, {}, set()
+
     def batch(self, texts: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         """Ids (little-endian 32 bit) and decoded text of each text."""
         cut = [t.split() for t in texts]
@@ -440,6 +444,7 @@ def _encoded(docs: DataFrame, vocabulary_path: str, lexicon: str, id_col: str, t
                 columns = [pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1].decode("utf-8", "replace") for r in rows], pa.string())]
                 names = ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", *names])
+        encoder.forget()
 
     schema = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digests else "ids binary, decoded string"
     return map_batches(own, work, f"id {kind}, {schema}").withColumnRenamed("id", id_col)

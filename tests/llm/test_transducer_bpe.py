@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("public_tokenizers")
@@ -77,3 +78,15 @@ def test_lexicon_is_minimal_and_complete(tmp_path):
 
 def test_empty_table(spark):
     assert op.digest_documents(spark.createDataFrame([], "doc_id bigint, text string"), PATH).collect() == []
+
+
+def test_idle_workers_remember_nothing(spark):
+    docs = spark.createDataFrame(list(enumerate(texts(40))), "doc_id bigint, text string").repartition(8)
+    assert op.digest_documents(docs, PATH).count() == docs.count()
+    op.digest_documents(docs, PATH).collect()
+
+    def held(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(len(e.ids) + len(e.words) for e in op._ENCODERS.values())])], ["held"])
+
+    assert {r.held for r in spark.range(8).repartition(8).mapInArrow(held, "held bigint").collect()} == {0}
