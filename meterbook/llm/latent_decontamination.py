@@ -70,6 +70,7 @@ BLOCK_WORDS = 60
 SEGMENT = 1 << 15
 SEED = 7
 _CHUNK = 1 << 15
+_REGION_WORDS = 1 << 18
 _TERMS = 256
 _ANSWER = re.compile(r"(?is).*\banswer\s*:\s*(.+)\Z")
 _ASCII_DROPPED = bytes(c for c in range(128) if not chr(c).isalnum() and c not in b" \t\n\r\x0b\x0c")
@@ -309,6 +310,25 @@ class Checker:
     def __post_init__(self) -> None:
         self.masks = [places_of(c) for c in self.items.codes]
         self.answer_masks = [places_of(c) for c in self.items.answers]
+        self.least = np.array([int(np.ceil(PARAPHRASE * len(c) - 1e-9)) for c in self.items.codes], np.int64)
+        # a bit for each word and item
+        self.held = np.zeros((len(self.items.vocabulary) + 1, -(-len(self.masks) // 8)), np.uint8)
+        for i, codes in enumerate(self.items.codes):
+            self.held[codes, i >> 3] |= 1 << (i & 7)
+
+    def enough(self, codes: np.ndarray, item: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Which regions (none of them empty) hold as many words of their item as a hit must; about ``_REGION_WORDS`` words at a time."""
+        sizes, out, at = stop - start, np.zeros(len(item), bool), 0
+        ends = np.cumsum(sizes)
+        while at < len(item):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + _REGION_WORDS)))
+            n, own = sizes[at:to], item[at:to]
+            first = np.cumsum(n) - n
+            place = np.arange(n.sum()) + np.repeat(start[at:to] - first, n)
+            hit = self.held[codes[place], np.repeat(own >> 3, n)] >> np.repeat((own & 7).astype(np.uint8), n) & 1
+            out[at:to] = np.add.reduceat(hit, first, dtype=np.int64) >= self.least[own]
+            at = to
+        return out
 
     def check(self, item: int, codes: np.ndarray, start: int, stop: int) -> tuple[float, float, int] | None:
         """(share of the item, share of its answer, first word) of the best stretch that begins in a region, if it is a hit.
@@ -318,7 +338,7 @@ class Checker:
         """
         size, mask, answer_mask = len(self.items.codes[item]), self.masks[item], self.answer_masks[item]
         answer, length = len(self.items.answers[item]), -(-3 * size // 2)
-        best, least = None, int(np.ceil(PARAPHRASE * size - 1e-9))
+        best, least = None, int(self.least[item])
         region = codes[start:stop].tolist()
         own = list(filter(mask.__contains__, region))
         if len(own) < least or common(mask, size, own) < least:
@@ -423,6 +443,7 @@ def regions(pairs: set[tuple[int, int]], owner: np.ndarray, items: Items) -> Ite
 def find(docs: list[np.ndarray], space: Space, targets: np.ndarray, checker: Checker, rare: Rare) -> Iterator[tuple[int, int, float, float, float, int]]:
     """(document, item, cosine, share, answer share, first word) of the best hit of each pair."""
     best: dict[tuple[int, int], tuple] = {}
+    sizes = np.array(list(map(len, checker.items.codes)), np.int64)
     for codes, owner in _chunks(docs, STEP):
         first = np.searchsorted(owner, owner, "left")
         after = np.searchsorted(owner, owner, "right")
@@ -444,12 +465,17 @@ def find(docs: list[np.ndarray], space: Space, targets: np.ndarray, checker: Che
         windows[joined] += steps[joined + 1]
         near = unit(windows) @ targets.T
         pairs.update(map(tuple, np.argwhere(near >= COSINE).tolist()))
-        for item, begin, end in regions(pairs, owner, checker.items):
-            doc, size = int(owner[begin]), len(checker.items.codes[item])
+        found = np.array(list(regions(pairs, owner, checker.items)), np.int64).reshape(-1, 3)
+        size = sizes[found[:, 0]]
+        start = (found[:, 1] - first[found[:, 1]]) * STEP - size
+        stop = start + (found[:, 2] - found[:, 1]) * STEP + WINDOW + 2 * size
+        begins, ends = first[found[:, 1]] * STEP, after[found[:, 1]] * STEP  # of the document
+        kept = checker.enough(codes, found[:, 0], begins + np.maximum(start, 0), np.minimum(begins + stop, ends))
+        for (item, begin, end), low, high in zip(found[kept].tolist(), start[kept].tolist(), stop[kept].tolist(), strict=True):
+            doc = int(owner[begin])
             if best.get((doc, item), (0.0,))[0] == 1.0:  # nothing can be closer
                 continue
-            start = (begin - int(first[begin])) * STEP - size
-            hit = checker.check(item, docs[doc], max(0, start), start + (end - begin) * STEP + WINDOW + 2 * size)
+            hit = checker.check(item, docs[doc], max(0, low), high)
             if hit:
                 cosine = float(near[begin : end + 1, item].max())
                 if (hit[0], cosine) > best.get((doc, item), (0.0, 0.0))[:2]:

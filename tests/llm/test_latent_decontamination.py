@@ -182,3 +182,18 @@ def test_hits_do_not_depend_on_the_latent_space(spark):
     table = spark.createDataFrame(docs, "doc_id bigint, text string")
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     assert {(r.doc_id, r.item_id) for r in op.contaminated(table, bench).collect()} == brute(items, docs)
+
+
+def test_regions_with_too_few_words_are_passed_over(monkeypatch):
+    monkeypatch.setattr(op, "_REGION_WORDS", 50)
+    rng = random.Random(3)
+    vocab = [f"w{i}" for i in range(40)]
+    items = op.Items.of([(i, " ".join(rng.choices(vocab, k=rng.randint(5, 30)))) for i in range(21)])
+    checker = op.Checker(items)
+    codes = np.array([rng.randint(0, len(items.vocabulary)) for _ in range(500)], np.int32)
+    regions = [(rng.randrange(21), at := rng.randrange(490), at + rng.randint(1, 80)) for _ in range(300)]
+    item, start, stop = np.array(regions).T
+    stop = np.minimum(stop, len(codes))
+    want = [sum(c in set(items.codes[i].tolist()) for c in codes[a:b].tolist()) >= 0.6 * len(items.codes[i]) - 1e-9 for i, a, b in zip(item, start, stop)]
+    assert checker.enough(codes, item, start, stop).tolist() == want and 0 < sum(want) < 300
+    assert checker.enough(codes, item[:0], start[:0], stop[:0]).tolist() == []
