@@ -143,7 +143,9 @@ class Words(dict):
         codes = self.codes
         if isinstance(word, int):
             return codes[word]
-        ids = self[word] = b"".join([codes[t.id] for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))])
+        # printable ASCII stands for itself
+        spelt = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
+        ids = self[word] = b"".join([codes[t.id] for t in self.model.tokenize(spelt)])
         return ids
 
 
@@ -168,7 +170,11 @@ class PieceEncoder:
         if len(self.words) > MEMORY:
             self.words.clear()
         new, word, join = list(pieces.difference(known)), self.words.__getitem__, b"".join
-        known.update(zip(new, [join(map(word, parts)) for parts in self.vocabulary.cut(new)], strict=True))
+        plain = list(filter(bytes.isalpha, new))  # letters alone, which are one word
+        if plain:
+            known.update(zip(plain, map(word, b"\n".join(plain).lower().decode().split("\n")), strict=True))
+        rest = [p for p in new if p not in known]
+        known.update(zip(rest, [join(map(word, parts)) for parts in self.vocabulary.cut(rest)], strict=True))
 
     def batch(self, texts: list[bytes]) -> Iterator[bytes]:
         collects = gc.isenabled()

@@ -92,3 +92,13 @@ def test_stretches_cover_a_file(spark, tmp_path, monkeypatch):
 
 def test_empty_table(spark):
     assert op.store_and_read(spark.createDataFrame([], "doc_id bigint, text string"), PATH).collect() == []
+
+
+def test_letters_alone_are_one_word(monkeypatch):
+    encoder, library, cut = op.PieceEncoder(PATH), Tokenizer.from_file(PATH), []
+    whole = encoder.vocabulary.cut
+    monkeypatch.setattr(encoder.vocabulary, "cut", lambda pieces: cut.extend(pieces) or whole(pieces))
+    texts = ["The THE the End ends", "don't Straße İx ﬁn ſ K", "abc1 abc, <|endoftext|> \x7f x\x00y", "", "Zebra zebra!"]
+    for text, ids in zip(texts, encoder.batch([t.encode() for t in texts]), strict=True):
+        assert np.frombuffer(ids, encoder.kind).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert cut and not any(p.isalpha() for p in cut)
