@@ -15,7 +15,11 @@ in at most ``D = (a + b) // 9`` n-grams, and segments serve twice:
   sends its segments under that class too.  A set with too few non-empty
   fragments also sends those of a finer cut, until there are enough.  A long
   common passage is no candidate by itself: a segment mixes n-grams from all over the text.
-* **Overlaps.**  The sets of candidate pairs are cut into ``FRAGMENTS`` segments;
+* **Sketches.**  Hashes fall into about as many buckets as a set has n-grams; a set's sketch is
+  a bit for each bucket, whether it holds an odd number.  Two sets differ in at least as many n-grams as
+  their sketches in bits, so a candidate whose sketches differ in more than ``D`` is no link and its
+  sets, some 30 times as long, stay where they are.
+* **Overlaps.**  The sets of the candidate pairs that are left are cut into ``FRAGMENTS`` segments;
   each fragment counts its overlap on its own, and the counts are summed for
   each pair.  A fragment in which a pair differs by more than ``D`` sends nothing.
 
@@ -60,6 +64,7 @@ CUT = 0.75
 LEAST_PART = 16
 #: Fragments in which overlaps are counted.
 FRAGMENTS = 8
+SKETCH = -1
 #: A cell of up to so many classes lists the pairs that are still apart.
 LISTED = 64
 #: N-grams of one side of a block.
@@ -139,6 +144,33 @@ def segment_digests(hashes: np.ndarray) -> np.ndarray:
     return np.concatenate(found)
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """For each bucket whether it holds an odd number of the hashes; the number of buckets is a power of two, and at least that of the hashes."""
+    buckets = 64 << (max(len(hashes) - 1, 0) // 64).bit_length()
+    odd = np.bincount((hashes & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Sketches (rows of 64-bit words) with fewer buckets: the halves are put together until they have so many words."""
+    while bits.shape[-1] > words:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
+
+
+def may_link(left: list[bytes], right: list[bytes], left_sizes: np.ndarray, right_sizes: np.ndarray) -> np.ndarray:
+    """Whether sets (pairs, place by place) may be linked, by their sketches; True for all that are."""
+    out = np.zeros(len(left), bool)
+    words = np.array([[len(x) // 8, len(y) // 8] for x, y in zip(left, right, strict=True)], np.int64).reshape(-1, 2)
+    for a, b in np.unique(words, axis=0).tolist():
+        at = np.flatnonzero((words[:, 0] == a) & (words[:, 1] == b))
+        sides = [np.frombuffer(b"".join([side[i] for i in at]), np.uint64).reshape(len(at), -1) for side in (left, right)]
+        apart = np.bitwise_count(_folded(sides[0], min(a, b)) ^ _folded(sides[1], min(a, b))).sum(axis=1, dtype=np.int64)
+        out[at] = apart <= (left_sizes[at] + right_sizes[at]) // 9
+    return out
+
+
 def prints(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """Written rows (id, n, class, digests); the class of an empty set is null."""
     own = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
@@ -194,7 +226,7 @@ def _cells(marked: DataFrame, bits: int) -> DataFrame:
 
 
 def _segments(docs: DataFrame, marked: DataFrame, wanted: DataFrame, id_col: str, text_col: str, size: int, bits: int) -> DataFrame:
-    """Written rows (class, fragment, n, grams) of the classes that are wanted (one bigint column)."""
+    """Written rows (class, fragment, n, grams) of the classes that are wanted (one bigint column); the sketch of a class is its fragment ``SKETCH``."""
     spark = docs.sparkSession
     classes = spark.sparkContext.broadcast(bitmap_of(wanted, bits))
     # one document for each class: the others need not be read again
@@ -215,6 +247,7 @@ def _segments(docs: DataFrame, marked: DataFrame, wanted: DataFrame, id_col: str
                 if yes:
                     cuts = np.searchsorted(s, np.arange(1, FRAGMENTS, dtype=np.uint64) * np.uint64((1 << 64) // FRAGMENTS))
                     rows += [(name, i, len(s), part.tobytes()) for i, part in enumerate(np.split(s, cuts))]
+                    rows.append((name, SKETCH, len(s), sketch(s)))
             columns = list(zip(*rows, strict=True)) or [[]] * 4
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["class", "fragment", "n", "grams"])
@@ -238,10 +271,25 @@ def _shared(left: np.ndarray, right: np.ndarray) -> int:
     return int((left[np.minimum(at, len(left) - 1)] == right).sum())
 
 
-def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
+def _by_sketch(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs whose sketches allow a link."""
+    both = pairs
+    for side in ("a", "b"):
+        both = both.join(sketches.select(F.col("class").alias(side), F.col("n").alias(f"n_{side}"), F.col("grams").alias(f"s_{side}")), side)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right, own, other = (batch.column(c) for c in range(2, 6))
+            keep = may_link(left.to_pylist(), right.to_pylist(), own.to_numpy(), other.to_numpy())
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return map_batches(both.select("a", "b", "s_a", "s_b", "n_a", "n_b"), work, "a bigint, b bigint")
+
+
+def overlaps(pairs: DataFrame, segments: DataFrame, sketches: DataFrame) -> DataFrame:
     """Rows (a, b) of the pairs that are linked: overlaps are counted by fragment and summed."""
-    both = pairs = written(pairs, "pairs")
-    segments = having(segments, "class", pairs.select(F.explode(F.array("a", "b")).alias("class")))
+    both = pairs = written(_by_sketch(pairs, sketches), "pairs")
+    segments = having(segments.where(F.col("fragment") != SKETCH), "class", pairs.select(F.explode(F.array("a", "b")).alias("class")))
     for side in ("a", "b"):
         own = segments.select(F.col("class").alias(side), F.col("fragment").alias(f"f_{side}"), F.col("n").alias(f"n_{side}"), F.col("grams").alias(f"g_{side}"))
         same = [side] if side == "a" else (F.col("b") == F.col("b2")) & (F.col("f_a") == F.col("f_b"))
@@ -298,7 +346,31 @@ def _listed(apart: DataFrame, listed: int) -> DataFrame:
     return met.where("c >= lacks").select("a", "b")
 
 
-def _block_links(apart: DataFrame, segments: DataFrame, block: int) -> DataFrame:
+def _with_partners(both: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Written rows of the blocks whose class may be linked, by its sketch, with one of another group on the other side of its block."""
+
+    def work(part: pd.DataFrame) -> pd.DataFrame:
+        probe = part["probe"].to_numpy(bool)
+        groups, sizes, keep = part["group"].to_numpy(np.int64), part["n"].to_numpy(np.int64), np.zeros(len(part), bool)
+        words = part["grams"].str.len().to_numpy(np.int64) // 8
+        # sketches of one length are rows of one table
+        tables = [(at, np.frombuffer(b"".join(part["grams"].iloc[at]), np.uint64).reshape(len(at), -1)) for w in np.unique(words[~probe]) for at in [np.flatnonzero(~probe & (words == w))]]
+        for j in np.flatnonzero(probe).tolist():
+            own = np.frombuffer(part["grams"].iat[j], np.uint64)
+            for at, bits in tables:
+                common = min(len(own), bits.shape[1])
+                apart = np.bitwise_count(_folded(bits, common) ^ _folded(own, common)).sum(axis=1, dtype=np.int64)
+                met = at[(apart <= (sizes[at] + sizes[j]) // 9) & (groups[at] != groups[j])]
+                keep[met] = True
+                keep[j] |= len(met) > 0
+        return part.loc[keep, ["digest", "i", "j", "class", "group", "probe"]]
+
+    drawn = both.join(sketches.select("class", "n", "grams"), "class")
+    kept = drawn.groupBy("digest", "i", "j").applyInPandas(work, both.select("digest", "i", "j", "class", "group", "probe").schema)
+    return written(kept, "partners")
+
+
+def _block_links(apart: DataFrame, segments: DataFrame, sketches: DataFrame, block: int) -> DataFrame:
     """Links between the groups of fuller cells: the classes outside the main group against all, block by block.
 
     A block counts overlaps fragment by fragment, like ``overlaps``, and returns links of groups it has not connected yet.
@@ -315,7 +387,8 @@ def _block_links(apart: DataFrame, segments: DataFrame, block: int) -> DataFrame
         return placed.select("digest", "i", "j", "class", "group", F.lit(probe).alias("probe"))
 
     both = deal(dealt, "is", "js", False).unionByName(deal(dealt.where(outside), "js", "is", True))
-    whole = having(segments, "class", apart.select("class")).groupBy("class").agg(F.sort_array(F.collect_list(F.struct("fragment", "grams"))).alias("cut"))  # FRAGMENTS a class
+    both = _with_partners(both, sketches)
+    whole = having(segments.where(F.col("fragment") != SKETCH), "class", both.select("class")).groupBy("class").agg(F.sort_array(F.collect_list(F.struct("fragment", "grams"))).alias("cut"))  # FRAGMENTS a class
 
     def work(part: pd.DataFrame) -> pd.DataFrame:
         sides = [part[part["probe"] == probe] for probe in (False, True)]
@@ -367,20 +440,21 @@ def links(docs: DataFrame, marked: DataFrame, id_col: str, text_col: str, size:
     segments = _segments(docs, marked, cells.select("class").distinct(), id_col, text_col, size, bits)
     drop_written(marked)
     release(spark)
-    found = written(overlaps(_star(cells, "low"), segments), "star-low")
+    sketches = written(segments.where(F.col("fragment") == SKETCH).select("class", "n", "grams"), "sketches")
+    found = written(overlaps(_star(cells, "low"), segments, sketches), "star-low")
     release(spark)
     apart = _apart(cells, found)
-    found = found.unionByName(written(overlaps(_star(apart, "top"), segments), "star-top"))
+    found = found.unionByName(written(overlaps(_star(apart, "top"), segments, sketches), "star-top"))
     release(spark)
     left = _apart(apart.select(*cells.columns), found)
     drop_written(apart)
     release(spark)
-    found = found.unionByName(written(overlaps(_listed(left, listed), segments), "listed"))
+    found = found.unionByName(written(overlaps(_listed(left, listed), segments, sketches), "listed"))
     release(spark)
     full = left.where(F.col("filled") > listed)
     if not full.isEmpty():
-        found = found.unionByName(_block_links(full, segments, block))
-    for table in (left, cells, segments):
+        found = found.unionByName(_block_links(full, segments, sketches, block))
+    for table in (left, cells, segments, sketches):
         drop_written(table)
     release(spark)
     return found

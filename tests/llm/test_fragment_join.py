@@ -155,3 +155,22 @@ def test_only_sets_of_pairs_travel(spark, monkeypatch):
     groups = {r.doc_id: r.component_id for r in op.jaccard_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert groups == {i: i - i % 3 for i in range(180)}
     assert len(seen) == 3 and all(after <= want + 2 for want, _, after in seen) and seen[-1][2] < seen[-1][1]
+
+
+def test_sketches_part_what_is_not_linked():
+    rng = np.random.default_rng(5)
+    left, right, linked = [], [], []
+    for n in [1, 2, 9, 63, 64, 65, 127, 200, 129, 700, 3000] * 12:
+        base = rng.integers(0, 2**64, n, np.uint64)
+        gone = int(rng.integers(0, max(2, n // 4)))
+        other = np.concatenate([base[gone:], rng.integers(0, 2**64, int(rng.integers(0, max(2, n // 8))), np.uint64)])
+        left.append(np.unique(base))
+        right.append(np.unique(other) if len(other) else np.unique(base))
+        linked.append(op.linked(len(np.intersect1d(left[-1], right[-1])), len(left[-1]), len(right[-1])))
+    sizes = [np.array(list(map(len, side))) for side in (left, right)]
+    drawn = [list(map(op.sketch, side)) for side in (left, right)]
+    kept = op.may_link(*drawn, *sizes)
+    linked = np.array(linked, bool)
+    assert linked.sum() > 30 and kept[linked].all()
+    far = op.may_link(drawn[0], drawn[0][11:] + drawn[0][:11], sizes[0], sizes[0])
+    assert not far[sizes[0] > 9].any()
