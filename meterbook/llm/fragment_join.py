@@ -346,31 +346,7 @@ def _listed(apart: DataFrame, listed: int) -> DataFrame:
     return met.where("c >= lacks").select("a", "b")
 
 
-def _with_partners(both: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Written rows of the blocks whose class may be linked, by its sketch, with one of another group on the other side of its block."""
-
-    def work(part: pd.DataFrame) -> pd.DataFrame:
-        probe = part["probe"].to_numpy(bool)
-        groups, sizes, keep = part["group"].to_numpy(np.int64), part["n"].to_numpy(np.int64), np.zeros(len(part), bool)
-        words = part["grams"].str.len().to_numpy(np.int64) // 8
-        # sketches of one length are rows of one table
-        tables = [(at, np.frombuffer(b"".join(part["grams"].iloc[at]), np.uint64).reshape(len(at), -1)) for w in np.unique(words[~probe]) for at in [np.flatnonzero(~probe & (words == w))]]
-        for j in np.flatnonzero(probe).tolist():
-            own = np.frombuffer(part["grams"].iat[j], np.uint64)
-            for at, bits in tables:
-                common = min(len(own), bits.shape[1])
-                apart = np.bitwise_count(_folded(bits, common) ^ _folded(own, common)).sum(axis=1, dtype=np.int64)
-                met = at[(apart <= (sizes[at] + sizes[j]) // 9) & (groups[at] != groups[j])]
-                keep[met] = True
-                keep[j] |= len(met) > 0
-        return part.loc[keep, ["digest", "i", "j", "class", "group", "probe"]]
-
-    drawn = both.join(sketches.select("class", "n", "grams"), "class")
-    kept = drawn.groupBy("digest", "i", "j").applyInPandas(work, both.select("digest", "i", "j", "class", "group", "probe").schema)
-    return written(kept, "partners")
-
-
-def _block_links(apart: DataFrame, segments: DataFrame, sketches: DataFrame, block: int) -> DataFrame:
+def _block_links(apart: DataFrame, segments: DataFrame, block: int) -> DataFrame:
     """Links between the groups of fuller cells: the classes outside the main group against all, block by block.
 
     A block counts overlaps fragment by fragment, like ``overlaps``, and returns links of groups it has not connected yet.
@@ -387,8 +363,7 @@ def _block_links(apart: DataFrame, segments: DataFrame, sketches: DataFrame, blo
         return placed.select("digest", "i", "j", "class", "group", F.lit(probe).alias("probe"))
 
     both = deal(dealt, "is", "js", False).unionByName(deal(dealt.where(outside), "js", "is", True))
-    both = _with_partners(both, sketches)
-    whole = having(segments.where(F.col("fragment") != SKETCH), "class", both.select("class")).groupBy("class").agg(F.sort_array(F.collect_list(F.struct("fragment", "grams"))).alias("cut"))  # FRAGMENTS a class
+    whole = having(segments.where(F.col("fragment") != SKETCH), "class", apart.select("class")).groupBy("class").agg(F.sort_array(F.collect_list(F.struct("fragment", "grams"))).alias("cut"))  # FRAGMENTS a class
 
     def work(part: pd.DataFrame) -> pd.DataFrame:
         sides = [part[part["probe"] == probe] for probe in (False, True)]
@@ -453,7 +428,7 @@ def links(docs: DataFrame, marked: DataFrame, id_col: str, text_col: str, size:
     release(spark)
     full = left.where(F.col("filled") > listed)
     if not full.isEmpty():
-        found = found.unionByName(_block_links(full, segments, sketches, block))
+        found = found.unionByName(_block_links(full, segments, block))
     for table in (left, cells, segments, sketches):
         drop_written(table)
     release(spark)
