@@ -75,7 +75,8 @@ def release(spark: SparkSession) -> None:
 
 
 def return_memory() -> None:
-    """Give the memory that a Python task has freed back to the system (with glibc): Spark keeps its worker, idle, beside the tasks that come next."""
+    """Give the memory that a Python task has freed back to the system (Arrow's, and with glibc the rest): Spark keeps its worker, idle, beside the tasks that come next."""
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)

@@ -9,7 +9,9 @@ are merged exactly, rank by rank; many words are merged side by side.
 
 A text is cut at ASCII white space, which no token crosses.  Pieces of ASCII
 and Latin-1 letters are lower-cased and cut here; all others go through the
-normaliser and cutter of the tokenizer file itself.
+normaliser and cutter of the tokenizer file itself.  Some texts go at once:
+each of their different pieces is cut once, and each different word looked up
+or merged once, as columns; nothing is remembered from one lot to the next.
 
 Defined results: null and empty texts have no tokens and decode to an empty
 text; texts of any length are encoded whole; strings of special tokens in a
@@ -24,25 +26,36 @@ import hashlib
 import json
 import re
 import uuid
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterbook.llm.common import map_batches, texts_of, written
+from meterbook.llm.common import BATCH_ROWS, map_batches, written
 from meterbook.session import shared_dir
 
 #: The lexicon holds at most so many words (a few MB); it changes the speed only.
 LEXICON_WORDS = 65_536
 MIN_COUNT = 2
-#: Encoded pieces, and words, a task remembers before it starts anew.
+#: Pieces and words that an encoder of ``elias_fano`` remembers before it starts anew.
 MEMORY = 350_000
+#: Bytes of the texts that go at once (one batch at least), and words merged side by side.
+LOT_BYTES = 2 << 20
+MERGED_WORDS = 1 << 14
 _SIMPLE = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 _PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zßà-öø-ÿ]+|[0-9]|[^a-zßà-öø-ÿ0-9]+")
+#: Kind of each byte of a piece that is cut without patterns: 1 letter, 2 digit, 3 other, 0 none of these; bytes from 128 on follow 0xC3 (Latin-1 letters).
+_KINDS = np.zeros(256, np.uint8)
+_KINDS[33:127] = 3
+_KINDS[[*range(65, 91), *range(97, 123), 0xC3, *(b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7))]] = 1
+_KINDS[48:58] = 2
+_KINDS[ord("'")] = 0
+#: First byte of what stands for a special token among the words; no word begins with it.
+_SPECIAL = 0xFF
 _MAGIC = b"MBLEX001"
 _ARRAYS = (("keys", np.uint64), ("targets", np.uint32), ("outputs", np.uint32), ("finals", np.uint8), ("offsets", np.uint32), ("ids", np.uint32))
 
@@ -54,6 +67,38 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column of texts or bytes without nulls, and where its values begin (and the last one ends)."""
+    if not len(column):
+        return np.empty(0, np.uint8), np.zeros(1, np.int64)
+    large = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    _, offsets, data = column.buffers()
+    bounds = np.frombuffer(offsets, np.int64 if large else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(data or b"", np.uint8)[bounds[0] : bounds[-1]], bounds - bounds[0]
+
+
+def _column(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The column that ``_flat`` takes apart; ``bounds`` are in bytes."""
+    buffers = [None, pa.py_buffer(np.ascontiguousarray(bounds, np.int64)), pa.py_buffer(np.ascontiguousarray(data))]
+    return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, buffers)
+
+
+def _bounds(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+
+
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs of these starts and sizes, one run after the other."""
+    return np.repeat(starts - _bounds(sizes)[:-1], sizes) + np.arange(sizes.sum())
+
+
+def _pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Different pieces of texts, which of them follow each other, and where those of each text begin; some pieces may be empty."""
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    found = lists.values.dictionary_encode()
+    return found.dictionary, found.indices.to_numpy(), lists.offsets.to_numpy()
+
+
 class Vocabulary:
     """Symbols and merges of a tokenizer file, and how a piece of text becomes words."""
 
@@ -70,6 +115,7 @@ class Vocabulary:
         self.names = [b""] * (max(names.values()) + 1)
         for name, i in names.items():
             self.names[i] = name.encode()
+        self.spaced = pa.array([name + b" " for name in self.names], pa.large_binary())
         letters = _byte_letters()
         self.inner = np.array([vocab[c] for c in letters], np.int64)
         self.last = np.array([vocab[c + self.end] for c in letters], np.int64)
@@ -106,35 +152,68 @@ class Vocabulary:
                 out += [bytes(map(self.byte_of.__getitem__, w)).decode() for w, _ in cut if w]
         return out
 
+    def words(self, pieces: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        """Different words of pieces, which of them follow each other, where those of each piece begin, and the place each piece has there.
+
+        A special token is ``_SPECIAL`` and its id.
+        """
+        data, bounds = _flat(pieces)
+        sizes = np.diff(bounds)
+        kinds, lead, tail = _KINDS[data], data == 0xC3, data & 0xC0 == 0x80
+        first = np.zeros(len(data) + 1, bool)
+        first[bounds] = True
+        after = np.zeros(len(data), bool)
+        after[1:] = lead[:-1]
+        hard = (kinds == 0) | (tail != (after & ~first[:-1])) | (lead & first[1:])
+        hard[:-1] |= (data[:-1] == ord("<")) & (data[1:] == ord("|"))
+        plain = np.diff(_bounds(hard)[bounds]) == 0
+        begins = first[:-1] | (kinds == 2)
+        begins[1:] |= kinds[1:] != kinds[:-1]
+        low = data + (((data >= 65) & (data <= 90)) | (tail & (data <= 0x9E))).astype(np.uint8) * np.uint8(32)
+        inside = np.repeat(plain, sizes)
+        low, begins = low[inside], begins[inside]
+        met = _column(low, np.append(np.flatnonzero(begins), len(low)))
+        counts = np.diff(_bounds(begins)[_bounds(sizes[plain])])
+        cut = self.cut(pieces.filter(pa.array(~plain)).cast(pa.binary()).to_pylist())
+        special = {i: bytes([_SPECIAL]) + i.to_bytes(4, "little") for i in self.special.values()}
+        rest = pa.array([w.encode() if isinstance(w, str) else special[w] for parts in cut for w in parts], pa.large_binary())
+        found = pa.concat_arrays([met, rest]).dictionary_encode()
+        place = np.empty(len(pieces), np.int64)
+        place[np.concatenate((np.flatnonzero(plain), np.flatnonzero(~plain)))] = np.arange(len(pieces))
+        return found.dictionary, found.indices.to_numpy(), _bounds(np.concatenate((counts, np.array([len(c) for c in cut], np.int64)))), place
+
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         keys = left << 32 | right
         at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
         return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], self.no_rank)
 
     def merge(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of each word: the pair of lowest rank is merged first, the leftmost of equal ones.
+        """Ids of each word (none is empty)."""
+        ids, bounds = self.merge_side_by_side(*_flat(pa.array(words, pa.large_binary())))
+        return np.split(ids, bounds[1:-1]) if words else []
+
+    def merge_side_by_side(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, and where those of each begin: the pair of lowest rank is merged first, the leftmost of equal ones.
 
         All words go side by side, one merge of each in a round; a word without a pair to merge is done.
         """
-        if not words:
-            return []
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        symbols = self.inner[np.frombuffer(b"".join(words), np.uint8)]
-        ends = np.cumsum(sizes)
-        symbols[ends - 1] = self.last[np.frombuffer(b"".join(w[-1:] for w in words), np.uint8)]
+        if not len(data):
+            return np.empty(0, np.uint32), bounds
+        sizes, ends = np.diff(bounds), bounds[1:]
+        symbols = self.inner[data]
+        symbols[ends - 1] = self.last[data[ends - 1]]
         ranks = np.full(len(symbols), self.no_rank, np.int64)
         ranks[:-1] = self._rank(symbols[:-1], symbols[1:])
         ranks[ends - 1] = self.no_rank
-        live = np.arange(len(words))
-        out: list[np.ndarray] = [np.empty(0, np.uint32)] * len(words)
+        live = np.arange(len(sizes))
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         while len(live):
             starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
             least = np.minimum.reduceat(ranks, starts)
             open_ = least < self.no_rank
             if not open_.all():
-                for w in np.flatnonzero(~open_):
-                    out[live[w]] = symbols[starts[w] : starts[w] + sizes[w]].astype(np.uint32)
                 inside = np.repeat(open_, sizes)
+                done.append((live[~open_], sizes[~open_], symbols[~inside].astype(np.uint32)))
                 symbols, ranks = symbols[inside], ranks[inside]
                 live, sizes, least = live[open_], sizes[open_], least[open_]
                 if not len(live):
@@ -155,7 +234,19 @@ class Vocabulary:
             ranks[first] = np.where(first < ends, self._rank(symbols[first], symbols[after]), self.no_rank)
             before = first[first > starts] - 1
             ranks[before] = self._rank(symbols[before], symbols[before + 1])
-        return out
+        return _in_order(done, len(bounds) - 1)
+
+
+def _in_order(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of words, and where those of each begin, from parts: places of words, numbers of ids, ids."""
+    sizes = np.zeros(count, np.int64)
+    for at, own, _ in parts:
+        sizes[at] = own
+    bounds = _bounds(sizes)
+    out = np.empty(bounds[-1], np.uint32)
+    for at, own, ids in parts:
+        out[_runs(bounds[at], own)] = ids
+    return out, bounds
 
 
 class _State:
@@ -242,13 +333,16 @@ class Lexicon:
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         """Number of each word, -1 where it is not in the lexicon."""
-        found = np.full(len(words), -1, np.int64)
-        if not words or not len(self.keys):
+        return self.find(*_flat(pa.array(words, pa.large_binary())))
+
+    def find(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Number of each word of a column, -1 where it is not in the lexicon."""
+        sizes, starts = np.diff(bounds), bounds[:-1]
+        found = np.full(len(sizes), -1, np.int64)
+        if not len(sizes) or not len(self.keys):
             return found
-        flat = np.frombuffer(b"".join(words) + b"\0", np.uint8).astype(np.uint64)
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        starts = np.cumsum(sizes) - sizes
-        live, state, total = np.arange(len(words)), np.zeros(len(words), np.uint64), np.zeros(len(words), np.int64)
+        flat = np.append(data, np.uint8(0)).astype(np.uint64)
+        live, state, total = np.arange(len(sizes)), np.zeros(len(sizes), np.uint64), np.zeros(len(sizes), np.int64)
         depth = 0
         while len(live):
             done = sizes[live] == depth
@@ -266,74 +360,54 @@ class Lexicon:
     def ids_of(self, number: int) -> np.ndarray:
         return self.ids[self.offsets[number] : self.offsets[number + 1]]
 
-    def ids_of_all(self, numbers: np.ndarray) -> list[np.ndarray]:
-        ids = self.ids.view(np.ndarray)
-        starts, ends = self.offsets[numbers].tolist(), self.offsets[numbers + 1].tolist()
-        return [ids[a:b] for a, b in zip(starts, ends, strict=True)]
+    def ids_of_all(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each word has, and the ids of all."""
+        starts = self.offsets[numbers].astype(np.int64)
+        sizes = self.offsets[numbers + 1] - starts
+        return sizes, self.ids[_runs(starts, sizes)]
 
 
 class Encoder:
-    """Encodes words by lexicon and merges, pieces by their words, and remembers both."""
+    """Encodes texts by lexicon and merges; holds the different words of the last texts, and their ids."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None):
         self.vocabulary, self.lexicon = vocabulary, lexicon
-        self.words: dict[str | int, tuple[bytes, bytes]] = {}
-        self.ids: dict[bytes, bytes] = {}
-        self.shown: dict[bytes, bytes] = {}
-        self.silent: set[bytes] = set()
-
-    def _learn_words(self, words: list[str]) -> None:
-        raw = [w.encode() for w in words]
-        if self.lexicon is None:
-            numbers = np.full(len(raw), -1)
-        else:
-            numbers = self.lexicon.numbers(raw)
-        met, unseen = np.flatnonzero(numbers >= 0).tolist(), np.flatnonzero(numbers < 0).tolist()
-        found = [] if self.lexicon is None else self.lexicon.ids_of_all(numbers[met])
-        names, known = self.vocabulary.names, self.words
-        for at, ids in (*zip(met, found, strict=True), *zip(unseen, self.vocabulary.merge([raw[i] for i in unseen]), strict=True)):
-            known[words[at]] = (ids.tobytes(), b" ".join([names[i] for i in ids.tolist()]))
-
-    def learn(self, pieces: set[bytes]) -> None:
-        new = list(pieces.difference(self.ids))
-        if not new:
-            return
-        if len(self.words) > MEMORY:
-            self.words.clear()
-        cut = self.vocabulary.cut(new)
-        every = set().union(*cut).difference(self.words)
-        self._learn_words([w for w in every if isinstance(w, str)])
-        for w in every:
-            if not isinstance(w, str):  # a special token
-                self.words[w] = (w.to_bytes(4, "little"), self.vocabulary.names[w])
-        known, all_ids, all_shown = self.words, self.ids, self.shown
-        for piece, parts in zip(new, cut, strict=True):
-            if len(parts) == 1:
-                all_ids[piece], all_shown[piece] = known[parts[0]]
-                continue
-            found = [known[w] for w in parts]
-            all_ids[piece] = b"".join([f[0] for f in found])
-            all_shown[piece] = b" ".join([f[1] for f in found])
-            if not parts:
-                self.silent.add(piece)
+        self.forget()
 
     def forget(self) -> None:
-        """Drop what was remembered; the vocabulary and the lexicon stay for the worker's next task."""
-        self.words, self.ids, self.shown, self.silent = {}, {}, {}, set()
-
-    def batch(self, texts: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        """Ids (little-endian 32 bit) and decoded text of each text."""
-        cut = [t.split() for t in texts]
-        pieces = set().union(*cut)
-        if len(self.ids) > MEMORY:  # what this batch needs stays
-            kept = [p for p in pieces if p in self.ids]
-            self.ids, self.shown = {p: self.ids[p] for p in kept}, {p: self.shown[p] for p in kept}
-            self.silent &= pieces
-        self.learn(pieces)
-        for parts in cut:
-            if self.silent:
-                parts = [p for p in parts if p not in self.silent]
-            yield b"".join([self.ids[p] for p in parts]), b" ".join([self.shown[p] for p in parts])
+        """Drop the last words; the vocabulary and the lexicon stay for the worker's next task."""
+        self.words, self.ids = pa.array([], pa.large_binary()), np.empty(0, np.uint32)
+
+    def _learn(self, words: pa.Array) -> np.ndarray:
+        """Look up or merge words; returns where the ids of each begin."""
+        data, bounds = _flat(words)
+        starts, sizes = bounds[:-1], np.diff(bounds)
+        special = data[starts] == _SPECIAL
+        numbers = np.full(len(words), -1) if self.lexicon is None else self.lexicon.find(data, bounds)
+        met, marks, unseen = np.flatnonzero(numbers >= 0), np.flatnonzero(special), np.flatnonzero((numbers < 0) & ~special)
+        parts = [(marks, np.ones(len(marks), np.int64), data[_runs(starts[marks] + 1, sizes[marks] - 1)].view(np.uint32))]
+        if len(met):
+            parts.append((met, *self.lexicon.ids_of_all(numbers[met])))
+        for i in range(0, len(unseen), MERGED_WORDS):
+            some = unseen[i : i + MERGED_WORDS]
+            ids, ends = self.vocabulary.merge_side_by_side(data[_runs(starts[some], sizes[some])], _bounds(sizes[some]))
+            parts.append((some, np.diff(ends), ids))
+        self.words, (self.ids, ends) = words, _in_order(parts, len(words))
+        return ends
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and where those of each begin."""
+        pieces, follow, begin = _pieces(texts)
+        words, codes, cuts, place = self.vocabulary.words(pieces)
+        ends = self._learn(words)
+        data, ends = _flat(_column(self.ids, 4 * ends).take(pa.array(codes)))
+        data, ends = _flat(_column(data, ends[cuts]).take(pa.array(place[follow])))
+        return data.view(np.uint32), ends[begin] // 4
+
+    def shown(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Decoded texts, each followed by a space if it has ids, and where each begins."""
+        data, places = _flat(self.vocabulary.spaced.take(pa.array(ids)))
+        return data, places[bounds]
 
 
 def decode(ids: Iterable[int], vocabulary: Vocabulary) -> str:
@@ -342,40 +416,53 @@ def decode(ids: Iterable[int], vocabulary: Vocabulary) -> str:
 
 
 _ENCODERS: dict[tuple[str, str | None], Encoder] = {}
+_VOCABULARIES: dict[str, Vocabulary] = {}
+
+
+def _vocabulary(path: str) -> Vocabulary:
+    """One vocabulary for each Python worker."""
+    if path not in _VOCABULARIES:
+        _VOCABULARIES.clear()
+        _VOCABULARIES[path] = Vocabulary(path)
+    return _VOCABULARIES[path]
 
 
-def _encoder(vocabulary_path: str, lexicon: str | None) -> Encoder:
+def _encoder(vocabulary_path: str, lexicon: str) -> Encoder:
     """One encoder for each Python worker and lexicon."""
     key = (vocabulary_path, lexicon)
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(Vocabulary(vocabulary_path), Lexicon(SparkFiles.get(lexicon)) if lexicon else None)
+        _ENCODERS[key] = Encoder(_vocabulary(vocabulary_path), Lexicon(SparkFiles.get(lexicon)))
     return _ENCODERS[key]
 
 
+def _lots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they hold ``LOT_BYTES``."""
+    held, size = [], 0
+    for batch in batches:
+        if held and size + batch.nbytes > LOT_BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += batch.nbytes
+    if held:
+        yield pa.concat_batches(held)
+
+
 def count_words(docs: DataFrame, vocabulary_path: str, text_col: str = "text") -> DataFrame:
     """(word, n) over all documents; a task adds up what it has before it sends it."""
     own = docs.select(F.col(f"`{text_col}`").alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = _encoder(vocabulary_path, None).vocabulary
-        pieces: Counter[bytes] = Counter()
-
-        def sent() -> pa.RecordBatch:
-            words: Counter[str] = Counter()
-            for n, parts in zip(pieces.values(), vocabulary.cut(list(pieces)), strict=True):
-                for w in parts:
-                    if isinstance(w, str):
-                        words[w] += n
-            pieces.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
-
-        for batch in batches:
-            for text in texts_of(batch):
-                pieces.update(text.split())
-            if len(pieces) > MEMORY:
-                yield sent()
-        yield sent()
+        vocabulary = _vocabulary(vocabulary_path)
+        for lot in _lots(batches):
+            pieces, follow, _ = _pieces(lot.column(0))
+            words, codes, cuts, place = vocabulary.words(pieces)
+            times = np.bincount(place[follow], minlength=len(pieces))
+            n = np.bincount(codes, np.repeat(times, np.diff(cuts)), len(words)).astype(np.int64)
+            data, bounds = _flat(words)
+            keep = pa.array(data[bounds[:-1]] != _SPECIAL)
+            yield pa.RecordBatch.from_arrays([words.filter(keep).cast(pa.binary()).cast(pa.string()), pa.array(n).filter(keep)], ["word", "n"])
 
     return map_batches(own, work, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -432,18 +519,21 @@ def _encoded(docs: DataFrame, vocabulary_path: str, lexicon: str, id_col: str, t
     kind = own.schema["id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(vocabulary_path, lexicon)
-        for batch in batches:
-            done = encoder.batch(texts_of(batch))
-            if digests:
-                rows = [(len(i) // 4, hashlib.sha256(i).hexdigest(), hashlib.sha256(d).hexdigest()) for i, d in done]
-                columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())]
-                names = ["n_tokens", "ids_sha256", "decoded_sha256"]
-            else:
-                rows = list(done)
-                columns = [pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1].decode("utf-8", "replace") for r in rows], pa.string())]
-                names = ["ids", "decoded"]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", *names])
+        encoder, step = _encoder(vocabulary_path, lexicon), int(BATCH_ROWS)
+        for lot in _lots(batches):
+            ids, at = encoder.encode(lot.column(1))
+            data, ends = encoder.shown(ids, at)
+            tokens = [memoryview(ids)[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            decoded = [memoryview(data)[a : max(a, b - 1)] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            for i in range(0, len(lot), step):
+                part, left, right = lot.column(0).slice(i, step), tokens[i : i + step], decoded[i : i + step]
+                if digests:
+                    columns = [pa.array(list(map(len, left)), pa.int64()), *(pa.array([hashlib.sha256(x).hexdigest() for x in side], pa.string()) for side in (left, right))]
+                    names = ["n_tokens", "ids_sha256", "decoded_sha256"]
+                else:
+                    columns = [pa.array([x.tobytes() for x in left], pa.binary()), pa.array([x.tobytes() for x in right], pa.binary()).cast(pa.string())]
+                    names = ["ids", "decoded"]
+                yield pa.RecordBatch.from_arrays([part, *columns], ["id", *names])
         encoder.forget()
 
     schema = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digests else "ids binary, decoded string"

@@ -90,3 +90,30 @@ def test_idle_workers_remember_nothing(spark):
             yield pa.RecordBatch.from_arrays([pa.array([sum(len(e.ids) + len(e.words) for e in op._ENCODERS.values())])], ["held"])
 
     assert {r.held for r in spark.range(8).repartition(8).mapInArrow(held, "held bigint").collect()} == {0}
+
+
+def test_words_are_cut_as_by_pattern():
+    vocabulary = op.Vocabulary(PATH)
+    rng = random.Random(9)
+    alphabet = ["a", "Z", "é", "À", "Þ", "ß", "ÿ", "×", "÷", "7", "!", "<", "|", ">", "'", "'re", "ł", "日", "\x00", "<|endoftext|>"]
+    pieces = ["", "×", "÷", "<|", "|>", *("".join(rng.choices(alphabet, k=rng.randint(1, 9))) for _ in range(4000))]
+    words, codes, cuts, place = vocabulary.words(pa.array(pieces))
+    assert len(set(words.to_pylist())) == len(words)
+    got = [words[c].as_py() for c in codes.tolist()]
+    special = {i: b"\xff" + i.to_bytes(4, "little") for i in vocabulary.special.values()}
+    for i, parts in enumerate(vocabulary.cut([p.encode() for p in pieces])):
+        assert got[cuts[place[i]] : cuts[place[i] + 1]] == [special[w] if isinstance(w, int) else w.encode() for w in parts], pieces[i]
+
+
+def test_words_of_one_lot_are_held(monkeypatch):
+    monkeypatch.setattr(op, "LOT_BYTES", 1000)
+    rng = random.Random(3)
+    data = [" ".join("".join(rng.choices("abcdefgh", k=8)) for _ in range(60)) for _ in range(50)] + ["", None]
+    batches = [pa.RecordBatch.from_arrays([pa.array([t], pa.string())], ["text"]) for t in data]
+    encoder, library, got, held = op.Encoder(op.Vocabulary(PATH)), Tokenizer.from_file(PATH), [], []
+    for lot in op._lots(iter(batches)):
+        ids, at = encoder.encode(lot.column(0))
+        got += [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
+        held.append(len(encoder.words))
+    assert got == [library.encode(t or "", add_special_tokens=False).ids for t in data]
+    assert len(held) > 20 and max(held) <= 180
