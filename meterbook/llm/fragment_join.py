@@ -29,6 +29,9 @@ compared with each other, in listed pairs where the cell is small and else in
 blocks that return spanning links.  No group lists all its pairs, no link
 between groups is lost.
 
+The digests of all sets are what is shuffled most.  They go in ``ROUNDS`` ranges, one after
+the other, so that disk holds one range of them at a time.
+
 Which digests or classes occur again is sent to the tasks as a bitmap of fixed
 size: a filter that lets some more pass when it fills up, and drops nothing.
 
@@ -47,11 +50,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterbook.llm.common import ASCII_LOWER, FILTER_BITS, bitmap_of, drop_written, having, in_bitmap, map_batches, release, split_words, texts_of, written
+from meterbook.llm.common import ASCII_LOWER, FILTER_BITS, bitmap_of, drop_written, having, in_bitmap, map_batches, release, split_words, written
 from meterbook.llm.simhash_dedup import components
 
 SEED = 42
@@ -65,6 +69,8 @@ LEAST_PART = 16
 #: Fragments in which overlaps are counted.
 FRAGMENTS = 8
 SKETCH = -1
+#: Ranges in which the digests of all sets are shuffled; a power of two.
+ROUNDS = 4
 #: A cell of up to so many classes lists the pairs that are still apart.
 LISTED = 64
 #: N-grams of one side of a block.
@@ -96,12 +102,35 @@ def shingles(text: bytes, hashes: dict, size: int = WORDS) -> np.ndarray:
     if not parts:
         return np.empty(0, np.uint64)
     of_words = np.fromiter(map(hashes.__getitem__, parts), np.uint64, len(parts))
-    take = min(size, len(parts))
-    count = len(parts) - take + 1
+    return np.unique(_chained(of_words, min(size, len(parts))))
+
+
+def sets_of(texts: pa.Array, size: int) -> list[np.ndarray]:
+    """``shingles`` of each text; each different word of the batch is hashed once, all windows side by side."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    found = lists.values.dictionary_encode()
+    words = found.dictionary.cast(pa.binary()).to_pylist()
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
+    follow, bounds = found.indices.to_numpy(), lists.offsets.to_numpy()
+    held = np.array([w != b"" for w in words], bool)[follow]
+    of_words, bounds = hashes[follow[held]], np.concatenate(([0], np.cumsum(held)))[bounds].tolist()
+    windows = _chained(of_words, size)
+    out = []
+    for start, end in zip(bounds[:-1], bounds[1:], strict=True):
+        own = windows[start : end - size + 1] if end - start >= size else _chained(of_words[start:end], end - start)
+        out.append(np.unique(own))
+    return out
+
+
+def _chained(of_words: np.ndarray, take: int) -> np.ndarray:
+    """Hash of each window of ``take`` words."""
+    count = len(of_words) - take + 1
+    if not take or count < 1:
+        return np.empty(0, np.uint64)
     joined = np.full(count, take, np.uint64)
     for i in range(take):
         joined = mixed(joined * _ODD + of_words[i : i + count])
-    return np.unique(joined)
+    return joined
 
 
 def linked(shared: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int) -> np.ndarray | bool:
@@ -177,9 +206,8 @@ def prints(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     kind = own.schema["id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _WordHashes()
         for batch in batches:
-            sets = [shingles(t, known, size) for t in texts_of(batch)]
+            sets = sets_of(batch.column(1), size)
             sizes = pa.array([len(s) for s in sets], pa.int64())
             names = pa.array([_class_of(s) for s in sets], pa.int64())
             sent = [segment_digests(s).view(np.int64) for s in sets]
@@ -200,9 +228,11 @@ def _cells(marked: DataFrame, bits: int) -> DataFrame:
     rows = marked.where(F.col("class").isNotNull())
     sent = rows.select("class", F.explode("digests").alias("digest"))
     # copies of a text and large groups are combined before they travel
-    ends = sent.groupBy("digest").agg(F.min("class").alias("low"), F.max("class").alias("top")).where("low < top")
-    ends = written(ends, "shared")
-    release(spark)
+    for i in range(ROUNDS):
+        some = sent.where(F.shiftrightunsigned("digest", 64 - ROUNDS.bit_length() + 1) == i) if ROUNDS > 1 else sent
+        part = written(some.groupBy("digest").agg(F.min("class").alias("low"), F.max("class").alias("top")).where("low < top"), "shared")
+        ends = ends.unionByName(part) if i else part
+        release(spark)
     again = spark.sparkContext.broadcast(bitmap_of(ends.select("digest"), bits))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,10 +266,9 @@ def _segments(docs: DataFrame, marked: DataFrame, wanted: DataFrame, id_col: str
     own = docs.select(F.xxhash64(F.col(f"`{id_col}`")).alias("id_hash"), F.col(f"`{text_col}`").alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _WordHashes()
         for batch in batches:
             keep = in_bitmap(readers.value, batch.column(0).to_numpy())
-            sets = [shingles(t, known, size) for t in texts_of(batch.filter(pa.array(keep)))]
+            sets = sets_of(batch.column(1).filter(pa.array(keep)), size)
             named = [(_class_of(s), s) for s in sets if len(s)]
             held = in_bitmap(classes.value, np.array([c for c, _ in named], np.int64)) if named else []
             rows = []
@@ -406,14 +435,14 @@ def spanning_links(left: list, right: list, left_groups: np.ndarray, right_group
     return found
 
 
-def links(docs: DataFrame, marked: DataFrame, id_col: str, text_col: str, size: int, listed: int, block: int, bits: int) -> DataFrame | None:
-    """Pairs (a, b) of classes that connect all linked classes; None without candidates."""
+def links(docs: DataFrame, marked: DataFrame, narrow: DataFrame, id_col: str, text_col: str, size: int, listed: int, block: int, bits: int) -> DataFrame | None:
+    """Pairs (a, b) of classes that connect all linked classes; None without candidates.  ``marked`` is dropped; ``narrow`` is it without digests."""
     spark = docs.sparkSession
     cells = _cells(marked, bits)
+    drop_written(marked)
     if cells.isEmpty():
         return None
-    segments = _segments(docs, marked, cells.select("class").distinct(), id_col, text_col, size, bits)
-    drop_written(marked)
+    segments = _segments(docs, narrow, cells.select("class").distinct(), id_col, text_col, size, bits)
     release(spark)
     sketches = written(segments.where(F.col("fragment") == SKETCH).select("class", "n", "grams"), "sketches")
     found = written(overlaps(_star(cells, "low"), segments, sketches), "star-low")
@@ -442,7 +471,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     classes = marked.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("id").alias("least"))
     classes = written(classes.select(F.col("class").alias("bits"), "least"), "classes")
     narrow = written(marked.drop("digests"), "marked")
-    found = links(docs, marked, id_col, text_col, size, listed, block, bits)
+    found = links(docs, marked, narrow, id_col, text_col, size, listed, block, bits)
     named = classes.select("bits", F.col("least").alias("component"))
     if found is not None:
         named = classes.join(components(classes, found), "bits", "left").select("bits", F.coalesce("component", "least").alias("component"))

@@ -4,6 +4,7 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from meterbook.llm import fragment_join as op
@@ -174,3 +175,35 @@ def test_sketches_part_what_is_not_linked():
     assert linked.sum() > 30 and kept[linked].all()
     far = op.may_link(drawn[0], drawn[0][11:] + drawn[0][:11], sizes[0], sizes[0])
     assert not far[sizes[0] > 9].any()
+
+
+def test_sets_of_a_batch_are_those_of_its_texts():
+    rng = random.Random(8)
+    texts = ["", None, " \n", "A b c D", "a b c d e", "x " * 9, " É é  q\x1cz\x85 Z ", *(" ".join(rng.choices("abCé", k=rng.randint(0, 40))) for _ in range(50))]
+    for size in (1, 3, 5):
+        got = op.sets_of(pa.array(texts), size)
+        assert [g.tolist() for g in got] == [op.shingles((t or "").encode(), op._WordHashes(), size).tolist() for t in texts]
+    assert op.sets_of(pa.array([], pa.string()), 5) == []
+
+
+def test_digests_travel_in_rounds(spark, monkeypatch):
+    written, shared, held = op.written, [], []
+
+    def spy(df, name):
+        out = written(df, name)
+        if name == "shared":
+            shared.append({r.digest >> (64 - op.ROUNDS.bit_length() + 1) & (op.ROUNDS - 1) for r in out.select("digest").collect()})
+        elif name == "segments":
+            held.append(out.inputFiles())
+        elif name == "fragments":  # the digests of all sets are gone before the sets are written
+            assert not any(os.path.exists(f.removeprefix("file:").replace("///", "/")) for f in held[0])
+        return out
+
+    monkeypatch.setattr(op, "written", spy)
+    rng = random.Random(6)
+    words = [[str(rng.random()) for _ in range(200)] for _ in range(12)]
+    docs = spark.createDataFrame([(2 * i + k, " ".join(w[k:])) for i, w in enumerate(words) for k in (0, 1)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in op.jaccard_groups(docs).collect()}
+    assert got == {i: i - i % 2 for i in range(24)}
+    assert len(held[0]) > 0 and op.ROUNDS > 1
+    assert shared == [{i} for i in range(op.ROUNDS)]
