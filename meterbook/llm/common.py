@@ -19,6 +19,8 @@ ASCII_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopq
 BATCH_ROWS = "512"
 #: Bits of the filters that are sent to tasks (8 MB).
 FILTER_BITS = 1 << 26
+#: A written table of more rows is never broadcast; one of half as many, of a few numbers each, was a hash table of 17 MB.
+BROADCAST_ROWS = 500_000
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -60,6 +62,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def by_rows(df: DataFrame) -> DataFrame:
+    """A written table for a join, shuffled if it has many rows: Spark goes by the size of its files, which are packed."""
+    return df.hint("merge") if df.count() > BROADCAST_ROWS else df
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """A written table for a join with rows that Spark cannot size, as after an explode: it is broadcast if it has few rows, the other side never is."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df.hint("merge")
+
+
 def drop_written(df: DataFrame) -> None:
     """Delete the files of a table that ``written`` returned, once nothing reads it any more."""
     spark = df.sparkSession

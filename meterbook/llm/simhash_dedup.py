@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterbook.llm.common import ASCII_LOWER, bitmap_of, drop_written, having, in_bitmap, map_batches, release, split_words, texts_of, written
+from meterbook.llm.common import ASCII_LOWER, bitmap_of, by_rows, drop_written, having, in_bitmap, map_batches, release, small_side, split_words, texts_of, written
 
 SEED = 42
 MAX_BITS = 3
@@ -128,10 +128,12 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, dense: int = DENSE, cell_
     full = written(fill, "full-cells")
     usual_cells, usual_probes, spanning = cells, probes, None
     if not full.isEmpty():
+        full = small_side(full)
         usual_cells = cells.join(full, "cell", "left_anti")
         usual_probes = probes.join(full, "cell", "left_anti")
         spanning = _full_cells(cells, probes, full, max_bits, cell_block)
-    a, b = usual_cells.alias("a"), usual_probes.alias("b")
+    # a fingerprint has two cells and up to 34 probes, but Spark sizes them as one row: both are shuffled
+    a, b = usual_cells.hint("merge").alias("a"), usual_probes.alias("b")
     near = (
         (F.col("a.cell") == F.col("b.cell"))
         & (F.col("b.up") | (F.col("a.bits") < F.col("b.bits")))
@@ -245,7 +247,7 @@ def _links_between(pairs: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS,
                     dense: int = DENSE, cell_block: int = CELL_BLOCK) -> DataFrame:
     """One row per document: id, fingerprint (16 hex digits), component_id (smallest id reachable over links)."""
-    prints = written(fingerprints(docs, id_col, text_col, size), "fingerprints")
+    prints = by_rows(written(fingerprints(docs, id_col, text_col, size), "fingerprints"))
     nodes = written(prints.groupBy("bits").agg(F.min("id").alias("least")), "prints")
     found = links(nodes, dense=dense, cell_block=cell_block)
     merged = nodes.join(components(nodes, found), "bits", "left").select("bits", F.coalesce("component", "least").alias("component"))

@@ -4,7 +4,9 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
+from meterbook.llm import common
 from meterbook.llm import simhash_dedup as op
 
 WORDS = [f"w{i}" for i in range(300)]
@@ -73,6 +75,45 @@ def test_full_cells_give_the_same_groups(spark):
     assert got(op.near_duplicates(docs, dense=1, cell_block=2)) == slow_groups(rows)
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString().splitlines()
+
+
+def broadcast_parts(plan):
+    """What each broadcast of a plan holds: the lines below it that are indented more."""
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in plan]
+    for at, line in enumerate(plan):
+        if "BroadcastExchange" in line:
+            end = next((i for i in range(at + 1, len(plan)) if depth[i] <= depth[at]), len(plan))
+            yield "\n".join(plan[at:end])
+
+
+def test_exploded_cells_are_not_broadcast(spark):
+    """Cells and probes, up to 34 rows for a fingerprint, are sized as one row each: they are shuffled however small they seem."""
+    nodes = op.written(spark.range(600).select(F.xxhash64("id").alias("bits")), "nodes")
+    plan = plan_of(op.links(nodes))
+    assert not list(broadcast_parts(plan)) and any("SortMergeJoin" in line for line in plan)
+    twins = op.written(nodes.unionByName(nodes.select(F.col("bits").bitwiseXOR(F.lit(3)).alias("bits"))), "twins")
+    held = list(broadcast_parts(plan_of(op.links(twins, dense=1, cell_block=2))))  # the table of full cells
+    assert held and not any("Generate" in part for part in held)
+
+
+def test_many_full_cells_are_shuffled(spark, monkeypatch):
+    rows = corpus(60)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    plans, links = [], op.links
+
+    def spy(*args, **named):
+        found = links(*args, **named)
+        plans.append(plan_of(found))
+        return found
+
+    monkeypatch.setattr(op, "links", spy)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert got(op.near_duplicates(docs, dense=1, cell_block=2)) == slow_groups(rows)
+    assert len(plans) == 1 and not list(broadcast_parts(plans[0]))
+
+
 def test_empty_table(spark):
     assert got(op.near_duplicates(spark.createDataFrame([], "doc_id bigint, text string"))) == []
 
