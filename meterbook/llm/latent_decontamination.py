@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterbook.llm.common import map_batches, texts_of, written
+from meterbook.llm.common import by_rows, map_batches, texts_of, written
 
 STEP = 16
 WINDOW = 2 * STEP
@@ -585,5 +585,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """``docs`` without those that hold a benchmark item, with their columns; an item of a few words counts only if ``short`` is set."""
     found = contaminated(docs, benchmark, id_col, text_col)
     gone = found if short else found.where("kind != 'short'")
-    gone = written(gone.select(F.col(f"`{id_col}`").alias("__hit")).distinct(), "contaminated")
+    gone = by_rows(written(gone.select(F.col(f"`{id_col}`").alias("__hit")).distinct(), "contaminated"))
     return docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("__hit")), "left_anti")

@@ -359,7 +359,7 @@ def _sets(keyed: DataFrame, rows: DataFrame, size: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
     """The written pairs (a, b) whose sets are near."""
-    asked = written(pairs.select("a", "b").distinct(), f"{name}-asked")
+    asked = by_rows(written(pairs.select("a", "b").distinct(), f"{name}-asked"))
     sets = having(sets, "row", asked.select(F.explode(F.array("a", "b")).alias("row")))
     both = asked
     for side in ("a", "b"):
@@ -460,7 +460,8 @@ def _shared(tokens: DataFrame, passes: int = 1) -> DataFrame:
             yield batch.filter(pa.array(in_bitmap(again.value, batch.column(2).to_numpy())))
 
     some = map_batches(tokens.select("row", "size", "token"), work, kinds) if passes > 1 else tokens
-    found = written(some.join(fill, "token"), "shared")
+    # a row for each shingle, which Spark sizes as one for each text: both sides are shuffled
+    found = written(some.hint("merge").join(fill, "token"), "shared")
     for read in fills:
         drop_written(read)
     release(spark)
@@ -470,10 +471,11 @@ def _shared(tokens: DataFrame, passes: int = 1) -> DataFrame:
 def fingerprint_pairs(prints: DataFrame) -> DataFrame:
     """Written pairs (a, b) of the rows (row, bits) that SimHash links: the first rows of linked fingerprints, and each other row with the first of its own."""
     nodes = written(prints.groupBy("bits").agg(F.min("row").alias("first")), "prints")
-    same = prints.join(nodes, "bits").where(F.col("row") != F.col("first")).select(F.col("first").alias("a"), F.col("row").alias("b"))
+    firsts = by_rows(nodes)
+    same = prints.join(firsts, "bits").where(F.col("row") != F.col("first")).select(F.col("first").alias("a"), F.col("row").alias("b"))
     found = links(nodes.select("bits"))
     for side in ("a", "b"):
-        found = found.join(nodes.select(F.col("bits").alias(side), F.col("first").alias(f"first_{side}")), side)
+        found = found.join(firsts.select(F.col("bits").alias(side), F.col("first").alias(f"first_{side}")), side)
     met = found.select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b"))
     pairs = written(same.unionByName(met).distinct(), "fingerprint-pairs")
     drop_written(nodes)
@@ -506,8 +508,9 @@ def near_copy_links(keyed: DataFrame, tokens: DataFrame, prints: DataFrame, size
     release(spark)
     full = shared.groupBy("row").agg(F.count(F.when(F.col("n") > dense, 1)).alias("full"))
     full = full.join(_groups(links), "row", "left").withColumn("group", F.coalesce("group", "row"))
-    listed = written(shared.where(F.col("n") <= dense).join(full, "row"), "listed")
-    a, b = listed.alias("a"), listed.alias("b")
+    # rows of shingles take far less in files than in memory, so neither side of these joins is broadcast
+    listed = written(shared.where(F.col("n") <= dense).hint("merge").join(full, "row"), "listed")
+    a, b = listed.hint("merge").alias("a"), listed.alias("b")
     alike = NEAR_WHOLE * F.least("a.size", "b.size") >= NEAR_PART * F.greatest("a.size", "b.size")
     pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.row") < F.col("b.row")) & (F.col("a.group") != F.col("b.group")) & alike)
     # what they share in full cells is not listed, and is counted as much as it can be
@@ -553,7 +556,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     keyed = stored.select(F.col("__key.row").alias("row"), F.col(f"`{text_col}`").alias("text"), F.col("__key").alias("key"))
     prefixes = _prefixes(keyed, size)
     first = prefixes.select("row", "digest").join(keyed.select("row", "key"), "row").groupBy("digest").agg(F.min("key").alias("least"))
-    first = written(first.select(F.col("least.row").alias("bits"), "least"), "first")
+    first = by_rows(written(first.select(F.col("least.row").alias("bits"), "least"), "first"))
     narrow = written(prefixes.select("row"), "rows")
     # written once: each pass over the shingles reads it, and none joins again
     own = written(prefixes.join(first.select(F.col("bits").alias("row")), "row", "left_semi").select("row", "size", "prefix", "bits"), "first-prefixes")
@@ -566,5 +569,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     groups = components(first, found)
     near_copies = groups.where(F.col("bits") != F.col("component.row")).select(F.col("bits").alias("__row"))
     copies = narrow.select(F.col("row").alias("__row")).join(first.select(F.col("bits").alias("__row")), "__row", "left_anti")
-    gone = written(copies.unionByName(near_copies), "copies")
+    gone = by_rows(written(copies.unionByName(near_copies), "copies"))
     return stored.join(gone, F.col("__key.row") == F.col("__row"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

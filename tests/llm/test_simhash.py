@@ -241,6 +241,29 @@ def test_passes_over_shingles_join_nothing(spark, monkeypatch):
     assert "Join" not in plans[0]
 
 
+def test_tables_of_shingles_are_not_broadcast(spark, monkeypatch):
+    """Rows of shingles and, beyond a number of rows, of texts are shuffled, however small their files; the groups are the same."""
+    rng, rows = random.Random(31), []
+    for _ in range(12):
+        base = [rng.choice(WORDS) for _ in range(rng.randint(60, 200))]
+        rows += [" ".join(base), " ".join(base), *(" ".join(edited(rng, base, 4)) for _ in range(3))]
+    rows = list(enumerate(rows))
+    plans, write = {}, op.written
+
+    def spy(df, name):
+        plans.setdefault(name, plan_of(df))
+        return write(df, name)
+
+    monkeypatch.setattr(op, "written", spy)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    kept = op.keep_one(docs)
+    plans["kept"] = plan_of(kept)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(map(min, near_slow(rows)))
+    joins = {name: next(line for line in plans[name] if "Join" in line) for name in ("shared", "listed", "near-asked", "first-prefixes", "fingerprint-pairs", "kept")}
+    assert {name for name, line in joins.items() if "SortMergeJoin" not in line} == set()
+
+
 def test_blocks_connect_what_is_near():
     rng = random.Random(4)
     base = rng.sample(range(10_000), 60)
